@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import materialize, table
 from rasterloom.llm.line_dedup import dedup_lines, kept_text
+from rasterloom.llm.minhash import near_duplicates
+from rasterloom.llm.packing import pack, token_pieces
 from rasterloom.llm.quality_rules import apply_rules
+from rasterloom.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,7 +31,30 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(dedup_lines(docs.select(*COLUMNS)), kept_text(F.col("text"), F.col("keep_bitmap")))
 
 
-STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near copies stays (five-word shingles, similarity 0.8)."""
+    docs = docs.select(*COLUMNS)
+    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds go from the texts; every document stays."""
+    return _with_text(remove_repeats(docs.select(*COLUMNS)), F.col("text"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces with their sequence and place."""
+    return pack(token_pieces(docs))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("passage_dedup", passage_dedup),
+    ("packing", packing),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,4 +65,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: Best-fit packing is no relational expression; tests/llm holds the stages against brute force.
 ORACLE_SQL = None

@@ -11,7 +11,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
@@ -232,15 +232,17 @@ def extract(page: str) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page. Null or empty html gives an empty text; repeated rows stay."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for k in range(0, len(f), 500):
-                some = f.iloc[k : k + 500]
-                texts = [extract(h) if h else "" for h in some["html"]]
-                yield pd.DataFrame({"page_id": some["page_id"], "url": some["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                texts = [extract(h) if h else "" for h in some.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [some.column(0), some.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInPandas(run, f"page_id {kind}, url string, text string, n_chars bigint")
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,12 +65,13 @@ def statistics(text: str) -> list[float]:
 def measure(docs: DataFrame) -> DataFrame:
     """doc_id, x array<double> of every whole text; null texts are empty."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "x": [statistics(t or "") for t in f["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics(t or "") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
 
 
 @dataclass
@@ -124,13 +125,13 @@ def fit(labelled: DataFrame, to_pooled: float = 0.6, to_diagonal: float = 0.3) -
 def score(measured: DataFrame, model: Discriminant, cut: float = CUT) -> DataFrame:
     """doc_id, held_out, score, predicted."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            x = np.stack(f["x"].to_numpy()) if len(f) else np.zeros((0, len(FEATURES)))
-            s = model.score(x)
-            yield pd.DataFrame({"doc_id": f["doc_id"], "held_out": f["held_out"], "score": s, "predicted": (s >= cut).astype("int32")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = model.score(batch.column(2).flatten().to_numpy().reshape(-1, len(FEATURES)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x").mapInPandas(
+    return measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x").mapInArrow(
         run, "doc_id bigint, held_out boolean, score double, predicted int")
 
 
