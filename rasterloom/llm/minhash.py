@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 BINS, ROWS = 200, 4
+CROSS_BANDS = 24
 BLOCK_CHARS = 1 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20)
@@ -166,59 +167,82 @@ def star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     return found.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
 
 
+def residual_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, low binary: the upper halves of the set's hashes, enough to tell most pairs that are no link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in text_blocks(texts):
+                low = [np.unique((s >> _U(32)).astype(np.uint32)).tobytes() for s in shingle_sets(texts[a:b], width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(low, pa.binary())], names=["doc_id", "low"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, low binary")
+
+
 def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """(a, b) of one bucket that lie in different components and whose sketches agree well enough.
+    """(a, b) of one bucket that lie in different components and look like a link.
 
     Buckets are cut into blocks of about `block` members; each pair of blocks is one row, compared
-    inside a task, so neither a group nor its pairs ever meet in one place. A link at the
-    threshold agrees in too few bins once in some millions of cases (five standard deviations).
+    inside a task, so neither a group nor its pairs ever meet in one place, and only likely links come
+    out. CROSS_BANDS bands suffice here: a link at the threshold shares one of them but for some
+    millionths of the cases. Sketches that agree in too few bins (five standard deviations) are passed
+    over before the sets are compared.
     """
     named = labels.select(F.col("v").alias("doc_id"), "label")
+    buckets = buckets.where(F.col("band") < CROSS_BANDS)
     marked = buckets.join(named.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     split = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("m > 2 and l0 < l1")
     rest = materialize(marked.join(split.select("key", "m").hint("merge"), "key"), "residual")
     blocks = F.ceil(F.col("m") / block).cast("int")
     rest = rest.join(low.hint("merge"), "doc_id").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
-    grouped = rest.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("doc_id", "n", "label", "bytes")).alias("x"))
+    grouped = rest.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("doc_id", "n", "label", "bytes", "low")).alias("x"))
     grouped = materialize(grouped, "residual-blocks")
-    left = grouped.select("key", "i", F.col("x").alias("y"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j"))
-    both = left.join(grouped.select("key", F.col("i").alias("j"), "x").hint("merge"), ["key", "j"])
+    many = grouped.where("blocks > 1")
+    left = many.select("key", "i", F.col("x").alias("y"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j")).where("i < j")
+    both = left.join(many.select("key", F.col("i").alias("j"), "x").hint("merge"), ["key", "j"]).select("y", "x")
+    own = grouped.select("x", F.lit(None).cast(grouped.schema["x"].dataType).alias("y"))
     share = percent / 100
     least = share - 5 * (share * (1 - share) / BINS) ** 0.5
 
     def side(c: pa.Array, k: int):
         x = c[k].values
         wide = np.frombuffer(b"".join(x.field("bytes").to_pylist()), np.uint8).reshape(len(x), -1)
-        return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("label").to_numpy(), wide
+        return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("label").to_numpy(), wide, x.field("low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                d, n, l, w = side(batch.column(0), k)
-                e, m, r, v = side(batch.column(1), k)
-                out_a, out_b = [], []
+                d, n, l, w, s = side(batch.column(0), k)
+                within = not batch.column(1)[k].is_valid
+                e, m, r, v, t = (d, n, l, w, s) if within else side(batch.column(1), k)
+                out = []
                 for q in range(len(d)):
                     ok = (l[q] != r) & (100 * np.minimum(n[q], m) >= percent * np.maximum(n[q], m))
-                    if batch.column(2)[k].as_py():
+                    if within:
                         ok[: q + 1] = False
                     at = np.flatnonzero(ok)
                     at = at[(v[at] == w[q]).mean(1) >= least] if len(at) else at
-                    out_a.append(np.maximum(d[q], e[at]))
-                    out_b.append(np.minimum(d[q], e[at]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
+                    if len(at):
+                        mine = np.frombuffer(s[q].as_py(), np.uint32)
+                        for z in at.tolist():
+                            common = len(np.intersect1d(mine, np.frombuffer(t[z].as_py(), np.uint32), assume_unique=True))
+                            # Halves of hashes may coincide, which leaves a set a little too small: allow for that.
+                            common += 2 + int(n[q] * m[z] >> 30)
+                            if 100 * common >= percent * (n[q] + m[z] - common):
+                                out.append((max(d[q], e[z]), min(d[q], e[z])))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
-    return both.select("y", "x", F.col("i") == F.col("j")).mapInArrow(run, "a bigint, b bigint").distinct()
+    return own.unionByName(both).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets meet percent: 100 * common >= percent * union.
 
-    Only the texts of proposed documents move; a centre of many members is one row that Spark
-    splits its members around, and its set is built once for a run of rows.
+    docs has a row for each doc_id; a centre of many members is one row that Spark splits its
+    members around, and its set is built once for a run of rows.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.join(ids.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = materialize(texts, "proposed")
+    texts = docs
     one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
     both = one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")).hint("merge"), "b")
 
@@ -270,13 +294,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = materialize(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
     reps = reps.dropDuplicates(["doc_id"])
-    buckets = reps.select("doc_id", "n", F.explode("keys").alias("key"))
+    buckets = reps.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    buckets = materialize(buckets.join(sizes.hint("merge"), "key").select("key", "doc_id", "n"), "buckets")
-    first = materialize(confirm(materialize(star_pairs(buckets, percent), "stars"), docs, width, percent), "links")
+    buckets = materialize(buckets.join(sizes.hint("merge"), "key").select("key", "band", "doc_id", "n"), "buckets")
+    # From here on only the texts of documents that share a bucket move.
+    texts = docs.join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = materialize(texts, "proposed")
+    first = materialize(confirm(materialize(star_pairs(buckets, percent), "stars"), texts, width, percent), "links")
     labels = components(first)
-    more = materialize(cross_pairs(buckets, labels, reps.select("doc_id", "bytes"), percent), "crossing")
-    second = confirm(more, docs, width, percent)
+    low = residual_sets(texts, width).join(reps.select("doc_id", "bytes").hint("merge"), "doc_id")
+    more = materialize(cross_pairs(buckets, labels, low, percent), "crossing")
+    second = confirm(more, texts, width, percent)
     labels = components(first.union(second))
     joined = classes.join(labels.select(F.col("v").alias("rep"), "label").hint("merge"), "rep", "left")
     joined = joined.select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"))
