@@ -53,7 +53,7 @@ def phase_angle(vza: Column, sza: Column, raa: Column) -> Column:
 
 
 def ross(vza: Column, sza: Column, raa: Column, thin: bool = False, hot_spot: Column | float | None = None) -> Column:
-    """Volumetric kernel of a thick or thin canopy, with an optional hot-spot factor of the given width."""
+    """Volumetric kernel of a thick or thin canopy, with an optional hot-spot factor of the given width; True means 0.25, a width of 0 none."""
     c = cos_phase(vza, sza, raa)
     x = F.acos(c)
     body = (math.pi / 2 - x) * c + F.sin(x)
@@ -61,7 +61,7 @@ def ross(vza: Column, sza: Column, raa: Column, thin: bool = False, hot_spot: Co
     if hot_spot is None:
         return k
     width = F.lit(HOT_SPOT) if hot_spot is True else (F.lit(hot_spot) if isinstance(hot_spot, float) else hot_spot)
-    return k * (1 + 1 / (1 + x / width))
+    return F.when(width > 0, k * (1 + 1 / (1 + F.try_divide(x, width)))).otherwise(k)
 
 
 @dataclass(frozen=True)

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rasterloom.storage import checkpointed
+
 CELL = ("scene_id", "r", "c")
 
 
@@ -86,13 +88,15 @@ def gaussian(std_row: float, std_col: float, angle_deg: float = 0.0) -> list[tup
 
 
 def psf_weights(resolution: float) -> list[tuple[int, int, float]]:
-    """The sensor's point spread (260 m across, 340 m along) in cells of the resolution."""
-    return gaussian(340 / resolution, 260 / resolution)
+    """The point spread (std 260 m down the rows, 340 m along them) in cells of the resolution."""
+    return gaussian(260 / resolution, 340 / resolution)
 
 
-def psf_average(points: DataFrame, image: DataFrame, weights: list[tuple[int, int, float]], value: str = "dn", centred: bool = False) -> DataFrame:
+def psf_average(points: DataFrame, image: DataFrame, weights: list[tuple[int, int, float]], value: str = "dn", centred: bool = False, shape: tuple[int, int] | None = None) -> DataFrame:
     """Weighted mean of the image around each point(scene_id, r, c), nulls left out.
 
+    With a shape, what lies beyond the image's last row and column counts as 0; without, it is left out too.
+
     The window starts at the point; centred puts its middle there. Points explode the literal
     window and meet the image on the shifted key.
     """
@@ -101,7 +105,12 @@ def psf_average(points: DataFrame, image: DataFrame, weights: list[tuple[int, in
     kernel = F.array(*[F.struct(F.lit(a - at[0]).alias("dr"), F.lit(b - at[1]).alias("dc"), F.lit(k).alias("w")) for a, b, k in weights])
     spread = points.select(F.col("scene_id"), F.col("r").alias("_r"), F.col("c").alias("_c"), F.explode(kernel).alias("k"))
     spread = spread.select("scene_id", "_r", "_c", (F.col("_r") + F.col("k.dr")).alias("r"), (F.col("_c") + F.col("k.dc")).alias("c"), F.col("k.w").alias("w"))
-    met = spread.join(image.select(*CELL, F.col(value).alias("v")).where("v is not null").hint("shuffle_hash"), [*CELL])
+    seen = image.select(*CELL, F.col(value).alias("v")).where("v is not null")
+    if shape is None:
+        met = spread.join(seen.hint("shuffle_hash"), [*CELL])
+    else:
+        beyond = (F.col("r") >= shape[0]) | (F.col("c") >= shape[1])
+        met = spread.join(seen.hint("shuffle_hash"), [*CELL], "left").withColumn("v", F.when(beyond, 0.0).otherwise(F.col("v"))).where("v is not null")
     return met.groupBy("scene_id", F.col("_r").alias("r"), F.col("_c").alias("c")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias(value))
 
 
@@ -150,25 +159,28 @@ def smoothness(blocks: DataFrame, value: str, gamma: float = 1.0) -> DataFrame:
     return n.select("scene_id", "bi", "bj", (0.5 * gamma * gamma * cost).alias("cost"), (gamma * gamma * pull).alias("gradient"))
 
 
-def nearest_fill(grid: DataFrame, value: str, max_radius: int = 64, start: int = 1) -> DataFrame:
+def nearest_fill(grid: DataFrame, value: str, max_radius: int = 64, start: int = 2) -> DataFrame:
     """Null cells of a dense grid take the nearest known value (squared distance, then row, then column).
 
-    Rings of growing radius: unfilled cells explode the offsets up to the radius, meet known cells on
-    the shifted key and keep the best within a full circle of that radius. Each round doubles the radius and
-    only takes what is still unfilled. Cells with nothing within max_radius stay null.
+    Rings of growing radius: unfilled cells explode the offsets of the ring, meet known cells on the shifted
+    key and keep the best. A round covers the full circle of its radius, the radius doubles, and each round
+    is written out and only takes what is still unfilled. Cells with nothing within max_radius stay null.
     """
+    grid = checkpointed(grid.select(*CELL, value), "grid")
     known = grid.where(F.col(value).isNotNull()).select(*CELL, F.col(value).alias("v"))
-    open_ = grid.where(F.col(value).isNull()).select(*CELL)
-    done = known.select(*CELL, F.col("v").alias(value))
+    done, open_ = [grid.where(F.col(value).isNotNull())], grid.where(F.col(value).isNull()).select(*CELL)
     radius, inner = start, 0
-    while True:
+    while inner < max_radius and open_.limit(1).count():
         ring = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if inner * inner < a * a + b * b <= radius * radius]
         cells = open_.select("scene_id", F.col("r").alias("_r"), F.col("c").alias("_c"), F.explode(_offsets(ring)).alias("o"))
         cells = cells.select("scene_id", "_r", "_c", (F.col("_r") + F.col("o.dr")).alias("r"), (F.col("_c") + F.col("o.dc")).alias("c"), (F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d2"))
         met = cells.join(known.hint("shuffle_hash"), [*CELL]).groupBy("scene_id", F.col("_r").alias("r"), F.col("_c").alias("c"))
         found = met.agg(F.min_by("v", F.struct("d2", "r", "c")).alias(value))
-        done = done.unionByName(found)
-        open_ = open_.join(found.select(*CELL).hint("shuffle_hash"), [*CELL], "left_anti")
+        tried = checkpointed(open_.join(found.hint("shuffle_hash"), [*CELL], "left"), "filled")
+        done.append(tried.where(F.col(value).isNotNull()))
+        open_ = tried.where(F.col(value).isNull()).select(*CELL)
         inner, radius = radius, min(2 * radius, max_radius)
-        if inner >= max_radius:
-            return done.unionByName(open_.withColumn(value, F.lit(None).cast(grid.schema[value].dataType)))
+    out = open_.withColumn(value, F.lit(None).cast(grid.schema[value].dataType))
+    for part in done:
+        out = out.unionByName(part)
+    return out
