@@ -33,8 +33,8 @@ from .common import materialize, partitions, table
 from .minhash import _BYTE, _Powers, mix
 
 WIDTH, GRAM = 50, 16
-CHUNK = 1 << 21
-BLOCK = 1 << 21
+CHUNK = 1 << 20
+BLOCK = 1 << 19
 _U = np.uint64
 _CHUNKS = "chunk bigint, ids binary, sizes binary, rest binary, z binary"
 
@@ -202,8 +202,8 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarr
     padded = np.concatenate((data, np.zeros(width, np.uint8)))
     view = np.lib.stride_tricks.sliding_window_view(padded, width)
     out = np.zeros(len(order), np.int64)
-    for a in range(1, len(order), 1 << 18):
-        b = min(a + (1 << 18), len(order))
+    for a in range(1, len(order), 1 << 16):
+        b = min(a + (1 << 16), len(order))
         same = view[order[a:b]] == view[order[a - 1 : b - 1]]
         out[a:b] = np.where(same.all(1), width, same.argmin(1))
     return out
