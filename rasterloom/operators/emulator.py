@@ -99,7 +99,8 @@ def tree_predict(df: DataFrame, inputs: list[str], model, output: str) -> DataFr
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    scored = model.transform(VectorAssembler(inputCols=inputs, outputCol="_features", handleInvalid="keep").transform(df))
+    assembler = VectorAssembler(inputCols=inputs, outputCol=model.getFeaturesCol(), handleInvalid="keep")
+    scored = model.transform(assembler.transform(df))
     value = vector_to_array(F.col("probability"))[1] if "probability" in scored.columns else F.col("prediction")
     return scored.withColumn(output, value).select(*df.columns, output)
 

@@ -43,7 +43,7 @@ def search_shift(points: DataFrame, image: DataFrame, half: int = 50, stride: in
         return best_shift(correlations(points, image, grid_shifts(spark, half), value), accept)
     rough = best_shift(correlations(points, image, grid_shifts(spark, half, stride), value), -2.0)
     near = F.sequence(F.lit(-stride + 1), F.lit(stride - 1))
-    fine = rough.select("scene_id", (F.col("xs") + F.explode(near)).alias("xs"), "ys").select("scene_id", "xs", (F.col("ys") + F.explode(near)).alias("ys"))
+    fine = rough.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("scene_id", (F.col("xs") + F.col("dx")).alias("xs"), (F.col("ys") + F.col("dy")).alias("ys"))
     # (2 stride - 1)^2 rows a scene: joined on the scene, not broadcast.
     tried = points.join(fine.hint("shuffle_hash"), "scene_id")
     at = tried.select("scene_id", "xs", "ys", "boa", (F.col("hx") + F.col("xs")).alias("r"), (F.col("hy") + F.col("ys")).alias("c"))
