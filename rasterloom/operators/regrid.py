@@ -105,30 +105,33 @@ def at_shift(cells: DataFrame, image: DataFrame, xs: Column | int, ys: Column |
     return shifted.join(image.select(*CELL, value), [*CELL])
 
 
-def nearest_time(obs: DataFrame, forecast: DataFrame) -> DataFrame:
-    """Each observation with the value of each variable at the nearest forecast time, the earlier one on a tie.
+def nearest_time(obs: DataFrame, forecast: DataFrame, variables: tuple[int, ...] = (0, 1, 2), bucket_days: int = 16) -> DataFrame:
+    """Each observation with the value of each variable at the nearest forecast time, the earlier one on a tie."""
+    keyed = obs.withColumn("var", F.explode(F.array(*map(F.lit, variables))))
+    return nearest_time_by(keyed, forecast, "var", bucket_days).select("scene_id", "obs_time", "var", "valid_time", "raw")
 
-    The forecast side holds a few times a day whatever the number of scenes; its arrays go to every task only
-    if that is small, so Spark picks the strategy by its measured size.
+
+def nearest_time_by(obs: DataFrame, forecast: DataFrame, key: str, bucket_days: int = 16) -> DataFrame:
+    """As-of nearest join within each key, for two sides of any size.
+
+    Both sides are dealt by (key, bucket of days), so that a key with few values does not mean few tasks. Windows
+    find the last and next time inside a bucket; a table with one row a bucket supplies those beyond its edges.
     """
-    series = forecast.groupBy("var").agg(F.array_sort(F.collect_list(F.struct(F.col("valid_time").alias("t"), F.col("raw").alias("v")))).alias("s"))
-    variables = F.array(*[F.lit(v) for v in (0, 1, 2)])
-    micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    best = F.array_min(F.transform("s", lambda e: F.struct(F.abs(micros(e["t"]) - micros(F.col("obs_time"))).alias("gap"), e["t"].alias("t"), e["v"].alias("v"))))
-    keyed = obs.withColumn("var", F.explode(variables))
-    return keyed.join(series, "var").withColumn("b", best).select("scene_id", "obs_time", "var", F.col("b.t").alias("valid_time"), F.col("b.v").alias("raw"))
-
-
-def nearest_time_large(obs: DataFrame, forecast: DataFrame, key: str, bucket_days: int = 16) -> DataFrame:
-    """As-of nearest join for two large sides: one union, last and next known time by windows within each key."""
-    rows = obs.select(key, F.col("obs_time").alias("t"), F.struct("*").alias("o"), F.lit(None).cast(forecast.schema["raw"].dataType).alias("raw")).unionByName(
-        forecast.select(key, F.col("valid_time").alias("t"), F.lit(None).cast(obs.select(F.struct("*").alias("o")).schema["o"].dataType).alias("o"), "raw"))
-    w = Window.partitionBy(key).orderBy("t")
-    known = F.when(F.col("o").isNull(), F.struct(F.col("t").alias("valid_time"), "raw"))
-    both = rows.withColumns({
-        "before": F.last(known, True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
-        "after": F.first(known, True).over(w.rangeBetween(0, Window.unboundedFollowing))}).where("o is not null")
     micros = lambda t: F.unix_micros(t.cast("timestamp"))
+    none_f = F.lit(None).cast(forecast.schema["raw"].dataType)
+    none_o = F.lit(None).cast(obs.select(F.struct("*").alias("o")).schema["o"].dataType)
+    rows = obs.select(key, F.col("obs_time").alias("t"), F.struct("*").alias("o"), none_f.alias("raw")).unionByName(
+        forecast.select(key, F.col("valid_time").alias("t"), none_o.alias("o"), "raw"))
+    rows = rows.withColumns({"bucket": F.floor(micros(F.col("t")) / (bucket_days * 86_400_000_000)), "known": F.when(F.col("o").isNull(), F.struct(F.col("t").alias("valid_time"), "raw"))})
+    edges = rows.groupBy(key, "bucket").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
+    along = Window.partitionBy(key).orderBy("bucket")
+    edges = edges.select(
+        key, "bucket", F.last("hi", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("lo", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
+    w = Window.partitionBy(key, "bucket").orderBy("t")
+    inside = rows.withColumns({
+        "before": F.last("known", True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
+        "after": F.first("known", True).over(w.rangeBetween(0, Window.unboundedFollowing))}).where("o is not null")
+    both = inside.join(edges, [key, "bucket"]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
     gap = lambda s: F.abs(micros(F.col(f"{s}.valid_time")) - micros(F.col("t")))
     pick = F.when(F.col("before").isNull() | (F.col("after").isNotNull() & (gap("after") < gap("before"))), F.col("after")).otherwise(F.col("before"))
     return both.withColumn("p", pick).select("o.*", "p.valid_time", "p.raw")

@@ -149,9 +149,9 @@ def nearest_time(o, f):
     return D.nearest_time(o, f)
 
 
-@query("d09_nearest_time_large", "obs", "forecast", sql=f"""WITH {_NEAR.replace('fx_obs o CROSS JOIN fx_forecast f', '(SELECT *, (scene_id % 3)::INT AS var FROM fx_obs) o JOIN fx_forecast f USING (var)').replace('f.var', 'var')} SELECT scene_id, obs_time, var, valid_time, raw FROM n WHERE k = 1""")
-def nearest_time_large(o, f):
-    return D.nearest_time_large(o.withColumn("var", (F.col("scene_id") % 3).cast("int")), f, "var")
+@query("d09_nearest_time_by", "obs", "forecast", sql=f"""WITH {_NEAR.replace('fx_obs o CROSS JOIN fx_forecast f', '(SELECT *, (scene_id % 3)::INT AS var FROM fx_obs) o JOIN fx_forecast f USING (var)').replace('f.var', 'var')} SELECT scene_id, obs_time, var, valid_time, raw FROM n WHERE k = 1""")
+def nearest_time_by(o, f):
+    return D.nearest_time_by(o.withColumn("var", (F.col("scene_id") % 3).cast("int")), f, "var")
 
 
 @query("s09_prior", "obs", "forecast", sql=f"WITH {_NEAR} SELECT scene_id, var, {s6('(raw * 0.001 + 0.1) * [1.0, 0.1, 46.698][var + 1]', 'value')}, [0.4, 0.1, 0.05][var + 1]::DOUBLE AS unc FROM n WHERE k = 1")
