@@ -146,7 +146,7 @@ def smoothness(blocks: DataFrame, value: str, gamma: float = 1.0) -> DataFrame:
     n = blocks.select("scene_id", "bi", "bj", value).withColumns({
         "w": F.lag(value).over(row), "e": F.lead(value).over(row), "n": F.lag(value).over(col), "s": F.lead(value).over(col)})
     sides = ("w", "e", "n", "s")
-    inner = F.lit(True)
+    inner = v.isNotNull()
     for k in sides:
         inner = inner & F.col(k).isNotNull()
     n = n.withColumn("inner", inner)

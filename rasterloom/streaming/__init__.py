@@ -1,0 +1 @@
+"""Nothing here: scenes are bounded tables, and no operator of this library keeps state over an unbounded source."""
