@@ -44,6 +44,8 @@ BAD_NAME = re.compile(
     r"signup|login|search|pagination|pager|tags|legal|copyright|disclaimer|complementary|contentinfo|skip)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Names of what readers wrote, which may well be marked up as articles.
+READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reply|discussion)(?:$|[\s_-]|\d)", re.I)
 GOOD_NAME = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
 SCORED = frozenset(("p", "pre", "td", "blockquote", "div", "li", "dd", "section", "article", "main", "h1", "h2", "h3"))
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
@@ -52,10 +54,10 @@ _SPACE = re.compile(r"[\s\xa0]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "score", "chars", "link_chars", "dropped", "is_body")
+    __slots__ = ("tag", "parent", "children", "names", "score", "chars", "link_chars", "dropped", "by_name", "is_body")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", dropped: bool = False):
-        self.tag, self.parent, self.names, self.dropped = tag, parent, names, dropped
+        self.tag, self.parent, self.names, self.dropped, self.by_name = tag, parent, names, dropped, False
         self.children: list[Node | str] = []
         self.score, self.chars, self.link_chars = 0.0, 0, 0
         self.is_body = tag in ("html", "body", "")
@@ -115,8 +117,13 @@ def parse(page: str) -> Node:
             if open_[k].tag in FENCE and open_[k].tag not in ("td", "th"):
                 break
         names, hidden = _attributes(m[3])
-        bad = tag in DROPPED or hidden or bool(names and tag not in ("html", "body", "article", "main") and BAD_NAME.search(names))
-        node = Node(tag, open_[-1], names, bad)
+        if tag in ("article", "main"):
+            for above in open_:  # a wrapper called, say, with-sidebar is no sidebar
+                above.dropped = above.dropped and not (above.by_name and not READERS.search(above.names))
+        remark = tag == "article" and bool(names) and bool(READERS.search(names)) and not GOOD_NAME.search(names)
+        node = Node(tag, open_[-1], names, tag in DROPPED or hidden or remark)
+        if names and not node.dropped and tag not in ("html", "body", "article", "main") and BAD_NAME.search(names):
+            node.dropped = node.by_name = True
         open_[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)

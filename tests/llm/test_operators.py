@@ -214,6 +214,8 @@ def test_html_extraction(spark):
     rows = [(0, "u", page), (1, None, None), (2, "u", ""), (3, "u", "plain & simple"), (4, "u", "<p>unclosed <b>tag"), (5, "u", deep), (6, "u", "<!-- only -->"), (0, "u", page)]
     got = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert len(got) == 8 and all(r.n_chars == len(r.text) for r in got)
+    assert html_extract.extract(f'<div class="with-sidebar"><article><p>{para}</p></article><div class="sidebar">x</div></div>'
+                                f'<ol class="comments"><li><article class="comment"><p>{para}</p></article></ol>') == para.strip()
     by = {r.page_id: r.text for r in got}
     assert by == {0: text, 1: "", 2: "", 3: "plain & simple", 4: "unclosed tag", 5: para.strip(), 6: ""}
 
