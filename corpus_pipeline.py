@@ -9,7 +9,7 @@ from rasterloom.llm.common import materialize, table
 from rasterloom.llm.line_dedup import dedup_lines, kept_text
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.packing import pack, token_pieces
-from rasterloom.llm.quality_rules import apply_rules
+from rasterloom.llm.quality_rules import kept_documents
 from rasterloom.llm.suffix_dedup import remove_repeats
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,7 +23,7 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return apply_rules(docs.select(*COLUMNS)).where("kept").select(*COLUMNS)
+    return kept_documents(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
