@@ -315,7 +315,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     """
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    parts = partitions(spark)
+    parts = 2 * partitions(spark)  # shards are held whole by a task
     chunks = materialize(chunked(docs), "chunks")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
