@@ -41,6 +41,8 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     held = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_list("pos").alias("at"))
     held = materialize(held, "line-holders")
     common = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
+    # Written, so that the join has a plain exchange on either side and Spark can split a hot line's rows.
+    common = materialize(common, "common-lines")
     lost = held.join(common.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return (
         lost.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("dropped"))
