@@ -208,7 +208,7 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
     def side(c: pa.Array, k: int):
         x = c[k].values
         wide = np.frombuffer(b"".join(x.field("bytes").to_pylist()), np.uint8).reshape(len(x), -1)
-        return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("label").to_numpy(), wide, x.field("low")
+        return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("label").to_numpy().copy(), wide, x.field("low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -226,11 +226,18 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
                     if len(at):
                         mine = np.frombuffer(s[q].as_py(), np.uint32)
                         for z in at.tolist():
+                            if l[q] == r[z]:  # joined by a link of this row meanwhile
+                                continue
                             common = len(np.intersect1d(mine, np.frombuffer(t[z].as_py(), np.uint32), assume_unique=True))
                             # Halves of hashes may coincide, which leaves a set a little too small: allow for that.
-                            common += 2 + int(n[q] * m[z] >> 30)
-                            if 100 * common >= percent * (n[q] + m[z] - common):
+                            slack = 2 + int(n[q] * m[z] >> 30)
+                            if 100 * (common + slack) >= percent * (n[q] + m[z] - common - slack):
                                 out.append((max(d[q], e[z]), min(d[q], e[z])))
+                            # A link beyond that doubt joins two components: further pairs of them add nothing.
+                            if 100 * (common - slack) >= percent * (n[q] + m[z] - common + slack):
+                                old, new = max(l[q], r[z]), min(l[q], r[z])
+                                l[l == old] = new
+                                r[r == old] = new
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
     return own.unionByName(both).mapInArrow(run, "a bigint, b bigint").distinct()
