@@ -20,6 +20,8 @@ CELLS = 24
 LEVELS = 12
 ROUNDS = 24
 HASHES = 3
+#: Stands for a null doc_id, before all others.
+NO_ID = -(2**63)
 
 
 def digests(text: Column) -> Column:
@@ -98,29 +100,27 @@ def fingerprint(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda x: F.concat(x["n"].cast("string"), F.lit("."), F.lower(F.hex(x["k"])), F.lit("."), F.lower(F.hex(x["h"])))), ",")
 
 
-def following(docs: DataFrame) -> DataFrame:
-    """doc_id, h -> the next document in descending order (after the last: the first), as asker of that one.
+def following(ids: DataFrame) -> DataFrame:
+    """(k, h, for_k, for_h, need): each document as the one that follows (for_k, for_h) in descending order of k.
 
-    Only ids, text hashes and sizes move: ranges of ids are written out, each takes its own
-    neighbours, and the first rows of the ranges (one for each) link them up.
+    After the last comes the first. Only ids(k, h, n_chars) move: ranges of k are written out, each takes its
+    own neighbours, and the first rows of the ranges (one for each) link them up. need is a third of n_chars.
     """
-    spark = docs.sparkSession
-    down = [F.col("doc_id").desc_nulls_last(), F.col("h").asc()]
-    ids = docs.select("doc_id", "h", "n_chars").distinct()
-    ranged = ids.repartitionByRange(partitions(spark), *down).withColumn("part", F.spark_partition_id())
+    spark = ids.sparkSession
+    down = [F.col("k").desc(), F.col("h").asc()]
+    ranged = ids.distinct().repartitionByRange(partitions(spark), *down).withColumn("part", F.spark_partition_id())
     ranged = materialize(ranged, "ranges")
-    node = F.struct("doc_id", "h")
+    node = F.struct("k", "h")
     own = Window.partitionBy("part").orderBy(*down)
     # One row for each range.
-    heads = ranged.groupBy("part").agg(F.min(F.struct((-F.col("doc_id")).alias("o"), "h", "doc_id")).alias("f"))
-    heads = heads.select("part", F.struct("f.doc_id", "f.h").alias("head"))
+    heads = ranged.groupBy("part").agg(F.max_by(node, F.struct("k", (-F.col("h").cast("decimal(20,0)")).alias("h"))).alias("head"))
     order = Window.partitionBy(F.lit(0)).orderBy("part")
     ends = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("part", F.coalesce(F.lead("head").over(order), F.first("head").over(ends)).alias("after"))
     linked = ranged.withColumn("next", F.lead(node).over(own)).join(heads.hint("merge"), "part")
-    linked = linked.select("doc_id", "h", "n_chars", F.coalesce("next", "after").alias("next"))
-    return linked.select(F.col("next.doc_id").alias("doc_id"), F.col("next.h").alias("h"), F.col("doc_id").alias("for_id"),
-                         F.col("h").alias("for_h"), F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
+    linked = linked.select("k", "h", "n_chars", F.coalesce("next", "after").alias("next"))
+    return linked.select(F.col("next.k").alias("k"), F.col("next.h").alias("h"), F.col("k").alias("for_k"), F.col("h").alias("for_h"),
+                         F.floor(F.col("n_chars") / 3).cast("int").alias("need"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -130,19 +130,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     both are one document and get the same answer. A null doc_id comes last. A lone document follows itself.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    base = base.withColumns({"h": F.xxhash64("text"), "n_chars": F.length("text").cast("long")})
-    asked = following(base)
-    key = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h"))
+    # One exchange of the texts by (k, h) serves both joins: they read the same columns of it.
+    base = base.select("text", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64("text").alias("h"))
+    asked = following(base.select("k", "h", F.length("text").cast("long").alias("n_chars")))
     supply = (
-        base.alias("l").join(asked.alias("r").hint("merge"), key)
-        .select("for_id", "for_h", F.substring("text", F.lit(1), F.col("need")).alias("head"), digests(F.col("text")).alias("next_d"))
-        .dropDuplicates(["for_id", "for_h"])
+        base.join(asked.hint("merge"), ["k", "h"])
+        .select("for_k", "for_h", F.substring("text", F.lit(1), F.col("need")).alias("head"), digests(F.col("text")).alias("next_d"))
+        .dropDuplicates(["for_k", "for_h"]).withColumnsRenamed({"for_k": "k", "for_h": "h"})
     )
-    met = F.col("b.doc_id").eqNullSafe(F.col("s.for_id")) & (F.col("b.h") == F.col("s.for_h"))
-    both = base.alias("b").join(supply.alias("s").hint("merge"), met)
-    n = F.col("n_chars").cast("int")
+    both = base.join(supply.hint("merge"), ["k", "h"])
+    n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 3).cast("int")), F.col("head"))
-    rows = both.select("b.doc_id", "n_chars", F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(edited).alias("e"), F.col("next_d").alias("x"))
+    rows = both.select(F.nullif("k", F.lit(NO_ID)).alias("doc_id"), n.cast("long").alias("n_chars"), F.sha2(edited, 256).alias("edited_sha256"), digests(F.col("text")).alias("d"), digests(edited).alias("e"), F.col("next_d").alias("x"))
     # Each sketch is a column of its own, so that none is built twice.
     cells = F.lit(CELLS)
     rows = rows.withColumns({"sd": sketch(F.col("d"), cells), "se": sketch(F.col("e"), cells), "sx": sketch(F.col("x"), cells)})
