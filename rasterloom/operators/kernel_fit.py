@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import angles as A
@@ -66,15 +66,25 @@ TERMS = 7
 def step_sums(samples: DataFrame, keys: list[str], days: DataFrame) -> DataFrame:
     """Normal sums of the seven-term model (kernels, cubic in time, step after a day) for each candidate day.
 
-    days(keys without band, dos) holds the candidates. Products are summed as plain columns and packed afterwards.
+    days(keys without band, dos) holds the candidates. Samples are summed once a day; the terms without the step are totals
+    of the record, those with it are sums over the days after the candidate, so that no sample is repeated for a candidate.
     """
-    joined = samples.join(days, [c for c in days.columns if c != "dos"]) if len(days.columns) > 1 else samples.crossJoin(F.broadcast(days))
     t = F.col("doy").cast("double")
-    k = [F.lit(1.0), F.col("k_vol"), F.col("k_geo"), t, t * t, t * t * t, F.when(F.col("doy") > F.col("dos"), 1.0).otherwise(0.0)]
-    pairs = [(i, j) for i in range(TERMS) for j in range(i, TERMS)]
-    return joined.groupBy(*keys, "dos").agg(
-        F.array(*[F.sum(k[i] * k[j]) for i, j in pairs]).alias("m"), F.array(*[F.sum(k[i] * F.col("refl")) for i in range(TERMS)]).alias("v"),
-        F.sum(F.col("refl") * F.col("refl")).alias("rr"), F.count("*").alias("n"))
+    k = [F.lit(1.0), F.col("k_vol"), F.col("k_geo"), t, t * t, t * t * t]
+    last = TERMS - 1
+    parts = {f"m{i}_{j}": k[i] * k[j] for i in range(last) for j in range(i, last)} | {f"v{i}": k[i] * F.col("refl") for i in range(last)} | {"rr": F.col("refl") * F.col("refl")}
+    daily = samples.groupBy(*keys, "doy").agg(*[F.sum(x).alias(c) for c, x in parts.items()], F.count("*").alias("n"))
+    own = samples.select(*keys).distinct()
+    tried = own.join(days, [c for c in days.columns if c != "dos"]) if len(days.columns) > 1 else own.crossJoin(F.broadcast(days))
+    rows = daily.unionByName(tried.withColumn("doy", F.col("dos")), allowMissingColumns=True).withColumn("_back", -F.col("doy"))
+    record = Window.partitionBy(*keys)
+    after = record.orderBy("_back").rangeBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(record), F.lit(0.0))
+    later = lambda c: F.coalesce(F.sum(c).over(after), F.lit(0.0))
+    sums = rows.select(*keys, "dos", *[total(c).alias(c) for c in parts], F.sum("n").over(record).alias("n"),
+                       *[later(f"m0_{i}").alias(f"m{i}_{last}") for i in range(last)], later("v0").alias(f"v{last}")).where("dos is not null")
+    m = [F.col(f"m{i}_{j}") if i < last else F.col(f"m0_{last}") for i in range(TERMS) for j in range(i, TERMS)]
+    return sums.select(*keys, "dos", F.array(*m).alias("m"), F.array(*[F.col(f"v{i}") for i in range(TERMS)]).alias("v"), "rr", "n")
 
 
 def solve_steps(sums: DataFrame) -> DataFrame:

@@ -256,15 +256,15 @@ def fit_report(s):
 
 @query("a11_o03_hot_spot", "samples")
 def hot_spot(s):
-    """Best of 20 widths for every pixel."""
-    return K.hot_spot_search(s, ["pixel"], K.hot_spot_grid(s.sparkSession, 20))
+    """Best of 1000 widths for every pixel."""
+    return K.hot_spot_search(s, ["pixel"], K.hot_spot_grid(s.sparkSession))
 
 
 @query("a13_a15_step_day", "samples")
 def step_day(s):
     """Step-change day of every pixel over the four-band record made of its samples."""
     bands = s.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("band")).withColumn("refl", F.when(F.col("band") == 2, 0.6 - F.col("refl")).otherwise(F.col("refl") / (F.col("band") + 1)))
-    return K.detect_step(K.with_kernels(bands), {0: 645.0, 1: 858.0, 2: 469.0, 3: 555.0}, 150)
+    return K.detect_step(K.with_kernels(bands), {0: 645.0, 1: 858.0, 2: 469.0, 3: 555.0})
 
 
 @query("a12_median", "angles", sql=f"WITH m AS (SELECT scene_id, quantile_cont(saa, 0.5) AS m FROM fx_angles WHERE saa > 100 AND saa < 300 GROUP BY 1) SELECT scene_id, r, c, {s6('CASE WHEN saa > 100 AND saa < 300 THEN saa ELSE m END', 'saa')} FROM fx_angles LEFT JOIN m USING (scene_id)")
@@ -281,6 +281,15 @@ def azimuth_mode(a):
     return out.select("scene_id", "positive", r6(F.col("mode"), "mode"))
 
 
+@query("a16_azimuth_mode_1000", "angles", sql=f"""WITH a AS (SELECT scene_id, saa - 180 AS v, saa - 180 > 0 AS positive FROM fx_angles WHERE saa <> 180), s AS (SELECT scene_id, positive, min(v) AS lo, max(v) AS hi FROM a GROUP BY 1, 2),
+    k AS (SELECT scene_id, positive, lo, hi, coalesce(least(floor((v - lo) * 1000 / nullif(hi - lo, 0)), 999), 0) AS k, count(*) AS n FROM a JOIN s USING (scene_id, positive) GROUP BY 1, 2, 3, 4, 5)
+    SELECT scene_id, positive, {s6('min_by(lo + k * (hi - lo) / 1000, -n * 1000 + k)', 'mode')} FROM k GROUP BY 1, 2""")
+def azimuth_mode_1000(a):
+    """The operator's own 1000 classes."""
+    out = K.azimuth_mode(a.withColumn("vaa", F.col("saa") - 180))
+    return out.select("scene_id", "positive", r6(F.col("mode"), "mode"))
+
+
 @query("a19_sample_diagnostics", "angles", sql="WITH v AS (SELECT * FROM (VALUES ('sza'), ('vza'), ('saa')) t(x)) SELECT a.x, b.x AS y, (round(CASE WHEN a.x = b.x THEN 1 WHEN a.x || b.x IN ('szavza', 'vzasza') THEN (SELECT corr(sza, vza) FROM fx_angles) WHEN a.x || b.x IN ('szasaa', 'saasza') THEN (SELECT corr(sza, saa) FROM fx_angles) ELSE (SELECT corr(vza, saa) FROM fx_angles) END, 4) + 0::DOUBLE) AS r FROM v a, v b")
 def sample_diagnostics(a):
     return P.correlation_table(a, ["sza", "vza", "saa"]).select("x", "y", r6(F.col("r"), "r", 4))
@@ -367,6 +376,13 @@ def shift_search(a, px):
     return out.select("scene_id", "xs", "ys", r6(F.col("r"), "r", 4))
 
 
+@query("r01_o02_shift_search_50", "angles", "px")
+def shift_search_50(a, px):
+    """Every shift in [-50, 50), accepted from 0.6 on."""
+    out = X.search_shift(_cells(a).select("scene_id", "hx", "hy", "boa"), px.where("band = 4"), exhaustive=True)
+    return out.select("scene_id", "xs", "ys", r6(F.col("r"), "r", 4))
+
+
 @query("n08_n09_a07_temporal", "brdf")
 def temporal(b):
     """Robust smoothing of every (cell, band) series around 16 January and its middle day."""
