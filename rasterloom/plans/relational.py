@@ -187,6 +187,15 @@ def nearest_fill(px):
     return N.nearest_fill(N.dense(px.where("band = 5 AND dn > 6000"), SIDE, SIDE, "dn"), "dn", 16)
 
 
+@query("d13_nearest_fill_any", "px", sql="""WITH g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM fx_px) s, range(40) a(r), range(40) b(c)), p AS (SELECT * FROM fx_px WHERE band = 5 AND dn > 9000),
+    n AS (SELECT g.*, p.dn, row_number() OVER (PARTITION BY g.scene_id, g.r, g.c ORDER BY (p.r - g.r) * (p.r - g.r) + (p.c - g.c) * (p.c - g.c), p.r, p.c) AS k FROM g JOIN p ON p.scene_id = g.scene_id)
+    SELECT g.scene_id, g.r, g.c, n.dn FROM g LEFT JOIN n ON n.scene_id = g.scene_id AND n.r = g.r AND n.c = g.c AND k = 1""")
+def nearest_fill_any(px):
+    """Few known cells, at any distance."""
+    few = px.select("scene_id", "r", "c", F.when((F.col("band") == 5) & (F.col("dn") > 9000), F.col("dn")).alias("dn")).groupBy(*N.CELL).agg(F.max("dn").alias("dn"))
+    return N.nearest_fill(N.dense(few, SIDE, SIDE, "dn"), "dn")
+
+
 @query("d14_d15_block_lookup", "px", "angles", sql=f"WITH b AS (SELECT scene_id, r // 8 AS bi, c // 8 AS bj, avg(sza) AS aot FROM fx_angles GROUP BY 1, 2, 3) SELECT p.scene_id, p.band, p.r, p.c, {s6('aot', 'aot')} FROM fx_px p JOIN b ON b.scene_id = p.scene_id AND b.bi = trunc(p.r / 40.0::DOUBLE * 5) AND b.bj = trunc(p.c / 40.0::DOUBLE * 5)")
 def block_lookup(px, a):
     b = a.groupBy("scene_id", F.expr("r div 8").cast("int").alias("bi"), F.expr("c div 8").cast("int").alias("bj")).agg(F.avg("sza").alias("aot"))
