@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 
 BINS, ROWS = 200, 4
-CROSS_BANDS = 24
 BLOCK_CHARS = 1 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20)
@@ -118,28 +117,25 @@ def band_keys(sk: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = 5, bins: int = BINS) -> DataFrame:
-    """doc_id, n, s1, s2 (a 128-bit name of the set), keys array<bigint>, bytes binary (a byte of each bin)."""
+    """doc_id, n, s1, s2 (a 128-bit name of the set), keys array<bigint>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_blocks(texts):
-                n, s1, s2, keys, low = [], [], [], [], []
+                n, s1, s2, keys = [], [], [], []
                 for s in shingle_sets(texts[a:b], width):
                     n.append(len(s))
                     s1.append(s.sum(dtype=np.uint64))
                     s2.append(mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                    sk = sketch(s, bins) if len(s) else None
-                    keys.append(band_keys(sk).view(np.int64) if len(s) else np.zeros(0, np.int64))
-                    low.append((sk & _U(255)).astype(np.uint8).tobytes() if len(s) else b"")
+                    keys.append(band_keys(sketch(s, bins)).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 upto = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)),
                     pa.array(np.array(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(keys))),
-                    pa.array(low, pa.binary()),
-                ], names=["doc_id", "n", "s1", "s2", "keys", "bytes"])
+                ], names=["doc_id", "n", "s1", "s2", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, bytes binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>")
 
 
 def text_blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -185,56 +181,58 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
 
     Buckets are cut into blocks of about `block` members; each pair of blocks is one row, compared
     inside a task, so neither a group nor its pairs ever meet in one place, and only likely links come
-    out. CROSS_BANDS bands suffice here: a link at the threshold shares one of them but for some
-    millionths of the cases. Sketches that agree in too few bins (five standard deviations) are passed
-    over before the sets are compared.
+    out. Every band counts, and every pair of fitting sizes is compared on its whole sets.
     """
     named = labels.select(F.col("v").alias("doc_id"), "label")
-    buckets = buckets.where(F.col("band") < CROSS_BANDS)
     marked = buckets.join(named.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     split = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("m > 2 and l0 < l1")
     rest = materialize(marked.join(split.select("key", "m").hint("merge"), "key"), "residual")
     blocks = F.ceil(F.col("m") / block).cast("int")
     rest = rest.join(low.hint("merge"), "doc_id").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
-    grouped = rest.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("doc_id", "n", "label", "bytes", "low")).alias("x"))
+    grouped = rest.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("doc_id", "n", "label", "low")).alias("x"))
     grouped = materialize(grouped, "residual-blocks")
     many = grouped.where("blocks > 1")
     left = many.select("key", "i", F.col("x").alias("y"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j")).where("i < j")
     both = left.join(many.select("key", F.col("i").alias("j"), "x").hint("merge"), ["key", "j"]).select("y", "x")
     own = grouped.select("x", F.lit(None).cast(grouped.schema["x"].dataType).alias("y"))
-    share = percent / 100
-    least = share - 5 * (share * (1 - share) / BINS) ** 0.5
 
     def side(c: pa.Array, k: int):
         x = c[k].values
-        wide = np.frombuffer(b"".join(x.field("bytes").to_pylist()), np.uint8).reshape(len(x), -1)
-        return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("label").to_numpy().copy(), wide, x.field("low")
+        sets = [np.frombuffer(y, np.uint32) for y in x.field("low").to_pylist()]
+        return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("label").to_numpy().copy(), sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                d, n, l, w, s = side(batch.column(0), k)
+                d, n, l, s = side(batch.column(0), k)
                 within = not batch.column(1)[k].is_valid
-                e, m, r, v, t = (d, n, l, w, s) if within else side(batch.column(1), k)
+                e, m, r, t = (d, n, l, s) if within else side(batch.column(1), k)
+                # Hashes of the other side by number, so that one look-up gives what a set has in common with every one of them.
+                names, theirs = np.unique(np.concatenate([*t, np.zeros(0, np.uint32)]), return_inverse=True)
+                theirs, begin = theirs.astype(np.int32), np.concatenate(([0], np.cumsum([len(y) for y in t])[:-1])).astype(np.int64)
+                mark = np.zeros(len(names), bool)
                 out = []
                 for q in range(len(d)):
                     ok = (l[q] != r) & (100 * np.minimum(n[q], m) >= percent * np.maximum(n[q], m))
                     if within:
                         ok[: q + 1] = False
                     at = np.flatnonzero(ok)
-                    at = at[(v[at] == w[q]).mean(1) >= least] if len(at) else at
                     if len(at):
-                        mine = np.frombuffer(s[q].as_py(), np.uint32)
-                        for z in at.tolist():
+                        own = np.minimum(np.searchsorted(names, s[q]), len(names) - 1)
+                        own = own[names[own] == s[q]]
+                        mark[own] = True
+                        common = np.add.reduceat(mark[theirs], begin, dtype=np.int64)[at]
+                        mark[own] = False
+                        # Halves of hashes may coincide, which leaves a set a little too small: allow for that.
+                        slack, both_n = 2 + (n[q] * m[at] >> 30), n[q] + m[at]
+                        likely = 100 * (common + slack) >= percent * (both_n - common - slack)
+                        certain = 100 * (common - slack) >= percent * (both_n - common + slack)
+                        for z, sure in zip(at[likely].tolist(), certain[likely].tolist(), strict=True):
                             if l[q] == r[z]:  # joined by a link of this row meanwhile
                                 continue
-                            common = len(np.intersect1d(mine, np.frombuffer(t[z].as_py(), np.uint32), assume_unique=True))
-                            # Halves of hashes may coincide, which leaves a set a little too small: allow for that.
-                            slack = 2 + int(n[q] * m[z] >> 30)
-                            if 100 * (common + slack) >= percent * (n[q] + m[z] - common - slack):
-                                out.append((max(d[q], e[z]), min(d[q], e[z])))
+                            out.append((max(d[q], e[z]), min(d[q], e[z])))
                             # A link beyond that doubt joins two components: further pairs of them add nothing.
-                            if 100 * (common - slack) >= percent * (n[q] + m[z] - common + slack):
+                            if sure:
                                 old, new = max(l[q], r[z]), min(l[q], r[z])
                                 l[l == old] = new
                                 r[r == old] = new
@@ -309,8 +307,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     texts = materialize(texts, "proposed")
     first = materialize(confirm(materialize(star_pairs(buckets, percent), "stars"), texts, width, percent), "links")
     labels = components(first)
-    low = residual_sets(texts, width).join(reps.select("doc_id", "bytes").hint("merge"), "doc_id")
-    more = materialize(cross_pairs(buckets, labels, low, percent), "crossing")
+    more = materialize(cross_pairs(buckets, labels, residual_sets(texts, width), percent), "crossing")
     second = confirm(more, texts, width, percent)
     labels = components(first.union(second))
     joined = classes.join(labels.select(F.col("v").alias("rep"), "label").hint("merge"), "rep", "left")
