@@ -48,18 +48,22 @@ BAD_NAME = re.compile(
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reply|discussion)(?:$|[\s_-]|\d)", re.I)
 GOOD_NAME = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
 SCORED = frozenset(("p", "pre", "td", "blockquote", "div", "li", "dd", "section", "article", "main", "h1", "h2", "h3"))
+#: Whole lists and containers of at least three links that are shorter than this on average are menus.
+LISTS = frozenset("ul ol dl div section table".split())
+MENU_CHARS = 30
+_BETWEEN = re.compile(r"[\s|·•»›]+")
 _TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "score", "chars", "link_chars", "dropped", "by_name", "is_body")
+    __slots__ = ("tag", "parent", "children", "names", "score", "chars", "link_chars", "links", "solid", "dropped", "by_name", "is_body")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", dropped: bool = False):
         self.tag, self.parent, self.names, self.dropped, self.by_name = tag, parent, names, dropped, False
         self.children: list[Node | str] = []
-        self.score, self.chars, self.link_chars = 0.0, 0, 0
+        self.score, self.chars, self.link_chars, self.links, self.solid = 0.0, 0, 0, 0, 0
         self.is_body = tag in ("html", "body", "")
 
 
@@ -134,18 +138,18 @@ def parse(page: str) -> Node:
             open_.append(node)
 
 
-def _blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
-    """(owner, text, characters in links) of each run of text between block edges, dropped parts left out."""
+def _blocks(node: Node) -> Iterator[tuple[Node, str, int, int]]:
+    """(owner, text, characters in links, number of links) of each run of text between block edges, dropped parts left out."""
     run: list[str] = []
-    links = [0]
+    links = [0, 0]
 
     def flush(owner: Node):
         text = _SPACE.sub(" ", "".join(run)).strip()
-        n = links[0]
+        n, k = links
         run.clear()
-        links[0] = 0
+        links[:] = 0, 0
         if text:
-            yield owner, text, n
+            yield owner, text, n, k
 
     # Explicit stack: pages nest deeper than Python recurses.
     stack: list[tuple[Node, int, Node, bool]] = [(node, 0, node, node.tag == "a")]
@@ -171,6 +175,7 @@ def _blocks(node: Node) -> Iterator[tuple[Node, str, int]]:
         elif child.tag == "br":
             run.append(" ")
         else:
+            links[1] += child.tag == "a"
             stack.append((child, 0, owner, in_link or child.tag == "a"))
 
 
@@ -181,15 +186,17 @@ def extract(page: str) -> str:
     if not blocks:
         return ""
     touched: dict[int, Node] = {}
-    for owner, text, linked in blocks:
+    for owner, text, linked, links in blocks:
         points = 0.0
         if owner.tag in SCORED and len(text) >= 25:
             points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
         up, depth = owner.parent if owner.tag in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3") and owner.parent else owner, 0
-        base = owner
+        base, solid = owner, len(_BETWEEN.sub("", text))
         while base is not None:
             base.chars += len(text)
             base.link_chars += linked
+            base.links += links
+            base.solid += solid
             base = base.parent
         while up is not None and depth < 3:
             touched[id(up)] = up
@@ -202,7 +209,7 @@ def extract(page: str) -> str:
     best = max(touched.values(), key=final)
     if final(best) <= 0:
         kept = [b for b in blocks if b[2] < 0.5 * len(b[1])]
-        return " ".join(t for _, t, _ in kept)
+        return " ".join(t for _, t, _, _ in kept)
     # A wrapper that holds little else is the same container; an article holds its sections.
     while best.parent is not None and not best.parent.is_body and (
         best.tag in ("p", "section", "blockquote", "div", "td", "tr", "tbody", "li", "ul", "ol", "dl", "table", "pre")
@@ -230,10 +237,20 @@ def extract(page: str) -> str:
         inside.update((id(x), yes) for x in trail)
         return yes
 
-    def linky(owner: Node, text: str, linked: int) -> bool:
-        return owner.tag in ("li", "ul", "ol", "div", "td", "p") and linked > 0.8 * len(text.replace(" ", "")) and len(text) < 200
+    menus: dict[int, bool] = {}
 
-    return " ".join(t for o, t, n in blocks if held(o) and not linky(o, t, n))
+    def in_menu(n: Node | None) -> bool:
+        """Inside a whole list or container of short links and little else; the kept containers are none."""
+        trail = []
+        while n is not None and id(n) not in menus and id(n) not in keep:
+            trail.append(n)
+            n = n.parent
+        yes = n is not None and menus.get(id(n), False)
+        for x in reversed(trail):
+            yes = menus[id(x)] = yes or x.tag in LISTS and x.links >= 3 and x.link_chars > 0.8 * x.solid and x.link_chars < MENU_CHARS * x.links
+        return yes
+
+    return " ".join(t for o, t, _, _ in blocks if held(o) and (o.tag == "p" or not in_menu(o)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
