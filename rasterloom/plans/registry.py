@@ -30,6 +30,7 @@ FIXTURES = {
         CAST(floor(max(value) / 5) AS DOUBLE) AS f_geo, CASE WHEN min(event_id) % 11 = 0 THEN CAST(255 AS BIGINT) ELSE min(event_id) % 4 END AS qa
         FROM {events} GROUP BY 1, 2, 3""",
     "forecast": """SELECT CAST(o_orderkey % 3 AS INT) AS var, o_orderdate AS valid_time, max(o_totalprice) AS raw FROM {orders} WHERE o_orderkey % 20 = 0 GROUP BY 1, 2""",
+    "forecast_all": """SELECT CAST(o_orderkey % 3 AS INT) AS var, o_orderdate AS valid_time, max(o_totalprice) AS raw FROM {orders} GROUP BY 1, 2""",
     "obs": "SELECT l_orderkey AS scene_id, min(l_shipdate) + INTERVAL 7 HOUR AS obs_time FROM {lineitem} GROUP BY 1",
     "samples": """SELECT l_orderkey * 1000 + l_partkey AS sample_id, min(l_partkey % 100) AS pixel, CAST(min(dayofyear(l_shipdate)) AS INT) AS doy,
         CAST(100 * min(l_discount) - 5 AS DOUBLE) AS vza, CAST(20 + 500 * min(l_tax) AS DOUBLE) AS sza, CAST(7 * min(l_quantity) AS DOUBLE) AS raa,

@@ -180,6 +180,30 @@ def tiles(p, g):
     return D.touched_tiles(p.where("point_id < 200"), g).select("granule", "tile", "day")
 
 
+# The same over every row of the tables: no share of the orders, scenes, days or points is left out.
+_NEAR_ALL = _NEAR.replace("fx_forecast", "fx_forecast_all")
+_NEAR_BY_ALL = _NEAR_ALL.replace("fx_obs o CROSS JOIN fx_forecast_all f", "(SELECT *, (scene_id % 3)::INT AS var FROM fx_obs) o JOIN fx_forecast_all f USING (var)").replace("f.var", "var")
+query("d09_nearest_time_whole", "obs", "forecast_all", sql=f"WITH {_NEAR_ALL} SELECT scene_id, obs_time, var, valid_time, raw FROM n WHERE k = 1")(nearest_time)
+query("d09_nearest_time_by_whole", "obs", "forecast_all", sql=f"WITH {_NEAR_BY_ALL} SELECT scene_id, obs_time, var, valid_time, raw FROM n WHERE k = 1")(nearest_time_by)
+query("s09_prior_whole", "obs", "forecast_all", sql=f"WITH {_NEAR_ALL} SELECT scene_id, var, {s6('(raw * 0.001 + 0.1) * [1.0, 0.1, 46.698][var + 1]', 'value')}, [0.4, 0.1, 0.05][var + 1]::DOUBLE AS unc FROM n WHERE k = 1")(prior)
+
+
+@query("d10_obs_window_whole", "obs", "granules", sql="SELECT o.scene_id, g.tile, g.day, g.granule FROM fx_obs o JOIN (SELECT tile, granule, CAST(day - 8766 + (strftime(day, '%j')::INT * 37) % 2500 AS DATE) AS day FROM fx_granules) g ON g.day BETWEEN o.obs_time::DATE - 16 AND o.obs_time::DATE + 16")
+def obs_window_whole(o, g):
+    old = g.select("tile", "granule", F.date_add(F.date_sub("day", 8766), (F.dayofyear("day") * 37) % 2500).alias("day"))
+    return D.day_window(o, old).select("scene_id", "tile", "day", "granule")
+
+
+@query("d11_coverage_whole", "granules", sql="WITH d AS (SELECT DISTINCT day FROM fx_granules), t AS (SELECT DISTINCT tile FROM fx_granules) SELECT tile, day, (SELECT min(granule) FROM fx_granules g WHERE g.tile = t.tile AND g.day = d.day) AS granule FROM t, d")
+def coverage_whole(g):
+    return D.coverage(g.select("tile"), g.select("day"), g)
+
+
+@query("d12_o04_tiles_whole", "points", "granules", sql=f"WITH t AS (SELECT DISTINCT {_TILE} AS tile FROM fx_points) SELECT granule, tile, day FROM fx_granules WHERE tile IN (SELECT tile FROM t)")
+def tiles_whole(p, g):
+    return D.touched_tiles(p, g).select("granule", "tile", "day")
+
+
 @query("d13_nearest_fill", "px", sql="""WITH g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM fx_px) s, range(40) a(r), range(40) b(c)), p AS (SELECT * FROM fx_px WHERE band = 5 AND dn > 6000),
     n AS (SELECT g.*, p.dn, row_number() OVER (PARTITION BY g.scene_id, g.r, g.c ORDER BY (p.r - g.r) * (p.r - g.r) + (p.c - g.c) * (p.c - g.c), p.r, p.c) AS k FROM g JOIN p ON p.scene_id = g.scene_id AND abs(p.r - g.r) <= 16 AND abs(p.c - g.c) <= 16 AND (p.r - g.r) * (p.r - g.r) + (p.c - g.c) * (p.c - g.c) <= 256)
     SELECT g.scene_id, g.r, g.c, n.dn FROM g LEFT JOIN n ON n.scene_id = g.scene_id AND n.r = g.r AND n.c = g.c AND k = 1""")
