@@ -1,19 +1,24 @@
 """Byte-level BPE encoding and decoding, vectorised over blocks of texts.
 
-Boundaries of the pattern are found without a regex. Each code point gets a class
-(letter, number, space, other) and acts as a transition function on the state
-"class of the current run, leading blank taken or not, letters left of a contraction".
-Composing these functions is associative, and a composite of four successive code
-points is constant for this pattern, so the whole scan closes into shifts of the class
-array by up to three places. Slices are hashed from prefix sums; each distinct slice is
-merged once, all of a block together, and kept in a bounded cache. Byte offsets of
-every token stay with the ids.
+Boundaries of the pattern are found without a regex. Each code point has a class, which depends
+on it and its successor, and each class is a transition function on the states of the slice read
+so far. Composition of transition functions is associative: runs of RUN code points are composed
+side by side, the composites of the runs are scanned by doubling, and the states they give at the
+head of each run yield the boundaries within it. Slices are hashed from prefix sums; each distinct
+slice is merged once, all of a block together, and kept in a bounded cache. The ids of a block
+are decoded and compared with its bytes, so a slice never takes the ids of another with its hash.
+Byte offsets of every token stay with the ids.
+
+Null texts are empty and have no ids; repeated rows and repeated keys are encoded each on its own;
+columns other than the key and the text are not read; empty tables give no rows. A text is encoded
+whole, however long, in a block of its own; the time grows with its length times its logarithm.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .hashing import slice_hashes
 
 LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 0
 BLOCK_CHARS = 1 << 20
 CACHE_WORDS = 1 << 20
+RUN = 256
+LONG_SLICE = 1024
 NONE = np.int32(2**31 - 1)
 
 
@@ -46,49 +54,87 @@ def class_table() -> np.ndarray:
     return table
 
 
+# States of the slice read so far: it is closed, a run of one kind, a blank that waits for a run, an
+# apostrophe that began it, or the first of two letters of a contraction.
+CLOSED, LETTERS, NUMBERS, OTHERS, BLANK, SPACES, QUOTE, HALF = range(8)
+# Classes of code points. Letters: plain, one that ends a contraction ('s), one that with its successor does ('re).
+# Spaces: followed by space or the end, a last one that is a blank, any other last one.
+PLAIN, ENDS_ONE, BEGINS_TWO, DIGIT, MARK, APOSTROPHE, INNER, LAST_BLANK, LAST_SPACE = range(9)
+CLASSES, STATES = 9, 8
+
+
+def _transition(kind: int, state: int) -> tuple[int, bool]:
+    """The state after a code point of the class, and whether a slice begins with it."""
+    if state == HALF:
+        return CLOSED, False
+    if state == QUOTE and kind in (ENDS_ONE, BEGINS_TWO):
+        return (CLOSED if kind == ENDS_ONE else HALF), False
+    if kind in (PLAIN, ENDS_ONE, BEGINS_TWO):
+        return LETTERS, state not in (LETTERS, BLANK)
+    if kind == DIGIT:
+        return NUMBERS, state not in (NUMBERS, BLANK)
+    if kind in (MARK, APOSTROPHE):
+        if state in (OTHERS, BLANK, QUOTE):
+            return OTHERS, False
+        return (QUOTE if kind == APOSTROPHE else OTHERS), True
+    if kind == INNER:
+        return SPACES, state != SPACES
+    return (BLANK if kind == LAST_BLANK else CLOSED), True
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """next[class * STATES + state] and begins[...]; classes from CLASSES on are those of a text's first code point, which forget the state."""
+    pairs = [_transition(k % CLASSES, s if k < CLASSES else CLOSED) for k in range(2 * CLASSES) for s in range(STATES)]
+    return np.array([p[0] for p in pairs], np.uint8), np.array([p[1] for p in pairs], bool)
+
+
+NEXT, BEGINS = _tables()
+
+
+def classify(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Classes of code points; those that begin a text have CLASSES added."""
+    n = len(cp)
+    after, beyond = np.zeros(n, np.uint32), np.ones(n, bool)  # the successor within the text; whether it is a space or none
+    after[:-1] = np.where(first[1:], 0, cp[1:])
+    beyond[:-1] = first[1:] | (kind[1:] == SPACE)
+    out = np.array([MARK, PLAIN, DIGIT, INNER], np.uint8)[kind]
+    out[cp == 39] = APOSTROPHE
+    low = (cp >= 100) & (cp <= 118)  # d to v, all the letters of contractions
+    out[low & ((cp == 115) | (cp == 116) | (cp == 109) | (cp == 100))] = ENDS_ONE
+    out[low & (((cp == 114) & (after == 101)) | ((cp == 118) & (after == 101)) | ((cp == 108) & (after == 108)))] = BEGINS_TWO
+    last = (kind == SPACE) & ~beyond
+    out[last] = np.where(cp[last] == 32, LAST_BLANK, LAST_SPACE)
+    return out + np.uint8(CLASSES) * first
+
+
 def boundaries(cp: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Start positions of the slices. first marks the first code point of each text."""
     n = len(cp)
     if not n:
         return np.zeros(0, np.int64)
-    before = np.empty_like(kind)
-    before[0], before[1:] = 255, kind[:-1]
-    before[first] = 255
-    space = kind == SPACE
-    blank = cp == 32
-    after_blank = np.zeros(n, bool)
-    after_blank[1:] = blank[:-1]
-    after_blank &= before != 255
-    ends = np.ones(n, bool)  # the code point is the last of its text, or what follows is no space
-    ends[:-1] = ~space[1:] | first[1:]
-    followed = np.zeros(n, bool)  # a code point of the same text that is no space follows
-    followed[:-1] = ~space[1:] & ~first[1:]
-    start = before != kind
-    start &= space | ~after_blank  # a blank joins what follows it
-    start |= space & followed & ends  # the last of several spaces stands apart from the others
-    # Contractions: an apostrophe that begins a slice, then s, t, m, d, re, ve or ll.
-    quote = np.flatnonzero((cp == 39) & start)
-    if len(quote):
-        def at(k: int) -> np.ndarray:
-            i = quote + k
-            ok = i < n
-            out = np.where(ok, cp[np.minimum(i, n - 1)], 0)
-            for j in range(1, k + 1):
-                out = np.where((quote + j < n) & ~first[np.minimum(quote + j, n - 1)], out, 0)
-            return out
-
-        a, b = at(1), at(2)
-        one = np.isin(a, [ord(c) for c in "stmd"])
-        two = ((a == 114) & (b == 101)) | ((a == 118) & (b == 101)) | ((a == 108) & (b == 108))
-        size = np.where(one, 1, np.where(two, 2, 0))
-        quote, size = quote[size > 0], size[size > 0]
-        start[quote + 1] = False
-        end = quote + 1 + size
-        end = end[end < n]
-        # What follows inside the same run of letters begins a slice of its own.
-        start[end] |= kind[end] != SPACE
-        start[end] |= space[end]
-    return np.flatnonzero(start | first)
+    runs = -(-n // RUN)
+    steps = np.full(runs * RUN, PLAIN, np.int32)
+    steps[:n] = classify(cp, kind, first)
+    steps = np.ascontiguousarray(steps.reshape(runs, RUN).T) * STATES
+    # The transition function of each whole run: where it leads from every state.
+    whole = np.tile(np.arange(STATES, dtype=np.uint8), (runs, 1))
+    for k, step in enumerate(steps):
+        whole = NEXT[step[:, None] + whole]
+        if k % 8 == 7 and whole.shape[1] > 1 and (whole == whole[:, :1]).all():
+            whole = whole[:, :1]  # constant from here on: one state stands for all
+    whole = np.broadcast_to(whole, (runs, STATES)).copy()
+    # Prefixes of the runs' functions, by doubling: each is composed with the one `reach` runs before it.
+    reach = 1
+    while reach < runs:
+        whole[reach:] = np.take_along_axis(whole[reach:], whole[:-reach], 1)
+        reach *= 2
+    state = np.concatenate((np.array([CLOSED], np.uint8), whole[:-1, CLOSED]))
+    begins = np.empty((RUN, runs), bool)
+    for k, step in enumerate(steps):
+        at = step + state
+        begins[k] = BEGINS[at]
+        state = NEXT[at]
+    return np.flatnonzero(begins.T.reshape(-1)[:n])
 
 
 class Encoder:
@@ -111,11 +157,6 @@ class Encoder:
         ]
         self._build(np.array([p for p, _ in pairs], np.uint64), np.array([r for _, r in pairs], np.int32))
         self.kinds = class_table()
-        rng = np.random.default_rng(7)
-        self.byte_hash = rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.base = np.uint64(0x9E3779B97F4A7C15)
-        self.inverse = np.uint64(pow(int(self.base), -1, 2**64))
-        self.powers = self.inverses = np.ones(1, np.uint64)
         self._forget()
 
     def _build(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -159,6 +200,64 @@ class Encoder:
 
     def merge(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the slices data[start:start + size], one after another, and how many each has."""
+        long = np.flatnonzero(size > LONG_SLICE)
+        if not len(long):
+            return self._merge_short(data, start, size)
+        rest = np.flatnonzero(size <= LONG_SLICE)
+        ids, count = self._merge_short(data, start[rest], size[rest])
+        parts: list[np.ndarray] = [np.zeros(0, np.int32)] * len(start)
+        for i, part in zip(rest.tolist(), np.split(ids, np.cumsum(count)[:-1]) if len(rest) else (), strict=True):
+            parts[i] = part
+        for i in long.tolist():
+            parts[i] = self._merge_long(data[start[i] : start[i] + size[i]])
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _merge_long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one long slice: its pairs wait by rank, and all pairs of the least rank merge together."""
+        n = len(data)
+        ids, pair = self.byte_id[data], np.full(n, NONE, np.int32)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        alive = np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        ranks: list[int] = []
+
+        def wait(at: np.ndarray) -> None:
+            """Rank the pairs that begin at these places and put them where they wait."""
+            at = at[after[at] < n]
+            pair[at] = self._rank(ids[at], ids[after[at]])
+            at = at[pair[at] != NONE]
+            at = at[np.argsort(pair[at], kind="stable")]
+            head = np.flatnonzero(np.diff(pair[at], prepend=-1))
+            for r, part in zip(pair[at[head]].tolist(), np.split(at, head[1:]), strict=True) if len(at) else ():
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(ranks, r)
+                waiting[r].append(part)
+
+        wait(np.arange(n - 1))
+        while ranks:
+            r = heapq.heappop(ranks)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (pair[at] == r)]
+            if not len(at):
+                continue
+            # In a run such as a a a only every second pair merges.
+            run = np.append(True, after[at[:-1]] != at[1:])
+            place = np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[place % 2 == 0]
+            gone = after[at]
+            ids[at], alive[gone], pair[gone], pair[at] = r, False, NONE, NONE
+            after[at] = after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            left = before[at]
+            left = left[left >= 0]
+            pair[left] = NONE
+            wait(np.union1d(at, left))
+        return ids[alive]
+
+    def _merge_short(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As merge; every round handles all slices, so that their length bounds the rounds."""
         word = np.repeat(np.arange(len(start)), size)
         at = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
         ids = self.byte_id[data[at]]
@@ -192,16 +291,6 @@ class Encoder:
         order = np.argsort(word, kind="stable")
         return ids[order], np.bincount(word, minlength=len(start))
 
-    def _hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        n = len(data) + 1
-        if len(self.powers) < n:
-            with np.errstate(over="ignore"):
-                self.powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, self.base))), dtype=np.uint64)
-                self.inverses = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, self.inverse))), dtype=np.uint64)
-        total = np.zeros(n, np.uint64)
-        np.cumsum(self.byte_hash[data] * self.powers[: n - 1], out=total[1:])
-        return (total[end] - total[start]) * self.inverses[start]
-
     def _lookup(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each (distinct) slice lie in known_ids, and how many; merges those not cached."""
         if len(self.known) > CACHE_WORDS:
@@ -234,12 +323,15 @@ class Encoder:
         cut = boundaries(cp, self.kinds[cp], first)
         start = byte_at[cut]
         end = np.append(start[1:], len(data)) if len(start) else start
-        hashes, one, back = np.unique(self._hashes(data, start, end), return_index=True, return_inverse=True)
+        hashes, one, back = np.unique(slice_hashes(data, start, end), return_index=True, return_inverse=True)
         at, count = self._lookup(data, start[one], end[one], hashes)
         n = count[back]
         total = np.cumsum(n)
         pick = np.arange(total[-1] if len(n) else 0) + np.repeat(at[back] - (total - n), n)
         ids = self.known_ids[pick]
+        if not np.array_equal(self.decode(ids), data):  # two slices share a hash: this block goes without the cache
+            self._forget()
+            ids = self.merge(data, start, end - start)[0]
         text_byte = byte_at[text_at]
         token_end = np.cumsum(self.length[ids])
         token_start = token_end - self.length[ids]
@@ -335,7 +427,8 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
