@@ -3,12 +3,13 @@
 One hash of each shingle picks its bin and its value; empty bins copy a bin that a
 hash of (bin, attempt) points to. Bands of bins give buckets; each bucket proposes a star
 from one centre to its members, never all pairs. Proposed links are confirmed on the full
-sets. Where a bucket still spans several components, its next members become centres, so
-that no link inside a bucket is lost; documents with equal sets are one node throughout.
+sets of words, not of hashes. Buckets that still span several components are compared in blocks
+inside tasks, so that no link inside a bucket is lost; documents with equal words are one node throughout.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .hashing import slice_hashes
 
 BINS, ROWS = 200, 4
 BLOCK_CHARS = 1 << 20
 _U = np.uint64
 _RNG = np.random.default_rng(20)
-_BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _BETWEEN = _RNG.integers(0, 2**63, 64, dtype=np.uint64) * _U(2) + _U(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -37,32 +38,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-class _Powers:
-    """Powers of the base of the prefix hash and of its inverse, grown as needed."""
-
-    up = down = np.ones(1, np.uint64)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            one = np.ones(1, np.uint64)
-            cls.up = np.cumprod(np.concatenate((one, np.full(n, _BASE, np.uint64))), dtype=np.uint64)
-            cls.down = np.cumprod(np.concatenate((one, np.full(n, pow(_BASE, -1, 2**64), np.uint64))), dtype=np.uint64)
-        return cls.up, cls.down
-
-
 def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words than width is one shingle, one without words none."""
     raw = [t.encode() for t in texts]
     data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)]
-    n = len(data)
     gap = _GAP[data]
     edge = np.flatnonzero(np.diff(gap, prepend=True))
     start, end = edge[::2], edge[1::2]
-    up, down = _Powers.upto(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    word = mix((total[end] - total[start]) * down[start])
+    word = mix(slice_hashes(data, start, end))
     text_end = np.cumsum([len(r) + 1 for r in raw])
     upto = np.concatenate(([0], np.searchsorted(start, text_end)))
     joined = np.zeros(max(len(word) - width + 1, 0), np.uint64)
@@ -81,6 +64,19 @@ def shingle_sets(texts: list[str], width: int) -> list[np.ndarray]:
     return out
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, A-Z lower-cased."""
+    return text.encode().translate(_LOWER.tobytes()).split()
+
+
+def word_set(text: str, width: int) -> set[tuple[bytes, ...]]:
+    """The set that shingle_sets gives hashes of."""
+    w = words_of(text)
+    if len(w) < width:
+        return {tuple(w)} if w else set()
+    return set(zip(*[w[k:] for k in range(width)]))
+
+
 def _first_hits(bins: int) -> np.ndarray:
     """[j, f]: the attempt at which the hash of (j, attempt) first points to bin f."""
     out = np.full((bins, bins), np.iinfo(np.int32).max, np.int32)
@@ -117,25 +113,22 @@ def band_keys(sk: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = 5, bins: int = BINS) -> DataFrame:
-    """doc_id, n, s1, s2 (a 128-bit name of the set), keys array<bigint>."""
+    """doc_id, h (hash of the text), n, name binary (128-bit cryptographic digest of the words in order), keys array<bigint>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_blocks(texts):
-                n, s1, s2, keys = [], [], [], []
-                for s in shingle_sets(texts[a:b], width):
-                    n.append(len(s))
-                    s1.append(s.sum(dtype=np.uint64))
-                    s2.append(mix(s ^ _U(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
-                    keys.append(band_keys(sketch(s, bins)).view(np.int64) if len(s) else np.zeros(0, np.int64))
+                sets = shingle_sets(texts[a:b], width)
+                keys = [band_keys(sketch(s, bins)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
+                names = [hashlib.blake2b(b" ".join(words_of(t)), digest_size=16).digest() for t in texts[a:b]]
                 upto = np.concatenate(([0], np.cumsum([len(k) for k in keys])))
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(np.array(s1, np.uint64).view(np.int64)),
-                    pa.array(np.array(s2, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(keys))),
-                ], names=["doc_id", "n", "s1", "s2", "keys"])
+                    batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(keys))),
+                ], names=["doc_id", "h", "n", "name", "keys"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id bigint, h bigint, n bigint, name binary, keys array<bigint>")
 
 
 def text_blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -158,7 +151,8 @@ def _fits(percent: int):
 def star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
     """(a, b): each member of a bucket with the bucket's smallest document."""
     centres = buckets.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("c"), F.count("*").alias("m")).where("m > 1")
-    centres = centres.select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("n_centre"))
+    # Written, so that Spark can split a hot bucket's side of the join.
+    centres = materialize(centres.select("key", F.col("c.doc_id").alias("centre"), F.col("c.n").alias("n_centre")), "centres")
     found = buckets.join(centres.hint("merge"), "key").where((F.col("doc_id") != F.col("centre")) & _fits(percent))
     return found.select(F.col("doc_id").alias("a"), F.col("centre").alias("b")).distinct()
 
@@ -186,7 +180,8 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
     named = labels.select(F.col("v").alias("doc_id"), "label")
     marked = buckets.join(named.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
     split = marked.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("m > 2 and l0 < l1")
-    rest = materialize(marked.join(split.select("key", "m").hint("merge"), "key"), "residual")
+    split = materialize(split.select("key", "m"), "split-buckets")
+    rest = materialize(marked.join(split.hint("merge"), "key"), "residual")
     blocks = F.ceil(F.col("m") / block).cast("int")
     rest = rest.join(low.hint("merge"), "doc_id").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
     grouped = rest.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("doc_id", "n", "label", "low")).alias("x"))
@@ -242,7 +237,7 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets meet percent: 100 * common >= percent * union.
+    """The pairs whose full shingle sets meet percent: 100 * common >= percent * union, word by word.
 
     docs has a row for each doc_id; a centre of many members is one row that Spark splits its
     members around, and its set is built once for a run of rows.
@@ -258,9 +253,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
             keep = []
             for k in range(len(a)):
                 if b[k] != last:
-                    last, centre = b[k], shingle_sets([batch.column(3)[k].as_py() or ""], width)[0]
-                own = shingle_sets([batch.column(2)[k].as_py() or ""], width)[0]
-                common = len(np.intersect1d(own, centre, assume_unique=True))
+                    last, centre = b[k], word_set(batch.column(3)[k].as_py() or "", width)
+                own = word_set(batch.column(2)[k].as_py() or "", width)
+                common = len(own & centre)
                 keep.append(100 * common >= percent * (len(own) + len(centre) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -288,32 +283,34 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text).
+    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text); doc_id is an integer.
 
-    Null, empty and blank texts have no shingles and are linked with nothing. Rows that repeat a
-    doc_id are that document again. Other columns are not read. An empty table gives no rows.
+    Null, empty and blank texts have no shingles and are linked with nothing. Of rows that repeat a
+    doc_id, equal ones come back alike; where their texts differ, the one of the greatest hash stands
+    for the document in links. A null doc_id starts no component: it belongs to that of an equal
+    text, if any. Ties fall to the smallest doc_id. Texts are taken whole. Other columns are not read. An empty table gives no rows.
     """
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sk = materialize(sketches(docs, width), "sketches")
     known = sk.where("n > 0")
-    classes = materialize(known.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = materialize(known.groupBy("name").agg(F.min("doc_id").alias("rep")), "classes")
     reps = known.join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi")
-    reps = reps.dropDuplicates(["doc_id"])
+    reps = reps.groupBy("doc_id").agg(F.max(F.struct("h", "n", "keys")).alias("r")).select("doc_id", "r.n", "r.keys")
     buckets = reps.select("doc_id", "n", F.posexplode("keys").alias("band", "key"))
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    sizes = materialize(buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "shared-keys")
     buckets = materialize(buckets.join(sizes.hint("merge"), "key").select("key", "band", "doc_id", "n"), "buckets")
     # From here on only the texts of documents that share a bucket move.
-    texts = docs.join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = materialize(texts, "proposed")
+    texts = docs.join(buckets.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    texts = materialize(texts.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text")), "proposed")
     first = materialize(confirm(materialize(star_pairs(buckets, percent), "stars"), texts, width, percent), "links")
     labels = components(first)
     more = materialize(cross_pairs(buckets, labels, residual_sets(texts, width), percent), "crossing")
-    second = confirm(more, texts, width, percent)
+    second = materialize(confirm(more, texts, width, percent), "more-links")
     labels = components(first.union(second))
     joined = classes.join(labels.select(F.col("v").alias("rep"), "label").hint("merge"), "rep", "left")
-    joined = joined.select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"))
-    own = sk.select("doc_id", "n", "s1", "s2").join(joined.hint("merge"), ["n", "s1", "s2"], "left")
-    component = F.coalesce("component_id", "doc_id")
+    joined = materialize(joined.select("name", F.coalesce("label", "rep").alias("component_id")), "class-labels")
+    own = sk.select("doc_id", "n", "name").join(joined.hint("merge"), "name", "left")
+    component = F.coalesce(F.when(F.col("n") > 0, F.col("component_id")), "doc_id")
     return own.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 

@@ -30,12 +30,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialize, partitions, table
-from .minhash import _BYTE, _Powers, mix
+from .minhash import mix
 
 WIDTH, GRAM = 50, 16
 CHUNK = 1 << 20
 BLOCK = 1 << 19
 _U = np.uint64
+_BYTE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
+_BASE = 0x9E3779B97F4A7C15
 _CHUNKS = "chunk bigint, ids binary, sizes binary, rest binary, z binary"
 
 
@@ -77,6 +79,20 @@ def chunked(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", *[c for c in others if c != "doc_id"], "text").mapInArrow(run, _CHUNKS)
 
 
+class _Powers:
+    """Powers of the base of the prefix hash and of its inverse, grown as needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            one = np.ones(1, np.uint64)
+            cls.up = np.cumprod(np.concatenate((one, np.full(n, _BASE, np.uint64))), dtype=np.uint64)
+            cls.down = np.cumprod(np.concatenate((one, np.full(n, pow(_BASE, -1, 2**64), np.uint64))), dtype=np.uint64)
+        return cls.up, cls.down
+
+
 class Anchors:
     """The anchors of a chunk: for each, hash of its k-gram and of its context, first and last window, document."""
 
