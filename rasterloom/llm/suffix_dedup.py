@@ -3,17 +3,21 @@
 Texts move in chunks of about CHUNK bytes. Every window of `width` bytes has one anchor,
 its least-hashed k-gram, so equal windows meet under equal anchors:
 
-1. chunks send their distinct anchors, once each, to shards, which name those that more
-   than one document has;
+1. chunks send their distinct anchors, once each with a short hash of each of their contexts, to
+   shards, which name those that more than one document has, and mark as hot those with more
+   distinct contexts than one task should hold;
 2. chunks send the distinct contexts of such anchors (the windows that share the anchor) with
-   the least document holding each. A shard builds the suffix array of its distinct contexts in
+   the least document holding each; the windows of hot anchors go one by one, each to the shard
+   of its own bytes. A shard builds the suffix array of its distinct contexts in
    two stages: only suffixes smaller than their successors are sorted, scans of the
    first-byte buckets induce the rest. Adjacent common prefixes of at least `width` bytes give
-   the groups of equal windows and so the least document of every window;
+   the groups of equal windows and so the least document of every window. Contexts that are equal
+   byte for byte go in once, and an anchor that has no other needs no sorting;
 3. chunks apply what comes back: windows whose least document is smaller are removed.
 
-A passage, however common, costs a shard one entry for each chunk. Everything but the
-byte comparison uses 64-bit hashes; the removal itself rests on bytes.
+A passage, however common, costs a shard one entry for each chunk, and there are as many shards as
+the text needs at SHARD bytes each. 64-bit hashes only bring together what is then compared by
+bytes: two texts with one hash cost time, never a wrong removal.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +40,13 @@ from .minhash import mix
 WIDTH, GRAM = 50, 16
 CHUNK = 1 << 20
 BLOCK = 1 << 19
+SHARD = 32 << 20
+#: Distinct 16-bit context hashes of an anchor (about 45,000 contexts) from which its windows go one by one.
+HOT_CONTEXTS = 1 << 15
 _U = np.uint64
 _BYTE = np.random.default_rng(20).integers(0, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
-_CHUNKS = "chunk bigint, ids binary, sizes binary, rest binary, z binary"
+_CHUNKS = "chunk bigint, bytes bigint, ids binary, sizes binary, rest binary, z binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -68,10 +76,10 @@ def chunked(docs: DataFrame) -> DataFrame:
                             writer.write_batch(rest)
                         ids = [-(2**63) if x is None else x for x in batch.column(0).slice(begin, i - begin).to_pylist()]
                         yield pa.RecordBatch.from_arrays([
-                            pa.array([number], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]),
+                            pa.array([number], pa.int64()), pa.array([total], pa.int64()), pa.array([np.array(ids, np.int64).tobytes()]),
                             pa.array([np.array([len(x) for x in texts[begin:i]], np.int64).tobytes()]),
                             pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([pa.compress(b"".join(texts[begin:i]), codec="zstd", asbytes=True)]),
-                        ], names=["chunk", "ids", "sizes", "rest", "z"])
+                        ], names=["chunk", "bytes", "ids", "sizes", "rest", "z"])
                         number += 1
                     begin, total = i, 0
                 total += len(t or b"")
@@ -97,7 +105,7 @@ class Anchors:
     """The anchors of a chunk: for each, hash of its k-gram and of its context, first and last window, document."""
 
     def __init__(self, ids: bytes, sizes: bytes, z: bytes, width: int):
-        self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
+        self.width, self.ids, self.sizes = width, np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
         n = int(self.sizes.sum())
         self.data = data = np.frombuffer(pa.decompress(z, decompressed_size=n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
         self.begin = np.cumsum(self.sizes) - self.sizes
@@ -106,10 +114,10 @@ class Anchors:
             self.fp = self.context = np.zeros(0, np.uint64)
             self.first = self.last = self.doc = np.zeros(0, np.int64)
             return
-        up, down = _Powers.upto(n + 1)
-        total = np.zeros(n + 1, np.uint64)
+        up, self.down = _Powers.upto(n + 1)
+        self.total = total = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-        least = mix((total[GRAM:] - total[:-GRAM]) * down[: n - GRAM + 1])
+        least = mix((total[GRAM:] - total[:-GRAM]) * self.down[: n - GRAM + 1])
         span, size = width - GRAM + 1, 1
         while size < span:
             step = min(size, span - size)
@@ -125,39 +133,88 @@ class Anchors:
         self.first, self.last = first[ok], last[ok]
         self.doc = doc[self.first]
         self.fp = least[self.first]
-        self.context = mix((total[self.last + width] - total[self.first]) * down[self.first] + (self.last - self.first).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
-
-    def shards(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes ordered by shard, whether several documents here have each, and where each shard ends."""
-        fp, one, back = np.unique(self.fp, return_index=True, return_inverse=True)
-        least, most = np.full(len(fp), np.iinfo(np.int64).max), np.full(len(fp), np.iinfo(np.int64).min)
-        own = self.ids[self.doc] if len(self.fp) else np.zeros(0, np.int64)
-        np.minimum.at(least, back, own)
-        np.maximum.at(most, back, own)
+        self.context = self._hash(self.first, self.last) + (self.last - self.first).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
+
+    def _hash(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """A hash of the bytes that the windows first to last cover."""
+        return (self.total[last + self.width] - self.total[first]) * self.down[first]
+
+    def shards(self, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct (anchor, short context hash) by shard, whether several documents here have the anchor, and where each shard ends."""
+        short = (mix(self.context) >> _U(48)).astype(np.uint16)
+        order = np.lexsort((short, self.fp))
+        fp, short = self.fp[order], short[order]
+        new = np.ones(len(fp), bool)
+        new[1:] = fp[1:] != fp[:-1]
+        own, group = self.ids[self.doc[order]] if len(fp) else np.zeros(0, np.int64), np.flatnonzero(new)
+        many = np.minimum.reduceat(own, group) < np.maximum.reduceat(own, group) if len(fp) else np.zeros(0, bool)
+        many = np.repeat(many, np.diff(np.append(group, len(fp))))
+        new[1:] |= short[1:] != short[:-1]
+        fp, short, many = fp[new], short[new], many[new]
         shard = (fp % _U(parts)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
-        return fp[order], (least < most)[order], np.searchsorted(shard[order], np.arange(parts + 1))
+        return fp[order], short[order], many[order], np.searchsorted(shard[order], np.arange(parts + 1))
 
-    def repeated(self, parts: int, bits: dict[int, bytes]) -> np.ndarray:
-        """Which anchors the shards named."""
-        fp, _, end = self.shards(parts)
-        flag = np.zeros(len(fp), bool)
+    def named(self, parts: int, bits: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Which anchors the shards named, and which of them are hot."""
+        fp, _, _, end = self.shards(parts)
+        flags = np.zeros((2, len(fp)), bool)
         for s, b in bits.items():
-            flag[end[s] : end[s + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=end[s + 1] - end[s]).astype(bool)
-        named = np.sort(fp[flag])
-        at = np.minimum(np.searchsorted(named, self.fp), max(len(named) - 1, 0))
-        return named[at] == self.fp if len(named) else np.zeros(len(self.fp), bool)
-
-    def contexts(self, parts: int, bits: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Named anchors; for each its distinct context's number; one anchor of each distinct context, by shard; ends of shards."""
-        at = np.flatnonzero(self.repeated(parts, bits))
-        # Equal contexts have equal anchors, so the context's hash alone tells them apart.
-        _, one, back = np.unique(self.context[at], return_index=True, return_inverse=True)
-        shard = (self.fp[at][one] % _U(parts)).astype(np.int64)
+            n = end[s + 1] - end[s]
+            flags[:, end[s] : end[s + 1]] = np.unpackbits(np.frombuffer(b, np.uint8), count=2 * n).astype(bool).reshape(2, n)
+        out = []
+        for flag in flags:
+            known = np.sort(fp[flag])
+            at = np.minimum(np.searchsorted(known, self.fp), max(len(known) - 1, 0))
+            out.append(known[at] == self.fp if len(known) else np.zeros(len(self.fp), bool))
+        return out[0], out[1]
+
+    def contexts(self, parts: int, bits: dict[int, bytes]) -> Contexts:
+        named, hot = self.named(parts, bits)
+        at, wide = np.flatnonzero(named & ~hot), np.flatnonzero(hot)
+        first, last, doc, fp, context = self.first[at], self.last[at], self.doc[at], self.fp[at], self.context[at]
+        if len(wide):
+            n = self.last[wide] - self.first[wide] + 1
+            each = _ragged(self.first[wide], n)
+            own = mix(self._hash(each, each) + _U(1))
+            first, last, doc = np.append(first, each), np.append(last, each), np.append(doc, np.repeat(self.doc[wide], n))
+            fp, context = np.append(fp, own), np.append(context, own)
+        size = last - first + self.width
+        _, one, back = np.unique(context, return_index=True, return_inverse=True)
+        twin = np.flatnonzero(one[back] != np.arange(len(first)))
+        odd = twin[~equal_slices(self.data, first, size, twin, one[back[twin]])]
+        back[odd] = len(one) + np.arange(len(odd))  # the hash of another context, but other bytes
+        one = np.append(one, odd)
+        shard = (fp[one] % _U(parts)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        return at, rank[back], at[one][order], np.searchsorted(shard[order], np.arange(parts + 1))
+        return Contexts(first, last, doc, fp, context, rank[back], one[order], np.searchsorted(shard[order], np.arange(parts + 1)))
+
+
+class Contexts(NamedTuple):
+    """Contexts of a chunk; number: each one's distinct context; one: an instance of each distinct context, by shard; end: of the shards."""
+
+    first: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+    fp: np.ndarray
+    context: np.ndarray
+    number: np.ndarray
+    one: np.ndarray
+    end: np.ndarray
+
+
+def equal_slices(data: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether data[start:start + size] is the same at a and at b; sizes are positive."""
+    same = size[a] == size[b]
+    at = np.flatnonzero(same)
+    for k in range(0, len(at), 1 << 16):
+        part = at[k : k + (1 << 16)]
+        n = size[a[part]]
+        differ = data[_ragged(start[a[part]], n)] != data[_ragged(start[b[part]], n)]
+        same[part] = np.add.reduceat(differ, np.cumsum(n) - n, dtype=np.int64) == 0
+    return same
 
 
 def _ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -244,30 +301,36 @@ def least_holders(texts: np.ndarray, size: np.ndarray, holder: np.ndarray, width
     return at[start]
 
 
-def _shard_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, chunk, hashes, flags) of whole shards -> (chunk, shard, bits)."""
-    chunk, shard, fps, flags = [], [], [], []
-    for batch in batches:
-        chunk += batch.column(1).to_pylist()
-        shard += batch.column(0).to_pylist()
-        for blob in batch.column(2).to_pylist():
-            fp, many = _unpack(blob)
-            fps.append(fp)
-            flags.append(many)
-    if not chunk:
-        return
-    fp = np.concatenate(fps)
-    order = np.argsort(fp)
-    twin = fp[order][1:] == fp[order][:-1]
-    hit = np.concatenate(flags)
-    # a hash that two chunks have, or one chunk in several documents, is named in all of them
-    group = np.concatenate(([0], np.cumsum(~twin)))
-    count = np.bincount(group) + np.bincount(group, weights=hit[order])
-    named = np.empty(len(fp), bool)
-    named[order] = (count > 1)[group]
-    ends = np.cumsum([len(x) for x in fps])
-    bits = [np.packbits(named[e - len(x) : e]).tobytes() for e, x in zip(ends, fps, strict=True)]
-    yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(shard, pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "shard", "blob"])
+def _marker(hot_contexts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(shard, chunk, anchors) of whole shards -> (chunk, shard, bits: named ones, then hot ones)."""
+        chunk, shard, fps, shorts, leads, flags = [], [], [], [], [], []
+        for batch in batches:
+            chunk += batch.column(1).to_pylist()
+            shard += batch.column(0).to_pylist()
+            for blob in batch.column(2).to_pylist():
+                fp, short, many = _unpack(blob)
+                fps.append(fp)
+                shorts.append(short)
+                leads.append(np.append(True, fp[1:] != fp[:-1]))  # an anchor counts once for each chunk
+                flags.append(many)
+        if not chunk:
+            return
+        fp, short, lead, many = (np.concatenate(x) for x in (fps, shorts, leads, flags))
+        order = np.lexsort((short, fp))
+        turn = np.append(True, fp[order][1:] != fp[order][:-1])
+        fresh = turn | np.append(True, short[order][1:] != short[order][:-1])
+        group = np.cumsum(turn) - 1
+        # an anchor that two chunks have, or one chunk in several documents, is named in all of them
+        holders = np.bincount(group, weights=lead[order]) + np.bincount(group, weights=(lead & many)[order])
+        named, hot = np.empty(len(fp), bool), np.empty(len(fp), bool)
+        named[order] = (holders > 1)[group]
+        hot[order] = ((holders > 1) & (np.bincount(group, weights=fresh) >= hot_contexts))[group]
+        ends = np.cumsum([len(x) for x in fps])
+        bits = [np.packbits(np.concatenate((named[e - len(x) : e], hot[e - len(x) : e]))).tobytes() for e, x in zip(ends, fps, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(chunk, pa.int64()), pa.array(shard, pa.int32()), pa.array(bits, pa.binary())], names=["chunk", "shard", "blob"])
+
+    return run
 
 
 def _sorter(width: int):
@@ -294,6 +357,16 @@ def _sorter(width: int):
         which[order] = np.cumsum(new) - 1
         one = order[new]
         least = np.minimum.reduceat(holder[order], np.flatnonzero(new))
+        twin = np.flatnonzero(one[which] != np.arange(len(which)))
+        odd = twin[~equal_slices(text, at, size, twin, one[which[twin]])]
+        if len(odd):  # the hashes of another context, but other bytes: each is a context of its own
+            least = np.minimum.reduceat(np.where(np.isin(order, odd), np.iinfo(np.int64).max, holder[order]), np.flatnonzero(new))
+            which[odd] = len(one) + np.arange(len(odd))
+            one, least = np.append(one, odd), np.append(least, holder[odd])
+            by = np.argsort(fp[one], kind="stable")
+            back = np.empty(len(by), np.int64)
+            back[by] = np.arange(len(by))
+            one, least, which = one[by], least[by], back[which]
         windows = size[one] - width + 1
         begin = np.concatenate(([0], np.cumsum(windows)))
         result = np.repeat(least, windows)
@@ -322,29 +395,32 @@ def _sorter(width: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """docs with n_bytes, n_removed, n_spans, kept_sha256; with_text: and text without the removed bytes.
 
     Null texts count as empty; a null doc_id comes before all others; rows with the same doc_id never
     remove from each other. Columns that are named like a new one are replaced. A cut inside a character
     drops what is left of it from text, while kept_sha256 covers the exact bytes. Every row comes back.
+    Of several documents with a passage the one of the smallest doc_id keeps it. A text is handled whole, in a
+    chunk of its own if it is long. Empty tables give no rows.
     """
     spark = docs.sparkSession
     docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept_sha256")
-    parts = 2 * partitions(spark)  # shards are held whole by a task
     chunks = materialize(chunked(docs), "chunks")
+    size = chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    parts = max(2 * partitions(spark), -(-size // SHARD))  # a task holds a shard whole
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, ids, sizes, z in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fp, many, end = Anchors(ids, sizes, z, width).shards(parts)
+                fp, short, many, end = Anchors(ids, sizes, z, width).shards(parts)
                 full = [s for s in range(parts) if end[s + 1] > end[s]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()),
-                     pa.array([_pack(fp[end[s] : end[s + 1]], many[end[s] : end[s + 1]]) for s in full], pa.binary())], names=["shard", "chunk", "blob"])
+                     pa.array([_pack(fp[end[s] : end[s + 1]], short[end[s] : end[s + 1]], many[end[s] : end[s + 1]]) for s in full], pa.binary())], names=["shard", "chunk", "blob"])
 
     sent = chunks.select("chunk", "ids", "sizes", "z").mapInArrow(anchors, "shard int, chunk bigint, blob binary")
-    bits = materialize(sent.repartition(parts, "shard").mapInArrow(_shard_bits, "chunk bigint, shard int, blob binary"), "anchor-bits")
+    bits = materialize(sent.repartition(parts, "shard").mapInArrow(_marker(hot_contexts), "chunk bigint, shard int, blob binary"), "anchor-bits")
 
     def by_chunk(replies: DataFrame, name: str) -> DataFrame:
         return replies.groupBy("chunk").agg(F.collect_list(F.struct("shard", "blob")).alias(name))
@@ -355,16 +431,16 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                chunk, ids, sizes, z, flags = (c[k].as_py() for c in batch.columns)
+                chunk, ids, sizes, z, flags = (x[k].as_py() for x in batch.columns)
                 a = Anchors(ids, sizes, z, width)
-                at, number, one, end = a.contexts(parts, as_dict(flags))
-                least = np.full(len(one), np.iinfo(np.int64).max)
-                np.minimum.at(least, number, a.ids[a.doc[at]])
+                c = a.contexts(parts, as_dict(flags))
+                least = np.full(len(c.one), np.iinfo(np.int64).max)
+                np.minimum.at(least, c.number, a.ids[c.doc])
                 for s in range(parts):
-                    x = one[end[s] : end[s + 1]]
+                    x = c.one[c.end[s] : c.end[s + 1]]
                     if len(x):
-                        size = a.last[x] - a.first[x] + width
-                        blob = _pack(a.fp[x], a.context[x], least[end[s] : end[s + 1]], size.astype(np.int32), a.data[_ragged(a.first[x], size)])
+                        size = c.last[x] - c.first[x] + width
+                        blob = _pack(c.fp[x], c.context[x], least[c.end[s] : c.end[s + 1]], size.astype(np.int32), a.data[_ragged(c.first[x], size)])
                         yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([chunk], pa.int64()), pa.array([blob], pa.binary())], names=["shard", "chunk", "blob"])
 
     named = chunks.select("chunk", "ids", "sizes", "z").join(by_chunk(bits, "flags").hint("merge"), "chunk")
@@ -378,18 +454,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, with_text: bool = True)
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                _, ids, sizes, rest, z, flags, found = (c[k].as_py() for c in batch.columns)
+                _, ids, sizes, rest, z, flags, found = (x[k].as_py() for x in batch.columns)
                 a = Anchors(ids, sizes, z, width)
-                at, number, one, end = a.contexts(parts, as_dict(flags))
-                windows = a.last[one] - a.first[one] + 1
+                c = a.contexts(parts, as_dict(flags))
+                windows = c.last[c.one] - c.first[c.one] + 1
                 begin = np.concatenate(([0], np.cumsum(windows)))
                 least = np.zeros(begin[-1], np.int64)
                 for s, blob in as_dict(found).items():
                     runs, value = _unpack(blob)
-                    least[begin[end[s]] : begin[end[s + 1]]] = np.repeat(value, runs.astype(np.int64))
-                n = windows[number]
-                gone = least[_ragged(begin[number], n)] < np.repeat(a.ids[a.doc[at]], n)
-                start = _ragged(a.first[at], n)[gone]
+                    least[begin[c.end[s]] : begin[c.end[s + 1]]] = np.repeat(value, runs.astype(np.int64))
+                n = windows[c.number]
+                gone = least[_ragged(begin[c.number], n)] < np.repeat(a.ids[c.doc], n)
+                start = _ragged(c.first, n)[gone]
                 delta = np.bincount(start, minlength=len(a.data) + 1) - np.bincount(start + width, minlength=len(a.data) + 1)
                 lost = np.cumsum(delta)[: len(a.data)] > 0
                 out = {"n_bytes": a.sizes.tolist(), "n_removed": [], "n_spans": [], "kept_sha256": [], "text": []}
