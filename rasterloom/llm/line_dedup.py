@@ -21,36 +21,43 @@ def lines_of(text: Column) -> Column:
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """doc_id, dropped array<int>, keep_bitmap array<int>: only documents that lose a line.
+    """doc_id, t, dropped array<int>, keep_bitmap array<int>: only documents that lose a line.
 
     keep_bitmap holds run lengths, kept lines first, then dropped, and so on; what follows
     the last run is kept. A line's key is the stripped, A-Z lower-cased line. Keys of at least
     min_chars found in at least min_docs doc_ids lose all lines outside the largest doc_id.
-    Null doc_ids count as one document that is smaller than all others. Empty tables give no rows.
+    t is the hash of the text: rows that share a doc_id count as one document, equal rows have one
+    bitmap, and rows of another text their own. Null doc_ids count as one document that is smaller
+    than all others. Null and empty texts are one empty line. Empty tables give no rows.
     """
     spark = docs.sparkSession
     key = ascii_lower(strip(F.col("line")))
     lines = (
-        docs.select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
+        docs.select("doc_id", text_hash(F.col("text")).alias("t"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
         .where(F.octet_length("line") >= min_chars).withColumn("key", key).where(F.length("key") >= min_chars)
-        .select("doc_id", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
+        .select("doc_id", "t", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"))
     )
     # Written once: drawing the range bounds would otherwise split all texts a second time.
     lines = materialize(lines, "line-hashes")
-    ranged = lines.repartitionByRange(partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    held = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_list("pos").alias("at"))
+    ranged = lines.repartitionByRange(partitions(spark), "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "t", "pos")
+    held = ranged.groupBy("h1", "h2", "doc_id").agg(F.collect_set(F.struct("t", "pos")).alias("at"))
     held = materialize(held, "line-holders")
     common = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs)
     # Written, so that the join has a plain exchange on either side and Spark can split a hot line's rows.
     common = materialize(common, "common-lines")
     lost = held.join(common.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     return (
-        lost.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("dropped"))
-        .select("doc_id", "dropped", _runs(F.col("dropped")).alias("keep_bitmap"))
+        lost.select("doc_id", F.explode("at").alias("x")).groupBy("doc_id", F.col("x.t").alias("t")).agg(F.array_sort(F.collect_set("x.pos")).alias("dropped"))
+        .select("doc_id", "t", "dropped", runs_of(F.col("dropped")).alias("keep_bitmap"))
     )
 
 
-def _runs(dropped: Column) -> Column:
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def runs_of(dropped: Column) -> Column:
+    """The keep bitmap, as run lengths, of the sorted distinct positions of dropped lines."""
     first = F.filter(dropped, lambda p, i: (i == 0) | (F.get(dropped, i - 1) != p - 1))
     last = F.filter(dropped, lambda p, i: (i == F.size(dropped) - 1) | (F.get(dropped, i + 1) != p + 1))
     return let(first, lambda a: let(last, lambda b: F.flatten(F.transform(a, lambda s, i: F.array(
@@ -70,12 +77,15 @@ def kept_text(text: Column, bitmap: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """All columns of docs, plus keep_bitmap and n_dropped; text itself is left as it is."""
+    """All rows and columns of docs, plus keep_bitmap and n_dropped; text itself is left as it is.
+
+    Columns that are named like a new one are replaced, as are _doc, _t and _n.
+    """
     found = keep_bitmaps(docs.select("doc_id", "text"), min_chars, min_docs)
-    found = found.select(F.col("doc_id").alias("_doc"), "keep_bitmap", F.size("dropped").cast("long").alias("_n"))
-    clash = [c for c in ("keep_bitmap", "n_dropped") if c in docs.columns]
-    out = docs.drop(*clash).join(found.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    return out.withColumn("n_dropped", F.coalesce("_n", F.lit(0)).cast("long")).drop("_doc", "_n")
+    found = found.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), "keep_bitmap", F.size("dropped").cast("long").alias("_n"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (text_hash(F.col("text")) == F.col("_t"))
+    out = docs.drop("keep_bitmap", "n_dropped", "_doc", "_t", "_n").join(found.hint("merge"), same, "left")
+    return out.withColumn("n_dropped", F.coalesce("_n", F.lit(0)).cast("long")).drop("_doc", "_t", "_n")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
