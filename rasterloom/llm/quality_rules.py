@@ -1,8 +1,10 @@
 """Quality rules: line frequency across the documents of a host, plus two rules within a text.
 
-Short normalised lines are hashed and counted once for each distinct text of their host
-(documents.source). Lines above the limit are boilerplate; a document that keeps too
-small a share of its words without them is depleted and rejected.
+Normalised lines of every length are hashed and counted once for each document of their host
+(documents.source). A line in more than MAX_DOCS documents of a host is boilerplate there and
+goes from all of them but the first, which keeps it, so that no text is lost altogether. A
+document is depleted, and rejected, when fewer than MIN_WORDS words or less than KEEP_PERCENT
+of its words are left. The limit is a count, the same for hosts of every size.
 """
 
 from __future__ import annotations
@@ -11,12 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, let, materialize, strip, table, words
+from .line_dedup import kept_text, runs_of
 
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
-MAX_DOCS = 200
-MAX_SHARE = 0.002
-MAX_LINE_CHARS = 200
+MAX_DOCS = 10
 KEEP_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
 
@@ -56,51 +57,69 @@ def base_measures(docs: DataFrame) -> DataFrame:
     return measured.withColumn("base_failed", failed)
 
 
-def common_lines(docs: DataFrame, max_docs: int = MAX_DOCS, max_share: float = MAX_SHARE, max_chars: int = MAX_LINE_CHARS) -> DataFrame:
-    """doc_id, lost_words: words of lines that are held by too many distinct texts of the same source.
+def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
+    """doc_id, t, lost_words, dropped array<int>: what documents lose by lines over the limit.
 
-    The limit is max_docs, or max_share of the host's distinct texts where that is more. Lines of
-    more than max_chars are content, not boilerplate. Exact copies of a text count once.
+    t is the hash of the text, so that rows which share a doc_id but not the text stay apart; for the
+    count they are one document. Null doc_ids count as one document, after all others. Of the documents
+    with a line the one of the smallest doc_id keeps it.
     """
-    line = strip(F.col("line"))
+    text = F.coalesce("text", F.lit(""))
     lines = (
-        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"),
-                    F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line"))
-        .withColumn("line", line).where((F.length("line") > 0) & (F.length("line") <= max_chars))
-        .select("doc_id", "host", "copy", F.xxhash64(ascii_lower(F.col("line"))).alias("h"), F.size(words(F.col("line"))).alias("w"))
-        .groupBy("host", "h", "copy", "doc_id").agg(F.sum("w").alias("w"))
+        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+        .withColumn("line", strip(F.col("line"))).where(F.length("line") > 0).withColumn("key", ascii_lower(F.col("line")))
+        .select("doc_id", "host", "t", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.size(words(F.col("line"))).alias("w"))
     )
     lines = materialize(lines, "host-lines")
-    # One row for each distinct text of a line; the two levels keep a hot line from meeting in one task.
-    held = lines.groupBy("host", "h", "copy").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count("*").alias("n"))
-    sizes = docs.groupBy(F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy")).agg(F.lit(1).alias("one"))
-    sizes = sizes.groupBy("host").agg(F.count("*").alias("texts"))
-    over = held.where(F.col("n") > max_docs).join(sizes.hint("merge"), "host").where(F.col("n") > F.col("texts") * max_share).select("host", "h")
-    return lines.join(over.hint("merge"), ["host", "h"]).groupBy("doc_id").agg(F.sum("w").cast("long").alias("lost_words"))
+    # One row for each document of a line; the two levels keep a hot line from meeting in one task.
+    held = lines.groupBy("host", "h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+    over = held.groupBy("host", "h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where(F.col("n") > max_docs)
+    # Written, so that Spark can split a hot line's side of the join.
+    over = materialize(over.select("host", "h1", "h2", "keeper"), "frequent-lines")
+    lost = lines.join(over.hint("merge"), ["host", "h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    places = lost.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("pos", "w"))).alias("x"))
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["w"])
+    return places.select("doc_id", "t", total.alias("lost_words"), F.transform("x", lambda x: x["pos"]).alias("dropped"))
+
+
+def _with_losses(docs: DataFrame, max_docs: int) -> DataFrame:
+    """docs plus _lost and _dropped, null for documents without a line over the limit."""
+    lost = frequent_lines(docs.select("doc_id", "source", "text"), max_docs)
+    lost = lost.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("lost_words").alias("_lost"), F.col("dropped").alias("_dropped"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
+    return docs.join(lost.hint("merge"), same, "left").drop("_doc", "_t")
+
+
+def depleted(n_words: Column, lost: Column, keep_percent: int) -> Column:
+    return (n_words - lost < MIN_WORDS) | (100 * (n_words - lost) < keep_percent * n_words)
 
 
-def apply_rules(docs: DataFrame, keep_percent: int = KEEP_PERCENT, **limits) -> DataFrame:
+def apply_rules(docs: DataFrame, keep_percent: int = KEEP_PERCENT, max_docs: int = MAX_DOCS) -> DataFrame:
     """docs with the base measures, lost_words, base_failed and kept.
 
     Texts that are null, empty or of fewer than 50 words fail the base rules. Extra columns
-    pass through; those named like a measure are replaced. Repeated rows are judged alike.
+    pass through; those named like a measure are replaced, as are _doc, _t, _m, _lost and _dropped.
+    Repeated rows are judged alike and count once. A null source is a host of its own name, the empty one.
+    Texts and lines of any length count whole. An empty table gives no rows.
+    """
+    docs = docs.drop("lost_words", "kept", "_doc", "_t", "_m", "_lost", "_dropped")
+    found = base_measures(_with_losses(docs, max_docs))
+    found = found.withColumn("lost_words", F.coalesce("_lost", F.lit(0)).cast("long")).drop("_lost", "_dropped")
+    return found.withColumn("kept", ~(F.col("base_failed") | depleted(F.col("n_words"), F.col("lost_words"), keep_percent)))
+
+
+def kept_documents(docs: DataFrame, keep_percent: int = KEEP_PERCENT, max_docs: int = MAX_DOCS) -> DataFrame:
+    """The rows of docs that apply_rules keeps, with the columns of docs and without the lines over the limit in text.
+
+    Only the verdict is evaluated, once.
     """
-    lost = common_lines(docs.select("doc_id", "source", "text"), **limits).withColumnRenamed("doc_id", "_doc")
-    docs = docs.drop("lost_words", "_doc", "_m")
-    found = base_measures(docs).join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-    found = found.withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
-    depleted = 100 * (F.col("n_words") - F.col("lost_words")) < keep_percent * F.col("n_words")
-    return found.withColumn("kept", ~(F.col("base_failed") | depleted))
-
-
-def kept_documents(docs: DataFrame, keep_percent: int = KEEP_PERCENT, **limits) -> DataFrame:
-    """The rows of docs that apply_rules keeps, with the columns of docs: the verdict alone, evaluated once."""
-    lost = common_lines(docs.select("doc_id", "source", "text"), **limits).select(F.col("doc_id").alias("_doc"), F.col("lost_words").alias("_lost"))
-    joined = docs.join(lost.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    gone = F.coalesce("_lost", F.lit(0))
+    columns = docs.columns
+    joined = _with_losses(docs.drop("_doc", "_t", "_lost", "_dropped"), max_docs)
+    lost = F.coalesce("_lost", F.lit(0))
     kept = let(words(F.col("text")), lambda w: let(F.size(w).cast("long"), lambda n: ~(
-        (n < MIN_WORDS) | (100 * (n - gone) < keep_percent * n) | (100 * _repeat_words(w) > REPEAT_PERCENT * n))))
-    return joined.where(kept).select(*docs.columns)
+        depleted(n, lost, keep_percent) | (100 * _repeat_words(w) > REPEAT_PERCENT * n))))
+    bitmap = F.when(F.col("_dropped").isNotNull(), runs_of(F.col("_dropped")))
+    return joined.where(kept).withColumn("text", F.when(bitmap.isNull(), F.col("text")).otherwise(kept_text(F.col("text"), bitmap))).select(*columns)
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -121,14 +140,13 @@ q_rep AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM (SELECT doc_id
 q_base AS (SELECT doc_id, host, text, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
   (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
   coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, l FROM q_words LEFT JOIN q_rep USING (doc_id)),
-q_lines AS (SELECT doc_id, host, text, translate(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
-  FROM (SELECT doc_id, host, text, unnest(l) AS s FROM q_base)),
-q_over AS (SELECT host, line FROM q_lines WHERE length(line) <= 200 GROUP BY host, line
-  HAVING count(DISTINCT text) > 200 AND count(DISTINCT text) > 0.002::DOUBLE * (SELECT count(DISTINCT b.text) FROM q_text b WHERE b.host = q_lines.host)),
-q_lost AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))::BIGINT AS lost FROM q_lines JOIN q_over USING (host, line) GROUP BY 1),
+q_lines AS (SELECT doc_id, host, translate(trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line
+  FROM (SELECT doc_id, host, unnest(l) AS s FROM q_base)),
+q_over AS (SELECT host, line, min(doc_id) AS keeper FROM q_lines GROUP BY host, line HAVING count(DISTINCT doc_id) > 10),
+q_lost AS (SELECT doc_id, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')))::BIGINT AS lost FROM q_lines JOIN q_over USING (host, line) WHERE doc_id <> keeper GROUP BY 1),
 q_ruled AS (SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * (n_words - coalesce(lost, 0)) < 30 * n_words) AS kept
+  NOT (100 * n_repeat_words > 50 * n_words OR n_words - coalesce(lost, 0) < 50 OR 100 * (n_words - coalesce(lost, 0)) < 30 * n_words) AS kept
   FROM q_base LEFT JOIN q_lost USING (doc_id))"""
 
 SQL = "WITH " + SQL_RULED.format(docs="documents") + " SELECT * FROM q_ruled"

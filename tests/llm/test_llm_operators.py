@@ -197,10 +197,6 @@ def test_quality_rules(spark, docs, empty):
             assert r.n_repeat_words == len(rep)
             assert r.base_failed == (len(w) < 50 or 2 * len(rep) > len(w))
     assert quality_rules.apply_rules(empty).count() == 0
-    notice = "\n".join(f"Notice line {k} of this host, all rights kept" for k in range(12))
-    rows = [(i, notice + f"\nown {i} text {i * 7}", "s") for i in range(9)] + [(10 + i, prose(90, i) + "\n" + notice.split("\n")[0], "s") for i in range(9)] + [(30 + i, prose(90, 3), "s") for i in range(9)]
-    kept = {r.doc_id: r.kept for r in quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), max_docs=5, max_share=0.1).collect()}
-    assert [i for i in kept if not kept[i]] and all(kept[i] == (i >= 10) for i in kept)
 
 
 def test_html_extraction(spark):
