@@ -1,7 +1,9 @@
 """URL filtering: explicit rules first, then empirical-Bayes host reputation.
 
 Labelled page outcomes (1 good, 0 bad) are counted per host and shrunk through
-beta-binomial priors: host -> registered domain -> public suffix -> everything.
+beta-binomial priors: host -> registered domain -> public suffix -> everything. A suffix is the
+last label, or the last two where a country's registry keeps such a class of names (co.uk, com.au);
+the registered domain has one label more.
 The strength of each prior is the method-of-moments estimate of the spread
 between the groups of that level. A page passes when the lower bound of its
 host's posterior reaches a threshold.
@@ -12,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, table
+from .common import UPPER, materialize, table
 
 RULES = (
     ("allow", "org", "/"),
@@ -24,6 +26,8 @@ RULES = (
 THRESHOLD = 0.75
 Z = 1.645
 MIN_STRENGTH, MAX_STRENGTH = 2.0, 200.0
+#: Fixed value: classes of names below country codes under which sites are registered.
+TWO_LABELS = r"(^|[.])(ac|co|com|edu|gob|gov|go|ltd|me|ne|net|nhs|nom|or|org|plc|sch)[.][a-z]{2}$"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -73,14 +77,17 @@ def reputation(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHO
 
     A hot host is pre-aggregated by Spark's partial counts. Hosts without outcomes
     take their domain's, suffix's or the overall posterior; null outcomes are ignored.
+    Counts of each level are written first, so that Spark can split the hosts of a hot suffix.
     """
-    domain = F.substring_index("host", ".", -2)
-    suffix = F.substring_index("host", ".", -1)
+    two = F.col("host").rlike(TWO_LABELS)
+    domain = F.when(two, F.substring_index("host", ".", -3)).otherwise(F.substring_index("host", ".", -2))
+    suffix = F.when(two, F.substring_index("host", ".", -2)).otherwise(F.substring_index("host", ".", -1))
     counts = (
         outcomes.where(F.col("outcome").isNotNull()).groupBy("host")
         .agg(F.count("*").cast("double").alias("n"), F.sum("outcome").cast("double").alias("good"))
         .withColumns({"domain": domain, "suffix": suffix})
     )
+    counts = materialize(counts, "host-counts")
     prior, s_suffix = _strength(counts, "suffix")
     _, s_domain = _strength(counts, "domain")
     _, s_host = _strength(counts, "host")
@@ -89,7 +96,9 @@ def reputation(pages: DataFrame, outcomes: DataFrame, threshold: float = THRESHO
         g, n = F.coalesce(F.col(f"good_{key}"), F.lit(0.0)), F.coalesce(F.col(f"n_{key}"), F.lit(0.0))
         return (g + strength * parent) / (n + strength)
 
-    level = lambda k: counts.groupBy(k).agg(F.sum("n").alias(f"n_{k}"), F.sum("good").alias(f"good_{k}"))
+    def level(key: str) -> DataFrame:
+        return materialize(counts.groupBy(key).agg(F.sum("n").alias(f"n_{key}"), F.sum("good").alias(f"good_{key}")), f"{key}-counts")
+
     hosts = pages.select("host").distinct().withColumns({"domain": domain, "suffix": suffix})
     for key in ("host", "domain", "suffix"):
         hosts = hosts.join(level(key).hint("merge"), key, "left")
@@ -107,7 +116,9 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: f
 
     outcomes(page_id, outcome): labelled pages. A null url, or one without '://', has an
     empty host and path, fits no rule and is judged by the empty host's posterior. Other
-    columns of pages are not read; repeated page_ids give repeated rows.
+    columns of pages are not read; repeated page_ids give repeated rows. Of several outcomes of a page the
+    greatest counts. Urls of any length are taken whole. Without outcomes every mean is one half. Empty
+    tables give no rows.
     """
     host, path = host_and_path(F.col("url"))
     judged = match_rules(pages.select("page_id", F.col("url")).withColumns({"host": host, "path": path}), rules)
@@ -159,11 +170,12 @@ shown AS (SELECT page_id, try_cast(nullif(regexp_extract(coalesce(url, ''), '://
 marks AS (SELECT doc_id, max(quality) AS outcome FROM labels WHERE quality IS NOT NULL GROUP BY 1),
 seen AS (SELECT page_id, max(outcome) AS outcome FROM shown JOIN marks USING (doc_id) GROUP BY 1),
 counts AS (SELECT host, count(*)::DOUBLE AS n, sum(outcome)::DOUBLE AS good,
-    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix
+    CASE WHEN regexp_matches(host, '(^|[.])(ac|co|com|edu|gob|gov|go|ltd|me|ne|net|nhs|nom|or|org|plc|sch)[.][a-z]{2}$') THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS domain,
+    CASE WHEN regexp_matches(host, '(^|[.])(ac|co|com|edu|gob|gov|go|ltd|me|ne|net|nhs|nom|or|org|plc|sch)[.][a-z]{2}$') THEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ELSE string_split(host, '.')[-1] END AS suffix
   FROM ruled JOIN seen USING (page_id) GROUP BY 1, 4, 5),"""
     + ",".join(_LEVEL.format(k=k) for k in ("suffix", "domain", "host"))
     + """,
-names AS (SELECT DISTINCT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, string_split(host, '.')[-1] AS suffix FROM ruled),
+names AS (SELECT DISTINCT host, CASE WHEN regexp_matches(host, '(^|[.])(ac|co|com|edu|gob|gov|go|ltd|me|ne|net|nhs|nom|or|org|plc|sch)[.][a-z]{2}$') THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') END AS domain, CASE WHEN regexp_matches(host, '(^|[.])(ac|co|com|edu|gob|gov|go|ltd|me|ne|net|nhs|nom|or|org|plc|sch)[.][a-z]{2}$') THEN array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') ELSE string_split(host, '.')[-1] END AS suffix FROM ruled),
 a AS (SELECT names.*, (coalesce(s.good, 0) + (SELECT s FROM suffix_s) * (SELECT p FROM suffix_s)) / (coalesce(s.n, 0) + (SELECT s FROM suffix_s)) AS ms FROM names LEFT JOIN suffixs s USING (suffix)),
 b AS (SELECT a.*, (coalesce(d.good, 0) + (SELECT s FROM domain_s) * ms) / (coalesce(d.n, 0) + (SELECT s FROM domain_s)) AS md FROM a LEFT JOIN domains d USING (domain)),
 c AS (SELECT b.host, (coalesce(h.good, 0) + (SELECT s FROM host_s) * md) / (coalesce(h.n, 0) + (SELECT s FROM host_s)) AS mean, coalesce(h.n, 0) + (SELECT s FROM host_s) AS total FROM b LEFT JOIN hosts h USING (host)),
