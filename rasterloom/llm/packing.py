@@ -2,7 +2,7 @@
 
 Each partition packs its items best-fit decreasing, emits the bins that are nearly full
 and hands the others on as items of the next round, which has fewer partitions, until
-one partition is left or a round joins next to nothing. A task holds ITEMS_PER_TASK items
+one partition is left or a round joins nothing any more. A task holds ITEMS_PER_TASK items
 or so, however many there are.
 """
 
@@ -25,7 +25,6 @@ END = 2
 SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 ITEMS_PER_TASK = 50_000
 NEARLY_FULL = 0.995
-LEAST_GAIN = 0.02
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _MEMBERS = "array<struct<doc_id:bigint,copy:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -40,7 +39,11 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every whole text: ids as the tokenizers library gives them, then END. Null texts are empty."""
+    """Pieces of every whole text of docs(doc_id, text): ids as the tokenizers library gives them, then END.
+
+    Null and empty texts are one piece of END alone. Repeated rows are pieces of their own, as are rows that
+    share a doc_id, which is an integer and may be null. Texts of any length are cut whole. Other columns are not read.
+    """
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,7 +70,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -98,7 +101,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items_per_task: int = ITEM
     """pieces plus sequence_id and offset.
 
     Ties and repeated rows are items of their own; no pieces give no rows. Lengths lie
-    between 1 and capacity. The rounds end when under LEAST_GAIN of the bins went away.
+    between 1 and capacity. The rounds end with one partition, or when one of them joins nothing.
     """
     spark = pieces.sparkSession
     pieces = materialize(pieces, "pieces")
@@ -108,9 +111,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items_per_task: int = ITEM
     items = pieces.where(F.col("length") < capacity).select(F.col("length").alias("size"), F.array(member).alias("members"))
     left = items.count()
     done = []
-    for level in range(64):
-        if not left:
-            break
+    level = 0
+    while left:
         parts = max(1, -(-left // items_per_task))
 
         def run(frames: Iterator[pd.DataFrame], parts=parts) -> Iterator[pd.DataFrame]:
@@ -133,13 +135,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, items_per_task: int = ITEM
             dealt = items.repartition(parts, F.xxhash64(F.lit(level), F.col("members")[0]["doc_id"], F.col("members")[0]["copy"]))
         packed = materialize(dealt.mapInPandas(run, f"size bigint, members {_MEMBERS}"), f"bins-{level}")
         bins = packed.count()
-        last = parts == 1 or bins > (1 - LEAST_GAIN) * left
+        last = parts == 1 or bins == left
         if last:
             done.append(packed)
             break
         done.append(packed.where(F.col("size") >= NEARLY_FULL * capacity))
         items = packed.where(F.col("size") < NEARLY_FULL * capacity)
-        left = items.count()
+        left, level = items.count(), level + 1
     out = full
     for level, bins in enumerate(done):
         numbered = bins.select((F.monotonically_increasing_id() + F.lit(level << 53)).alias("sequence_id"), "members")
