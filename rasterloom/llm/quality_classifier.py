@@ -32,8 +32,8 @@ _PUNCTUATION[[ord(c) for c in ".,;:!?'\"()-"]] = True
 
 
 def _odds(part: float, whole: float) -> float:
-    """A share, pulled off 0 and 1 and spread like a normal variable."""
-    p = (part + 0.5) / (whole + 1)
+    """A share, at most 1, pulled off 0 and 1 and spread like a normal variable."""
+    p = (min(part, whole) + 0.5) / (whole + 1)
     return math.log(p / (1 - p))
 
 
@@ -74,6 +74,14 @@ def measure(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, x array<double>")
 
 
+def forward_substitution(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """z with factor @ z = b, for a lower triangular factor: row by row, all columns of b at once."""
+    z = np.empty_like(b)
+    for i in range(len(factor)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Means, lower Cholesky factors of the shrunk covariances and log weights of both classes."""
@@ -85,7 +93,7 @@ class Discriminant:
     def score(self, x: np.ndarray) -> np.ndarray:
         log_density = []
         for mean, factor, offset in zip(self.means, self.factors, self.offsets, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = forward_substitution(factor, (x - mean).T)
             log_density.append(offset - 0.5 * (z * z).sum(0))
         gap = np.clip(log_density[1] - log_density[0], -700, 700)
         return 1 / (1 + np.exp(-gap))
@@ -131,8 +139,9 @@ def score(measured: DataFrame, model: Discriminant, cut: float = CUT) -> DataFra
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(s), pa.array((s >= cut).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
+    kind = measured.schema["doc_id"].dataType.simpleString()
     return measured.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "x").mapInArrow(
-        run, "doc_id bigint, held_out boolean, score double, predicted int")
+        run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -143,7 +152,10 @@ def held_out(doc_id: Column) -> Column:
 def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """Every row of docs(doc_id, text) scored; labels(doc_id, quality) teach where not held out.
 
-    Null labels and labels of unknown documents teach nothing. Other columns are not read.
+    Null labels and labels of unknown documents teach nothing; of several labels of a document the greatest
+    counts. Null and empty texts are scored as texts without words. Repeated rows are scored alike, and each
+    teaches once. Texts of any length are measured whole. Other columns are not read. A null doc_id is never
+    held out. Empty documents give no rows; without labels every score is one half.
     """
     measured = materialize(measure(docs), "statistics")
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("label"))
