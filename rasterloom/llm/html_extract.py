@@ -3,6 +3,13 @@
 Paragraph-like blocks earn points for length and commas; parents and grandparents take
 them (in full, then half), discounted by the share of their text that lies in links. The
 best container is kept with those of its siblings that score close to it or read like prose.
+
+Inside what is kept only menus, headers, footers, sidebars, notices, adverts, forms, scripts and
+readers' comments go, by element or by an unmistakable name. Names that prove nothing (related, tags,
+legal, widget) halve the points, and their blocks go only where they hold links and no prose.
+
+Null or empty pages give an empty text. Pages of any length and nesting are read whole; repeated rows
+and ties (of containers with equal scores the first) are handled alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,14 +43,20 @@ DROPPED = frozenset(
     "script style noscript template iframe object embed applet svg math canvas audio video map form button input select textarea option datalist "
     "nav aside footer header menu dialog head title search noembed noframes xmp".split()
 )
-#: Names in class, id or role that mark what surrounds an article.
+#: Names in class, id or role of what surrounds an article. The first kind may stand anywhere in a name, the second ends it.
 BAD_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|promo(?:tion|s)?|banners?|cookies?|consent|gdpr|notices?|alerts?|popups?|modal|overlay|"
-    r"nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|side|aside|rail|widgets?|footers?|foot|masthead|headers?|topbar|toolbar|"
-    r"comments?|disqus|respond|replies|reply|discussion|social|share|sharing|related|recommend(?:ed|ations?)?|newsletter|subscribe|subscription|"
-    r"signup|login|search|pagination|pager|tags|legal|copyright|disclaimer|complementary|contentinfo|skip)(?:$|[\s_-]|\d)",
+    r"(?:^|[\s_-])(?:(?:ads?|adverts?|advertisements?|advertising|adsense|sponsor(?:ed|s)?|cookies?|consent|gdpr|popups?|modal|overlay|"
+    r"nav|navbar|navigation|menus?|breadcrumbs?|sidebars?|footers?|masthead|topbar|toolbar|"
+    r"comments?|disqus|respond|replies|reply|newsletter|subscribe|subscription|signup|login|search|complementary|contentinfo|banner)(?:$|[\s_-]|\d)"
+    r"|(?:notices?|alerts?|headers?|foot|aside|rail|banners?)(?:$|\s|\d))",
+    re.I,
+)
+#: Names that often, but not always, mark the surroundings.
+DOUBTFUL_NAME = re.compile(
+    r"(?:^|[\s_-])(?:promo(?:tion|s)?|side|widgets?|discussion|social|share|sharing|related|recommend(?:ed|ations?)?|pagination|pager|tags|legal|copyright|disclaimer|skip)(?:$|[\s_-]|\d)",
     re.I,
 )
+PROSE_CHARS = 80
 #: Names of what readers wrote, which may well be marked up as articles.
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reply|discussion)(?:$|[\s_-]|\d)", re.I)
 GOOD_NAME = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
@@ -58,12 +71,14 @@ _SPACE = re.compile(r"[\s\xa0]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "score", "chars", "link_chars", "links", "solid", "dropped", "by_name", "is_body")
+    __slots__ = ("tag", "parent", "children", "names", "score", "chars", "link_chars", "links", "solid", "longest", "ends", "dropped", "by_name", "doubtful", "is_body")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", dropped: bool = False):
         self.tag, self.parent, self.names, self.dropped, self.by_name = tag, parent, names, dropped, False
+        self.doubtful = bool(names) and DOUBTFUL_NAME.search(names) is not None
         self.children: list[Node | str] = []
-        self.score, self.chars, self.link_chars, self.links, self.solid = 0.0, 0, 0, 0, 0
+        self.score, self.chars, self.link_chars, self.links, self.solid, self.longest = 0.0, 0, 0, 0, 0, 0
+        self.ends = False  # its last text closes a sentence
         self.is_body = tag in ("html", "body", "")
 
 
@@ -191,8 +206,10 @@ def extract(page: str) -> str:
         if owner.tag in SCORED and len(text) >= 25:
             points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
         up, depth = owner.parent if owner.tag in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3") and owner.parent else owner, 0
-        base, solid = owner, len(_BETWEEN.sub("", text))
+        base, solid, prose = owner, len(_BETWEEN.sub("", text)), len(text) if 2 * linked < len(text) else 0
         while base is not None:
+            points *= 0.5 if base.doubtful else 1
+            base.longest, base.ends = max(base.longest, prose), text[-1] in ".!?:;…\"'”’»。！？"
             base.chars += len(text)
             base.link_chars += linked
             base.links += links
@@ -224,7 +241,9 @@ def extract(page: str) -> str:
             density = s.link_chars / s.chars
             if id(s) in touched and final(s) >= max(10, need) and density < 0.3:
                 keep.add(id(s))
-            elif s.tag in ("p", "blockquote", "pre", "h1", "h2") and top and (s.chars > 80 and density < 0.25 or s.tag in ("h1", "h2") and density == 0):
+            elif s.tag in ("h1", "h2") and top and density == 0:
+                keep.add(id(s))
+            elif s.tag in ("p", "blockquote", "pre") and top and density < 0.25 and (s.chars > PROSE_CHARS or s.ends):
                 keep.add(id(s))
     inside: dict[int, bool] = {}
 
@@ -250,7 +269,20 @@ def extract(page: str) -> str:
             yes = menus[id(x)] = yes or x.tag in LISTS and x.links >= 3 and x.link_chars > 0.8 * x.solid and x.link_chars < MENU_CHARS * x.links
         return yes
 
-    return " ".join(t for o, t, _, _ in blocks if held(o) and (o.tag == "p" or not in_menu(o)))
+    links_only: dict[int, bool] = {}
+
+    def beside(n: Node | None) -> bool:
+        """Inside a part of a doubtful name that holds links and no prose."""
+        trail = []
+        while n is not None and id(n) not in links_only and id(n) not in keep:
+            trail.append(n)
+            n = n.parent
+        yes = n is not None and links_only.get(id(n), False)
+        for x in reversed(trail):
+            yes = links_only[id(x)] = yes or x.doubtful and x.longest < PROSE_CHARS and x.links > 0
+        return yes
+
+    return " ".join(t for o, t, _, _ in blocks if held(o) and not beside(o) and (o.tag == "p" or not in_menu(o)))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
