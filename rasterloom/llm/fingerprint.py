@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of its paragraphs: its lines, cut further after sentences. Each digest is added to
+A text is the set of its paragraphs: its lines, cut further after some sentences. Each digest is added to
 one cell of each of three tables; a cell holds a count and the exclusive-or of its digests and of their
 check hashes. Subtracting the cells of two versions leaves those of the differing paragraphs,
 which peeling recovers: a cell with one digest left gives it away, and taking it out of its
@@ -22,7 +22,9 @@ from .common import let, materialize, partitions, table
 CELLS, GROWTH, LEVELS = 96, 4, 4
 ROUNDS = 24
 HASHES = 3
-PARAGRAPH_END = r"\n|(?<=[.!?;。！？]) "
+#: Lines end paragraphs, and so do sentences whose last letter is one of the first eight (or that end in full-width marks):
+#: a rule on the text alone, so that what two versions share is cut alike in both.
+PARAGRAPH_END = r"\n|(?<=[a-h][.!?;]|[。！？]) "
 #: Stands for a null doc_id, before all others.
 NO_ID = -(2**63)
 
@@ -48,9 +50,15 @@ def _cells(entries: Column) -> Column:
         total = F.aggregate(run, zero, lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), a["k"].bitwiseXOR(x["k"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h")))
         return let(total, lambda y: F.struct(run[0]["c"].alias("c"), y["n"].alias("n"), y["k"].alias("k"), y["h"].alias("h")))
 
+    def run_sum(s: Column, i: Column, n: Column) -> Column:
+        """Most runs have one or two entries, which need no loop."""
+        x, y = F.get(s, i), F.get(s, i + 1)
+        two = F.struct(x["c"].alias("c"), (x["n"] + y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
+        return F.when(n == 1, x).when(n == 2, two).otherwise(let(F.slice(s, i + 1, n), summed))
+
     def by_run(s: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["c"] != F.get(s, i - 1)["c"]))
-        sums = let(heads, lambda at: F.transform(at, lambda i, j: let(F.slice(s, i + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - i), summed)))
+        sums = let(heads, lambda at: F.transform(at, lambda i, j: run_sum(s, i, F.coalesce(F.get(at, j + 1), F.size(s)) - i)))
         return F.filter(sums, lambda x: (x["n"] != 0) | (x["k"] != 0) | (x["h"] != 0))
 
     return let(F.sort_array(entries), lambda s: F.when(F.size(s) == 0, s).otherwise(by_run(s)))
@@ -134,7 +142,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     Null texts count as empty. The order is by descending doc_id, then by text hash; rows that repeat
     both are one document and get the same answer. A null doc_id comes last. A lone document follows itself.
     Texts of any length are taken whole; neither likeness is ever null. Other columns are not read. An empty
-    table gives no rows. A text of one sentence shares no paragraph with its edited version: likeness 0.
+    table gives no rows. A text of one paragraph shares none with its edited version: likeness 0.
     """
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # One exchange of the texts by (k, h) serves both joins: they read the same columns of it.

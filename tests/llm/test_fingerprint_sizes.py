@@ -26,7 +26,7 @@ def test_peeling_recovers_the_digests(spark):
 
 def test_texts_of_many_lines_and_repeated_rows(spark):
     long = "\n".join(f"line {i}" for i in range(50_000))
-    rows = [(3, long, 1), (2, long.replace("line 7\n", "line seven\n"), 1), (1, "A sentence. Another one! A third? And the last; done.", 1), (1, "A sentence. Another one! A third? And the last; done.", 1), (None, None, 2)]
+    rows = [(3, long, 1), (2, long.replace("line 7\n", "line seven\n"), 1), (1, "A sentence. Another one! A third? And the rest; of it.", 1), (1, "A sentence. Another one! A third? And the rest; of it.", 1), (None, None, 2)]
     docs = spark.createDataFrame(rows, "doc_id int, text string, d int")
     began = time.time()
     got = sorted((tuple(r) for r in fingerprint.fingerprints(docs).collect()), key=repr)
