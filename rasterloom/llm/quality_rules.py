@@ -65,21 +65,24 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     with a line the one of the smallest doc_id keeps it.
     """
     text = F.coalesce("text", F.lit(""))
+    host = F.coalesce("source", F.lit(""))
     lines = (
-        docs.select("doc_id", F.coalesce("source", F.lit("")).alias("host"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
+        docs.select("doc_id", host.alias("host"), F.xxhash64(text).alias("t"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
         .withColumn("line", strip(F.col("line"))).where(F.length("line") > 0).withColumn("key", ascii_lower(F.col("line")))
-        .select("doc_id", "host", "t", "pos", F.xxhash64("key").alias("h1"), F.hash("key").alias("h2"), F.size(words(F.col("line"))).alias("w"))
+        # Of each line only its host's name and its own go on, as one hash of 96 bits, and its place and size in one number.
+        .select("doc_id", "t", F.xxhash64("host", "key").alias("h1"), F.hash("key", "host").alias("h2"),
+                (F.shiftleft(F.col("pos").cast("long"), 32) + F.size(words(F.col("line")))).alias("at"))
     )
     lines = materialize(lines, "host-lines")
     # One row for each document of a line; the two levels keep a hot line from meeting in one task.
-    held = lines.groupBy("host", "h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-    over = held.groupBy("host", "h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where(F.col("n") > max_docs)
+    held = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
+    over = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where(F.col("n") > max_docs)
     # Written, so that Spark can split a hot line's side of the join.
-    over = materialize(over.select("host", "h1", "h2", "keeper"), "frequent-lines")
-    lost = lines.join(over.hint("merge"), ["host", "h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    places = lost.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set(F.struct("pos", "w"))).alias("x"))
-    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x["w"])
-    return places.select("doc_id", "t", total.alias("lost_words"), F.transform("x", lambda x: x["pos"]).alias("dropped"))
+    over = materialize(over.select("h1", "h2", "keeper"), "frequent-lines")
+    lost = lines.join(over.hint("merge"), ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    places = lost.groupBy("doc_id", "t").agg(F.array_sort(F.collect_set("at")).alias("x"))
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda a, x: a + x.bitwiseAND(F.lit(2**32 - 1)))
+    return places.select("doc_id", "t", total.alias("lost_words"), F.transform("x", lambda x: F.shiftright(x, 32).cast("int")).alias("dropped"))
 
 
 def _with_losses(docs: DataFrame, max_docs: int) -> DataFrame:
