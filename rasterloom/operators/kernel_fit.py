@@ -197,15 +197,21 @@ def fit_report(samples: DataFrame, fits: DataFrame, keys: list[str]) -> DataFram
     return with_kernels(joined, hot).withColumn("modelled", F.col("f_iso") + F.col("f_vol") * F.col("k_vol") + F.col("f_geo") * F.col("k_geo"))
 
 
-def albedo_integrals(spark: SparkSession, step_deg: int = 1, nodes: int = 24, azimuths: int = 48) -> DataFrame:
-    """(sza, bsa_vol, bsa_geo): kernels integrated over the view hemisphere for sun zeniths 0..89, unnormalised.
+def gauss_nodes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and weights on [-1, 1]."""
+    return np.polynomial.legendre.leggauss(n)
+
+
+def albedo_integrals(spark: SparkSession, step_deg: int = 1, nodes: int = 24, azimuths: int = 48, zeniths: DataFrame | None = None) -> DataFrame:
+    """(sza, bsa_vol, bsa_geo): kernels integrated over the view hemisphere for sun zeniths 0..89, or for zeniths(sza), unnormalised.
 
     Gauss nodes in the cosine of the view zenith, even steps in azimuth: a literal weights table, one job.
     """
-    x, w = np.polynomial.legendre.leggauss(nodes)
+    x, w = gauss_nodes(nodes)
     mu = spark.createDataFrame([(float((a + 1) / 2), float(b / 2)) for a, b in zip(x, w, strict=True)], "mu double, wm double")
     phi = spark.range(azimuths).select(((F.col("id") + 0.5) * (2 * math.pi / azimuths)).alias("phi"))
-    grid = spark.range(0, 90, step_deg).select(F.col("id").cast("int").alias("sza")).crossJoin(F.broadcast(mu)).crossJoin(F.broadcast(phi))
+    suns = zeniths if zeniths is not None else spark.range(0, 90, step_deg).select(F.col("id").cast("int").alias("sza"))
+    grid = suns.crossJoin(F.broadcast(mu)).crossJoin(F.broadcast(phi))
     v, s, r = F.acos("mu"), F.radians("sza"), F.col("phi")
     weight = F.col("mu") * F.col("wm") * (2 * math.pi / azimuths) / math.pi
     return grid.groupBy("sza").agg(F.sum(weight * A.ross(v, s, r)).alias("bsa_vol"), F.sum(weight * A.li_sparse(v, s, r)).alias("bsa_geo"))

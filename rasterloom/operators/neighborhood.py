@@ -89,6 +89,19 @@ def gaussian(std_row: float, std_col: float, angle_deg: float = 0.0) -> list[tup
     return [(i, j, k / total) for i, j, k in cells]
 
 
+def gaussian_column(std_row: Column, std_col: Column, angle_deg: Column) -> Column:
+    """The same window as an array of (dr, dc, w) built from columns; the weights have no unit sum."""
+    h, w = (2 * F.ceil(1.96 * x).cast("int") for x in (std_row, std_col))
+    t = F.radians(angle_deg)
+
+    def cell(i: Column, j: Column) -> Column:
+        y, x = i - h / 2 + 0.5, j - w / 2 + 0.5
+        u, v = x * F.cos(t) - y * F.sin(t), x * F.sin(t) + y * F.cos(t)
+        return F.struct(i.alias("dr"), j.alias("dc"), F.exp(-0.5 * (u / std_col * u / std_col + v / std_row * v / std_row)).alias("w"))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), h - 1), lambda i: F.transform(F.sequence(F.lit(0), w - 1), lambda j: cell(i, j))))
+
+
 def psf_weights(resolution: float) -> list[tuple[int, int, float]]:
     """The point spread (std 260 m down the rows, 340 m along them) in cells of the resolution."""
     return gaussian(260 / resolution, 340 / resolution)
@@ -162,7 +175,7 @@ def smoothness(blocks: DataFrame, value: str, gamma: float = 1.0) -> DataFrame:
 
 
 #: Radius up to which nearest_fill looks in rings; what is farther from a known cell is filled by the separable passes.
-RING = 16
+RING = 4
 
 
 def nearest_fill(grid: DataFrame, value: str, max_radius: int | None = None, start: int = 2) -> DataFrame:

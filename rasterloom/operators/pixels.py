@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rasterloom.functions import radiometry as R
+from rasterloom.storage import checkpointed
 
 CELL = ("scene_id", "r", "c")
 ROLES = ("coastal", "blue", "green", "red", "nir", "swir1", "swir2")
@@ -96,11 +97,12 @@ def in_range(boa: DataFrame, low: float = 0.001, high: float = 1.0) -> DataFrame
     return boa.groupBy(*CELL).agg(F.every(ok).alias("ok"))
 
 
-def outlier_filter(pairs: DataFrame, envelopes: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
+def outlier_filter(pairs: DataFrame, envelopes: DataFrame, low: float = 0.05, high: float = 0.95, accuracy: int | None = None) -> DataFrame:
     """Cells of pairs(cell, band, toa, boa) that pass every band's envelope and its percentile range.
 
     envelopes(band, lo array, hi array) holds cubic coefficients, highest power first, one row a band.
-    The percentiles of toa - boa are exact and taken over what the envelope keeps, per scene and band.
+    The percentiles of toa - boa are taken over what the envelope keeps, per scene and band: exact ones, or
+    with accuracy approximate ones in bounded memory, for scenes whose distinct values fill a task.
     """
     def poly(name: str) -> Column:
         return F.aggregate(F.col(name), F.lit(0.0), lambda a, k: a * F.col("boa") + k)
@@ -108,8 +110,11 @@ def outlier_filter(pairs: DataFrame, envelopes: DataFrame, low: float = 0.05, hi
     gap = F.col("toa") - F.col("boa")
     tested = pairs.join(F.broadcast(envelopes), "band").withColumn("gap", gap)
     tested = tested.withColumn("inside", (F.col("gap") >= poly("lo")) & (F.col("gap") <= poly("hi")))
-    limits = tested.where("inside").groupBy("scene_id", "band").agg(F.percentile("gap", F.array(F.lit(low), F.lit(high))).alias("p"))
-    judged = tested.join(F.broadcast(limits), ["scene_id", "band"], "left")
+    got = F.percentile_approx("gap", [low, high], accuracy) if accuracy else F.percentile("gap", F.array(F.lit(low), F.lit(high)))
+    limits = tested.where("inside").groupBy("scene_id", "band").agg(got.alias("p"))
+    # A row for each scene and band, which grows with the scenes: written, so that Spark can split a large scene's side of the join.
+    limits = checkpointed(limits, "limits")
+    judged = tested.join(limits.hint("merge"), ["scene_id", "band"], "left")
     ok = F.coalesce(F.col("inside") & (F.col("gap") >= F.col("p")[0]) & (F.col("gap") <= F.col("p")[1]), F.lit(False))
     return judged.groupBy(*CELL).agg(F.every(ok).alias("ok"))
 
@@ -180,26 +185,27 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...
     return df.groupBy(*keys).agg(got.alias("p")).select(*keys, *[F.col("p")[k].alias(f"p{round(100 * a):02d}") for k, a in enumerate(at)])
 
 
-def replace_by_median(df: DataFrame, keys: list[str], value: str, ok: Column) -> DataFrame:
-    """Values that fail ok become the median of those that pass, per key."""
-    good = df.where(ok).groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias("_median"))
-    return df.join(good, keys, "left").withColumn(value, F.when(F.coalesce(ok, F.lit(False)), F.col(value)).otherwise(F.col("_median"))).drop("_median")
+def replace_by_median(df: DataFrame, keys: list[str], value: str, ok: Column, accuracy: int | None = None) -> DataFrame:
+    """Values that fail ok become the median of those that pass, per key; with accuracy an approximate one in bounded memory."""
+    median = F.percentile_approx(value, 0.5, accuracy) if accuracy else F.percentile(value, F.lit(0.5))
+    good = checkpointed(df.where(ok).groupBy(*keys).agg(median.alias("_median")), "medians")
+    return df.join(good.hint("merge"), keys, "left").withColumn(value, F.when(F.coalesce(ok, F.lit(False)), F.col(value)).otherwise(F.col("_median"))).drop("_median")
 
 
 def keep_in_bounds(solution: Column, prior: Column, low: float, high: float) -> Column:
     return F.when((solution >= low) & (solution <= high), solution).otherwise(prior)
 
 
-def ordered_bands(bands: DataFrame) -> DataFrame:
-    """Bands by wavelength with their ordinal, as one array: bounded by the number of bands."""
+def ordered_bands(bands: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Bands of each sensor (keys; all without) by wavelength with their ordinal: an array of a sensor's bands."""
     s = F.array_sort(F.collect_list(F.struct("wavelength_nm", "band", "role")))
-    return bands.agg(s.alias("s")).select(F.posexplode("s").alias("ordinal", "x")).select("ordinal", "x.*")
+    return bands.groupBy(*keys).agg(s.alias("s")).select(*keys, F.posexplode("s").alias("ordinal", "x")).select(*keys, "ordinal", "x.*")
 
 
 def correlation_table(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x, y, r) of every pair of columns, from one aggregation."""
     pairs = [(a, b) for a in columns for b in columns]
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    row = df.agg(*[F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(F.col(b).isNotNull(), F.col(a))) * F.stddev_pop(F.when(F.col(a).isNotNull(), F.col(b)))).alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"`{i}`").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("e")).select("e.*")
 
 

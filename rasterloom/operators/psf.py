@@ -6,10 +6,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.operators import neighborhood as N
+from rasterloom.storage import checkpointed
 
 CELL = ("scene_id", "r", "c")
 
 
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Pearson's r as an aggregate over rows with both values; null where a side is constant, where corr() fails in ANSI mode."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    a, b = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def correlations(points: DataFrame, image: DataFrame, shifts: DataFrame, value: str = "dn") -> DataFrame:
     """(scene_id, xs, ys, r, n): correlation of points(scene_id, hx, hy, boa) with the image at each shift.
 
@@ -19,13 +27,13 @@ def correlations(points: DataFrame, image: DataFrame, shifts: DataFrame, value:
     tried = points.join(F.broadcast(shifts), "scene_id") if "scene_id" in shifts.columns else points.crossJoin(F.broadcast(shifts))
     at = tried.select("scene_id", "xs", "ys", "boa", (F.col("hx") + F.col("xs")).alias("r"), (F.col("hy") + F.col("ys")).alias("c"))
     met = at.join(image.select(*CELL, F.col(value).alias("v")).where("v is not null").hint("shuffle_hash"), [*CELL])
-    return met.groupBy("scene_id", "xs", "ys").agg(F.corr("v", "boa").alias("r"), F.count("*").alias("n"))
+    return met.groupBy("scene_id", "xs", "ys").agg(correlation("v", "boa").alias("r"), F.count("*").alias("n"))
 
 
 def best_shift(found: DataFrame, accept: float = 0.6) -> DataFrame:
-    """Least |1 - r|, first in (xs, ys) order; below `accept` the shift is (0, 0). Null correlations do not count."""
+    """Least |1 - r| (to nine digits), of equals that over most points, then the first in (xs, ys) order; below `accept` the shift is (0, 0). Null correlations do not count."""
     best = found.where("r is not null and not isnan(r)").groupBy("scene_id").agg(
-        F.min_by(F.struct("xs", "ys", "r"), F.struct(F.abs(1 - F.col("r")), "xs", "ys")).alias("b"))
+        F.min_by(F.struct("xs", "ys", "r"), F.struct(F.round(F.abs(1 - F.col("r")), 9), -F.col("n"), "xs", "ys")).alias("b"))
     ok = 1 - F.abs(1 - F.col("b.r")) >= accept
     return best.select("scene_id", F.when(ok, F.col("b.xs")).otherwise(0).alias("xs"), F.when(ok, F.col("b.ys")).otherwise(0).alias("ys"), F.col("b.r").alias("r"))
 
@@ -36,8 +44,9 @@ def grid_shifts(spark: SparkSession, half: int, step: int = 1) -> DataFrame:
     return one("xs").crossJoin(F.broadcast(one("ys")))
 
 
-def search_shift(points: DataFrame, image: DataFrame, half: int = 50, stride: int = 5, exhaustive: bool = False, accept: float = 0.6, value: str = "dn") -> DataFrame:
-    """Best shift of each scene: coarse grid, then every shift within stride of the best; or the whole grid."""
+def search_shift(points: DataFrame, image: DataFrame, half: int = 50, stride: int = 5, exhaustive: bool = True, accept: float = 0.6, value: str = "dn") -> DataFrame:
+    """Best shift of each scene over the whole grid. Without exhaustive: a coarse grid, then every shift within stride of its best,
+    which misses peaks narrower than the stride."""
     spark = points.sparkSession
     if exhaustive:
         return best_shift(correlations(points, image, grid_shifts(spark, half), value), accept)
@@ -48,7 +57,7 @@ def search_shift(points: DataFrame, image: DataFrame, half: int = 50, stride: in
     tried = points.join(fine.hint("shuffle_hash"), "scene_id")
     at = tried.select("scene_id", "xs", "ys", "boa", (F.col("hx") + F.col("xs")).alias("r"), (F.col("hy") + F.col("ys")).alias("c"))
     met = at.join(image.select(*CELL, F.col(value).alias("v")).where("v is not null").hint("shuffle_hash"), [*CELL])
-    return best_shift(met.groupBy("scene_id", "xs", "ys").agg(F.corr("v", "boa").alias("r"), F.count("*").alias("n")), accept)
+    return best_shift(met.groupBy("scene_id", "xs", "ys").agg(correlation("v", "boa").alias("r"), F.count("*").alias("n")), accept)
 
 
 def latin_hypercube(spark: SparkSession, n: int, bounds: list[tuple[float, float]], seed: int = 0) -> DataFrame:
@@ -63,35 +72,47 @@ def latin_hypercube(spark: SparkSession, n: int, bounds: list[tuple[float, float
 
 
 def search_width(points: DataFrame, image: DataFrame, starts: int = 50, rounds: int = 3, keep: int = 5, seed: int = 0,
-                 bounds=((1.0, 6.0), (1.0, 6.0), (-15.0, 15.0), (-5.0, 5.0), (-5.0, 5.0)), value: str = "dn") -> list[tuple[tuple[float, ...], float]]:
-    """Candidates of (std_row, std_col, angle, xs, ys) with their cost |1 - r|, best first.
+                 bounds=((1.0, 6.0), (1.0, 6.0), (-15.0, 15.0), (-5.0, 5.0), (-5.0, 5.0)), value: str = "dn") -> DataFrame:
+    """(scene_id, k, std_row, std_col, angle, xs, ys, cost): candidates of each scene with their cost |1 - r|.
 
-    A Latin hypercube of starts, then rounds of smaller hypercubes around the best. Each candidate is one
-    weighted-average job over all points; only its cost returns to the driver.
+    A Latin hypercube of starts, then rounds of smaller hypercubes around each scene's best. The candidates of a round
+    are one table, a row for each scene and candidate; all of them are tried in one job, grouped by scene and candidate.
     """
     spark = points.sparkSession
-    rng_seed, found = seed, []
-    boxes = [tuple(bounds)]
+    names = ("std_row", "std_col", "angle", "xs", "ys")
+    scenes = points.select("scene_id").distinct()
+    box = F.array(*[F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for lo, hi in bounds])
+    boxes = scenes.withColumns({"box": box, "b": F.lit(0)})
+    found: DataFrame | None = None
     for step in range(rounds):
-        tried = []
-        for box in boxes:
-            design = latin_hypercube(spark, max(starts // (3 if step else 1) // len(boxes), 2), list(box), rng_seed).collect()
-            rng_seed += 7
-            tried += [tuple(float(r[f"x{k}"]) for k in range(len(bounds))) for r in design]
-        for p in tried:
-            weights = N.gaussian(p[0], p[1], p[2])
-            xs, ys = round(p[3]), round(p[4])
-            at = points.select("scene_id", (F.col("hx") + xs).alias("r"), (F.col("hy") + ys).alias("c"), "boa")
-            seen = N.psf_average(at, image, weights, value)
-            r = seen.join(at.select(*CELL, "boa"), [*CELL]).agg(F.corr(value, "boa").alias("r")).first()["r"]
-            if r is not None and r == r:
-                found.append((p, abs(1 - r)))
-        found.sort(key=lambda f: f[1])
-        shrink = 0.3 ** (step + 1)
-        boxes = [tuple((max(lo, v - shrink * (hi - lo)), min(hi, v + shrink * (hi - lo))) for v, (lo, hi) in zip(p, bounds, strict=True)) for p, _ in found[:keep]]
+        per = max(starts // (3 if step else 1) // (keep if step else 1), 2)
+        unit = latin_hypercube(spark, per, [(0.0, 1.0)] * len(names), seed + 7 * step)  # a literal design
+        tried = boxes.crossJoin(F.broadcast(checkpointed(unit, "design")))
+        cut = lambda k: F.col("box")[k]["lo"] + F.col(f"x{k}") * (F.col("box")[k]["hi"] - F.col("box")[k]["lo"])
+        tried = tried.select("scene_id", (F.lit(step * 1_000_000) + F.col("b") * 1000 + F.col("i")).alias("k"), *[cut(k).alias(n) for k, n in enumerate(names)])
+        scored = checkpointed(_width_costs(points, image, tried, value), "widths")
+        found = scored if found is None else found.unionByName(scored)
+        if step + 1 < rounds:
+            rank = F.row_number().over(Window.partitionBy("scene_id").orderBy("cost", "k"))  # some hundred candidates a scene
+            best = found.withColumn("b", rank).where(F.col("b") <= keep)
+            shrink = 0.3 ** (step + 1)
+            side = lambda n, lo, hi: F.struct(F.greatest(F.lit(float(lo)), F.col(n) - shrink * (hi - lo)).alias("lo"), F.least(F.lit(float(hi)), F.col(n) + shrink * (hi - lo)).alias("hi"))
+            boxes = best.select("scene_id", F.array(*[side(n, lo, hi) for n, (lo, hi) in zip(names, bounds, strict=True)]).alias("box"), "b")
     return found
 
 
+def _width_costs(points: DataFrame, image: DataFrame, tried: DataFrame, value: str) -> DataFrame:
+    """tried with cost: each point's weighted average under each candidate's kernel, correlated per scene and candidate."""
+    kernels = tried.select("scene_id", "k", F.explode(N.gaussian_column(F.col("std_row"), F.col("std_col"), F.col("angle"))).alias("w"),
+                           F.round("xs").cast("int").alias("dx"), F.round("ys").cast("int").alias("dy"))
+    taps = points.select("scene_id", "hx", "hy", "boa").join(kernels.hint("merge"), "scene_id")
+    taps = taps.select("scene_id", "k", "hx", "hy", "boa", (F.col("hx") + F.col("dx") + F.col("w.dr")).alias("r"), (F.col("hy") + F.col("dy") + F.col("w.dc")).alias("c"), F.col("w.w").alias("w"))
+    met = taps.join(image.select(*CELL, F.col(value).alias("v")).where("v is not null").hint("merge"), [*CELL])
+    seen = met.groupBy("scene_id", "k", "hx", "hy").agg(F.first("boa").alias("boa"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+    cost = seen.groupBy("scene_id", "k").agg(F.abs(1 - correlation("v", "boa")).alias("cost")).where("cost is not null and not isnan(cost)")
+    return tried.join(cost.hint("merge"), ["scene_id", "k"])
+
+
 def pearson_cost(a: str | Column, b: str | Column) -> Column:
-    """|1 - r| as an aggregate."""
-    return F.abs(1 - F.corr(a, b))
+    """|1 - r| as an aggregate; null where a side is constant."""
+    return F.abs(1 - correlation(a, b))

@@ -37,7 +37,7 @@ def bilinear(source: DataFrame, target: DataFrame, ratio: float, value: str = "d
         ((F.col("fy") if dr else 1 - F.col("fy")) * (F.col("fx") if dc else 1 - F.col("fx"))).alias("w"))
     taps = p.select(*keys, "_r", "_c", F.explode(F.array(tap(0, 0), tap(0, 1), tap(1, 0), tap(1, 1))).alias("t"))
     taps = taps.select(*keys, "_r", "_c", F.col("t.r").alias("r"), F.col("t.c").alias("c"), F.col("t.w").alias("w")).where("w > 0")
-    met = taps.join(source.select(*keys, "r", "c", F.col(value).alias("v")).where("v is not null"), [*keys, "r", "c"])
+    met = taps.join(source.select(*keys, "r", "c", F.col(value).alias("v")).where("v is not null").hint("merge"), [*keys, "r", "c"])
     return met.groupBy(*keys, F.col("_r").alias("r"), F.col("_c").alias("c")).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias(value))
 
 
@@ -105,36 +105,36 @@ def at_shift(cells: DataFrame, image: DataFrame, xs: Column | int, ys: Column |
     return shifted.join(image.select(*CELL, value), [*CELL])
 
 
-def nearest_time(obs: DataFrame, forecast: DataFrame, variables: tuple[int, ...] = (0, 1, 2), bucket_days: int = 16) -> DataFrame:
+def nearest_time(obs: DataFrame, forecast: DataFrame, variables: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
     """Each observation with the value of each variable at the nearest forecast time, the earlier one on a tie."""
     keyed = obs.withColumn("var", F.explode(F.array(*map(F.lit, variables))))
-    return nearest_time_by(keyed, forecast, "var", bucket_days).select("scene_id", "obs_time", "var", "valid_time", "raw")
+    return nearest_time_by(keyed, forecast, "var").select("scene_id", "obs_time", "var", "valid_time", "raw")
 
 
-def nearest_time_by(obs: DataFrame, forecast: DataFrame, key: str, bucket_days: int = 16) -> DataFrame:
-    """As-of nearest join within each key, for two sides of any size.
+def nearest_time_by(obs: DataFrame, forecast: DataFrame, key: str, bucket_days: int = 1) -> DataFrame:
+    """As-of nearest join within each key. Of several values at one time the greatest counts; keys without a forecast drop out.
 
-    Both sides are dealt by (key, bucket of days), so that a key with few values does not mean few tasks. Windows
-    find the last and next time inside a bucket; a table with one row a bucket supplies those beyond its edges.
+    Each forecast time owns the span up to the middle between it and its neighbours. Spans are cut into buckets of days, which
+    observations meet on (key, bucket): no window runs over observations, whose hot keys and days Spark can split. The first and
+    last spans reach to the first and last observation, so there are about as many rows as forecasts and days together.
     """
     micros = lambda t: F.unix_micros(t.cast("timestamp"))
-    none_f = F.lit(None).cast(forecast.schema["raw"].dataType)
-    none_o = F.lit(None).cast(obs.select(F.struct("*").alias("o")).schema["o"].dataType)
-    rows = obs.select(key, F.col("obs_time").alias("t"), F.struct("*").alias("o"), none_f.alias("raw")).unionByName(
-        forecast.select(key, F.col("valid_time").alias("t"), none_o.alias("o"), "raw"))
-    rows = rows.withColumns({"bucket": F.floor(micros(F.col("t")) / (bucket_days * 86_400_000_000)), "known": F.when(F.col("o").isNull(), F.struct(F.col("t").alias("valid_time"), "raw"))})
-    edges = rows.groupBy(key, "bucket").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
-    along = Window.partitionBy(key).orderBy("bucket")
-    edges = edges.select(
-        key, "bucket", F.last("hi", True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("lo", True).over(along.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    w = Window.partitionBy(key, "bucket").orderBy("t")
-    inside = rows.withColumns({
-        "before": F.last("known", True).over(w.rangeBetween(Window.unboundedPreceding, 0)),
-        "after": F.first("known", True).over(w.rangeBetween(0, Window.unboundedFollowing))}).where("o is not null")
-    both = inside.join(edges, [key, "bucket"]).withColumns({"before": F.coalesce("before", "earlier"), "after": F.coalesce("after", "later")})
-    gap = lambda s: F.abs(micros(F.col(f"{s}.valid_time")) - micros(F.col("t")))
-    pick = F.when(F.col("before").isNull() | (F.col("after").isNotNull() & (gap("after") < gap("before"))), F.col("after")).otherwise(F.col("before"))
-    return both.withColumn("p", pick).select("o.*", "p.valid_time", "p.raw")
+    size = bucket_days * 86_400_000_000
+    span = obs.agg(F.min(micros(F.col("obs_time"))).alias("a"), F.max(micros(F.col("obs_time"))).alias("b")).first()  # one row
+    low, high = (F.lit(x if x is not None else 0).cast("long") for x in (span["a"], span["b"]))
+    once = forecast.groupBy(key, "valid_time").agg(F.max("raw").alias("raw")).withColumn("_m", micros(F.col("valid_time")))
+    times = Window.partitionBy(key).orderBy("_m")  # the forecast times of one variable
+    # Twice the middles, to stay with whole numbers: an observation at a middle belongs to the earlier time.
+    own = once.withColumns({"_after": F.lag("_m").over(times) + F.col("_m"), "_upto": F.col("_m") + F.lead("_m").over(times)})
+    bucket = lambda m: F.floor(m / size)
+    first = F.greatest(F.coalesce(bucket(F.col("_after") / 2), bucket(low)), bucket(low))
+    last = F.least(F.coalesce(bucket(F.col("_upto") / 2), bucket(high)), bucket(high))
+    spans = own.withColumns({"_first": first, "_last": last}).where("_first <= _last")
+    spans = spans.select(key, "valid_time", "raw", "_after", "_upto", F.explode(F.sequence("_first", "_last")).alias("_bucket"))
+    at = obs.withColumn("_t", micros(F.col("obs_time"))).withColumn("_bucket", bucket(F.col("_t")))
+    met = at.join(spans.hint("merge"), [key, "_bucket"])
+    mine = (F.col("_after").isNull() | (2 * F.col("_t") > F.col("_after"))) & (F.col("_upto").isNull() | (2 * F.col("_t") <= F.col("_upto")))
+    return met.where(mine).select(*obs.columns, "valid_time", "raw")
 
 
 #: Factors to optical thickness, g/cm2 and cm-atm; uncertainties where no prior is given.
@@ -152,7 +152,7 @@ def atmospheric_prior(obs: DataFrame, forecast: DataFrame, scale: float = 1.0, o
 def day_window(obs: DataFrame, series: DataFrame, half: int = 16) -> DataFrame:
     """Series rows of the days around each observation: an equi-join on the exploded day."""
     days = obs.select("*", F.explode(G.window_days(F.col("obs_time").cast("date"), half)).alias("day"))
-    return days.join(series, "day")
+    return days.join(series.hint("merge"), "day")
 
 
 def coverage(tiles: DataFrame, days: DataFrame, granules: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def normal_sums(obs: DataFrame, blocks: DataFrame, weights: DataFrame, bands: li
     blocks carries the models' inputs; they run once a block and band, not once an observation.
     """
     k = coefficients(blocks, bands, models).select(*BLOCK, "band", *[f"{c}{s}" for c in "abc" for s in ("", "_0", "_1")])
-    j = obs.join(k, [*BLOCK, "band"]).join(F.broadcast(weights), "band")
+    j = obs.join(k.hint("merge"), [*BLOCK, "band"]).join(F.broadcast(weights), "band")
     t, a, b, c = (F.col(x) for x in ("toa", "a", "b", "c"))
     r = R.surface_reflectance(t, a, b, c) - F.col("boa")
     d0, d1 = (R.surface_gradient(t, a, b, c, F.col(f"a_{i}"), F.col(f"b_{i}"), F.col(f"c_{i}")) for i in (0, 1))
@@ -179,7 +179,7 @@ def posterior(blocks: DataFrame, gamma: float = 10.0) -> DataFrame:
 def block_information(obs: DataFrame, blocks: DataFrame, weights: DataFrame, bands: list[int], models: dict) -> DataFrame:
     """Mean information on aot and tcwv per block, zeros left out."""
     k = coefficients(blocks, bands, models).select(*BLOCK, "band", *[f"{c}{s}" for c in "abc" for s in ("", "_0", "_1")])
-    j = obs.join(k, [*BLOCK, "band"]).join(F.broadcast(weights), "band")
+    j = obs.join(k.hint("merge"), [*BLOCK, "band"]).join(F.broadcast(weights), "band")
     d = [R.surface_gradient(F.col("toa"), F.col("a"), F.col("b"), F.col("c"), F.col(f"a_{i}"), F.col(f"b_{i}"), F.col(f"c_{i}")) for i in (0, 1)]
     info = [F.col("bw") * x * x / (F.col("unc") * F.col("unc")) for x in d]
     return j.groupBy(*BLOCK).agg(F.avg(F.nullif(info[0], F.lit(0.0))).alias("info_aot"), F.avg(F.nullif(info[1], F.lit(0.0))).alias("info_tcwv"))
@@ -194,7 +194,7 @@ def correct(px: DataFrame, bands: DataFrame, blocks: DataFrame, models: dict, sh
     renamed = {f"{x}{i}": f"k_{x}{i}" for x in "abc" for i in ("", "_0", "_1", "_2")}  # pixels have a column c of their own
     k = coefficients(blocks, names, models).withColumnsRenamed(renamed).select(*BLOCK, "band", *renamed.values(), "aot_unc", "tcwv_unc", "tco3_unc")
     p = px.join(F.broadcast(bands), "band").withColumns({"toa": R.calibrate(F.col("dn"), F.col("scale"), F.col("off")), "bi": block_index(F.col("r"), shape[0], n[0]), "bj": block_index(F.col("c"), shape[1], n[1])})
-    j = p.join(k, [*BLOCK, "band"])
+    j = p.join(k.hint("merge"), [*BLOCK, "band"])
     t, a, b, c = (F.col(x) for x in ("toa", "k_a", "k_b", "k_c"))
     grads = [R.surface_gradient(t, a, b, c, *[F.col(f"k_{x}_{i}") for x in "abc"]) for i in range(3)]
     unc = R.reflectance_uncertainty(grads, [F.col("aot_unc"), F.col("tcwv_unc"), F.col("tco3_unc")], R.toa_gradient(t, a, b, c), t, ozone_weight=ozone_weight)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,14 @@ from rasterloom.sources import scenes as M
 from .registry import SIDE, query, table_query
 from .scalar import _FOLD, _TILE, TOA, WIDE, _li_sql, r6, s6
 
+#: Every band of a scene as a plane of its own, for operators on one grid at a time.
+_PLANES = "pl AS (SELECT (scene_id * 8 + band)::INT AS scene_id, r, c, dn FROM fx_px)"
+
+
+def _planes(px):
+    return px.select((F.col("scene_id") * 8 + F.col("band")).cast("int").alias("scene_id"), "r", "c", "dn")
+
+
 _WATER = "coalesce(((nir - red) / nullif(nir + red, 0) < 0.01 AND nir < 0.11) OR ((nir - red) / nullif(nir + red, 0) < 0.1 AND nir < 0.05) OR nir <= 1e-4 OR red <= 1e-4, true)"
 _SNOW = "coalesce((green - swir1) / nullif(green + swir1, 0) > 0.42 OR green <= 0 OR swir1 <= 0, true)"
 _VALID = "(" + " AND ".join(f"coalesce({k} >= 1e-4, false)" for k in P.ROLES) + ")"
@@ -46,6 +55,16 @@ def bad_pixels(px, bands, qa):
     return P.bad_pixels(P.composite(P.calibrated(px, bands)), qa).withColumn("border", P.border(F.col("r"), F.col("c"), SIDE, SIDE, 5))
 
 
+@query("f05_bad_zone", "qa", sql="""WITH g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM fx_qa) s, range(40) a(r), range(40) b(c)),
+    m AS (SELECT g.*, coalesce(q.cloud_prob > 0.02, false) AS mask FROM g LEFT JOIN fx_qa q USING (scene_id, r, c)), t AS (SELECT * FROM m WHERE mask),
+    e AS (SELECT m.scene_id, m.r, m.c FROM m JOIN t ON t.scene_id = m.scene_id AND abs(t.r - m.r) <= 5 AND abs(t.c - m.c) <= 5 GROUP BY 1, 2, 3 HAVING count(*) = 121)
+    SELECT m.scene_id, m.r, m.c, EXISTS (SELECT 1 FROM e WHERE e.scene_id = m.scene_id AND abs(e.r - m.r) <= 32 AND abs(e.c - m.c) <= 32) AS mask FROM m""")
+def bad_zone(qa):
+    """Erosion by 5 and growth by the reach of the point spread at 500 m."""
+    mask = qa.select("scene_id", "r", "c", (F.col("cloud_prob") > 0.02).alias("mask"))
+    return N.bad_zone(N.dense(mask, SIDE, SIDE), 500)
+
+
 @query("f07_in_range", "px", "bands", sql=f"WITH {TOA} SELECT scene_id, r, c, bool_and(coalesce(toa - 0.2 >= 0.001 AND toa - 0.2 < 1, false)) AS ok FROM fx_toa GROUP BY 1, 2, 3")
 def in_range(px, bands):
     return P.in_range(P.calibrated(px, bands).withColumn("boa", F.col("toa") - 0.2))
@@ -75,12 +94,11 @@ def dense_blocks(px):
     return P.dense_blocks(o)
 
 
-@query("f12_u03_scene_gate", "px", sql="""WITH g AS (SELECT scene_id, count(*) FILTER (dn > 9000) AS n_good, count(*) FILTER (dn > 9000 AND band = scene_id + 1) AS n_passed FROM fx_px GROUP BY 1), k AS (SELECT scene_id FROM g WHERE n_good > 10 AND n_passed > 3)
-    SELECT scene_id, band, r, c, dn * 2 AS dn FROM fx_px WHERE scene_id IN (SELECT scene_id FROM k) AND band = 1 UNION ALL SELECT scene_id, band, r, c, dn FROM fx_px WHERE scene_id NOT IN (SELECT scene_id FROM k) AND band = 1""")
+@query("f12_u03_scene_gate", "px", sql="""WITH g AS (SELECT scene_id, count(*) FILTER (dn > 9000) AS n_good, count(*) FILTER (dn > 9000 AND band = scene_id % 4 + 1) AS n_passed FROM fx_px GROUP BY 1), k AS (SELECT scene_id FROM g WHERE n_good > 10 AND n_passed > 3)
+    SELECT scene_id, band, r, c, dn * 2 AS dn FROM fx_px WHERE scene_id IN (SELECT scene_id FROM k) UNION ALL SELECT scene_id, band, r, c, dn FROM fx_px WHERE scene_id NOT IN (SELECT scene_id FROM k)""")
 def scene_gate(px):
-    gate = P.scene_gate(px.select("scene_id", (F.col("dn") > 9000).alias("good"), (F.col("band") == F.col("scene_id") + 1).alias("passed")))
-    one = px.where("band = 1")
-    return P.solved_or_prior(one.withColumn("dn", F.col("dn") * 2), one, gate)
+    gate = P.scene_gate(px.select("scene_id", (F.col("dn") > 9000).alias("good"), (F.col("band") == F.col("scene_id") % 4 + 1).alias("passed")))
+    return P.solved_or_prior(px.withColumn("dn", F.col("dn") * 2), px, gate)
 
 
 @query("f13_clear_scenes", "qa", sql="SELECT DISTINCT scene_id FROM fx_qa q WHERE EXISTS (SELECT 1 FROM fx_qa p WHERE p.scene_id = q.scene_id AND p.cloud_prob <= 0.6)")
@@ -88,21 +106,23 @@ def clear_scenes(qa):
     return P.with_clear_pixel(qa.select("scene_id").distinct(), qa)
 
 
-_COARSE = "SELECT DISTINCT scene_id, r // 2 AS r, c // 2 AS c FROM fx_px"
+_COARSE = _PLANES + ", t AS (SELECT DISTINCT scene_id, r // 2 AS r, c // 2 AS c FROM pl)"
 
 
-@query("d02_nearest", "px", sql=f"WITH t AS ({_COARSE}), a AS (SELECT *, floor((r + 0.5) * 2)::INT AS sr, floor((c + 0.5) * 2)::INT AS sc FROM t) SELECT a.scene_id, a.r::INT AS r, a.c::INT AS c, p.dn FROM a LEFT JOIN fx_px p ON p.scene_id = a.scene_id AND p.r = sr AND p.c = sc AND p.band = 1")
+@query("d02_nearest", "px", sql=f"WITH {_COARSE}, a AS (SELECT *, floor((r + 0.5) * 2)::INT AS sr, floor((c + 0.5) * 2)::INT AS sc FROM t) SELECT a.scene_id, a.r::INT AS r, a.c::INT AS c, p.dn FROM a LEFT JOIN pl p ON p.scene_id = a.scene_id AND p.r = sr AND p.c = sc")
 def nearest(px):
+    px = _planes(px)
     target = px.select("scene_id", F.expr("r div 2").cast("int").alias("r"), F.expr("c div 2").cast("int").alias("c")).distinct()
-    return D.nearest(px.where("band = 1"), target, 2.0)
+    return D.nearest(px, target, 2.0)
 
 
-@query("d03_bilinear", "px", sql=f"""WITH t AS ({_COARSE}), a AS (SELECT scene_id, r, c, (r + 0.5) * 1.5 - 0.5 AS y, (c + 0.5) * 1.5 - 0.5 AS x FROM t), k AS (SELECT a.*, floor(y)::INT + dr AS sr, floor(x)::INT + dc AS sc,
+@query("d03_bilinear", "px", sql=f"""WITH {_COARSE}, a AS (SELECT scene_id, r, c, (r + 0.5) * 1.5 - 0.5 AS y, (c + 0.5) * 1.5 - 0.5 AS x FROM t), k AS (SELECT a.*, floor(y)::INT + dr AS sr, floor(x)::INT + dc AS sc,
     ((CASE WHEN dr = 1 THEN y - floor(y) ELSE 1 - y + floor(y) END) * (CASE WHEN dc = 1 THEN x - floor(x) ELSE 1 - x + floor(x) END))::DOUBLE AS w FROM a, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dr, dc))
-    SELECT k.scene_id, k.r::INT AS r, k.c::INT AS c, {s6('sum(w * dn) / sum(w)', 'dn')} FROM k JOIN fx_px p ON p.scene_id = k.scene_id AND p.r = sr AND p.c = sc AND p.band = 1 WHERE w > 0 GROUP BY 1, 2, 3""")
+    SELECT k.scene_id, k.r::INT AS r, k.c::INT AS c, {s6('sum(w * dn) / sum(w)', 'dn')} FROM k JOIN pl p ON p.scene_id = k.scene_id AND p.r = sr AND p.c = sc WHERE w > 0 GROUP BY 1, 2, 3""")
 def bilinear(px):
+    px = _planes(px)
     target = px.select("scene_id", F.expr("r div 2").cast("int").alias("r"), F.expr("c div 2").cast("int").alias("c")).distinct()
-    return D.bilinear(px.where("band = 1"), target, 1.5).select("scene_id", "r", "c", r6(F.col("dn"), "dn"))
+    return D.bilinear(px, target, 1.5).select("scene_id", "r", "c", r6(F.col("dn"), "dn"))
 
 
 @query("d04_a18_average", "px", sql=f"SELECT scene_id, band, (r // 4)::BIGINT AS r, (c // 4)::BIGINT AS c, {s6('avg(dn)', 'dn')} FROM fx_px GROUP BY 1, 2, 3, 4")
@@ -136,25 +156,42 @@ def _cells(a):
     return D.correspondence(k, 40.0, 10.0)
 
 
-@query("d07_d08_f10_shifted", "angles", "px", sql=f"WITH {_CELLS} SELECT h.scene_id, hx, hy, {s6('boa', 'boa')}, p.dn FROM h JOIN fx_px p ON p.scene_id = h.scene_id AND p.r = hx + 2 AND p.c = hy - 1 AND p.band = 3")
+_PLANE_CELLS = _CELLS + ", hb AS (SELECT (scene_id * 8 + b)::INT AS scene_id, boa, hx, hy FROM h, range(1, 8) t(b)), " + _PLANES
+
+
+def _plane_cells(a):
+    each = _cells(a).withColumn("band", F.explode(F.array(*map(F.lit, range(1, 8)))))
+    return each.select((F.col("scene_id") * 8 + F.col("band")).cast("int").alias("scene_id"), "boa", "hx", "hy")
+
+
+@query("d07_d08_f10_shifted", "angles", "px", sql=f"WITH {_PLANE_CELLS} SELECT h.scene_id, hx, hy, {s6('boa', 'boa')}, p.dn FROM hb h JOIN pl p ON p.scene_id = h.scene_id AND p.r = hx + 2 AND p.c = hy - 1")
 def shifted(a, px):
-    return D.at_shift(_cells(a).drop("r", "c"), px.where("band = 3"), 2, -1).select("scene_id", "hx", "hy", r6(F.col("boa"), "boa"), "dn")
+    return D.at_shift(_plane_cells(a), _planes(px), 2, -1).select("scene_id", "hx", "hy", r6(F.col("boa"), "boa"), "dn")
+
 
+def _near(obs: str) -> str:
+    """n: each row of obs(scene_id, obs_time, var) with the nearest forecast, the earlier one on a tie."""
+    return f"""o3 AS ({obs}), t AS (SELECT var, valid_time, max(raw) AS raw FROM fx_forecast GROUP BY 1, 2),
+    b AS (SELECT o3.*, t.valid_time AS bt, t.raw AS br FROM o3 ASOF LEFT JOIN t ON o3.var = t.var AND o3.obs_time >= t.valid_time),
+    e AS (SELECT b.*, t.valid_time AS et, t.raw AS er FROM b ASOF LEFT JOIN t ON b.var = t.var AND b.obs_time <= t.valid_time),
+    p AS (SELECT *, bt IS NULL OR (et IS NOT NULL AND epoch_us(et) - epoch_us(obs_time) < epoch_us(obs_time) - epoch_us(bt)) AS later FROM e WHERE bt IS NOT NULL OR et IS NOT NULL),
+    n AS (SELECT scene_id, obs_time, var, CASE WHEN later THEN et ELSE bt END AS valid_time, CASE WHEN later THEN er ELSE br END AS raw FROM p)"""
 
-_NEAR = "n AS (SELECT o.scene_id, o.obs_time, f.var, f.valid_time, f.raw, row_number() OVER (PARTITION BY o.scene_id, f.var ORDER BY abs(epoch_us(f.valid_time) - epoch_us(o.obs_time)), f.valid_time) AS k FROM fx_obs o CROSS JOIN fx_forecast f)"
 
+_NEAR = _near("SELECT scene_id, obs_time, v::INT AS var FROM fx_obs, range(3) x(v)")
 
-@query("d09_nearest_time", "obs", "forecast", sql=f"WITH {_NEAR} SELECT scene_id, obs_time, var, valid_time, raw FROM n WHERE k = 1")
+
+@query("d09_nearest_time", "obs", "forecast", sql=f"WITH {_NEAR} SELECT * FROM n")
 def nearest_time(o, f):
     return D.nearest_time(o, f)
 
 
-@query("d09_nearest_time_by", "obs", "forecast", sql=f"""WITH {_NEAR.replace('fx_obs o CROSS JOIN fx_forecast f', '(SELECT *, (scene_id % 3)::INT AS var FROM fx_obs) o JOIN fx_forecast f USING (var)').replace('f.var', 'var')} SELECT scene_id, obs_time, var, valid_time, raw FROM n WHERE k = 1""")
+@query("d09_nearest_time_by", "obs", "forecast", sql=f"WITH {_near('SELECT scene_id, obs_time, (scene_id % 3)::INT AS var FROM fx_obs')} SELECT * FROM n")
 def nearest_time_by(o, f):
     return D.nearest_time_by(o.withColumn("var", (F.col("scene_id") % 3).cast("int")), f, "var")
 
 
-@query("s09_prior", "obs", "forecast", sql=f"WITH {_NEAR} SELECT scene_id, var, {s6('(raw * 0.001 + 0.1) * [1.0, 0.1, 46.698][var + 1]', 'value')}, [0.4, 0.1, 0.05][var + 1]::DOUBLE AS unc FROM n WHERE k = 1")
+@query("s09_prior", "obs", "forecast", sql=f"WITH {_NEAR} SELECT scene_id, var, {s6('(raw * 0.001 + 0.1) * [1.0, 0.1, 46.698][var + 1]', 'value')}, [0.4, 0.1, 0.05][var + 1]::DOUBLE AS unc FROM n")
 def prior(o, f):
     return D.atmospheric_prior(o, f, 0.001, 0.1).select("scene_id", "var", r6(F.col("value"), "value"), "unc")
 
@@ -164,60 +201,34 @@ def day_window(b):
     return S.brdf_window(b, "2024-01-16").select("cell_id", "band", "day", "f_iso", "f_vol", "f_geo", r6(F.col("weight"), "weight"))
 
 
-@query("d10_obs_window", "obs", "granules", sql="SELECT o.scene_id, g.tile, g.day, g.granule FROM (SELECT * FROM fx_obs WHERE scene_id % 10 = 0) o JOIN (SELECT tile, granule, CAST(day - 8766 + (strftime(day, '%j')::INT * 37) % 2500 AS DATE) AS day FROM fx_granules) g ON g.day BETWEEN o.obs_time::DATE - 16 AND o.obs_time::DATE + 16")
+@query("d10_obs_window", "obs", "granules", sql="SELECT o.scene_id, g.tile, g.day, g.granule FROM fx_obs o JOIN (SELECT tile, granule, CAST(day - 8766 + (strftime(day, '%j')::INT * 37) % 2500 AS DATE) AS day FROM fx_granules) g ON g.day BETWEEN o.obs_time::DATE - 16 AND o.obs_time::DATE + 16")
 def obs_window(o, g):
-    old = g.select("tile", "granule", F.date_add(F.date_sub("day", 8766), (F.dayofyear("day") * 37) % 2500).alias("day"))
-    return D.day_window(o.where("scene_id % 10 = 0"), old).select("scene_id", "tile", "day", "granule")
-
-
-@query("d11_coverage", "granules", sql="WITH d AS (SELECT DISTINCT day FROM fx_granules WHERE day < DATE '2024-01-11'), t AS (SELECT DISTINCT tile FROM fx_granules) SELECT tile, day, (SELECT min(granule) FROM fx_granules g WHERE g.tile = t.tile AND g.day = d.day) AS granule FROM t, d")
-def coverage(g):
-    return D.coverage(g.select("tile"), g.where("day < date'2024-01-11'").select("day"), g)
-
-
-@query("d12_o04_tiles", "points", "granules", sql=f"WITH t AS (SELECT DISTINCT {_TILE} AS tile FROM fx_points WHERE point_id < 200) SELECT granule, tile, day FROM fx_granules WHERE tile IN (SELECT tile FROM t)")
-def tiles(p, g):
-    return D.touched_tiles(p.where("point_id < 200"), g).select("granule", "tile", "day")
-
-
-# The same over every row of the tables: no share of the orders, scenes, days or points is left out.
-_NEAR_ALL = _NEAR.replace("fx_forecast", "fx_forecast_all")
-_NEAR_BY_ALL = _NEAR_ALL.replace("fx_obs o CROSS JOIN fx_forecast_all f", "(SELECT *, (scene_id % 3)::INT AS var FROM fx_obs) o JOIN fx_forecast_all f USING (var)").replace("f.var", "var")
-query("d09_nearest_time_whole", "obs", "forecast_all", sql=f"WITH {_NEAR_ALL} SELECT scene_id, obs_time, var, valid_time, raw FROM n WHERE k = 1")(nearest_time)
-query("d09_nearest_time_by_whole", "obs", "forecast_all", sql=f"WITH {_NEAR_BY_ALL} SELECT scene_id, obs_time, var, valid_time, raw FROM n WHERE k = 1")(nearest_time_by)
-query("s09_prior_whole", "obs", "forecast_all", sql=f"WITH {_NEAR_ALL} SELECT scene_id, var, {s6('(raw * 0.001 + 0.1) * [1.0, 0.1, 46.698][var + 1]', 'value')}, [0.4, 0.1, 0.05][var + 1]::DOUBLE AS unc FROM n WHERE k = 1")(prior)
-
-
-@query("d10_obs_window_whole", "obs", "granules", sql="SELECT o.scene_id, g.tile, g.day, g.granule FROM fx_obs o JOIN (SELECT tile, granule, CAST(day - 8766 + (strftime(day, '%j')::INT * 37) % 2500 AS DATE) AS day FROM fx_granules) g ON g.day BETWEEN o.obs_time::DATE - 16 AND o.obs_time::DATE + 16")
-def obs_window_whole(o, g):
     old = g.select("tile", "granule", F.date_add(F.date_sub("day", 8766), (F.dayofyear("day") * 37) % 2500).alias("day"))
     return D.day_window(o, old).select("scene_id", "tile", "day", "granule")
 
 
-@query("d11_coverage_whole", "granules", sql="WITH d AS (SELECT DISTINCT day FROM fx_granules), t AS (SELECT DISTINCT tile FROM fx_granules) SELECT tile, day, (SELECT min(granule) FROM fx_granules g WHERE g.tile = t.tile AND g.day = d.day) AS granule FROM t, d")
-def coverage_whole(g):
+@query("d11_coverage", "granules", sql="WITH d AS (SELECT DISTINCT day FROM fx_granules), t AS (SELECT DISTINCT tile FROM fx_granules) SELECT tile, day, (SELECT min(granule) FROM fx_granules g WHERE g.tile = t.tile AND g.day = d.day) AS granule FROM t, d")
+def coverage(g):
     return D.coverage(g.select("tile"), g.select("day"), g)
 
 
-@query("d12_o04_tiles_whole", "points", "granules", sql=f"WITH t AS (SELECT DISTINCT {_TILE} AS tile FROM fx_points) SELECT granule, tile, day FROM fx_granules WHERE tile IN (SELECT tile FROM t)")
-def tiles_whole(p, g):
+@query("d12_o04_tiles", "points", "granules", sql=f"WITH t AS (SELECT DISTINCT {_TILE} AS tile FROM fx_points) SELECT granule, tile, day FROM fx_granules WHERE tile IN (SELECT tile FROM t)")
+def tiles(p, g):
     return D.touched_tiles(p, g).select("granule", "tile", "day")
 
 
-@query("d13_nearest_fill", "px", sql="""WITH g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM fx_px) s, range(40) a(r), range(40) b(c)), p AS (SELECT * FROM fx_px WHERE band = 5 AND dn > 6000),
-    n AS (SELECT g.*, p.dn, row_number() OVER (PARTITION BY g.scene_id, g.r, g.c ORDER BY (p.r - g.r) * (p.r - g.r) + (p.c - g.c) * (p.c - g.c), p.r, p.c) AS k FROM g JOIN p ON p.scene_id = g.scene_id AND abs(p.r - g.r) <= 16 AND abs(p.c - g.c) <= 16 AND (p.r - g.r) * (p.r - g.r) + (p.c - g.c) * (p.c - g.c) <= 256)
-    SELECT g.scene_id, g.r, g.c, n.dn FROM g LEFT JOIN n ON n.scene_id = g.scene_id AND n.r = g.r AND n.c = g.c AND k = 1""")
-def nearest_fill(px):
-    return N.nearest_fill(N.dense(px.where("band = 5 AND dn > 6000"), SIDE, SIDE, "dn"), "dn", 16)
+def _filled(known: str) -> str:
+    """fill: every cell of every plane with the nearest value among known ones; of equal distances the least (row, column)."""
+    return f"""{_PLANES}, g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM pl) s, range(40) a(r), range(40) b(c)), p AS (SELECT * FROM pl WHERE {known}),
+    own AS (SELECT g.*, p.dn FROM g LEFT JOIN p USING (scene_id, r, c)),
+    far AS (SELECT o.scene_id, o.r, o.c, arg_min(p.dn, ((p.r - o.r) * (p.r - o.r) + (p.c - o.c) * (p.c - o.c)) * 10000 + p.r * 100 + p.c) AS dn FROM own o JOIN p ON p.scene_id = o.scene_id WHERE o.dn IS NULL GROUP BY 1, 2, 3),
+    fill AS (SELECT own.scene_id, own.r, own.c, coalesce(own.dn, far.dn) AS dn FROM own LEFT JOIN far USING (scene_id, r, c))"""
 
 
-@query("d13_nearest_fill_any", "px", sql="""WITH g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM fx_px) s, range(40) a(r), range(40) b(c)), p AS (SELECT * FROM fx_px WHERE band = 5 AND dn > 9000),
-    n AS (SELECT g.*, p.dn, row_number() OVER (PARTITION BY g.scene_id, g.r, g.c ORDER BY (p.r - g.r) * (p.r - g.r) + (p.c - g.c) * (p.c - g.c), p.r, p.c) AS k FROM g JOIN p ON p.scene_id = g.scene_id)
-    SELECT g.scene_id, g.r, g.c, n.dn FROM g LEFT JOIN n ON n.scene_id = g.scene_id AND n.r = g.r AND n.c = g.c AND k = 1""")
-def nearest_fill_any(px):
+@query("d13_nearest_fill", "px", sql=f"WITH {_filled('dn > 8000')} SELECT * FROM fill")
+def nearest_fill(px):
     """Few known cells, at any distance."""
-    few = px.select("scene_id", "r", "c", F.when((F.col("band") == 5) & (F.col("dn") > 9000), F.col("dn")).alias("dn")).groupBy(*N.CELL).agg(F.max("dn").alias("dn"))
-    return N.nearest_fill(N.dense(few, SIDE, SIDE, "dn"), "dn")
+    return N.nearest_fill(N.dense(_planes(px).withColumn("dn", F.when(F.col("dn") > 8000, F.col("dn"))), SIDE, SIDE, "dn"), "dn")
 
 
 @query("d14_d15_block_lookup", "px", "angles", sql=f"WITH b AS (SELECT scene_id, r // 8 AS bi, c // 8 AS bj, avg(sza) AS aot FROM fx_angles GROUP BY 1, 2, 3) SELECT p.scene_id, p.band, p.r, p.c, {s6('aot', 'aot')} FROM fx_px p JOIN b ON b.scene_id = p.scene_id AND b.bi = trunc(p.r / 40.0::DOUBLE * 5) AND b.bj = trunc(p.c / 40.0::DOUBLE * 5)")
@@ -287,9 +298,18 @@ def fit_report(s):
     return K.fit_report(s, f, ["pixel"]).select("sample_id", "pixel", "refl", r6(F.col("modelled"), "modelled", 5))
 
 
-@query("a11_o03_hot_spot", "samples")
+@query("a11_o03_hot_spot", "samples", sql=f"""WITH {_FOLD}, {_li_sql(A.SPARSE_SHAPE, 'a')}, w AS (SELECT i, i * radians(10) / 1000 AS xi FROM range(1000) t(i)),
+    k0 AS (SELECT pixel, refl, x, body / (cos(v) + cos(s)) AS b, o - secants + 0.5 * (1 + cq) / cos(v1) / cos(s1) AS kg FROM lia),
+    k AS (SELECT pixel, xi, refl, kg, CASE WHEN i > 0 THEN b * (1 + 1 / (1 + x / xi)) - pi() / 2 ELSE b - pi() / 4 END AS kv FROM k0, w),
+    {_SOLVE.replace('SELECT pixel, count', 'SELECT pixel, xi, count').replace('GROUP BY 1)', 'GROUP BY 1, 2)')}, q AS (SELECT pixel, xi, p0, p1, p2, sqrt(greatest(rr - p0 * x - p1 * y - p2 * z, 0) / a) AS rmse FROM p WHERE p0 IS NOT NULL),
+    m1 AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY rmse, xi) AS n FROM q)
+    SELECT pixel, {s6('rmse', 'rmse', 5)} FROM m1 WHERE n = 1""")
 def hot_spot(s):
-    """Best of 1000 widths for every pixel."""
+    """Error at the best of 1000 widths for every pixel (of widths with errors that differ by rounding alone, either may be the best)."""
+    return best_widths(s).select("pixel", r6(F.col("rmse"), "rmse", 5))
+
+
+def best_widths(s):
     return K.hot_spot_search(s, ["pixel"], K.hot_spot_grid(s.sparkSession))
 
 
@@ -307,18 +327,9 @@ def median(a):
 
 
 @query("a16_azimuth_mode", "angles", sql=f"""WITH a AS (SELECT scene_id, saa - 180 AS v, saa - 180 > 0 AS positive FROM fx_angles WHERE saa <> 180), s AS (SELECT scene_id, positive, min(v) AS lo, max(v) AS hi FROM a GROUP BY 1, 2),
-    k AS (SELECT scene_id, positive, lo, hi, coalesce(least(floor((v - lo) * 50 / nullif(hi - lo, 0)), 49), 0) AS k, count(*) AS n FROM a JOIN s USING (scene_id, positive) GROUP BY 1, 2, 3, 4, 5)
-    SELECT scene_id, positive, {s6('min_by(lo + k * (hi - lo) / 50, -n * 1000 + k)', 'mode')} FROM k GROUP BY 1, 2""")
-def azimuth_mode(a):
-    out = K.azimuth_mode(a.withColumn("vaa", F.col("saa") - 180), 50)
-    return out.select("scene_id", "positive", r6(F.col("mode"), "mode"))
-
-
-@query("a16_azimuth_mode_1000", "angles", sql=f"""WITH a AS (SELECT scene_id, saa - 180 AS v, saa - 180 > 0 AS positive FROM fx_angles WHERE saa <> 180), s AS (SELECT scene_id, positive, min(v) AS lo, max(v) AS hi FROM a GROUP BY 1, 2),
     k AS (SELECT scene_id, positive, lo, hi, coalesce(least(floor((v - lo) * 1000 / nullif(hi - lo, 0)), 999), 0) AS k, count(*) AS n FROM a JOIN s USING (scene_id, positive) GROUP BY 1, 2, 3, 4, 5)
     SELECT scene_id, positive, {s6('min_by(lo + k * (hi - lo) / 1000, -n * 1000 + k)', 'mode')} FROM k GROUP BY 1, 2""")
-def azimuth_mode_1000(a):
-    """The operator's own 1000 classes."""
+def azimuth_mode(a):
     out = K.azimuth_mode(a.withColumn("vaa", F.col("saa") - 180))
     return out.select("scene_id", "positive", r6(F.col("mode"), "mode"))
 
@@ -348,11 +359,11 @@ def landsat_scaling(m):
     return M.landsat_scaling(m).select("scene_id", "mult")
 
 
-_MASK = "g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM fx_px) s, range(40) a(r), range(40) b(c)), m AS (SELECT g.*, coalesce(p.dn > 9300, false) AS mask FROM g LEFT JOIN fx_px p ON p.scene_id = g.scene_id AND p.r = g.r AND p.c = g.c AND p.band = 2)"
+_MASK = _PLANES + ", g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM pl) s, range(40) a(r), range(40) b(c)), m AS (SELECT g.*, coalesce(p.dn > 9300, false) AS mask FROM g LEFT JOIN pl p ON p.scene_id = g.scene_id AND p.r = g.r AND p.c = g.c)"
 
 
 def _mask(px, limit=9300):
-    return N.dense(px.where("band = 2").withColumn("mask", F.col("dn") > limit), SIDE, SIDE)
+    return N.dense(_planes(px).withColumn("mask", F.col("dn") > limit), SIDE, SIDE)
 
 
 @query("n01_dilate", "px", sql=f"WITH {_MASK}, t AS (SELECT * FROM m WHERE mask) SELECT m.scene_id, m.r, m.c, EXISTS (SELECT 1 FROM t WHERE t.scene_id = m.scene_id AND abs(t.r - m.r) <= 3 AND abs(t.c - m.c) <= 3) AS mask FROM m")
@@ -362,32 +373,42 @@ def dilate(px):
 
 @query("n02_erode", "px", sql=f"WITH {_MASK.replace('p.dn > 9300', 'p.dn IS NULL')}, t AS (SELECT * FROM m WHERE mask) SELECT m.scene_id, m.r, m.c, (SELECT count(*) FROM t WHERE t.scene_id = m.scene_id AND abs(t.r - m.r) <= 1 AND abs(t.c - m.c) <= 1) = 9 AS mask FROM m")
 def erode(px):
-    return N.erode(N.dense(px.where("band = 2").withColumn("mask", F.lit(False)), SIDE, SIDE).withColumn("mask", F.col("mask").isNull()), 1)
+    return N.erode(N.dense(_planes(px).withColumn("mask", F.lit(False)), SIDE, SIDE).withColumn("mask", F.col("mask").isNull()), 1)
 
 
 @query("n03_open", "px", sql=f"""WITH {_MASK.replace('p.dn > 9300', 'p.dn IS NULL').replace('coalesce(p.dn IS NULL, false)', 'p.dn IS NULL')}, e AS (SELECT m.scene_id, m.r, m.c, NOT EXISTS (SELECT 1 FROM m t WHERE NOT t.mask AND t.scene_id = m.scene_id AND (t.r - m.r) * (t.r - m.r) + (t.c - m.c) * (t.c - m.c) <= 1) AS mask FROM m)
     SELECT e.scene_id, e.r, e.c, EXISTS (SELECT 1 FROM e t WHERE t.mask AND t.scene_id = e.scene_id AND (t.r - e.r) * (t.r - e.r) + (t.c - e.c) * (t.c - e.c) <= 9) AS mask FROM e""")
 def open_mask(px):
-    holes = N.dense(px.where("band = 2").withColumn("mask", F.lit(False)), SIDE, SIDE).withColumn("mask", F.col("mask").isNull())
+    holes = N.dense(_planes(px).withColumn("mask", F.lit(False)), SIDE, SIDE).withColumn("mask", F.col("mask").isNull())
     return N.open_mask(holes, 1, 3)
 
 
 _W = N.gaussian(1.2, 1.6)
 
 
-@query("n04_n05_psf_average", "angles", "px", sql=f"""WITH {_CELLS}, w AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {k!r}::DOUBLE)' for a, b, k in _W)}) t(dr, dc, w)),
-    s AS (SELECT h.scene_id, hx, hy, w, CASE WHEN hx + dr >= 40 OR hy + dc >= 40 THEN 0 ELSE p.dn END AS v FROM h CROSS JOIN w LEFT JOIN fx_px p ON p.scene_id = h.scene_id AND p.r = hx + dr AND p.c = hy + dc AND p.band = 4)
+@query("n04_n05_psf_average", "angles", "px", sql=f"""WITH {_PLANE_CELLS}, w AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {k!r}::DOUBLE)' for a, b, k in _W)}) t(dr, dc, w)),
+    s AS (SELECT h.scene_id, hx, hy, w, CASE WHEN hx + dr >= 40 OR hy + dc >= 40 THEN 0 ELSE p.dn END AS v FROM hb h CROSS JOIN w LEFT JOIN pl p ON p.scene_id = h.scene_id AND p.r = hx + dr AND p.c = hy + dc)
     SELECT scene_id, hx AS r, hy AS c, {s6('sum(v * w) / sum(w)', 'dn')} FROM s WHERE v IS NOT NULL GROUP BY 1, 2, 3""")
 def psf_average(a, px):
-    points = _cells(a).select("scene_id", F.col("hx").alias("r"), F.col("hy").alias("c"))
-    return N.psf_average(points, px.where("band = 4"), _W, shape=(SIDE, SIDE)).select("scene_id", "r", "c", r6(F.col("dn"), "dn"))
+    points = _plane_cells(a).select("scene_id", F.col("hx").alias("r"), F.col("hy").alias("c"))
+    return N.psf_average(points, _planes(px), _W, shape=(SIDE, SIDE)).select("scene_id", "r", "c", r6(F.col("dn"), "dn"))
 
 
-@query("n06_smooth", "px", sql=None)
+def _gauss_pass(src: str, axis: str, std: float) -> str:
+    n = math.ceil(4 * std)
+    w = [math.exp(-0.5 * (k / std) ** 2) for k in range(-n, n + 1)]
+    taps = ", ".join(f"({k}, {x / sum(w)!r}::DOUBLE)" for k, x in zip(range(-n, n + 1), w, strict=True))
+    other = "c" if axis == "r" else "r"
+    at = f"(((t.i + k.d) % 80) + 80) % 80"
+    return f"""SELECT f.scene_id, {'t.i::INT AS r, f.c' if axis == 'r' else 'f.r, t.i::INT AS c'}, sum(k.w * f.dn) AS dn FROM range(40) t(i) CROSS JOIN (VALUES {taps}) k(d, w)
+    JOIN {src} f ON f.{axis} = CASE WHEN {at} >= 40 THEN 79 - {at} ELSE {at} END GROUP BY f.scene_id, t.i, f.{other}"""
+
+
+@query("n06_smooth", "px", sql=f"WITH {_filled('dn IS NOT NULL')}, rowed AS ({_gauss_pass('fill', 'r', 1.5)}), both_ways AS ({_gauss_pass('rowed', 'c', 2.0)}) SELECT scene_id, r, c, {s6('dn', 'dn', 5)} FROM both_ways")
 def smooth(px):
-    """Mirrored Gaussian of the nearest-filled band 4."""
-    full = N.nearest_fill(N.dense(px.where("band = 4"), SIDE, SIDE, "dn"), "dn")
-    return N.smooth(full, 1.5, 2.0, SIDE, SIDE).select("scene_id", "r", "c", r6(F.col("dn"), "dn"))
+    """Mirrored Gaussian of the nearest-filled planes."""
+    full = N.nearest_fill(N.dense(_planes(px), SIDE, SIDE, "dn"), "dn")
+    return N.smooth(full, 1.5, 2.0, SIDE, SIDE).select("scene_id", "r", "c", r6(F.col("dn"), "dn", 5))
 
 
 @query("n10_smoothness", "angles", sql=f"""WITH b AS (SELECT scene_id, r AS bi, c AS bj, vza AS aot FROM fx_angles), d AS (SELECT a.scene_id, a.bi, a.bj, a.aot, n.bi AS ni, n.bj AS nj, a.aot - n.aot AS d FROM b a JOIN b n ON a.scene_id = n.scene_id AND abs(a.bi - n.bi) + abs(a.bj - n.bj) = 1),
@@ -400,28 +421,59 @@ def smoothness(a):
     return out.select("scene_id", "bi", "bj", r6(F.coalesce("cost", F.lit(0.0)), "cost", 5), r6(F.coalesce("gradient", F.lit(0.0)), "gradient", 5))
 
 
-@query("r01_o02_shift_search", "angles", "px", sql=f"""WITH {_CELLS}, s AS (SELECT xs::INT AS xs, ys::INT AS ys FROM range(-3, 3) a(xs), range(-3, 3) b(ys)),
-    q AS (SELECT h.scene_id, xs, ys, corr(p.dn, boa) AS r FROM h CROSS JOIN s JOIN fx_px p ON p.scene_id = h.scene_id AND p.r = hx + xs AND p.c = hy + ys AND p.band = 4 GROUP BY 1, 2, 3),
-    b AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY abs(1 - r), xs, ys) AS k FROM q WHERE r IS NOT NULL AND NOT isnan(r))
-    SELECT scene_id, CASE WHEN 1 - abs(1 - r) >= 0.05 THEN xs ELSE 0 END AS xs, CASE WHEN 1 - abs(1 - r) >= 0.05 THEN ys ELSE 0 END AS ys, {s6('r', 'r', 4)} FROM b WHERE k = 1""")
+@query("r01_o02_shift_search", "angles", "px", sql=f"""WITH {_CELLS}, s AS (SELECT xs::INT AS xs, ys::INT AS ys FROM range(-50, 50) a(xs), range(-50, 50) b(ys)),
+    q AS (SELECT h.scene_id, p.r - hx AS xs, p.c - hy AS ys, corr(p.dn, boa) AS r, count(*) AS n FROM h JOIN fx_px p ON p.scene_id = h.scene_id AND p.band = 4 AND p.r - hx BETWEEN -50 AND 49 AND p.c - hy BETWEEN -50 AND 49 GROUP BY 1, 2, 3),
+    b AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY round(abs(1 - r), 9), -n, xs, ys) AS k FROM q WHERE r IS NOT NULL AND NOT isnan(r))
+    SELECT scene_id, CASE WHEN 1 - abs(1 - r) >= 0.6 THEN xs ELSE 0 END AS xs, CASE WHEN 1 - abs(1 - r) >= 0.6 THEN ys ELSE 0 END AS ys, {s6('r', 'r', 4)} FROM b WHERE k = 1""")
 def shift_search(a, px):
-    out = X.search_shift(_cells(a).select("scene_id", "hx", "hy", "boa"), px.where("band = 4"), 3, exhaustive=True, accept=0.05)
-    return out.select("scene_id", "xs", "ys", r6(F.col("r"), "r", 4))
-
-
-@query("r01_o02_shift_search_50", "angles", "px")
-def shift_search_50(a, px):
-    """Every shift in [-50, 50), accepted from 0.6 on."""
-    out = X.search_shift(_cells(a).select("scene_id", "hx", "hy", "boa"), px.where("band = 4"), exhaustive=True)
+    """Every shift in [-50, 50) of the reference band, accepted from 0.6 on."""
+    out = X.search_shift(_cells(a).select("scene_id", "hx", "hy", "boa"), px.where("band = 4"))
     return out.select("scene_id", "xs", "ys", r6(F.col("r"), "r", 4))
 
 
-@query("n08_n09_a07_temporal", "brdf")
+@query("r02_width_search", "angles", "px")
+def width_search(a, px):
+    """Widths, angle and shift of each scene's point spread that agree best, of 50 starts and two rounds around the best five."""
+    found = X.search_width(_cells(a).select("scene_id", "hx", "hy", "boa"), px.where("band = 4"))
+    best = F.min_by(F.struct("std_row", "std_col", "angle", "xs", "ys", "cost"), F.struct("cost", "k"))
+    return found.groupBy("scene_id").agg(best.alias("b")).select("scene_id", "b.*")
+
+
+def _robust_rounds(rounds: int, strength: float = 2.0) -> str:
+    """x{rounds}: smoothed value x and weight w of every (cell_id, band, var, i), by tridiagonal sweeps over the days."""
+    t = math.sqrt(1 + 16 * strength)
+    leverage = math.sqrt(1 - math.sqrt(1 + t) / math.sqrt(2) / t)
+    key = "cell_id, band, var"
+    out = [f"""win AS (SELECT cell_id, band, (day - DATE '2023-12-31')::INT AS i, CASE WHEN qa = 255 THEN 0 ELSE pow(0.618034::DOUBLE, qa) END AS w,
+        CASE WHEN f_iso = 32767 THEN 0 ELSE f_iso END AS f_iso, CASE WHEN f_vol = 32767 THEN 0 ELSE f_vol END AS f_vol, CASE WHEN f_geo = 32767 THEN 0 ELSE f_geo END AS f_geo
+        FROM fx_brdf WHERE day BETWEEN DATE '2023-12-31' AND DATE '2024-02-01'),
+    long AS (SELECT {key}, i, w, y FROM win UNPIVOT (y FOR var IN (f_iso, f_vol, f_geo))), keys AS (SELECT DISTINCT {key} FROM long),
+    x0 AS (SELECT k.*, t.i::INT AS i, coalesce(l.w, 0)::DOUBLE AS w0, coalesce(l.w, 0)::DOUBLE AS w, coalesce(l.y, 0)::DOUBLE AS y, coalesce(l.y, 0)::DOUBLE AS x FROM keys k CROSS JOIN range(33) t(i)
+        LEFT JOIN long l ON l.cell_id = k.cell_id AND l.band = k.band AND l.var = k.var AND l.i = t.i)"""]
+    for n in range(1, rounds + 1):
+        p = f"x{n - 1}"
+        out.append(f"""f{n} AS (SELECT {key}, i, NULL::DOUBLE AS c, w + {strength} AS beta, w * y / (w + {strength}) AS x FROM {p} WHERE i = 0
+        UNION ALL SELECT {key}, i, c, beta, (w * y + {strength} * last) / beta FROM (SELECT q.cell_id, q.band, q.var, q.i, -{strength} / f.beta AS c, q.w, q.y, f.x AS last,
+            q.w + {strength} * (CASE WHEN q.i = 32 THEN 1 ELSE 2 END) - {strength * strength} / f.beta AS beta FROM f{n} f JOIN {p} q ON q.cell_id = f.cell_id AND q.band = f.band AND q.var = f.var AND q.i = f.i + 1)),
+    b{n} AS (SELECT {key}, i, c, x FROM f{n} WHERE i = 32 UNION ALL SELECT f.cell_id, f.band, f.var, f.i, f.c, f.x - b.c * b.x FROM b{n} b JOIN f{n} f ON f.cell_id = b.cell_id AND f.band = b.band AND f.var = b.var AND f.i = b.i - 1),
+    m{n} AS (SELECT p.*, b.x AS fresh, abs(b.x - p.y) AS gap FROM {p} p JOIN b{n} b USING (cell_id, band, var, i)),
+    s{n} AS (SELECT {key}, greatest(coalesce(quantile_cont(gap, 0.5) FILTER (w0 > 0), 0), 1e-5) AS mad, sum(w0) > 1e-6 AS live FROM m{n} GROUP BY 1, 2, 3),
+    u{n} AS (SELECT m.*, live, gap / (1.4826 * mad) / {leverage!r} / 4.685 AS u FROM m{n} m JOIN s{n} USING (cell_id, band, var)),
+    x{n} AS (SELECT {key}, i, w0, CASE WHEN NOT live THEN w0 WHEN u < 1 THEN (1 - u * u) * (1 - u * u) ELSE 0 END AS w, y, CASE WHEN live THEN fresh ELSE y END AS x FROM u{n})""")
+    return ",\n    ".join(out)
+
+
+_MIDDLE = ", ".join(f"{s6(f"max(x) FILTER (var = '{v}' AND i = 16)", v)}, {s6(f"CASE WHEN max(w0) = 0 THEN 1e-5 ELSE max(w) FILTER (var = '{v}' AND i = 16) END", v + '_w')}" for v in ("f_vol", "f_geo", "f_iso"))
+_STEADY = lambda a, b: f"CASE WHEN avg(x) FILTER (var = 'f_iso' AND i BETWEEN {a} AND {b}) <> 0 THEN stddev_pop(x) FILTER (var = 'f_iso' AND i BETWEEN {a} AND {b}) / avg(x) FILTER (var = 'f_iso' AND i BETWEEN {a} AND {b}) END"
+
+
+@query("n08_n09_a07_temporal", "brdf", sql=f"WITH RECURSIVE {_robust_rounds(3)} SELECT cell_id, band, {_MIDDLE}, {s6(_STEADY(6, 25), 'stability')}, {s6(_STEADY(12, 19), 'stability_near')} FROM x3 GROUP BY 1, 2")
 def temporal(b):
     """Robust smoothing of every (cell, band) series around 16 January and its middle day."""
     w = S.brdf_window(b, "2024-01-16")
     cubes = S.series(w, ["cell_id", "band"], "2024-01-16", 16, ["f_iso", "f_vol", "f_geo"])
-    return S.centre_day(S.smooth_series(cubes, ["f_iso", "f_vol", "f_geo"]), ["f_vol", "f_geo", "f_iso"])
+    out = S.centre_day(S.smooth_series(cubes, ["f_iso", "f_vol", "f_geo"]), ["f_vol", "f_geo", "f_iso"])
+    return out.select("cell_id", "band", *[r6(F.col(c), c) for c in out.columns if c not in ("cell_id", "band")])
 
 
 @query("a07_stability", "brdf", sql=f"""WITH w AS (SELECT cell_id, band, day - DATE '2023-12-31' AS i, f_iso FROM fx_brdf WHERE day BETWEEN DATE '2023-12-31' AND DATE '2024-02-01'), g AS (SELECT k.cell_id, k.band, coalesce(w.f_iso, 0) AS y FROM (SELECT DISTINCT cell_id, band FROM w) k CROSS JOIN range(6, 26) t(i) LEFT JOIN w ON w.cell_id = k.cell_id AND w.band = k.band AND w.i = t.i)
@@ -433,8 +485,8 @@ def stability(b):
 
 @query("n07_spline_smooth", "brdf")
 def spline_smooth(b):
-    """Cross-validated robust splines of the red series."""
-    cubes = S.series(S.brdf_window(b.where("band = 1"), "2024-01-16"), ["cell_id", "band"], "2024-01-16", 16, ["f_iso"])
+    """Cross-validated robust splines of every series."""
+    cubes = S.series(S.brdf_window(b, "2024-01-16"), ["cell_id", "band"], "2024-01-16", 16, ["f_iso"])
     return S.smooth_splines(cubes, "f_iso", "weight")
 
 
@@ -443,11 +495,14 @@ def posterior_layers(a):
     return P.posterior_layers(a.select("scene_id", F.col("r").alias("bi"), F.col("c").alias("bj"), F.col("vza").alias("aot"), F.col("sza").alias("tcwv"), F.lit(0.3).alias("tco3")))
 
 
-@query("s14_manifest", "px", "bands")
+@query("s14_manifest", "px", "bands", sql=f"""WITH {WIDE}, s AS (SELECT scene_id, floor(count(*) FILTER ({_VALID}) * 100::DOUBLE / count(*) * 100) / 100 AS v, floor(count(*) FILTER ({_VALID} AND NOT ({_WATER} OR {_SNOW})) * 100::DOUBLE / count(*) * 100) / 100 AS k FROM fx_wide GROUP BY 1),
+    o AS (SELECT scene_id, string_agg('{{"kind":"boa_' || band || '","path":"scene=' || scene_id || '/band=' || band || '"}}', ',' ORDER BY 'boa_' || band) AS files FROM (SELECT DISTINCT scene_id, band FROM fx_px) GROUP BY 1)
+    SELECT scene_id, '{{"scene_id":' || scene_id || ',"version":"1","valid_percent":' || v || ',"clean_percent":' || k || ',"outputs":[' || files || ']}}' AS manifest FROM s JOIN o USING (scene_id)""")
 def manifest(px, bands):
     """One JSON manifest a scene."""
     files = px.select("scene_id", "band").distinct().select("scene_id", F.concat(F.lit("boa_"), F.col("band")).alias("kind"), F.format_string("scene=%d/band=%d", "scene_id", "band").alias("path"))
-    return P.manifest(files, P.clean_percent(P.composite(P.calibrated(px, bands))), "1")
+    clean = P.clean_percent(P.composite(P.calibrated(px, bands)))
+    return P.manifest(files, clean.withColumns({c: F.floor(F.col(c) * 100) / 100 for c in ("valid_percent", "clean_percent")}), "1")
 
 
 def _blocks(a, n: int):
@@ -461,15 +516,15 @@ def _blocks(a, n: int):
 @query("r03_r04_retrieval", "px", "bands", "angles")
 def retrieval(px, bands, a):
     """Blocks of every scene retrieved against a constant surface, with posterior uncertainty."""
-    names = [1, 2, 3]
-    few = bands.where(F.col("band").isin(names))
+    names = list(range(1, 8))
+    few = bands
     prior = _blocks(a, 8)
     obs = P.calibrated(px, few).where("dn > 0").select("scene_id", "band", F.expr("r div 5").cast("int").alias("bi"), F.expr("c div 5").cast("int").alias("bj"), "toa", (0.85 * F.col("toa")).alias("boa"), F.lit(0.05).alias("unc"))
     models = T.linear_models(names)
     solved = T.retrieve(obs, prior, few, models, gamma=2.0)
     info = T.block_information(obs, solved, T.band_weights(few), names, models)
     joined = solved.join(info, ["scene_id", "bi", "bj"], "left").select("scene_id", "bi", "bj", "info_aot", "info_tcwv", F.col("aot_unc").alias("aot_prior_unc"), F.col("tcwv_unc").alias("tcwv_prior_unc"))
-    return solved.select("scene_id", "bi", "bj", "aot", "tcwv").join(T.posterior(joined, 2.0), ["scene_id", "bi", "bj"])
+    return solved.select("scene_id", "bi", "bj", "aot", "tcwv").join(T.posterior(joined, 2.0).hint("merge"), ["scene_id", "bi", "bj"])
 
 
 @query("r06_correction", "px", "bands", "angles", sql=f"""WITH g AS (SELECT DISTINCT scene_id, r // 8 AS bi, c // 8 AS bj FROM fx_angles), {TOA}, p AS (SELECT t.*, (1.1 + 0.3::DOUBLE / band * 0.2 + 0.02::DOUBLE * band * 2) AS a, (0.01 + 0.12::DOUBLE / band * 0.2) AS b, (0.05 + 0.1::DOUBLE / band * 0.2) AS k FROM fx_toa t JOIN g ON g.scene_id = t.scene_id AND g.bi = t.r // 8 AND g.bj = t.c // 8)
@@ -487,11 +542,99 @@ def composite(px, bands):
     return w.select("scene_id", "r", "c", *[r6(F.col(k), k) for k in P.ROLES])
 
 
-@table_query("a17_a21_kernel_tables", "embeddings", sql=None)
+_PLANE_GRID = "fx_samples AS (SELECT sza, v::DOUBLE AS vza, 0::DOUBLE AS raa FROM (SELECT DISTINCT -6.0::DOUBLE * label AS sza FROM embeddings), range(-89, 90) t(v))"
+
+
+@table_query("a21_kernel_tables", "embeddings", sql=f"WITH {_PLANE_GRID}, {_KV} SELECT sza, vza, {s6('kv', 'k_vol', 5)}, {s6('kg', 'k_geo', 5)} FROM k")
 def kernel_tables(e):
     """Kernels of the principal plane for each sun zenith class that the labels stand for."""
-    z = e.select((-10.0 * F.col("label")).alias("sza")).distinct()
+    z = e.select((-6.0 * F.col("label")).alias("sza")).distinct()
     grid = z.select("sza", F.explode(F.sequence(F.lit(-89), F.lit(89))).alias("vza")).withColumns({"vza": F.col("vza").cast("double"), "raa": F.lit(0.0)})
-    return K.with_kernels(grid)
+    return K.with_kernels(grid).select("sza", "vza", r6(F.col("k_vol"), "k_vol", 5), r6(F.col("k_geo"), "k_geo", 5))
+
+
+_GAUSS = ", ".join(f"({(x + 1) / 2!r}::DOUBLE, {w / 2!r}::DOUBLE)" for x, w in zip(*(v.tolist() for v in K.gauss_nodes(24)), strict=True))
+_HEMISPHERE = "f AS (SELECT sza, mu, wm, acos(mu) AS v, radians(sza) AS s, (i + 0.5) * (2 * pi() / 48) AS a FROM (SELECT DISTINCT floor(sza)::INT AS sza FROM fx_angles WHERE sza < 90), (VALUES " + _GAUSS + ") n(mu, wm), range(48) t(i)), " + _FOLD[_FOLD.index("ph AS"):]
+
+
+@query("a17_albedo", "angles", sql=f"""WITH {_HEMISPHERE}, {_li_sql(A.SPARSE_SHAPE, 'a')} SELECT sza, {s6('sum(mu * wm * 2 / 48 * body / (cos(v) + cos(s)))', 'bsa_vol', 5)},
+    {s6('sum(mu * wm * 2 / 48 * (o - secants + 0.5 * (1 + cq) / cos(v1) / cos(s1)))', 'bsa_geo', 5)} FROM lia GROUP BY 1""")
+def albedo(a):
+    """Black-sky integrals at the sun zeniths that occur."""
+    z = a.where("sza < 90").select(F.floor("sza").cast("int").alias("sza")).distinct()
+    return K.albedo_integrals(z.sparkSession, zeniths=z).select("sza", r6(F.col("bsa_vol"), "bsa_vol", 5), r6(F.col("bsa_geo"), "bsa_geo", 5))
+
+
+@query("s01_discover_sentinel", "listing", sql="SELECT path FROM fx_listing WHERE regexp_matches(path, '/MTD[^/]*TL[^/]*[.]xml$') OR suffix(path, '/metadata.xml')")
+def discover_sentinel(f):
+    return M.sentinel_files(f)
+
+
+@query("s02_discover_landsat", "listing", sql="SELECT other AS path, string_split(other, '/')[-2] AS scene, string_split(string_split(other, '/')[-2], '_')[-2]::INT AS collection FROM fx_listing WHERE contains(lower(string_split(other, '/')[-1]), 'mtl.txt')")
+def discover_landsat(f):
+    return M.landsat_files(f.select(F.col("other").alias("path")))
+
+
+def _tile_lines(t):
+    """Metadata lines of the scenes that the suppliers stand for."""
+    tile = F.concat(F.lit("  <TILE_ID>S2A_OPER_MSI_L1C_TL_X_A0_T"), "mm", F.lit("UCU_N"), "major", "minor", F.lit("</TILE_ID>"))
+    time = F.concat(F.lit('  <SENSING_TIME metadataLevel="x">2020-01-02T10:'), "mm", F.lit(":11.123Z</SENSING_TIME>"))
+    offsets = [F.concat(F.lit(f'<RADIO_ADD_OFFSET band_id="{k}">-'), (1000 + F.col("n") % 7 + k).cast("string"), F.lit("</RADIO_ADD_OFFSET>")) for k in range(1, 6)]
+    q = F.concat(F.lit('<QUANTIFICATION_VALUE unit="none">'), (10000 + F.col("n") % 3).cast("string"), F.lit("</QUANTIFICATION_VALUE>"))
+    return t.select("path", F.posexplode(F.array(F.lit("<x>"), tile, time, *offsets, q)).alias("line_no", "line"))
+
+
+@query("s03_sentinel_metadata", "tile_xml", sql="""SELECT path, ('2020-01-02 10:' || mm || ':11.123')::TIMESTAMP AS sensing_time, 'T' || mm || 'UCU' AS tile, 'S2A' AS satellite, (replace(major, '.', '') || minor)::INT AS baseline FROM fx_tile_xml""")
+def sentinel_metadata(t):
+    return M.sentinel_metadata(_tile_lines(t))
+
+
+@query("s04_sentinel_offsets", "tile_xml", "bands", sql="""SELECT path, band, CASE WHEN major = '05.0' AND band < 6 THEN -(1000 + n % 7 + band)::DOUBLE ELSE 0::DOUBLE END AS "offset",
+    CASE WHEN major = '05.0' THEN (10000 + n % 3)::DOUBLE ELSE 10000::DOUBLE END AS quantification FROM fx_tile_xml, fx_bands""")
+def sentinel_offsets(t, bands):
+    rows = _tile_lines(t)
+    return M.sentinel_offsets(rows, M.sentinel_metadata(rows), bands)
+
+
+def _angle_documents(a):
+    """One XML document a scene with its angles as grids; missing cells are NaN."""
+    side = F.sequence(F.lit(0), F.lit(SIDE - 1))
+
+    def grids(tag: str, zenith: str, azimuth: str):
+        text = lambda c: F.concat(*[x for r in range(SIDE) for x in (F.lit("<VALUES>"), F.array_join(F.transform(side, lambda k: F.coalesce(F.try_element_at(c, F.lit(r) * SIDE + k).cast("string"), F.lit("NaN"))), " "), F.lit("</VALUES>"))])
+        return F.concat(F.lit(f"<{tag}><Zenith><Values_List>"), text(F.col(zenith)), F.lit("</Values_List></Zenith><Azimuth><Values_List>"), text(F.col(azimuth)), F.lit(f"</Values_List></Azimuth></{tag.split()[0]}>"))
+
+    names = ("sza", "saa", "vza", "vaa")
+    maps = a.groupBy("scene_id").agg(*[F.map_from_entries(F.collect_list(F.struct(F.col("r") * SIDE + F.col("c"), n))).alias(n) for n in names])
+    value = F.concat(F.lit("<n><Tile_Angles>"), grids("Sun_Angles_Grid", "sza", "saa"), grids('Viewing_Incidence_Angles_Grids bandId="1" detectorId="2"', "vza", "vaa"), F.lit("</Tile_Angles></n>"))
+    return maps.select(F.col("scene_id").cast("string").alias("path"), value.alias("value"))
+
+
+_SCENE_CELLS = "g AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM (SELECT DISTINCT scene_id FROM fx_angles) s, range(40) a(r), range(40) b(c))"
+
+
+@query("s07_sun_angles", "angles", sql=f"WITH {_SCENE_CELLS} SELECT scene_id::VARCHAR AS path, r, c, sza, CASE WHEN saa > 180 THEN saa - 360 ELSE saa END AS saa FROM g LEFT JOIN fx_angles USING (scene_id, r, c)")
+def sun_angles(a):
+    return M.angle_cells(_angle_documents(a))[0]
+
+
+@query("s07_view_angles", "angles", sql=f"WITH {_SCENE_CELLS} SELECT scene_id::VARCHAR AS path, 1::INT AS band, 2::INT AS det, r, c, vza, vaa FROM g LEFT JOIN fx_angles USING (scene_id, r, c)")
+def view_angles(a):
+    return M.angle_cells(_angle_documents(a))[1]
+
+
+@query("s10_multi_angle", "samples", sql="""SELECT pixel::VARCHAR AS path, sample_id + 1 AS line_no, doy::DOUBLE AS doy, vza, sza, raa - 10 AS raa, b::INT AS band, [645.0, 859.0][b + 1]::DOUBLE AS wavelength, CASE WHEN b = 0 THEN refl ELSE refl * 2 END AS refl
+    FROM fx_samples, range(2) t(b) WHERE sample_id % 3 = 1""")
+def multi_angle(s):
+    """Sample files of the pixels, as their lines: a header, then day, flag, view and sun angles and two bands."""
+    text = lambda *c: F.concat_ws(" ", *[(x if isinstance(x, str) else x.cast("string")) for x in c])
+    head = s.select(F.col("pixel").cast("string").alias("path"), F.lit(0).cast("long").alias("line_no"), F.lit("BRDF x 2 645 859").alias("line")).distinct()
+    data = s.select(F.col("pixel").cast("string").alias("path"), (F.col("sample_id") + 1).alias("line_no"),
+                    text(F.col("doy"), F.col("sample_id") % 3, F.col("vza"), F.col("raa"), F.col("sza"), F.lit(10), F.col("refl"), F.col("refl") * 2).alias("line"))
+    return M.multi_angle(head.unionByName(data))
 
 
+@query("s11_five_band", "samples", sql="SELECT pixel::VARCHAR AS path, sample_id AS line_no, vza, sza, raa, b::INT AS band, refl + b AS refl FROM fx_samples, range(5) t(b)")
+def five_band(s):
+    line = F.concat_ws(" ", F.lit("0 1"), F.col("sza").cast("string"), F.lit("3"), F.col("vza").cast("string"), F.col("raa").cast("string"), *[(F.col("refl") + k).cast("string") for k in range(5)])
+    return M.five_band(s.select(F.col("pixel").cast("string").alias("path"), F.col("sample_id").alias("line_no"), line.alias("line")))

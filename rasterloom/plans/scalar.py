@@ -312,14 +312,13 @@ def angle_stack(a):
     return long.groupBy("scene_id", "r", "c").agg(*[F.max(F.when(kind == k, F.col("value"))).alias(k) for k in ("azimuth", "zenith")])
 
 
-@query("d01_o01_band_match", "bands", sql="""WITH f AS (SELECT band, wavelength_nm + (band * 37) % 60 AS wavelength_nm FROM fx_bands WHERE band <> 7),
-    m AS (SELECT s.band, s.wavelength_nm, f.band AS ref_band, f.wavelength_nm AS ref_nm, row_number() OVER (PARTITION BY s.band ORDER BY abs(s.wavelength_nm - f.wavelength_nm), f.band) AS k FROM fx_bands s JOIN f ON abs(s.wavelength_nm - f.wavelength_nm) < 150)
-    SELECT band, wavelength_nm, ref_band, ref_nm FROM m WHERE k = 1""")
-def band_match(bands):
-    ref = bands.where("band <> 7").withColumn("wavelength_nm", F.col("wavelength_nm") + (F.col("band") * 37) % 60)
-    return D.match_bands(bands, ref)
+@query("d01_o01_band_match", "sensors", "bands", sql="""WITH m AS (SELECT s.band, s.wavelength_nm, f.band AS ref_band, f.wavelength_nm AS ref_nm, row_number() OVER (PARTITION BY s.band ORDER BY abs(s.wavelength_nm - f.wavelength_nm), f.band) AS k
+    FROM fx_sensors s JOIN fx_bands f ON abs(s.wavelength_nm - f.wavelength_nm) < 150 WHERE f.band <> 1) SELECT band, wavelength_nm, ref_band, ref_nm FROM m WHERE k = 1""")
+def band_match(sensors, bands):
+    """Bands of many sensors with the nearest of the six reference bands."""
+    return D.match_bands(sensors, bands.where("band <> 1"))
 
 
-@query("o01_ordered_bands", "bands", sql="SELECT (row_number() OVER (ORDER BY wavelength_nm, band) - 1)::INT AS ordinal, wavelength_nm, band, role FROM fx_bands")
-def ordered(bands):
-    return P.ordered_bands(bands)
+@query("o01_ordered_bands", "sensors", sql="SELECT sensor_id, (row_number() OVER (PARTITION BY sensor_id ORDER BY wavelength_nm, band) - 1)::INT AS ordinal, wavelength_nm, band, role FROM fx_sensors")
+def ordered(sensors):
+    return P.ordered_bands(sensors, ("sensor_id",))

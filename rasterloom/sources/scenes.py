@@ -19,15 +19,24 @@ def lines(spark: SparkSession, folder: str, glob: str) -> DataFrame:
 
 def discover_sentinel(spark: SparkSession, folder: str) -> DataFrame:
     """Metadata files of tiles: names with MTD, TL and xml, or metadata.xml."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(folder).select("path")
+    return sentinel_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xml").load(folder).select("path"))
+
+
+def sentinel_files(files: DataFrame) -> DataFrame:
+    """The same of a listing files(path)."""
+    files = files.select("path")
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(name.rlike(r"^MTD.*TL.*\.xml$") | (name == "metadata.xml")).distinct()
 
 
 def discover_landsat(spark: SparkSession, folder: str) -> DataFrame:
     """MTL files with their scene folder and collection number (the folder name's second last part); only 1 and 2 are known."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
-    files = files.where(F.lower(F.element_at(F.split("path", "/"), -1)).contains("mtl.txt"))
+    return landsat_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path"))
+
+
+def landsat_files(files: DataFrame) -> DataFrame:
+    """The same of a listing files(path)."""
+    files = files.select("path").where(F.lower(F.element_at(F.split("path", "/"), -1)).contains("mtl.txt"))
     scene = F.element_at(F.split("path", "/"), -2)
     number = F.element_at(F.split(scene, "_"), -2).try_cast("int")
     checked = F.when(number.isin(1, 2), number).otherwise(F.raise_error(F.concat(F.lit("unknown collection in "), scene)).cast("int"))
@@ -98,17 +107,22 @@ def _cells(values: Column, name: str, df: DataFrame, keys: list[str]) -> DataFra
 def angle_grids(spark: SparkSession, folder: str, glob: str = "*.xml") -> tuple[DataFrame, DataFrame]:
     """Sun grid (path, r, c, sza, saa) and view grids (path, band, det, r, c, vza, vaa); saa above 180 wraps."""
     text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(folder, wholetext=True)
+    return angle_cells(text.select(F.input_file_name().alias("path"), "value"))
+
+
+def angle_cells(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of documents(path, value)."""
     inner = F.regexp_extract("value", r"(?s)(<Tile_Angles>.*</Tile_Angles>)", 1)
-    doc = text.select(F.input_file_name().alias("path"), F.from_xml(F.concat(F.lit("<t>"), inner, F.lit("</t>")), _TILE).alias("x"))
+    doc = documents.select("path", F.from_xml(F.concat(F.lit("<t>"), inner, F.lit("</t>")), _TILE).alias("x"))
     sun, view = F.col("x.Tile_Angles.Sun_Angles_Grid"), F.col("x.Tile_Angles.Viewing_Incidence_Angles_Grids")
     z = _cells(sun["Zenith"]["Values_List"]["VALUES"], "sza", doc, ["path"])
     a = _cells(sun["Azimuth"]["Values_List"]["VALUES"], "saa", doc, ["path"])
-    suns = z.join(a, ["path", "r", "c"]).withColumn("saa", F.when(F.col("saa") > 180, F.col("saa") - 360).otherwise(F.col("saa")))
+    suns = z.join(a.hint("merge"), ["path", "r", "c"]).withColumn("saa", F.when(F.col("saa") > 180, F.col("saa") - 360).otherwise(F.col("saa")))
     each = doc.select("path", F.explode(view).alias("v")).select("path", F.col("v._bandId").alias("band"), F.col("v._detectorId").alias("det"), "v")
     keys = ["path", "band", "det"]
     vz = _cells(F.col("v.Zenith.Values_List.VALUES"), "vza", each, keys)
     va = _cells(F.col("v.Azimuth.Values_List.VALUES"), "vaa", each, keys)
-    return suns, vz.join(va, [*keys, "r", "c"])
+    return suns, vz.join(va.hint("merge"), [*keys, "r", "c"])
 
 
 def mean_angles(sun: DataFrame, view: DataFrame) -> DataFrame:
@@ -120,13 +134,18 @@ def mean_angles(sun: DataFrame, view: DataFrame) -> DataFrame:
 
 def read_multi_angle(spark: SparkSession, path: str) -> DataFrame:
     """(path, line_no, doy, vza, sza, raa, band, wavelength, refl) of flagged rows; the header names the band centres."""
-    rows = lines(spark, path, "*").select("path", "line_no", F.split(F.trim("line"), r"\s+").alias("w"))
-    n = F.get("w", F.lit(2)).cast("int")
-    head = rows.where("line_no = 0").select("path", F.transform(F.slice("w", F.lit(4), n), lambda x: x.cast("double")).alias("centres"))
-    at = lambda k: F.get("w", F.lit(k)).cast("double")
+    return multi_angle(lines(spark, path, "*"))
+
+
+def multi_angle(rows: DataFrame) -> DataFrame:
+    """The same of rows(path, line_no, line)."""
+    rows = rows.select("path", "line_no", F.split(F.trim("line"), r"\s+").alias("w"))
+    n = F.get("w", F.lit(2)).try_cast("int")
+    head = rows.where("line_no = 0").select("path", F.transform(F.slice("w", F.lit(4), n), lambda x: x.try_cast("double")).alias("centres"))
+    at = lambda k: F.get("w", F.lit(k)).try_cast("double")  # noqa: E731  (headers may be parsed before they are filtered out)
     data = rows.where((F.col("line_no") > 0) & (F.size("w") > 6) & (F.get("w", F.lit(1)).try_cast("int") == 1))
-    data = data.select("path", "line_no", at(0).alias("doy"), at(2).alias("vza"), at(4).alias("sza"), (at(3) - at(5)).alias("raa"), F.transform(F.slice("w", 7, 1000), lambda x: x.cast("double")).alias("x"))
-    both = data.join(head, "path")  # one header a file
+    data = data.select("path", "line_no", at(0).alias("doy"), at(2).alias("vza"), at(4).alias("sza"), (at(3) - at(5)).alias("raa"), F.transform(F.slice("w", 7, 1000), lambda x: x.try_cast("double")).alias("x"))
+    both = data.join(head.hint("merge"), "path")  # one header a file
     return both.select("path", "line_no", "doy", "vza", "sza", "raa", F.posexplode(F.arrays_zip("centres", "x")).alias("band", "z")).select(
         "path", "line_no", "doy", "vza", "sza", "raa", "band", F.col("z.centres").alias("wavelength"), F.col("z.x").alias("refl"))
 
@@ -137,8 +156,13 @@ def read_five_band(spark: SparkSession, path: str, layout: int = 1) -> DataFrame
     Columns 6 to 10 are the bands. Layout 1: sza in column 2, vza in 4, raa in 5. Layout 2: vza in 2, sza in 4,
     and raa is column 5 less column 3. Columns count from 0.
     """
-    rows = lines(spark, path, "*").select("path", "line_no", F.split(F.trim("line"), r"\s+").alias("w")).where((F.size("w") >= 11) & ~F.get("w", F.lit(0)).startswith("#"))
-    at = lambda k: F.get("w", F.lit(k)).cast("double")
+    return five_band(lines(spark, path, "*"), layout)
+
+
+def five_band(rows: DataFrame, layout: int = 1) -> DataFrame:
+    """The same of rows(path, line_no, line)."""
+    rows = rows.select("path", "line_no", F.split(F.trim("line"), r"\s+").alias("w")).where((F.size("w") >= 11) & ~F.get("w", F.lit(0)).startswith("#"))
+    at = lambda k: F.get("w", F.lit(k)).try_cast("double")
     vza, sza, raa = (at(4), at(2), at(5)) if layout == 1 else (at(2), at(4), at(5) - at(3))
     wide = rows.select("path", "line_no", vza.alias("vza"), sza.alias("sza"), raa.alias("raa"), F.array(*[at(6 + k) for k in range(5)]).alias("x"))
     return wide.select("path", "line_no", "vza", "sza", "raa", F.posexplode("x").alias("band", "refl"))

@@ -7,4 +7,4 @@ def test_forecast_reads_every_order(spark, tmp_path):
     rows = [(k, f"2024-01-{k:02d}", float(k)) for k in range(1, 20)]  # no key is a multiple of 20
     orders = spark.createDataFrame(rows, "o_orderkey long, o_orderdate string, o_totalprice double")
     orders.selectExpr("o_orderkey", "to_timestamp(o_orderdate) AS o_orderdate", "o_totalprice").write.parquet(str(tmp_path / "orders.parquet"))
-    assert fixture(spark, str(tmp_path), "forecast_all").count() == 19
+    assert fixture(spark, str(tmp_path), "forecast").count() == 19

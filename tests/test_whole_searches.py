@@ -47,7 +47,7 @@ def test_hot_spot_of_a_fine_width(spark):
     base = spark.createDataFrame(rows, "sample_id long, pixel int, vza double, sza double, raa double")
     truth = 437 * math.radians(10.0) / 1000
     made = K.with_kernels(base, hot_spot=truth).withColumn("refl", 0.3 + 0.2 * F.col("k_vol") + 0.05 * F.col("k_geo")).drop("k_vol", "k_geo")
-    assert Q.hot_spot(made).first().xi == pytest.approx(truth)
+    assert Q.best_widths(made).first().xi == pytest.approx(truth)
 
 
 def test_far_shift_and_azimuth_classes(spark):
@@ -56,8 +56,8 @@ def test_far_shift_and_azimuth_classes(spark):
     angles = spark.createDataFrame([(1, i, j, float(coarse[i // 4, j // 4]), 0.0, float(200 + (i * 40 + j) ** 2 % 97.3), 0.0) for i in range(40) for j in range(40)],
                                    "scene_id int, r int, c int, sza double, vza double, saa double, vaa double")
     px = spark.createDataFrame([(1, 4, 4 * i + 30, 4 * j - 41 + 80, float(coarse[i, j])) for i in range(10) for j in range(10)], "scene_id int, band int, r int, c int, dn double")
-    got = Q.shift_search_50(angles, px).first()
+    got = Q.shift_search(angles, px).first()
     assert (got.xs, got.ys, got.r) == (30, 39, 1.0)
     v = np.array([20 + (i * 40 + j) ** 2 % 97.3 for i in range(40) for j in range(40)])
     n = np.bincount(np.minimum(((v - v.min()) * 1000 / (v.max() - v.min())).astype(int), 999), minlength=1000)
-    assert Q.azimuth_mode_1000(angles).first().mode == pytest.approx(v.min() + n.argmax() * (v.max() - v.min()) / 1000, abs=1e-5)
+    assert Q.azimuth_mode(angles).first().mode == pytest.approx(v.min() + n.argmax() * (v.max() - v.min()) / 1000, abs=1e-5)
