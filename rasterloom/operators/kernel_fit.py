@@ -41,6 +41,10 @@ def fit(samples: DataFrame, keys: list[str]) -> DataFrame:
     sums = samples.groupBy(*keys).agg(
         F.count("*").cast("double").alias("n"), F.sum(v).alias("v"), F.sum(g).alias("g"), F.sum(v * v).alias("vv"), F.sum(v * g).alias("vg"), F.sum(g * g).alias("gg"),
         F.sum(r).alias("r"), F.sum(r * v).alias("rv"), F.sum(r * g).alias("rg"), F.sum(r * r).alias("rr"))
+    return solved_sums(sums, keys)
+
+
+def solved_sums(sums: DataFrame, keys: list[str]) -> DataFrame:
     p0, p1, p2 = _cramer({k: F.col(k) for k in ("n", "v", "g", "vv", "vg", "gg", "r", "rv", "rg")})
     solved = sums.withColumns({"f_iso": p0, "f_vol": p1, "f_geo": p2})
     sse = F.col("rr") - F.col("f_iso") * F.col("r") - F.col("f_vol") * F.col("rv") - F.col("f_geo") * F.col("rg")
@@ -53,9 +57,42 @@ def hot_spot_grid(spark: SparkSession, n: int = 1000, high_deg: float = 10.0) ->
 
 
 def hot_spot_search(samples: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
-    """Best width of each key over a literal grid, by rmse of the kernel fit; the first of equals."""
-    tried = with_kernels(samples.crossJoin(F.broadcast(grid)), hot_spot=F.col("xi"))
-    fits = fit(tried, [*keys, "xi"])
+    """Best width of each key over a literal grid, by rmse of the kernel fit; the first of equals.
+
+    Widths meet samples inside Arrow batches, which give one row of sums for each key and width: what is
+    shuffled grows with the keys of a batch, not with its samples.
+    """
+    widths = np.sort(np.array([r["xi"] for r in grid.select("xi").collect()], float))  # the literal grid
+    geometry = A.fold(F.radians("vza"), F.radians("sza"), F.radians("raa"))
+    geo = A.kernel_pair(F.col("vza"), F.col("sza"), F.col("raa"), None, 0.0, A.li_sparse)[1]
+    rows = samples.select(*keys, "refl", A.ross(*geometry).alias("_b"), A.phase_angle(*geometry).alias("_x"), geo.alias("_g"))
+    fixed, tried = ("n", "g", "gg", "r", "rg", "rr"), ("v", "vv", "vg", "rv")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.select(keys)
+            group = own.to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
+            order = np.argsort(group, kind="stable")
+            head = np.flatnonzero(np.diff(group[order], prepend=-1))
+            refl, b, x, g = (batch.column(c).to_numpy(zero_copy_only=False)[order].astype(float) for c in ("refl", "_b", "_x", "_g"))
+            total = lambda v: np.add.reduceat(v, head, axis=0)
+            sums = {"n": total(np.ones(len(b))), "g": total(g), "gg": total(g * g), "r": total(refl), "rg": total(refl * g), "rr": total(refl * refl)}
+            for k in range(0, len(widths), 100):
+                w = widths[k : k + 100]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    v = np.where(w > 0, b[:, None] * (1 + 1 / (1 + x[:, None] / w)) - math.pi / 2, b[:, None] - math.pi / 4)
+                parts = {"v": total(v), "vv": total(v * v), "vg": total(v * g[:, None]), "rv": total(v * refl[:, None])}
+                m = len(head)
+                names = own.take(pa.array(np.tile(order[head], len(w))))
+                yield pa.RecordBatch.from_arrays(
+                    [*names.columns, pa.array(np.repeat(w, m)), *[pa.array(np.tile(sums[c], len(w))) for c in fixed], *[pa.array(parts[c].T.ravel()) for c in tried]],
+                    names=[*keys, "xi", *fixed, *tried])
+
+    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
+    sums = rows.mapInArrow(run, f"{kinds}, xi double, " + ", ".join(f"{c} double" for c in (*fixed, *tried)))
+    fits = solved_sums(sums.groupBy(*keys, "xi").agg(*[F.sum(c).alias(c) for c in (*fixed, *tried)]), [*keys, "xi"])
     best = fits.where("f_iso is not null").groupBy(*keys).agg(F.min_by(F.struct("xi", "f_iso", "f_vol", "f_geo", "rmse"), F.struct("rmse", "xi")).alias("b"))
     return best.select(*keys, "b.*")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from rasterloom.functions import radiometry as R
 from rasterloom.functions.grid import block_index
 from rasterloom.operators.emulator import coefficients
+from rasterloom.operators.regrid import spline_regrid
 from rasterloom.storage import checkpointed
 
 BLOCK = ("scene_id", "bi", "bj")
@@ -29,7 +30,7 @@ BAND_SLOPE = -1.6
 def pyramid(nx: int, ny: int) -> list[tuple[int, int]]:
     """Grid shapes from coarse to fine, halving; the last is the solution's."""
     levels = max(int(math.log2(max(min(nx, ny), 1))), 1)
-    return [(max(math.ceil(nx / 2**k), 1), max(math.ceil(ny / 2**k), 1)) for k in range(levels - 1, -1, -1)]
+    return [(max(nx // 2**k, 1), max(ny // 2**k, 1)) for k in range(levels - 1, -1, -1)]
 
 
 def band_weights(bands: DataFrame) -> DataFrame:
@@ -83,11 +84,11 @@ def _solve_scene(pdf: pd.DataFrame, gamma: float) -> pd.DataFrame:
     h00, h01, h11 = (grid(n) * seen for n in ("h00", "h01", "h11"))
     g = np.stack([grid("g0") * seen, grid("g1") * seen]) + pull * (x - prior) + gamma**2 * np.stack([_laplacian(v) for v in x])
     cost = float((grid("cost") * seen).sum() + 0.5 * (pull * (x - prior) ** 2).sum() + 0.5 * gamma**2 * sum((v * _laplacian(v)).sum() for v in x))
-    last, damping = float(pdf["last_cost"].iloc[0]), float(pdf["damping"].iloc[0])
+    last = float(pdf["last_cost"].iloc[0])
     if cost > last * (1 + 1e-9):
         # Go back half way to where the cost was lower, which the step columns remember.
         step = np.stack([grid("step_aot"), grid("step_tcwv")])
-        move, damping = -0.5 * step, damping * 0.5
+        move = -0.5 * step
         kept = 0.5 * step
         last_cost = last
     else:
@@ -114,25 +115,37 @@ def _solve_scene(pdf: pd.DataFrame, gamma: float) -> pd.DataFrame:
     fresh = np.stack([np.clip(x[k] + move[k], *BOUNDS[k]) for k in (0, 1)])
     moved = float(np.abs(fresh - x).max())
     kept = fresh - x if last_cost == cost else kept
-    return pdf.assign(aot=fresh[0][at], tcwv=fresh[1][at], step_aot=kept[0][at], step_tcwv=kept[1][at], last_cost=last_cost, damping=damping, moved=moved)
+    return pdf.assign(aot=fresh[0][at], tcwv=fresh[1][at], step_aot=kept[0][at], step_tcwv=kept[1][at], last_cost=last_cost, moved=moved)
 
 
-def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, gamma: float = 10.0, rounds: int = 8, tol: float = 1e-4) -> DataFrame:
-    """aot and tcwv of every block of all scenes; scenes drop out of the rounds when their largest step falls below tol.
+#: Fixed value: the largest number of rounds of a level of the pyramid up to the seventh level, and above.
+ROUNDS = (60, 20)
+
+
+def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, gamma: float = 10.0, rounds: int = ROUNDS[0], tol: float = 1e-4, start: DataFrame | None = None) -> DataFrame:
+    """prior with aot, tcwv, moved and converged for every block of all scenes.
+
+    A scene drops out of the rounds when its largest step falls below tol. One that is still moving after the last
+    round comes back with converged false.
 
     prior(block, cos_sza, cos_vza, cos_raa, ele, tco3, aot_prior, tcwv_prior, aot_unc, tcwv_unc). The prior acts on
-    blocks with more than one observation; others follow their neighbours.
+    blocks with more than one observation; others follow their neighbours. start(block, aot, tcwv) is the first guess, else the prior is.
     """
     names = [r["band"] for r in bands.select("band").collect()]  # a band dimension
     weights = band_weights(bands)
     zero = F.lit(0.0)
-    state = prior.withColumns({"aot": F.col("aot_prior"), "tcwv": F.col("tcwv_prior"), "step_aot": zero, "step_tcwv": zero, "last_cost": F.lit(float("inf")), "damping": F.lit(1.0), "moved": F.lit(float("inf"))})
+    first = prior.withColumns({"aot": F.col("aot_prior"), "tcwv": F.col("tcwv_prior")})
+    if start is not None:
+        guess = start.select(*BLOCK, F.col("aot").alias("_aot"), F.col("tcwv").alias("_tcwv"))
+        first = first.join(guess.hint("merge"), [*BLOCK], "left").withColumns({"aot": F.coalesce("_aot", "aot"), "tcwv": F.coalesce("_tcwv", "tcwv")}).drop("_aot", "_tcwv")
+    state = first.withColumns({"step_aot": zero, "step_tcwv": zero, "last_cost": F.lit(float("inf")), "moved": F.lit(float("inf"))})
     finished = None
     columns = state.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
     for _ in range(rounds):
-        sums = normal_sums(obs.join(state.select("scene_id").distinct(), "scene_id", "left_semi"), state, weights, names, models)
-        joined = state.join(sums, [*BLOCK], "left")
+        running = state.select("scene_id").distinct()
+        sums = normal_sums(obs.join(running.hint("merge"), "scene_id", "left_semi"), state, weights, names, models)
+        joined = state.join(sums.hint("merge"), [*BLOCK], "left")
         solved = joined.groupBy("scene_id").applyInPandas(lambda pdf: _solve_scene(pdf, gamma)[columns], schema)
         solved = checkpointed(solved, "blocks")
         done = solved.where(F.col("moved") < tol)
@@ -140,7 +153,26 @@ def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, g
         state = solved.where(F.col("moved") >= tol)
         if not state.limit(1).count():
             break
-    return finished.unionByName(state).select(*prior.columns, "aot", "tcwv", "moved")
+    return finished.unionByName(state).select(*prior.columns, "aot", "tcwv", "moved", (F.col("moved") < tol).alias("converged"))
+
+
+def retrieve_pyramid(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, shape: tuple[int, int], gamma: float = 10.0, tol: float = 1e-4) -> DataFrame:
+    """retrieve() on grids of blocks from coarse to fine; each level starts from the one before, carried over by splines.
+
+    shape is the finest grid of blocks. Coarse blocks average the prior of their fine ones and take all their observations.
+    """
+    start, levels = None, pyramid(*shape)
+    for k, level in enumerate(levels):
+        at = {b: F.floor(F.col(b) * n / full).cast("int") for b, n, full in zip(("bi", "bj"), level, shape, strict=True)}
+        own = prior if level == shape else prior.withColumns(at).groupBy(*BLOCK).agg(*[F.avg(c).alias(c) for c in prior.columns if c not in BLOCK])
+        seen = obs if level == shape else obs.withColumns(at)
+        solved = retrieve(seen, own, bands, models, gamma, ROUNDS[k > 6], tol, start)
+        if level == levels[-1]:
+            return solved
+        sides = tuple((n, m) for n, m in zip(level, levels[k + 1], strict=True))
+        cells = solved.withColumnsRenamed({"bi": "r", "bj": "c"})
+        parts = [spline_regrid(cells.select("scene_id", "r", "c", v), *sides, v).withColumnsRenamed({"r": "bi", "c": "bj"}) for v in ("aot", "tcwv")]
+        start = checkpointed(parts[0].join(parts[1].hint("merge"), [*BLOCK]), "first-guess")
 
 
 def chain_uncertainty(diagonal: np.ndarray, gamma: float) -> np.ndarray:

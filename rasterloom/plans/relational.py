@@ -320,6 +320,14 @@ def step_day(s):
     return K.detect_step(K.with_kernels(bands), {0: 645.0, 1: 858.0, 2: 469.0, 3: 555.0})
 
 
+@query("a14_a15_burn_day", "samples")
+def burn_day(s):
+    """Day, burnt fraction and burnt spectrum of every pixel over the seven-band record made of its samples."""
+    names = {0: 645.0, 1: 858.5, 2: 469.0, 3: 555.0, 4: 1240.0, 5: 1640.0, 6: 2130.0}
+    bands = s.select("*", F.explode(F.array(*map(F.lit, names))).alias("band")).withColumn("refl", F.col("refl") * (1 + F.col("band")) / 7 + F.col("band") * 0.01)
+    return K.detect_step(K.with_kernels(bands), names)
+
+
 @query("a12_median", "angles", sql=f"WITH m AS (SELECT scene_id, quantile_cont(saa, 0.5) AS m FROM fx_angles WHERE saa > 100 AND saa < 300 GROUP BY 1) SELECT scene_id, r, c, {s6('CASE WHEN saa > 100 AND saa < 300 THEN saa ELSE m END', 'saa')} FROM fx_angles LEFT JOIN m USING (scene_id)")
 def median(a):
     out = P.replace_by_median(a.select("scene_id", "r", "c", "saa"), ["scene_id"], "saa", (F.col("saa") > 100) & (F.col("saa") < 300))
@@ -521,10 +529,10 @@ def retrieval(px, bands, a):
     prior = _blocks(a, 8)
     obs = P.calibrated(px, few).where("dn > 0").select("scene_id", "band", F.expr("r div 5").cast("int").alias("bi"), F.expr("c div 5").cast("int").alias("bj"), "toa", (0.85 * F.col("toa")).alias("boa"), F.lit(0.05).alias("unc"))
     models = T.linear_models(names)
-    solved = T.retrieve(obs, prior, few, models, gamma=2.0)
+    solved = T.retrieve_pyramid(obs, prior, few, models, (8, 8), gamma=2.0)
     info = T.block_information(obs, solved, T.band_weights(few), names, models)
     joined = solved.join(info, ["scene_id", "bi", "bj"], "left").select("scene_id", "bi", "bj", "info_aot", "info_tcwv", F.col("aot_unc").alias("aot_prior_unc"), F.col("tcwv_unc").alias("tcwv_prior_unc"))
-    return solved.select("scene_id", "bi", "bj", "aot", "tcwv").join(T.posterior(joined, 2.0).hint("merge"), ["scene_id", "bi", "bj"])
+    return solved.select("scene_id", "bi", "bj", "aot", "tcwv", "converged").join(T.posterior(joined, 2.0).hint("merge"), ["scene_id", "bi", "bj"])
 
 
 @query("r06_correction", "px", "bands", "angles", sql=f"""WITH g AS (SELECT DISTINCT scene_id, r // 8 AS bi, c // 8 AS bj FROM fx_angles), {TOA}, p AS (SELECT t.*, (1.1 + 0.3::DOUBLE / band * 0.2 + 0.02::DOUBLE * band * 2) AS a, (0.01 + 0.12::DOUBLE / band * 0.2) AS b, (0.05 + 0.1::DOUBLE / band * 0.2) AS k FROM fx_toa t JOIN g ON g.scene_id = t.scene_id AND g.bi = t.r // 8 AND g.bj = t.c // 8)
@@ -565,6 +573,15 @@ def albedo(a):
     return K.albedo_integrals(z.sparkSession, zeniths=z).select("sza", r6(F.col("bsa_vol"), "bsa_vol", 5), r6(F.col("bsa_geo"), "bsa_geo", 5))
 
 
+@table_query("n11_latin_hypercube", "supplier", sql="SELECT d::INT AS dimension, s::BIGINT AS stratum FROM range(3) a(d), (SELECT row_number() OVER () - 1 AS s FROM supplier) t")
+def latin_strata(suppliers):
+    """The strata that a design with a point for each supplier hits: every one once in every dimension."""
+    n = suppliers.count()
+    design = X.latin_hypercube(suppliers.sparkSession, n, [(0.0, 1.0), (-2.0, 2.0), (5.0, 6.0)], 3)
+    of = [F.floor(F.col("x0") * n), F.floor((F.col("x1") + 2) / 4 * n), F.floor((F.col("x2") - 5) * n)]
+    return design.select(F.posexplode(F.array(*of)).alias("dimension", "stratum"))
+
+
 @query("s01_discover_sentinel", "listing", sql="SELECT path FROM fx_listing WHERE regexp_matches(path, '/MTD[^/]*TL[^/]*[.]xml$') OR suffix(path, '/metadata.xml')")
 def discover_sentinel(f):
     return M.sentinel_files(f)

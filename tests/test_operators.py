@@ -254,6 +254,11 @@ def test_retrieval_recovers_planted_atmosphere(spark):
     assert len(rows) == n * n
     assert max(abs(rows[i, j].aot - aot[i, j]) for i in range(n) for j in range(n)) < 0.02
     assert max(abs(rows[i, j].tcwv - 2.5) for i in range(n) for j in range(n)) < 0.2
+    assert all(r.converged for r in rows.values())
+    levels = {(r.bi, r.bj): r for r in T.retrieve_pyramid(o, p, bands, models, (n, n), gamma=0.1).collect()}
+    assert len(levels) == n * n and all(r.converged for r in levels.values())
+    assert max(abs(levels[k].aot - r.aot) + abs(levels[k].tcwv - r.tcwv) for k, r in rows.items()) < 1e-2
+    assert not any(r.converged for r in T.retrieve(o, p, bands, models, gamma=0.1, rounds=1).collect())
 
 
 def test_posterior_chain_equals_dense_inverse(spark):
@@ -262,7 +267,7 @@ def test_posterior_chain_equals_dense_inverse(spark):
     chain[0, 0] = chain[-1, -1] = 1
     want = np.sqrt(np.diag(np.linalg.inv(np.diag(d) + 4.0 * (chain + np.eye(12)))))
     np.testing.assert_allclose(T.chain_uncertainty(d, 2.0), want, rtol=1e-10)
-    assert T.pyramid(20, 12)[-1] == (20, 12) and T.pyramid(20, 12)[0] == (5, 3)
+    assert T.pyramid(20, 12)[-1] == (20, 12) and T.pyramid(20, 12)[0] == (5, 3) and T.pyramid(21, 21)[-3] == (5, 5)
 
 
 def test_tree_models_on_tables(spark):
@@ -302,3 +307,16 @@ def test_reflectance_sink_round_trip(spark, tmp_path):
     P.write_reflectance(boa, str(tmp_path / "boa"))
     got = {(r.scene_id, r.band, r.r, r.c): r.boa for r in spark.read.parquet(str(tmp_path / "boa")).collect()}
     assert got == {(1, 2, 0, 0): 1234, (1, 2, 0, 1): -9999, (2, 3, 1, 1): -9999}
+
+
+def test_written_tables_are_reused(spark, tmp_path):
+    from rasterloom.storage import reused
+
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(5)
+
+    path = str(tmp_path / "cube")
+    assert reused(spark, path, build).count() == reused(spark, path, build).count() == 5 and len(built) == 1
