@@ -85,12 +85,15 @@ def frequent_lines(docs: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
     return places.select("doc_id", "t", total.alias("lost_words"), F.transform("x", lambda x: F.shiftright(x, 32).cast("int")).alias("dropped"))
 
 
-def _with_losses(docs: DataFrame, max_docs: int) -> DataFrame:
-    """docs plus _lost and _dropped, null for documents without a line over the limit."""
-    lost = frequent_lines(docs.select("doc_id", "source", "text"), max_docs)
+def _with_losses(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """docs plus _lost and _dropped of frequent_lines, null for documents without a line over the limit.
+
+    The text's hash is a column before the join, so that the text itself moves only where it is wanted afterwards.
+    """
     lost = lost.select(F.col("doc_id").alias("_doc"), F.col("t").alias("_t"), F.col("lost_words").alias("_lost"), F.col("dropped").alias("_dropped"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
-    return docs.join(lost.hint("merge"), same, "left").drop("_doc", "_t")
+    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_key") == F.col("_t"))
+    return keyed.join(lost.hint("merge"), same, "left").drop("_doc", "_t", "_key")
 
 
 def depleted(n_words: Column, lost: Column, keep_percent: int) -> Column:
@@ -101,12 +104,13 @@ def apply_rules(docs: DataFrame, keep_percent: int = KEEP_PERCENT, max_docs: int
     """docs with the base measures, lost_words, base_failed and kept.
 
     Texts that are null, empty or of fewer than 50 words fail the base rules. Extra columns
-    pass through; those named like a measure are replaced, as are _doc, _t, _m, _lost and _dropped.
+    pass through; those named like a measure are replaced, as are _doc, _t, _key, _m, _lost and _dropped.
     Repeated rows are judged alike and count once. A null source is a host of its own name, the empty one.
     Texts and lines of any length count whole. An empty table gives no rows.
     """
-    docs = docs.drop("lost_words", "kept", "_doc", "_t", "_m", "_lost", "_dropped")
-    found = base_measures(_with_losses(docs, max_docs))
+    docs = docs.drop("lost_words", "kept", "_doc", "_t", "_key", "_m", "_lost", "_dropped")
+    lost = frequent_lines(docs.select("doc_id", "source", "text"), max_docs)
+    found = _with_losses(base_measures(docs), lost)
     found = found.withColumn("lost_words", F.coalesce("_lost", F.lit(0)).cast("long")).drop("_lost", "_dropped")
     return found.withColumn("kept", ~(F.col("base_failed") | depleted(F.col("n_words"), F.col("lost_words"), keep_percent)))
 
@@ -117,7 +121,8 @@ def kept_documents(docs: DataFrame, keep_percent: int = KEEP_PERCENT, max_docs:
     Only the verdict is evaluated, once.
     """
     columns = docs.columns
-    joined = _with_losses(docs.drop("_doc", "_t", "_lost", "_dropped"), max_docs)
+    docs = docs.drop("_doc", "_t", "_key", "_lost", "_dropped")
+    joined = _with_losses(docs, frequent_lines(docs.select("doc_id", "source", "text"), max_docs))
     lost = F.coalesce("_lost", F.lit(0))
     kept = let(words(F.col("text")), lambda w: let(F.size(w).cast("long"), lambda n: ~(
         depleted(n, lost, keep_percent) | (100 * _repeat_words(w) > REPEAT_PERCENT * n))))
