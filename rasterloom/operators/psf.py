@@ -30,6 +30,22 @@ def correlations(points: DataFrame, image: DataFrame, shifts: DataFrame, value:
     return met.groupBy("scene_id", "xs", "ys").agg(correlation("v", "boa").alias("r"), F.count("*").alias("n"))
 
 
+def window_correlations(points: DataFrame, image: DataFrame, half: int, value: str = "dn") -> DataFrame:
+    """(scene_id, xs, ys, r, n) for every shift in [-half, half).
+
+    A pixel within reach of a point stands for one shift of it, so no shift is exploded: points go to the (at most
+    four) tiles of 2 half pixels a side that their window touches, and meet the image tile by tile.
+    """
+    side = 2 * half
+    tile = lambda x: F.floor(x / side).cast("int")
+    span = lambda x: F.explode(F.sequence(tile(x - half), tile(x + half - 1)))
+    at = points.select("scene_id", "hx", "hy", "boa", span(F.col("hx")).alias("tr")).select("*", span(F.col("hy")).alias("tc"))
+    of = image.select(*CELL, F.col(value).alias("v"), tile(F.col("r")).alias("tr"), tile(F.col("c")).alias("tc")).where("v is not null")
+    met = at.join(of.hint("merge"), ["scene_id", "tr", "tc"]).select("scene_id", (F.col("r") - F.col("hx")).alias("xs"), (F.col("c") - F.col("hy")).alias("ys"), "v", "boa")
+    met = met.where(F.col("xs").between(-half, half - 1) & F.col("ys").between(-half, half - 1))
+    return met.groupBy("scene_id", "xs", "ys").agg(correlation("v", "boa").alias("r"), F.count("*").alias("n"))
+
+
 def best_shift(found: DataFrame, accept: float = 0.6) -> DataFrame:
     """Least |1 - r| (to nine digits), of equals that over most points, then the first in (xs, ys) order; below `accept` the shift is (0, 0). Null correlations do not count."""
     best = found.where("r is not null and not isnan(r)").groupBy("scene_id").agg(
@@ -49,7 +65,7 @@ def search_shift(points: DataFrame, image: DataFrame, half: int = 50, stride: in
     which misses peaks narrower than the stride."""
     spark = points.sparkSession
     if exhaustive:
-        return best_shift(correlations(points, image, grid_shifts(spark, half), value), accept)
+        return best_shift(window_correlations(points, image, half, value), accept)
     rough = best_shift(correlations(points, image, grid_shifts(spark, half, stride), value), -2.0)
     near = F.sequence(F.lit(-stride + 1), F.lit(stride - 1))
     fine = rough.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("scene_id", (F.col("xs") + F.col("dx")).alias("xs"), (F.col("ys") + F.col("dy")).alias("ys"))

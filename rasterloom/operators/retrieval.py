@@ -166,7 +166,8 @@ def retrieve_pyramid(obs: DataFrame, prior: DataFrame, bands: DataFrame, models:
         at = {b: F.floor(F.col(b) * n / full).cast("int") for b, n, full in zip(("bi", "bj"), level, shape, strict=True)}
         own = prior if level == shape else prior.withColumns(at).groupBy(*BLOCK).agg(*[F.avg(c).alias(c) for c in prior.columns if c not in BLOCK])
         seen = obs if level == shape else obs.withColumns(at)
-        solved = retrieve(seen, own, bands, models, gamma, ROUNDS[k > 6], tol, start)
+        # A coarse level is only a first guess: it stops at a hundred times the tolerance.
+        solved = retrieve(seen, own, bands, models, gamma, ROUNDS[k > 6], tol if level == levels[-1] else 100 * tol, start)
         if level == levels[-1]:
             return solved
         sides = tuple((n, m) for n, m in zip(level, levels[k + 1], strict=True))

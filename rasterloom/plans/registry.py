@@ -13,17 +13,17 @@ ORACLES: dict[str, str] = {}
 #: suppliers are four scenes, so that the number of scenes grows with the tables.
 #: Only exact arithmetic, so that both engines see the same bits.
 FIXTURES = {
-    "px": """SELECT CAST(l_suppkey % 4 + 4 * floor((l_suppkey - 1) / 100) AS INT) AS scene_id, CAST(l_linenumber AS INT) AS band, CAST(l_orderkey % {side} AS INT) AS r,
+    "px": """SELECT CAST(l_suppkey % 4 + 4 * floor(l_suppkey / 100) AS INT) AS scene_id, CAST(l_linenumber AS INT) AS band, CAST(l_orderkey % {side} AS INT) AS r,
         CAST(l_partkey % {side} AS INT) AS c, CAST(floor(min(l_extendedprice) / 10) AS DOUBLE) AS dn FROM {lineitem} GROUP BY 1, 2, 3, 4""",
     "bands": """SELECT * FROM (VALUES
         (1, 'coastal', 443, CAST(0.0001 AS DOUBLE), CAST(0.0 AS DOUBLE)), (2, 'blue', 469, CAST(0.0001 AS DOUBLE), CAST(-0.002 AS DOUBLE)),
         (3, 'green', 555, CAST(0.0001 AS DOUBLE), CAST(0.0 AS DOUBLE)), (4, 'red', 645, CAST(0.0001 AS DOUBLE), CAST(-0.002 AS DOUBLE)),
         (5, 'nir', 859, CAST(0.0001 AS DOUBLE), CAST(0.0 AS DOUBLE)), (6, 'swir1', 1640, CAST(0.0001 AS DOUBLE), CAST(-0.001 AS DOUBLE)),
         (7, 'swir2', 2130, CAST(0.0001 AS DOUBLE), CAST(0.0 AS DOUBLE))) AS t(band, role, wavelength_nm, scale, off)""",
-    "angles": """SELECT CAST(l_suppkey % 4 + 4 * floor((l_suppkey - 1) / 100) AS INT) AS scene_id, CAST(l_orderkey % {side} AS INT) AS r, CAST(l_partkey % {side} AS INT) AS c,
+    "angles": """SELECT CAST(l_suppkey % 4 + 4 * floor(l_suppkey / 100) AS INT) AS scene_id, CAST(l_orderkey % {side} AS INT) AS r, CAST(l_partkey % {side} AS INT) AS c,
         CAST(20 + 500 * max(l_tax) AS DOUBLE) AS sza, CAST(100 * min(l_discount) AS DOUBLE) AS vza, CAST(7 * max(l_quantity) AS DOUBLE) AS saa,
         CAST(3 * min(l_partkey % 100) AS DOUBLE) AS vaa FROM {lineitem} GROUP BY 1, 2, 3""",
-    "qa": """SELECT CAST(l_suppkey % 4 + 4 * floor((l_suppkey - 1) / 100) AS INT) AS scene_id, CAST(l_orderkey % {side} AS INT) AS r, CAST(l_partkey % {side} AS INT) AS c,
+    "qa": """SELECT CAST(l_suppkey % 4 + 4 * floor(l_suppkey / 100) AS INT) AS scene_id, CAST(l_orderkey % {side} AS INT) AS r, CAST(l_partkey % {side} AS INT) AS c,
         min((l_orderkey * 3 + l_partkey) % 256) AS qa_bits, CAST(max((l_partkey * 7 + l_suppkey * 13) % 100) AS DOUBLE) / 100 AS cloud_prob
         FROM {lineitem} GROUP BY 1, 2, 3""",
     "brdf": """SELECT user_id AS cell_id, CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 6 END AS band,

@@ -322,9 +322,19 @@ def step_day(s):
 
 @query("a14_a15_burn_day", "samples")
 def burn_day(s):
-    """Day, burnt fraction and burnt spectrum of every pixel over the seven-band record made of its samples."""
+    """Day, burnt fraction and burnt spectrum of every pixel.
+
+    The record has seven bands: a green spectrum until a day that the pixel's number gives, then a mixture of it with a
+    burnt one, with the samples' reflectances as noise.
+    """
     names = {0: 645.0, 1: 858.5, 2: 469.0, 3: 555.0, 4: 1240.0, 5: 1640.0, 6: 2130.0}
-    bands = s.select("*", F.explode(F.array(*map(F.lit, names))).alias("band")).withColumn("refl", F.col("refl") * (1 + F.col("band")) / 7 + F.col("band") * 0.01)
+    span = K.BURN_LIMIT - K.BURN_OFFSET
+    shape = {b: (w - K.BURN_OFFSET) - (w - K.BURN_OFFSET) ** 2 / (2 * span) for b, w in names.items()}
+    green = F.element_at(F.array(*map(F.lit, (0.08, 0.45, 0.05, 0.10, 0.42, 0.30, 0.18))), F.col("band") + 1)
+    burnt = F.lit(0.02) + 0.08 * F.element_at(F.array(*[F.lit(v / max(shape.values())) for v in shape.values()]), F.col("band") + 1)
+    part = F.when(F.col("doy") > 120 + F.col("pixel"), 0.3 + (F.col("pixel") % 5) * 0.1).otherwise(0.0)
+    bands = s.select("*", F.explode(F.array(*map(F.lit, names))).alias("band"))
+    bands = bands.withColumn("refl", green * (1 - part) + burnt * part + (F.col("refl") - 0.15) * 0.01)
     return K.detect_step(K.with_kernels(bands), names)
 
 
