@@ -234,7 +234,7 @@ def correct(px: DataFrame, bands: DataFrame, blocks: DataFrame, models: dict, sh
     return j.select("scene_id", "band", "r", "c", R.surface_reflectance(t, a, b, c, F.col("dn")).alias("boa"), F.when(F.col("dn") > 0, unc).alias("boa_unc"))
 
 
-def _linear(value: float, slopes: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+def exact_linear(value: float, slopes: tuple[float, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
     """A network that is exactly value + slopes . x where x is non-negative; for tests and demonstrations."""
     n = len(slopes)
     s = np.array(slopes, float)
@@ -245,9 +245,9 @@ def linear_models(bands: list[int]) -> dict:
     """Demonstration models: scattering falls with the band number, vapour absorbs more in later bands."""
     out = {}
     for k, band in enumerate(bands):
-        out[band, "a"] = _linear(1.1, (0, 0, 0, 0.30 / (1 + k), 0.02 * (1 + k), 0, 0))
-        out[band, "b"] = _linear(0.01, (0, 0, 0, 0.12 / (1 + k), 0, 0, 0))
-        out[band, "c"] = _linear(0.05, (0, 0, 0, 0.10 / (1 + k), 0, 0, 0))
+        out[band, "a"] = exact_linear(1.1, (0, 0, 0, 0.30 / (1 + k), 0.02 * (1 + k), 0, 0))
+        out[band, "b"] = exact_linear(0.01, (0, 0, 0, 0.12 / (1 + k), 0, 0, 0))
+        out[band, "c"] = exact_linear(0.05, (0, 0, 0, 0.10 / (1 + k), 0, 0, 0))
     return out
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import angles as A
 from rasterloom.functions import grid as G
+from rasterloom.operators import emulator as E
 from rasterloom.operators import kernel_fit as K
 from rasterloom.operators import neighborhood as N
 from rasterloom.operators import pixels as P
@@ -545,6 +546,39 @@ def retrieval(px, bands, a):
     return solved.select("scene_id", "bi", "bj", "aot", "tcwv", "converged").join(T.posterior(joined, 2.0).hint("merge"), ["scene_id", "bi", "bj"])
 
 
+@query("p37_cloud_probability", "px", "bands", "qa")
+def cloud_probability(px, bands, qa):
+    """Cloud probability of cells twice as wide, by trees fitted to the quality table's own probabilities."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    toa, half = P.calibrated(px, bands), [F.expr(f"{k} div 2").cast("int").alias(k) for k in ("r", "c")]
+    mean = toa.groupBy("scene_id", *half).pivot("role", list(P.ROLES)).agg(F.avg("toa")).na.drop()
+    seen = qa.groupBy("scene_id", *half).agg((F.avg("cloud_prob") > 0.6).cast("double").alias("label"))
+    rows = VectorAssembler(inputCols=list(P.ROLES), outputCol="features").transform(mean.join(seen.hint("merge"), ["scene_id", "r", "c"]))
+    model = GBTClassifier(maxIter=3, maxDepth=3, seed=1).fit(rows)
+    return E.cloud_probability(toa, list(P.ROLES), model, 2)
+
+
+@query("p38_first_guess_tcwv", "angles", sql=f"""WITH g AS (SELECT scene_id, r, c, 0.5 + 0.2::DOUBLE * vza + 0.05::DOUBLE * sza AS g FROM fx_angles), m AS (SELECT scene_id, quantile_cont(g, 0.5) AS m FROM g WHERE g > 0 AND g < 3 GROUP BY 1)
+    SELECT scene_id, r, c, {s6('CASE WHEN g > 0 AND g < 3 THEN g ELSE m END', 'tcwv')} FROM g LEFT JOIN m USING (scene_id)""")
+def first_guess_tcwv(a):
+    """Water vapour by a network of the angles; values out of range take the scene's median."""
+    guess = E.first_guess_tcwv(a.select("scene_id", "r", "c", "vza", "sza"), ["vza", "sza"], T.exact_linear(0.5, (0.2, 0.05)), 0.0, 3.0)
+    return guess.select("scene_id", "r", "c", r6(F.col("tcwv"), "tcwv"))
+
+
+@query("p39_first_guess_aot", "angles")
+def first_guess_aot(a):
+    """Optical thickness by regression trees of the angles, trimmed, filled and smoothed."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    rows = a.select("scene_id", "r", "c", "sza", "vza", (0.2 + F.col("saa") / 400).alias("label"))
+    model = GBTRegressor(maxIter=3, maxDepth=3, seed=1).fit(VectorAssembler(inputCols=["sza", "vza"], outputCol="features").transform(rows))
+    return E.first_guess_aot(rows.drop("label"), ["sza", "vza"], model, SIDE, SIDE)
+
+
 @query("r06_correction", "px", "bands", "angles", sql=f"""WITH g AS (SELECT DISTINCT scene_id, r // 8 AS bi, c // 8 AS bj FROM fx_angles), {TOA}, p AS (SELECT t.*, (1.1 + 0.3::DOUBLE / band * 0.2 + 0.02::DOUBLE * band * 2) AS a, (0.01 + 0.12::DOUBLE / band * 0.2) AS b, (0.05 + 0.1::DOUBLE / band * 0.2) AS k FROM fx_toa t JOIN g ON g.scene_id = t.scene_id AND g.bi = t.r // 8 AND g.bj = t.c // 8)
     SELECT scene_id, band, r, c, {s6('CASE WHEN dn > 0 THEN (a * toa - b) / (1 + k * (a * toa - b)) END', 'boa')} FROM p""")
 def correction(px, bands, a):
