@@ -262,12 +262,47 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Edges that a task joins into stars before the rounds of components.
+EDGES_PER_TASK = 200_000
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) that join the same documents: those of a task become stars around the smallest of each of its components.
+
+    Long chains get short, so that the rounds that follow are few. A task holds EDGES_PER_TASK edges or so, however many there are.
+    """
+    edges = materialize(edges.select("a", "b"), "given-edges")
+    parts = -(-edges.count() // EDGES_PER_TASK)
+    dealt = edges.coalesce(1) if parts <= 1 else edges.repartition(parts, "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            root.setdefault(x, x)
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        for batch in batches:
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+        out = [(x, find(x)) for x in list(root) if root[x] != x]
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint")
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """v, label: the smallest document reachable from v, for every end of edges(a, b).
+    """v, label: the smallest document reachable from v, for every end of edges(a, b), which differ.
 
     Labels fall to the least among neighbours, then to the label of that label, until none
-    falls; every round is written out. The distance to the least label halves in each.
+    falls; every round is written out. Edges become stars inside tasks first.
     """
+    edges = materialize(contracted(edges), "contracted")  # written: both directions must be of the same stars
     both = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).union(edges.select(F.col("b"), F.col("a")))
     both = materialize(both.distinct(), "edges")
     labels = materialize(both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("label")), "labels")
@@ -306,7 +341,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     labels = components(first)
     more = materialize(cross_pairs(buckets, labels, residual_sets(texts, width), percent), "crossing")
     second = materialize(confirm(more, texts, width, percent), "more-links")
-    labels = components(first.union(second))
+    stars = labels.where("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b"))
+    labels = components(stars.union(second))
     joined = classes.join(labels.select(F.col("v").alias("rep"), "label").hint("merge"), "rep", "left")
     joined = materialize(joined.select("name", F.coalesce("label", "rep").alias("component_id")), "class-labels")
     own = sk.select("doc_id", "n", "name").join(joined.hint("merge"), "name", "left")
