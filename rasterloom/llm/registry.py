@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import byte_bpe, fingerprint, html_extract, line_dedup, minhash, packing, quality_classifier, quality_rules, suffix_dedup, url_filter
+from . import byte_bpe, embedding_dedup, filter_audit, fingerprint, html_extract, line_dedup, minhash, packing, quality_classifier, quality_rules, source_divergence, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_minhash_dedup": minhash.op1_minhash_dedup,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_packing": packing.op9_packing,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_source_divergence": source_divergence.op11_source_divergence,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_embedding_dedup": embedding_dedup.op13_embedding_dedup,
 }
 
 ORACLES = {
@@ -20,4 +23,7 @@ ORACLES = {
     "op3_url_filters": url_filter.SQL,
     "op6_quality_rules": quality_rules.SQL,
     "op8_line_dedup": line_dedup.SQL,
+    "op11_source_divergence": source_divergence.SQL,
+    "op12_filter_audit": filter_audit.SQL,
+    "op13_embedding_dedup": embedding_dedup.SQL,
 }
