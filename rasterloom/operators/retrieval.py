@@ -1,8 +1,9 @@
 """Atmospheric retrieval per block over many scenes, posterior uncertainty, and surface correction.
 
-Each round of the retrieval is one job over the observations of all running scenes: models at
-block level, a join to the observations, and 2 x 2 normal sums per block. The small coupled system of
-a scene (its blocks, some thousands) is solved in one group. Rounds are written out, not kept as lineage.
+Each round of the retrieval is one job over the observations of all running scenes: models at block level, a join to the
+observations, and 2 x 2 normal sums per block. The coupled system of a scene is cut into tiles of blocks: a task solves
+one tile with the blocks around it, which overlap with its neighbours' and carry a change from tile to tile over the rounds; the
+costs that steer a scene are sums over its tiles. So no task holds a scene. Rounds are written out, not kept as lineage.
 """
 
 from __future__ import annotations
@@ -55,81 +56,117 @@ def normal_sums(obs: DataFrame, blocks: DataFrame, weights: DataFrame, bands: li
         (0.5 * F.sum(w * r * r)).alias("cost"), F.count("*").alias("n"))
 
 
-def _laplacian(v: np.ndarray) -> np.ndarray:
-    """Four-neighbour Laplacian of a grid with open edges."""
-    out = np.zeros_like(v)
+#: Blocks on a side of a tile, and blocks around it that are solved along with it.
+TILE, HALO = 64, 16
+
+
+def tiled(blocks: DataFrame, tile: int, reach: int) -> DataFrame:
+    """blocks with ti, tj: one row for each tile that a block lies in or within reach of."""
+    for k, t in (("bi", "ti"), ("bj", "tj")):
+        first, last = (F.floor((F.col(k) + d) / tile).cast("int") for d in (-reach, reach))
+        blocks = blocks.withColumn(t, F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return blocks
+
+
+def _edges(present: np.ndarray) -> list[tuple[np.ndarray, tuple, tuple]]:
+    """For rows and columns: which neighbours both exist, and the slices of the first and the second of them."""
+    out = []
     for axis in (0, 1):
-        d = np.diff(v, axis=axis)
         lead, lag = [slice(None)] * 2, [slice(None)] * 2
         lead[axis], lag[axis] = slice(None, -1), slice(1, None)
-        out[tuple(lead)] -= d
-        out[tuple(lag)] += d
+        lead, lag = tuple(lead), tuple(lag)
+        out.append((present[lead] & present[lag], lead, lag))
+    return out
+
+
+def _laplacian(v: np.ndarray, edges: list) -> np.ndarray:
+    """Four-neighbour Laplacian over the edges that exist."""
+    out = np.zeros_like(v)
+    for both, lead, lag in edges:
+        d = np.where(both, v[lag] - v[lead], 0.0)
+        out[lead] -= d
+        out[lag] += d
     return out
 
 
-def _solve_scene(pdf: pd.DataFrame, gamma: float) -> pd.DataFrame:
-    """One Gauss-Newton step of a scene by preconditioned conjugate gradients; halves the step where the cost rose."""
-    shape = (int(pdf["bi"].max()) + 1, int(pdf["bj"].max()) + 1)
-    at = (pdf["bi"].to_numpy(), pdf["bj"].to_numpy())
+def _tile_step(pdf: pd.DataFrame, tile: int, reach: int, gamma: float) -> pd.DataFrame:
+    """A tile's blocks with their Gauss-Newton step (d_aot, d_tcwv) and, in part, the share of each in the scene's cost.
+
+    The step solves the tile and the blocks within reach of it together by preconditioned conjugate gradients; blocks
+    farther off keep still. Their values count in the gradient, so the fixed point of the rounds is the scene's own minimum.
+    """
+    ti, tj = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
+    bi, bj = pdf["bi"].to_numpy(), pdf["bj"].to_numpy()
+    own = (bi // tile == ti) & (bj // tile == tj)
+    if not own.any():
+        return pdf.iloc[:0].assign(d_aot=0.0, d_tcwv=0.0, part=0.0)
+    r0, c0 = bi.min(), bj.min()
+    at, shape = (bi - r0, bj - c0), (bi.max() - r0 + 1, bj.max() - c0 + 1)
 
     def grid(name: str, fill: float = 0.0) -> np.ndarray:
         g = np.full(shape, fill)
         g[at] = pdf[name].fillna(fill)
         return g
 
+    here, core, free = (np.zeros(shape, bool) for _ in range(3))
+    here[at], core[at] = True, own
+    free[at] = (bi >= ti * tile - reach) & (bi < (ti + 1) * tile + reach) & (bj >= tj * tile - reach) & (bj < (tj + 1) * tile + reach)
+    edges = _edges(here)
     seen = grid("n") > 1
     x = np.stack([grid("aot", 0.1), grid("tcwv", 1.0)])
     prior = np.stack([grid("aot_prior", 0.1), grid("tcwv_prior", 1.0)])
     pull = np.stack([seen / grid(u, 1.0) ** 2 for u in ("aot_unc", "tcwv_unc")])
     h00, h01, h11 = (grid(n) * seen for n in ("h00", "h01", "h11"))
-    g = np.stack([grid("g0") * seen, grid("g1") * seen]) + pull * (x - prior) + gamma**2 * np.stack([_laplacian(v) for v in x])
-    cost = float((grid("cost") * seen).sum() + 0.5 * (pull * (x - prior) ** 2).sum() + 0.5 * gamma**2 * sum((v * _laplacian(v)).sum() for v in x))
-    last = float(pdf["last_cost"].iloc[0])
-    if cost > last * (1 + 1e-9):
-        # Go back half way to where the cost was lower, which the step columns remember.
-        step = np.stack([grid("step_aot"), grid("step_tcwv")])
-        move = -0.5 * step
-        kept = 0.5 * step
-        last_cost = last
-    else:
-        def apply(d: np.ndarray) -> np.ndarray:
-            out = np.stack([h00 * d[0] + h01 * d[1], h01 * d[0] + h11 * d[1]]) + pull * d
-            return out + gamma**2 * np.stack([_laplacian(v) for v in d])
-
-        m = np.stack([h00, h11]) + pull + 8 * gamma**2 + 1e-12
-        d, r = np.zeros_like(g), -g
+    g = np.stack([grid("g0") * seen, grid("g1") * seen]) + pull * (x - prior) + gamma**2 * np.stack([_laplacian(v, edges) for v in x])
+    part = grid("cost") * seen + 0.5 * (pull * (x - prior) ** 2).sum(0)
+    for both, lead, lag in edges:  # an edge counts where it begins
+        part[lead] += 0.5 * gamma**2 * np.where(both, ((x[:, *lag] - x[:, *lead]) ** 2).sum(0), 0.0)
+
+    def apply(d: np.ndarray) -> np.ndarray:
+        out = np.stack([h00 * d[0] + h01 * d[1], h01 * d[0] + h11 * d[1]]) + pull * d
+        return (out + gamma**2 * np.stack([_laplacian(v, edges) for v in d])) * free
+
+    m = np.stack([h00, h11]) + pull + 8 * gamma**2 + 1e-12
+    d, r = np.zeros_like(g), -g * free
+    z = r / m
+    p, rz = z.copy(), float((r * z).sum())
+    for _ in range(400):
+        if rz < 1e-16:
+            break
+        q = apply(p)
+        alpha = rz / max(float((p * q).sum()), 1e-300)
+        d += alpha * p
+        r -= alpha * q
         z = r / m
-        p, rz = z.copy(), float((r * z).sum())
-        for _ in range(200):
-            if rz < 1e-16:
-                break
-            q = apply(p)
-            alpha = rz / max(float((p * q).sum()), 1e-300)
-            d += alpha * p
-            r -= alpha * q
-            z = r / m
-            fresh = float((r * z).sum())
-            p, rz = z + fresh / rz * p, fresh
-        move = kept = d
-        last_cost = cost
-    fresh = np.stack([np.clip(x[k] + move[k], *BOUNDS[k]) for k in (0, 1)])
-    moved = float(np.abs(fresh - x).max())
-    kept = fresh - x if last_cost == cost else kept
-    return pdf.assign(aot=fresh[0][at], tcwv=fresh[1][at], step_aot=kept[0][at], step_tcwv=kept[1][at], last_cost=last_cost, moved=moved)
+        fresh = float((r * z).sum())
+        p, rz = z + fresh / rz * p, fresh
+    return pdf.assign(d_aot=d[0][at], d_tcwv=d[1][at], part=part[at])[own]
+
+
+def _moved(steps: DataFrame, costs: DataFrame) -> DataFrame:
+    """Blocks after a round. Where the scene's cost rose, half of the last step is taken back; else the new step is taken, clipped to BOUNDS."""
+    j = steps.join(costs.hint("merge"), "scene_id")
+    rose = F.col("now") > F.col("last_cost") * (1 + 1e-9)
+    out = j.withColumns({f"_{k}": F.greatest(F.lit(low), F.least(F.lit(high), F.col(k) + F.when(rose, -0.5 * F.col(f"step_{k}")).otherwise(F.col(f"d_{k}")))) for k, (low, high) in zip(("aot", "tcwv"), BOUNDS, strict=True)})
+    out = out.withColumn("_move", F.greatest(*[F.abs(F.col(f"_{k}") - F.col(k)) for k in ("aot", "tcwv")]))
+    out = out.withColumns({f"step_{k}": F.when(rose, 0.5 * F.col(f"step_{k}")).otherwise(F.col(f"_{k}") - F.col(k)) for k in ("aot", "tcwv")})
+    return out.withColumns({"aot": F.col("_aot"), "tcwv": F.col("_tcwv"), "last_cost": F.when(rose, F.col("last_cost")).otherwise(F.col("now"))})
 
 
 #: Fixed value: the largest number of rounds of a level of the pyramid up to the seventh level, and above.
 ROUNDS = (60, 20)
 
 
-def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, gamma: float = 10.0, rounds: int = ROUNDS[0], tol: float = 1e-4, start: DataFrame | None = None) -> DataFrame:
+def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, gamma: float = 10.0, rounds: int = ROUNDS[0], tol: float = 1e-4, start: DataFrame | None = None,
+             tile: int = TILE, halo: int = HALO) -> DataFrame:
     """prior with aot, tcwv, moved and converged for every block of all scenes.
 
     A scene drops out of the rounds when its largest step falls below tol. One that is still moving after the last
     round comes back with converged false.
 
     prior(block, cos_sza, cos_vza, cos_raa, ele, tco3, aot_prior, tcwv_prior, aot_unc, tcwv_unc). The prior acts on
-    blocks with more than one observation; others follow their neighbours. start(block, aot, tcwv) is the first guess, else the prior is.
+    blocks with more than one observation; others follow their neighbours, which are the blocks that exist. start(block, aot, tcwv) is the
+    first guess, else the prior is. Tiles of tile x tile blocks are solved with the halo blocks around them.
     """
     names = [r["band"] for r in bands.select("band").collect()]  # a band dimension
     weights = band_weights(bands)
@@ -138,22 +175,28 @@ def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, g
     if start is not None:
         guess = start.select(*BLOCK, F.col("aot").alias("_aot"), F.col("tcwv").alias("_tcwv"))
         first = first.join(guess.hint("merge"), [*BLOCK], "left").withColumns({"aot": F.coalesce("_aot", "aot"), "tcwv": F.coalesce("_tcwv", "tcwv")}).drop("_aot", "_tcwv")
-    state = first.withColumns({"step_aot": zero, "step_tcwv": zero, "last_cost": F.lit(float("inf")), "moved": F.lit(float("inf"))})
-    finished = None
-    columns = state.columns
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.schema.fields)
+    state = first.withColumns({"step_aot": zero, "step_tcwv": zero, "last_cost": F.lit(float("inf"))})
+    columns, finished = state.columns, None
     for _ in range(rounds):
         running = state.select("scene_id").distinct()
         sums = normal_sums(obs.join(running.hint("merge"), "scene_id", "left_semi"), state, weights, names, models)
-        joined = state.join(sums.hint("merge"), [*BLOCK], "left")
-        solved = joined.groupBy("scene_id").applyInPandas(lambda pdf: _solve_scene(pdf, gamma)[columns], schema)
-        solved = checkpointed(solved, "blocks")
+        joined = tiled(state.join(sums.hint("merge"), [*BLOCK], "left"), tile, halo + 1)
+        kinds = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in columns)
+        keep = [*columns, "d_aot", "d_tcwv", "part"]
+        steps = joined.groupBy("scene_id", "ti", "tj").applyInPandas(lambda pdf: _tile_step(pdf, tile, halo, gamma)[keep], f"{kinds}, d_aot double, d_tcwv double, part double")
+        steps = checkpointed(steps, "steps")
+        # One row a scene, written: Spark can then split a large scene's side of the joins.
+        costs = checkpointed(steps.groupBy("scene_id").agg(F.sum("part").alias("now")), "costs")
+        solved = checkpointed(_moved(steps, costs).select(*columns, "_move"), "blocks")
+        moves = checkpointed(solved.groupBy("scene_id").agg(F.max("_move").alias("moved")), "moves")
+        solved = solved.drop("_move").join(moves.hint("merge"), "scene_id")
         done = solved.where(F.col("moved") < tol)
         finished = done if finished is None else finished.unionByName(done)
-        state = solved.where(F.col("moved") >= tol)
-        if not state.limit(1).count():
+        rest = solved.where(F.col("moved") >= tol)
+        if not moves.where(F.col("moved") >= tol).limit(1).count():
             break
-    return finished.unionByName(state).select(*prior.columns, "aot", "tcwv", "moved", (F.col("moved") < tol).alias("converged"))
+        state = rest.select(*columns)
+    return finished.unionByName(rest).select(*prior.columns, "aot", "tcwv", "moved", (F.col("moved") < tol).alias("converged"))
 
 
 def retrieve_pyramid(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, shape: tuple[int, int], gamma: float = 10.0, tol: float = 1e-4) -> DataFrame:
@@ -194,19 +237,79 @@ def chain_uncertainty(diagonal: np.ndarray, gamma: float) -> np.ndarray:
     return 1 / np.sqrt(up + down - a)
 
 
-def posterior(blocks: DataFrame, gamma: float = 10.0) -> DataFrame:
-    """aot_unc and tcwv_unc of blocks(block, info_aot, info_tcwv, aot_prior_unc, tcwv_prior_unc): one chain a scene, row-major."""
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+#: Rows of blocks of one range of a scene's chain.
+CHAIN_ROWS = 4
+
+
+def _pivots(a: np.ndarray, off: float, start: np.ndarray) -> np.ndarray:
+    """Pivots of the tridiagonal matrix with diagonal a (chain, kind), entered with the pivot start[0] / start[1] of what comes before."""
+    out = np.empty_like(a)
+    with np.errstate(divide="ignore"):
+        last = np.where(start[1] == 0, np.inf, start[0] / np.where(start[1] == 0, 1.0, start[1]))
+    for k in range(len(a)):
+        last = out[k] = a[k] - off * off / last
+    return out
+
+
+def _product(a: np.ndarray, off: float) -> np.ndarray:
+    """The 2 x 2 matrix (rows, columns, kind) that carries a pivot, as a ratio, across the range: the product of (a, -off^2; 1, 0), scaled."""
+    m = np.zeros((2, 2, a.shape[1]))
+    m[0, 0] = m[1, 1] = 1.0
+    for row in a:
+        m = np.stack([row * m[0] - off * off * m[1], m[0]])
+        m /= np.abs(m).max((0, 1))
+    return m
+
+
+def posterior(blocks: DataFrame, gamma: float = 10.0, chain_rows: int = CHAIN_ROWS) -> DataFrame:
+    """aot_unc and tcwv_unc of blocks(block, info_aot, info_tcwv, aot_prior_unc, tcwv_prior_unc): one chain a scene, row-major.
+
+    Forward and backward pivots of the chain's matrix give the diagonal of its inverse. A pivot follows from the one before by a fraction
+    whose coefficients are a 2 x 2 matrix, and such steps compose by matrix products: each range of chain_rows rows gives one
+    product, the products of a scene are scanned (one row a range), and each range then runs its own pivots from where the scan enters it.
+    """
+    off, kinds = -(gamma**2), ("aot", "tcwv")
+    ends = checkpointed(blocks.groupBy("scene_id").agg(F.min(F.struct("bi", "bj")).alias("first"), F.max(F.struct("bi", "bj")).alias("last")), "chain-ends")
+    weight = lambda u: F.when(F.col(u) > 0, 1 / (F.col(u) * F.col(u))).otherwise(0.0)
+    links = sum((F.when(F.struct("bi", "bj") == F.col(e), 0).otherwise(1) for e in ("first", "last")), F.lit(1))
+    rows = blocks.join(ends.hint("merge"), "scene_id").select(
+        *BLOCK, F.floor(F.col("bi") / chain_rows).cast("int").alias("part"),
+        *[(F.coalesce(F.nanvl(f"info_{k}", F.lit(0.0)), F.lit(0.0)) + F.coalesce(weight(f"{k}_prior_unc"), F.lit(0.0)) + gamma**2 * links).alias(k) for k in kinds])
+    rows = checkpointed(rows, "chain")
+    names = [f"{d}{i}{j}_{k}" for d in ("up", "down") for i in (0, 1) for j in (0, 1) for k in kinds]
+    scene = f"scene_id {blocks.schema['scene_id'].dataType.simpleString()}"
+
+    def product(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = pdf.sort_values(["bi", "bj"])[[*kinds]].to_numpy(float)
+        return pd.DataFrame([[pdf["scene_id"].iloc[0], pdf["part"].iloc[0], *_product(a, off).ravel(), *_product(a[::-1], off).ravel()]], columns=["scene_id", "part", *names])
+
+    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        m = pdf[names].to_numpy().reshape(len(pdf), 2, 2, 2, len(kinds))
+        into = np.zeros((len(pdf), 2, 2, len(kinds)))
+        for d, order in ((0, range(len(pdf))), (1, range(len(pdf) - 1, -1, -1))):
+            at = np.zeros((2, len(kinds)))
+            at[0] = 1.0  # no pivot before the first: an infinite one
+            for k in order:
+                into[k, d] = at
+                at = (m[k, d] * at[None]).sum(1)
+                at /= np.abs(at).max(0)
+        return pd.concat([pdf[["scene_id", "part"]].reset_index(drop=True), pd.DataFrame(into.reshape(len(pdf), -1), columns=entries)], axis=1)
+
+    entries = [f"{d}{i}_{k}" for d in ("up", "down") for i in (0, 1) for k in kinds]
+    doubles = lambda c: ", ".join(f"{x} double" for x in c)
+    products = checkpointed(rows.groupBy("scene_id", "part").applyInPandas(product, f"{scene}, part int, {doubles(names)}"), "chain-products")
+    entered = checkpointed(products.groupBy("scene_id").applyInPandas(scan, f"{scene}, part int, {doubles(entries)}"), "chain-entries")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["bi", "bj"])
-        out = pdf[[*BLOCK]].copy()
-        for k in ("aot", "tcwv"):
-            u = pdf[f"{k}_prior_unc"].to_numpy(float)
-            weight = np.where(np.isfinite(u) & (u > 0), 1 / np.where(u > 0, u, 1.0) ** 2, 0.0)
-            out[f"{k}_unc"] = chain_uncertainty(np.nan_to_num(pdf[f"info_{k}"].to_numpy(float)) + weight, gamma)
-        return out
-
-    kinds = ", ".join(f"{f} {blocks.schema[f].dataType.simpleString()}" for f in BLOCK)
-    return blocks.groupBy("scene_id").applyInPandas(one, f"{kinds}, aot_unc double, tcwv_unc double")
+        a = pdf[[*kinds]].to_numpy(float)
+        into = pdf[entries].iloc[0].to_numpy(float).reshape(2, 2, len(kinds))
+        u = 1 / np.sqrt(_pivots(a, off, into[0]) + _pivots(a[::-1], off, into[1])[::-1] - a)
+        return pdf[[*BLOCK]].assign(aot_unc=u[:, 0], tcwv_unc=u[:, 1])
+
+    named = ", ".join(f"{f} {blocks.schema[f].dataType.simpleString()}" for f in BLOCK)
+    return rows.join(entered.hint("merge"), ["scene_id", "part"]).groupBy("scene_id", "part").applyInPandas(run, f"{named}, aot_unc double, tcwv_unc double")
 
 
 def block_information(obs: DataFrame, blocks: DataFrame, weights: DataFrame, bands: list[int], models: dict) -> DataFrame:
