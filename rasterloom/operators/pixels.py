@@ -6,7 +6,7 @@ off) has a few dozen rows and is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -101,8 +101,8 @@ def outlier_filter(pairs: DataFrame, envelopes: DataFrame, low: float = 0.05, hi
     """Cells of pairs(cell, band, toa, boa) that pass every band's envelope and its percentile range.
 
     envelopes(band, lo array, hi array) holds cubic coefficients, highest power first, one row a band.
-    The percentiles of toa - boa are taken over what the envelope keeps, per scene and band: exact ones, or
-    with accuracy approximate ones in bounded memory, for scenes whose distinct values fill a task.
+    The percentiles of toa - boa are taken over what the envelope keeps, per scene and band: exact ones by rank
+    selection, or with accuracy approximate ones in one pass.
     """
     def poly(name: str) -> Column:
         return F.aggregate(F.col(name), F.lit(0.0), lambda a, k: a * F.col("boa") + k)
@@ -110,12 +110,12 @@ def outlier_filter(pairs: DataFrame, envelopes: DataFrame, low: float = 0.05, hi
     gap = F.col("toa") - F.col("boa")
     tested = pairs.join(F.broadcast(envelopes), "band").withColumn("gap", gap)
     tested = tested.withColumn("inside", (F.col("gap") >= poly("lo")) & (F.col("gap") <= poly("hi")))
-    got = F.percentile_approx("gap", [low, high], accuracy) if accuracy else F.percentile("gap", F.array(F.lit(low), F.lit(high)))
-    limits = tested.where("inside").groupBy("scene_id", "band").agg(got.alias("p"))
+    limits = percentiles(tested.where("inside"), ["scene_id", "band"], "gap", (low, high), accuracy)
+    low_name, high_name = (c for c in limits.columns if c not in ("scene_id", "band"))
     # A row for each scene and band, which grows with the scenes: written, so that Spark can split a large scene's side of the join.
     limits = checkpointed(limits, "limits")
     judged = tested.join(limits.hint("merge"), ["scene_id", "band"], "left")
-    ok = F.coalesce(F.col("inside") & (F.col("gap") >= F.col("p")[0]) & (F.col("gap") <= F.col("p")[1]), F.lit(False))
+    ok = F.coalesce(F.col("inside") & (F.col("gap") >= F.col(low_name)) & (F.col("gap") <= F.col(high_name)), F.lit(False))
     return judged.groupBy(*CELL).agg(F.every(ok).alias("ok"))
 
 
@@ -180,15 +180,39 @@ def overview(px: DataFrame, factor: int, value: str = "dn") -> DataFrame:
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...] = (0.05, 0.5, 0.95), accuracy: int | None = None) -> DataFrame:
-    """Linear-interpolated percentiles; with accuracy, bounded-memory approximate ones for very large groups."""
-    got = F.percentile_approx(value, list(at), accuracy) if accuracy else F.percentile(value, F.array(*map(F.lit, at)))
-    return df.groupBy(*keys).agg(got.alias("p")).select(*keys, *[F.col("p")[k].alias(f"p{round(100 * a):02d}") for k, a in enumerate(at)])
+    """Exact, linearly interpolated percentiles p05, p50, ... per key, by selecting the two ranks around each position.
+
+    Distinct values with their counts are dealt into ranges of (key, value); the ranges' totals say in which of them a rank lies, and
+    only those ranges are counted through. So a group of any size, or one value of any frequency, never fills a task.
+    Nulls do not count, a key without values has null percentiles; keys are not null. With accuracy, approximate ones in one pass.
+    """
+    names = [f"p{round(100 * a):02d}" for a in at]
+    if accuracy:
+        got = df.groupBy(*keys).agg(F.percentile_approx(value, list(at), accuracy).alias("p"))
+        return got.select(*keys, *[F.col("p")[k].alias(n) for k, n in enumerate(names)])
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_m"))
+    ranged = checkpointed(counted.repartitionByRange(n, *keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*keys, "_part").agg(F.coalesce(F.sum(F.when(F.col("_v").isNotNull(), F.col("_m"))), F.lit(0)).alias("_n"))
+    group = Window.partitionBy(*keys)  # a row for each range that a key touches
+    totals = totals.withColumns({"_before": F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("_n").over(group)})
+    totals = checkpointed(totals, "range-totals")
+    position = lambda a: F.lit(float(a)) * (F.col("_total") - 1)
+    ranks = F.array(*[r for a in at for r in (F.floor(position(a)), F.ceil(position(a)))])
+    picked = totals.withColumn("_slots", F.filter(F.transform(ranks, lambda r, k: F.struct(r.alias("rank"), k.alias("slot"))), lambda x: (x["rank"] >= F.col("_before")) & (x["rank"] < F.col("_before") + F.col("_n"))))
+    picked = checkpointed(picked.where("_total > 0 and size(_slots) > 0").select(*keys, "_part", "_before", "_slots"), "picked-ranges")
+    inside = ranged.where("_v is not null").join(picked.hint("merge"), [*keys, "_part"])
+    upto = F.col("_before") + F.sum("_m").over(Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    found = inside.withColumn("_upto", upto).select(*keys, "_v", "_m", "_upto", F.explode("_slots").alias("_s")).where("_s.rank < _upto and _s.rank >= _upto - _m")
+    values = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_s.slot") == k, F.col("_v"))).alias(f"_{k}") for k in range(2 * len(at))])
+    whole = totals.groupBy(*keys).agg(F.max("_total").alias("_total")).join(values.hint("merge"), keys, "left")
+    weight = lambda a: position(a) - F.floor(position(a))
+    return whole.select(*keys, *[(F.col(f"_{2 * k}") + weight(a) * (F.col(f"_{2 * k + 1}") - F.col(f"_{2 * k}"))).alias(n) for k, (a, n) in enumerate(zip(at, names, strict=True))])
 
 
 def replace_by_median(df: DataFrame, keys: list[str], value: str, ok: Column, accuracy: int | None = None) -> DataFrame:
-    """Values that fail ok become the median of those that pass, per key; with accuracy an approximate one in bounded memory."""
-    median = F.percentile_approx(value, 0.5, accuracy) if accuracy else F.percentile(value, F.lit(0.5))
-    good = checkpointed(df.where(ok).groupBy(*keys).agg(median.alias("_median")), "medians")
+    """Values that fail ok become the median of those that pass, per key: the exact one, or with accuracy an approximate one in one pass."""
+    good = checkpointed(percentiles(df.where(ok), keys, value, (0.5,), accuracy).withColumnRenamed("p50", "_median"), "medians")
     return df.join(good.hint("merge"), keys, "left").withColumn(value, F.when(F.coalesce(ok, F.lit(False)), F.col(value)).otherwise(F.col("_median"))).drop("_median")
 
 
