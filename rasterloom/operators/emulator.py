@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.storage import checkpointed
+
 MAX_MODEL_ROWS = 100_000
 INPUTS = ("cos_sza", "cos_vza", "cos_raa", "aot", "tcwv", "tco3", "ele")
 
@@ -126,9 +128,10 @@ def first_guess_aot(df: DataFrame, inputs: list[str], model, rows: int, cols: in
     """exp(-prediction) of a tree regression, trimmed to the scene's 5-95 percentiles, filled from the nearest and smoothed."""
     from rasterloom.operators.neighborhood import dense, nearest_fill
     from rasterloom.operators.pixels import percentiles
-    from rasterloom.operators.temporal import smooth_grids
+    from rasterloom.operators.spectral import smooth_grids
 
     guess = tree_predict(df, inputs, model, "_p").withColumn("aot", F.exp(-F.col("_p"))).drop("_p")
-    limits = percentiles(guess, ["scene_id"], "aot", (0.05, 0.95))
-    kept = guess.join(limits, "scene_id").withColumn("aot", F.when(F.col("aot").between(F.col("p05"), F.col("p95")), F.col("aot")))
+    guess = checkpointed(guess, "guess")
+    limits = checkpointed(percentiles(guess, ["scene_id"], "aot", (0.05, 0.95)), "limits")
+    kept = guess.join(limits.hint("merge"), "scene_id").withColumn("aot", F.when(F.col("aot").between(F.col("p05"), F.col("p95")), F.col("aot")))
     return smooth_grids(nearest_fill(dense(kept, rows, cols, "aot"), "aot"), "aot", ["scene_id"])

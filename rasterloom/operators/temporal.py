@@ -211,16 +211,3 @@ def smooth_splines(df: DataFrame, value: str, weight: str, s: float | None = Non
 
     kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in rest]
     return df.select(*rest, value, weight).mapInArrow(run, ", ".join([*kinds, f"{value} array<double>", f"{value}_w array<double>", "s double"]))
-
-
-def smooth_grids(df: DataFrame, value: str, keys: list[str], s: float | None = None, robust: str | None = None) -> DataFrame:
-    """One control grid of (r, c, value) per key smoothed as a whole; a control grid is small by construction."""
-    def one(pdf):
-        shape = (int(pdf["r"].max()) + 1, int(pdf["c"].max()) + 1)
-        grid = np.full(shape, np.nan)
-        grid[pdf["r"], pdf["c"]] = pdf[value]
-        z, _, _ = spline_smooth(grid, np.ones(shape), s, robust)
-        return pdf[[*keys, "r", "c"]].assign(**{value: z[pdf["r"], pdf["c"]]})
-
-    kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in (*keys, "r", "c")]
-    return df.select(*keys, "r", "c", value).groupBy(*keys).applyInPandas(one, ", ".join([*kinds, f"{value} double"]))
