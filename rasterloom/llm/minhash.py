@@ -269,11 +269,12 @@ EDGES_PER_TASK = 200_000
 def contracted(edges: DataFrame) -> DataFrame:
     """Edges (a, b) that join the same documents: those of a task become stars around the smallest of each of its components.
 
-    Long chains get short, so that the rounds that follow are few. A task holds EDGES_PER_TASK edges or so, however many there are.
+    Long chains get short, so that the rounds that follow are few. Edges are dealt by both ends, so a task holds EDGES_PER_TASK or so,
+    however many there are and however many meet in one document.
     """
     edges = materialize(edges.select("a", "b"), "given-edges")
     parts = -(-edges.count() // EDGES_PER_TASK)
-    dealt = edges.coalesce(1) if parts <= 1 else edges.repartition(parts, "b")
+    dealt = edges.coalesce(1) if parts <= 1 else edges.repartition(parts, "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         root: dict[int, int] = {}

@@ -27,3 +27,12 @@ def test_components_of_long_chains(spark, monkeypatch):
     few = [(k + 1, k) for k in range(40)]
     monkeypatch.setattr(minhash, "EDGES_PER_TASK", 15)  # several tasks, and rounds after them
     assert {r.label for r in minhash.components(spark.createDataFrame(few, "a long, b long")).collect()} == {0}
+
+
+def test_a_large_star_spreads_evenly(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(minhash, "EDGES_PER_TASK", 20_000)
+    edges = spark.range(1, 200_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    out = minhash.contracted(edges).withColumn("task", F.spark_partition_id()).groupBy("task").count().collect()
+    assert len(out) == 10 and max(r["count"] for r in out) < 22_000 and sum(r["count"] for r in out) == 200_000
