@@ -14,8 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.storage import checkpointed
-
 CELL = ("scene_id", "r", "c")
 
 
@@ -174,69 +172,68 @@ def smoothness(blocks: DataFrame, value: str, gamma: float = 1.0) -> DataFrame:
     return n.select("scene_id", "bi", "bj", (0.5 * gamma * gamma * cost).alias("cost"), (gamma * gamma * pull).alias("gradient"))
 
 
-#: Radius up to which nearest_fill looks in rings; what is farther from a known cell is filled by the separable passes.
-RING = 4
+#: Rows of a grid that one task reads off together.
+LINES = 16
 
 
-def nearest_fill(grid: DataFrame, value: str, max_radius: int | None = None, start: int = 2) -> DataFrame:
-    """Null cells of a dense grid take the nearest known value (squared distance, then row, then column).
+def envelope(centre: list[int], height: list[int], unit: int) -> tuple[list[int], list[int]]:
+    """(start, owner): from start[k] up to the next start, owner[k] has the least unit * (x - centre)^2 + height at whole x.
 
-    Rings of growing radius: unfilled cells explode the offsets of the ring, meet known cells on the shifted
-    key and keep the best. A round covers the full circle of its radius, the radius doubles, and each round
-    is written out and only takes what is still unfilled. What has nothing within RING is filled exactly by
-    _fill_far; only cells of scenes without a known value stay null. With a max_radius, cells with nothing
-    within it stay null instead.
+    Centres ascend. The lower envelope of parabolas: each one enters and leaves once, so the pass is linear.
     """
-    grid = checkpointed(grid.select(*CELL, value), "grid")
-    known = grid.where(F.col(value).isNotNull()).select(*CELL, F.col(value).alias("v"))
-    done, open_ = [grid.where(F.col(value).isNotNull())], grid.where(F.col(value).isNull()).select(*CELL)
-    reach = RING if max_radius is None else max_radius
-    radius, inner = start, 0
-    while inner < reach and open_.limit(1).count():
-        ring = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if inner * inner < a * a + b * b <= radius * radius]
-        cells = open_.select("scene_id", F.col("r").alias("_r"), F.col("c").alias("_c"), F.explode(_offsets(ring)).alias("o"))
-        cells = cells.select("scene_id", "_r", "_c", (F.col("_r") + F.col("o.dr")).alias("r"), (F.col("_c") + F.col("o.dc")).alias("c"), (F.col("o.dr") * F.col("o.dr") + F.col("o.dc") * F.col("o.dc")).alias("d2"))
-        met = cells.join(known.hint("shuffle_hash"), [*CELL]).groupBy("scene_id", F.col("_r").alias("r"), F.col("_c").alias("c"))
-        found = met.agg(F.min_by("v", F.struct("d2", "r", "c")).alias(value))
-        tried = checkpointed(open_.join(found.hint("shuffle_hash"), [*CELL], "left"), "filled")
-        done.append(tried.where(F.col(value).isNotNull()))
-        open_ = tried.where(F.col(value).isNull()).select(*CELL)
-        inner, radius = radius, min(2 * radius, reach)
-    if max_radius is None and open_.limit(1).count():
-        out = _fill_far(grid, open_, value)
-    else:
-        out = open_.withColumn(value, F.lit(None).cast(grid.schema[value].dataType))
-    for part in done:
-        out = out.unionByName(part)
-    return out
-
-
-def _fill_far(grid: DataFrame, open_: DataFrame, value: str) -> DataFrame:
-    """The open cells of a dense grid with the nearest known value at any distance, by two separable passes.
-
-    Each cell takes the nearest known cell of its column (last known one above and below, the upper of equals);
-    then each open cell takes the best of these along its row. A task holds single rows of the grid.
+    start: list[int] = []
+    owner: list[int] = []
+    for j, (c, h) in enumerate(zip(centre, height, strict=True)):
+        first = None
+        while owner:
+            i = owner[-1]
+            # The first whole x at which j is below i.
+            first = (h + unit * c * c - height[i] - unit * centre[i] ** 2) // (2 * unit * (c - centre[i])) + 1
+            if len(owner) == 1 or first > start[-1]:
+                break
+            start.pop()
+            owner.pop()
+        start.append(-(1 << 62) if first is None else first)
+        owner.append(j)
+    return start, owner
+
+
+def nearest_fill(grid: DataFrame, value: str, max_radius: int | None = None) -> DataFrame:
+    """Null cells of a dense grid take the nearest known value (squared distance, then row, then column) at any distance.
+
+    Two separable passes: each cell meets the nearest known cell of its column (last known one above and below, the upper of
+    equals), then each row is read off the lower envelope of the parabolas that these stand for, in time linear in its
+    width. A task holds single lines of a grid. Scenes without a known value stay null; with a max_radius, so do cells with nothing within it.
     """
-    kind = grid.schema[value].dataType
-    grid = grid.join(open_.select("scene_id").distinct().hint("shuffle_hash"), "scene_id", "left_semi")
     seen = F.when(F.col(value).isNotNull(), F.struct(F.col("r").alias("r"), F.col(value).alias("v")))
     column = Window.partitionBy("scene_id", "c")
     up, down = (F.last(seen, True).over(column.orderBy(o)) for o in (F.col("r").asc(), F.col("r").desc()))
-    near = grid.select(*CELL, up.alias("up"), down.alias("down"))
+    near = grid.select(*CELL, value, up.alias("up"), down.alias("down"))
     above = F.col("down.r").isNull() | (F.col("r") - F.col("up.r") <= F.col("down.r") - F.col("r"))
-    near = near.select(*CELL, F.when(F.col("up.r").isNotNull() & above, F.col("up")).otherwise(F.col("down")).alias("k")).where("k is not null")
-    wanted = open_.join(near.select("scene_id").distinct().hint("shuffle_hash"), "scene_id", "left_semi").withColumn("open", F.lit(True))
-    rows = near.select(*CELL, F.col("k.r").alias("at"), F.col("k.v").alias("v")).join(wanted.hint("shuffle_hash"), [*CELL], "full_outer")
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        to = pdf[pdf["open"].notna()]
-        of = pdf[pdf["at"].notna()].sort_values(["at", "c"])  # the first of equal distances is the least (row, column)
-        if to.empty:
-            return pd.DataFrame({"scene_id": [], "r": [], "c": [], value: []})
-        c, high = of["c"].to_numpy(np.int64), (of["at"].to_numpy(np.int64) - int(to["r"].iloc[0])) ** 2
-        take = [int(((c - x) ** 2 + high).argmin()) for x in to["c"].to_numpy(np.int64)]
-        return pd.DataFrame({"scene_id": to["scene_id"].to_numpy(), "r": to["r"].to_numpy(), "c": to["c"].to_numpy(), value: of["v"].to_numpy()[take]})
-
-    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in CELL)
-    found = rows.groupBy("scene_id", "r").applyInPandas(best, f"{kinds}, {value} {kind.simpleString()}")
-    return open_.join(found.hint("shuffle_hash"), [*CELL], "left")
+    near = near.withColumn("k", F.when(F.col("up.r").isNotNull() & above, F.col("up")).otherwise(F.col("down")))
+    near = near.select(*CELL, value, F.col("k.r").alias("at"), F.col("k.v").alias("v"))
+
+    def line(row: int, c: np.ndarray, at: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the candidates (c, at) is nearest to each column x of a row, and its squared distance."""
+        width = int(c.max()) + 1
+        # Distances come first, then the cell: its number is less than a unit of distance.
+        unit = (int(at.max()) + 1) * width
+        start, owner = envelope(c.tolist(), [unit * (a - row) ** 2 + a * width + k for a, k in zip(at.tolist(), c.tolist(), strict=True)], unit)
+        k = np.array(owner)[np.searchsorted(np.array(start), x, "right") - 1]
+        return k, (c[k] - x) ** 2 + (at[k] - row) ** 2
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["r", "c"]).reset_index(drop=True)
+        r, c, v, out = pdf["r"].to_numpy(np.int64), pdf["c"].to_numpy(np.int64), pdf["v"].to_numpy(), pdf[value].to_numpy().copy()
+        at, known, open_ = pdf["at"].fillna(-1).to_numpy(np.int64), pdf["at"].notna().to_numpy(), pdf[value].isna().to_numpy()
+        edge = np.flatnonzero(np.diff(r, prepend=r[0] - 1, append=r[-1] + 1))
+        for begin, end in zip(edge[:-1], edge[1:], strict=True):
+            of, to = begin + np.flatnonzero(known[begin:end]), begin + np.flatnonzero(open_[begin:end])
+            if len(of) and len(to):
+                k, d2 = line(int(r[begin]), c[of], at[of], c[to])
+                near_enough = slice(None) if max_radius is None else d2 <= max_radius**2
+                out[to[near_enough]] = v[of[k]][near_enough]
+        return pdf[[*CELL]].assign(**{value: out})
+
+    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in (*CELL, value))
+    return near.groupBy("scene_id", F.floor(F.col("r") / LINES).alias("_lines")).applyInPandas(fill, kinds)

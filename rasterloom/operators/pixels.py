@@ -207,7 +207,8 @@ def percentiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...
     values = found.groupBy(*keys).agg(*[F.max(F.when(F.col("_s.slot") == k, F.col("_v"))).alias(f"_{k}") for k in range(2 * len(at))])
     whole = totals.groupBy(*keys).agg(F.max("_total").alias("_total")).join(values.hint("merge"), keys, "left")
     weight = lambda a: position(a) - F.floor(position(a))
-    return whole.select(*keys, *[(F.col(f"_{2 * k}") + weight(a) * (F.col(f"_{2 * k + 1}") - F.col(f"_{2 * k}"))).alias(n) for k, (a, n) in enumerate(zip(at, names, strict=True))])
+    between = lambda k, a: F.when(weight(a) == 0, F.col(f"_{2 * k}")).otherwise(F.col(f"_{2 * k}") + weight(a) * (F.col(f"_{2 * k + 1}") - F.col(f"_{2 * k}")))
+    return whole.select(*keys, *[between(k, a).alias(n) for k, (a, n) in enumerate(zip(at, names, strict=True))])
 
 
 def replace_by_median(df: DataFrame, keys: list[str], value: str, ok: Column, accuracy: int | None = None) -> DataFrame:

@@ -76,15 +76,52 @@ def search_shift(points: DataFrame, image: DataFrame, half: int = 50, stride: in
     return best_shift(met.groupBy("scene_id", "xs", "ys").agg(correlation("v", "boa").alias("r"), F.count("*").alias("n")), accept)
 
 
+#: A prime below 2^31, multipliers of the rounds' hash, and rounds of the permutation.
+PRIME = 2_147_483_647
+MIX = (1_103_515_245, 69_069, 40_692)
+SHUFFLES = 40
+
+
+def _mixed(*parts: Column) -> Column:
+    """A whole number below PRIME from whole numbers: sums of products modulo the prime, squared in between."""
+    out = F.lit(1).cast("long")
+    for p, m in zip(parts, MIX, strict=False):
+        out = (out * F.lit(m) + p % PRIME) % PRIME
+        out = (out * out + out + F.lit(7)) % PRIME
+    return out
+
+
+def permuted(i: Column, n: int, key: int) -> Column:
+    """The place of i in a keyed permutation of 0 .. n - 1, from i alone: each round swaps i with its mirror image around a pivot, or not.
+
+    Both partners of a swap see the same coin, so every round is a bijection, and no row needs to know another.
+    """
+    size = F.lit(n).cast("long")
+
+    def shuffle(x: Column, r: Column) -> Column:
+        other = F.pmod(_mixed(r, F.lit(key).cast("long")) % size - x, size)
+        coin = F.floor(_mixed(F.greatest(x, other), r, F.lit(key).cast("long")) / 1024) % 2
+        return F.when(coin == 1, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(SHUFFLES).cast("long")), i.cast("long"), shuffle)
+
+
+def design(df: DataFrame, i: str, n: int, bounds: list[tuple[float, float]], seed: int = 0) -> DataFrame:
+    """df with x0, x1, ...: the point that each row's ordinal i (0 .. n - 1) has in a Latin hypercube of n points.
+
+    Every stratum of every dimension is hit once. Nothing is sorted or exchanged.
+    """
+    out = {}
+    for k, (low, high) in enumerate(bounds):
+        key = seed * 1009 + k + 1
+        inside = _mixed(F.col(i).cast("long"), F.lit(key).cast("long"), F.lit(3).cast("long")).cast("double") / PRIME
+        out[f"x{k}"] = (permuted(F.col(i), n, key) + inside) / n * (high - low) + low
+    return df.withColumns(out)
+
+
 def latin_hypercube(spark: SparkSession, n: int, bounds: list[tuple[float, float]], seed: int = 0) -> DataFrame:
     """n points, one in each of n strata of every dimension: (i, x0, x1, ...)."""
-    out = spark.range(n).select(F.col("id").alias("i"))
-    for k, (low, high) in enumerate(bounds):
-        order = Window.orderBy(F.rand(seed + k))  # a design has hundreds of points
-        column = spark.range(n, numPartitions=1).withColumn("stratum", F.row_number().over(order))
-        x = (F.col("stratum") - 1 + F.rand(seed + 1000 + k)) / n * (high - low) + low
-        out = out.join(column.select(F.col("id").alias("i"), x.alias(f"x{k}")), "i")
-    return out
+    return design(spark.range(n).select(F.col("id").alias("i")), "i", n, bounds, seed)
 
 
 def search_width(points: DataFrame, image: DataFrame, starts: int = 50, rounds: int = 3, keep: int = 5, seed: int = 0,

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,10 +33,49 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def reused(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The table at path if it was written completely before; else what build gives, written there."""
+def fingerprint(df: DataFrame, version: str = "") -> str:
+    """A key of what df would hold: its schema, its plan, and the length and time of every file that it reads.
+
+    Expression numbers are taken out of the plan's text, so that the same query has the same key in every session. The bodies of
+    Python functions are not in a plan: a version says when these change. Literal rows made by the driver count by their text.
+    """
+    spark = df.sparkSession
+    fields = "spark.sql.debug.maxToStringFields"
+    usual = spark.conf.get(fields)
+    spark.conf.set(fields, 1 << 20)  # else wide plans are cut short in their text
+    try:
+        text = re.sub(r"#\d+L?|plan_id=\d+", "", df._jdf.queryExecution().optimizedPlan().toString())
+    finally:
+        spark.conf.set(fields, usual)
+    read, at = [_plain(f) for f in df.inputFiles()], {}
+    for folder in {f.rsplit("/", 1)[0] for f in read}:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        for s in where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where):
+            at[_plain(s.getPath().toString())] = (s.getLen(), s.getModificationTime())
+    held = sorted((f, at.get(f, ())) for f in read)
+    return hashlib.sha256(json.dumps([version, df.schema.jsonValue(), text, held]).encode()).hexdigest()[:32]
+
+
+def _plain(path: str) -> str:
+    """One spelling of a local file's address."""
+    return re.sub("^file:/+", "file:/", path)
+
+
+def reused(df: DataFrame, root: str, name: str, version: str = "") -> DataFrame:
+    """df as a table below root: the one written before if schema, plan and source files are the same, else a new one.
+
+    A table is written beside its place and moved there when it is whole, so a reader never sees a part of one; of two writers the
+    first wins. Tables of former inputs stay until somebody removes them.
+    """
+    spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    done = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    place = f"{root.rstrip('/')}/{name}/{fingerprint(df, version)}"
+    path = jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(jvm.org.apache.hadoop.fs.Path(f"{place}/_SUCCESS")):
+        draft = f"{root.rstrip('/')}/{name}/.draft-{uuid.uuid4().hex}"
+        df.write.parquet(draft)
+        moved = files.rename(jvm.org.apache.hadoop.fs.Path(draft), path) if not files.exists(path) else False
+        if not moved or files.exists(jvm.org.apache.hadoop.fs.Path(f"{place}/{draft.rsplit('/', 1)[1]}")):
+            files.delete(jvm.org.apache.hadoop.fs.Path(draft), True)
+    return spark.read.schema(df.schema).parquet(place)

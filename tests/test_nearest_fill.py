@@ -20,3 +20,19 @@ def test_far_cells_take_the_nearest_known_value(spark):
     assert got == want
     capped = N.nearest_fill(grid.where("scene_id = 1"), "dn", 16).where("dn is null").count()
     assert capped > 0
+
+
+def test_envelope_is_the_least_parabola_and_linear():
+    g = np.random.default_rng(3)
+    for _ in range(200):
+        n = int(g.integers(1, 30))
+        c = sorted(g.choice(60, n, replace=False).tolist())
+        d = g.integers(0, 12, n).tolist()
+        h = [1000 * x * x + k for k, x in enumerate(d)]
+        start, owner = N.envelope(c, h, 1000)
+        for x in range(-5, 70):
+            k = owner[int(np.searchsorted(np.array(start), x, "right")) - 1]
+            assert k == min(range(n), key=lambda i: 1000 * (x - c[i]) ** 2 + h[i])
+    wide = list(range(200_000))
+    start, owner = N.envelope(wide, [5 * 10**6] * len(wide), 10**6)
+    assert len(owner) == len(wide)

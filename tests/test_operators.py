@@ -188,11 +188,21 @@ def test_width_search_prefers_the_planted_width(spark):
     assert rows[0].cost < 0.2 and len(rows) > 4 and {r.scene_id for r in rows} == {1} and 1.2 <= rows[0].std_row <= 3.0
 
 
+def test_keyed_permutations_are_bijections_that_differ(spark):
+    for n in (1, 2, 7, 64, 1000):
+        df = spark.range(n).select(*[X.permuted(F.col("id"), n, key).alias(f"p{key}") for key in (1, 2)])
+        a, b = (np.array([r[k] for r in df.collect()]) for k in (0, 1))
+        assert sorted(a.tolist()) == sorted(b.tolist()) == list(range(n))
+    assert (a != b).mean() > 0.9 and abs(np.corrcoef(a, np.arange(n))[0, 1]) < 0.1 and abs(np.corrcoef(a, b)[0, 1]) < 0.1
+
+
 def test_latin_hypercube_and_inflation(spark):
     n = 40
     rows = X.latin_hypercube(spark, n, [(0.0, 1.0), (-2.0, 2.0), (5.0, 6.0)], 3)
     v = np.array([[r.x0, (r.x1 + 2) / 4, r.x2 - 5] for r in rows.collect()])
     assert all(sorted((v[:, k] * n).astype(int).tolist()) == list(range(n)) for k in range(3))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
     assert 1 <= P.variance_inflation(rows, ["x0", "x1", "x2"]) < 3
 
 
@@ -307,16 +317,3 @@ def test_reflectance_sink_round_trip(spark, tmp_path):
     P.write_reflectance(boa, str(tmp_path / "boa"))
     got = {(r.scene_id, r.band, r.r, r.c): r.boa for r in spark.read.parquet(str(tmp_path / "boa")).collect()}
     assert got == {(1, 2, 0, 0): 1234, (1, 2, 0, 1): -9999, (2, 3, 1, 1): -9999}
-
-
-def test_written_tables_are_reused(spark, tmp_path):
-    from rasterloom.storage import reused
-
-    built = []
-
-    def build():
-        built.append(1)
-        return spark.range(5)
-
-    path = str(tmp_path / "cube")
-    assert reused(spark, path, build).count() == reused(spark, path, build).count() == 5 and len(built) == 1
