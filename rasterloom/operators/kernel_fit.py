@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import angles as A
+from rasterloom.storage import checkpointed
 
 
 def with_kernels(samples: DataFrame, hot_spot=None, li=A.li_sparse, nbar_deg: float = 0.0) -> DataFrame:
@@ -112,7 +113,7 @@ def step_sums(samples: DataFrame, keys: list[str], days: DataFrame) -> DataFrame
     parts = {f"m{i}_{j}": k[i] * k[j] for i in range(last) for j in range(i, last)} | {f"v{i}": k[i] * F.col("refl") for i in range(last)} | {"rr": F.col("refl") * F.col("refl")}
     daily = samples.groupBy(*keys, "doy").agg(*[F.sum(x).alias(c) for c, x in parts.items()], F.count("*").alias("n"))
     own = samples.select(*keys).distinct()
-    tried = own.join(days, [c for c in days.columns if c != "dos"]) if len(days.columns) > 1 else own.crossJoin(F.broadcast(days))
+    tried = own.join(days.hint("merge"), [c for c in days.columns if c != "dos"]) if len(days.columns) > 1 else own.crossJoin(F.broadcast(days))
     rows = daily.unionByName(tried.withColumn("doy", F.col("dos")), allowMissingColumns=True).withColumn("_back", -F.col("doy"))
     record = Window.partitionBy(*keys)
     after = record.orderBy("_back").rangeBetween(Window.unboundedPreceding, -1)
@@ -163,7 +164,7 @@ BURN_OFFSET, BURN_LIMIT = 400.0, 2000.0
 def candidate_days(samples: DataFrame, buffer: int = 30) -> DataFrame:
     """(pixel, dos): observed days at least `buffer` from both ends of the pixel's record."""
     ends = samples.groupBy("pixel").agg(F.min("doy").alias("d0"), F.max("doy").alias("d1"))
-    days = samples.select("pixel", F.col("doy").alias("dos")).distinct().join(ends, "pixel")
+    days = samples.select("pixel", F.col("doy").alias("dos")).distinct().join(ends.hint("merge"), "pixel")
     return days.where((F.col("dos") >= F.col("d0") + buffer) & (F.col("dos") <= F.col("d1") - buffer)).select("pixel", "dos")
 
 
@@ -193,7 +194,8 @@ def detect_step(samples: DataFrame, wavelengths: dict[int, float], buffer: int =
     """
     bands = sorted(wavelengths)
     noise = BAND_NOISE if len(bands) != 4 else tuple(BAND_NOISE[k] for k in (1, 4, 0, 6))
-    solved = solve_steps(step_sums(samples, ["pixel", "band"], candidate_days(samples, buffer))).where("p is not null")
+    # Written: both the bands' comparison and the mixture read the solutions.
+    solved = checkpointed(solve_steps(step_sums(samples, ["pixel", "band"], candidate_days(samples, buffer))).where("p is not null"), "steps")
     d = F.col("dos").cast("double")
     p = lambda k: F.get("p", F.lit(k))
     at = lambda t: p(0) + t * p(3) + t * t * p(4) + t * t * t * p(5)
@@ -208,7 +210,7 @@ def detect_step(samples: DataFrame, wavelengths: dict[int, float], buffer: int =
         good = per.where((F.col("s0") < 0) & (F.col("s1") < 0) & (low(2) | low(3)))
         best = good.groupBy("pixel").agg(F.min_by(F.struct("dos", "rmse"), F.struct("rmse", "dos")).alias("b"))
         return best.select("pixel", "b.*")
-    mixed = per.join(burn_fraction(steps, wavelengths), ["pixel", "dos"])
+    mixed = per.join(burn_fraction(steps, wavelengths).hint("merge"), ["pixel", "dos"])
     ok = (F.col("a0") >= 0) & (F.col("a1") >= 0) & F.col("fcc").between(0, 1) & (F.col("a0") + F.col("a1") <= 1) & (F.col("d1") < 0) & (F.col("d4") < 0)
     best = mixed.where(ok).groupBy("pixel").agg(F.max_by(F.struct("dos", "rmse", "fcc", "a0", "a1"), F.struct("fcc", -F.col("dos"))).alias("b"))
     return best.select("pixel", "b.*")
@@ -264,9 +266,10 @@ def white_sky(bsa: DataFrame) -> DataFrame:
 def azimuth_mode(angles: DataFrame, bins: int = 1000) -> DataFrame:
     """Start of the fullest of `bins` azimuth classes, per scene and sign."""
     signed = angles.where("vaa <> 0").withColumn("positive", F.col("vaa") > 0)
-    span = signed.groupBy("scene_id", "positive").agg(F.min("vaa").alias("lo"), F.max("vaa").alias("hi"))
+    # A row a scene and sign, written, so that Spark can split a large scene's side of the join.
+    span = checkpointed(signed.groupBy("scene_id", "positive").agg(F.min("vaa").alias("lo"), F.max("vaa").alias("hi")), "azimuth-spans")
     k = F.least(F.floor(F.try_divide((F.col("vaa") - F.col("lo")) * bins, F.col("hi") - F.col("lo"))), F.lit(bins - 1))
-    counted = signed.join(span, ["scene_id", "positive"]).withColumn("k", F.coalesce(k, F.lit(0))).groupBy("scene_id", "positive", "lo", "hi", "k").agg(F.count("*").alias("n"))
+    counted = signed.join(span.hint("merge"), ["scene_id", "positive"]).withColumn("k", F.coalesce(k, F.lit(0))).groupBy("scene_id", "positive", "lo", "hi", "k").agg(F.count("*").alias("n"))
     best = counted.groupBy("scene_id", "positive", "lo", "hi").agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("k"))
     return best.select("scene_id", "positive", (F.col("lo") + F.col("k") * (F.col("hi") - F.col("lo")) / bins).alias("mode"))
 
@@ -277,12 +280,14 @@ def straighten(angles: DataFrame) -> DataFrame:
     angles(scene_id, r, c, vza, vaa); zeniths under 0.01 are unknown.
     """
     a = angles.withColumn("vza", F.when(F.col("vza") >= 0.01, F.col("vza")))
+    # One row a scene in each of these tables; they are written, so that Spark can split a large scene's side of the joins.
     ends = a.groupBy("scene_id").agg(F.min("vza").alias("v0"), F.max("vza").alias("v1"), F.avg(F.when(F.col("vaa") < 0, F.col("vaa"))).alias("left"), F.avg(F.when(F.col("vaa") > 0, F.col("vaa"))).alias("right"))
-    j = a.join(ends, "scene_id")
-    line = j.where(F.col("vza") == F.col("v0")).groupBy("scene_id").agg(F.regr_slope("r", "c").alias("m"), F.regr_intercept("r", "c").alias("q"))
+    ends = checkpointed(ends, "zenith-ends")
+    nadir = a.join(ends.select("scene_id", "v0").hint("merge"), "scene_id").where(F.col("vza") == F.col("v0"))
+    line = checkpointed(nadir.groupBy("scene_id").agg(F.regr_slope("r", "c").alias("m"), F.regr_intercept("r", "c").alias("q")).join(ends.hint("merge"), "scene_id"), "nadir-lines")
     d = F.abs(F.col("m") * F.col("c") + F.col("q") - F.col("r")) / F.sqrt(1 + F.col("m") * F.col("m"))
-    far = j.join(line, "scene_id").withColumn("d", F.when(F.col("vza").isNotNull(), d))
-    span = far.groupBy("scene_id").agg((F.max("d") - F.min("d")).alias("span"))
-    out = far.join(span, "scene_id")
+    far = a.join(line.hint("merge"), "scene_id").withColumn("d", F.when(F.col("vza").isNotNull(), d))
+    span = checkpointed(far.groupBy("scene_id").agg((F.max("d") - F.min("d")).alias("span")), "line-spans")
+    out = far.join(span.hint("merge"), "scene_id")
     azimuth = F.when(F.col("vaa") < 0, F.col("left")).when(F.col("vaa") > 0, F.col("right")).otherwise(F.col("vaa"))
     return out.select("scene_id", "r", "c", (F.col("v0") + F.try_divide(F.col("d"), F.col("span")) * (F.col("v1") - F.col("v0"))).alias("vza"), azimuth.alias("vaa"))

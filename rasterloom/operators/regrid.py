@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions import grid as G
+from rasterloom.storage import checkpointed
 
 CELL = ("scene_id", "r", "c")
 
@@ -102,7 +103,7 @@ def correspondence(coarse: DataFrame, coarse_m: float, fine_m: float) -> DataFra
 def at_shift(cells: DataFrame, image: DataFrame, xs: Column | int, ys: Column | int, value: str = "dn") -> DataFrame:
     """Cells(scene_id, hx, hy, …) with the image value at the shifted pixel; what falls outside is dropped."""
     shifted = cells.withColumns({"r": (F.col("hx") + xs).cast("int"), "c": (F.col("hy") + ys).cast("int")})
-    return shifted.join(image.select(*CELL, value), [*CELL])
+    return shifted.join(image.select(*CELL, value).hint("merge"), [*CELL])
 
 
 def nearest_time(obs: DataFrame, forecast: DataFrame, variables: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
@@ -198,7 +199,7 @@ def band_angles(bands: DataFrame, angles: DataFrame) -> DataFrame:
 def detector_seams(footprints: DataFrame, least: int = 10) -> DataFrame:
     """Overlaps of consecutive detectors in footprints(scene_id, det, r, c): size and the corner points of the split line."""
     a, b = footprints.alias("a"), footprints.alias("b")
-    met = a.join(b, (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.c") == F.col("b.c")) & (F.col("b.det") == F.col("a.det") + 1))
+    met = a.join(b.hint("merge"), (F.col("a.scene_id") == F.col("b.scene_id")) & (F.col("a.r") == F.col("b.r")) & (F.col("a.c") == F.col("b.c")) & (F.col("b.det") == F.col("a.det") + 1))
     s = met.select("a.scene_id", "a.det", "a.r", "a.c").groupBy("scene_id", "det").agg(
         F.count("*").alias("n"), F.min_by(F.struct("r", "c"), F.struct("r", "c")).alias("top"), F.max_by(F.struct("r", "c"), F.struct("r", "c")).alias("bottom"))
     return s.where(F.col("n") >= least)
@@ -207,7 +208,8 @@ def detector_seams(footprints: DataFrame, least: int = 10) -> DataFrame:
 def seam_side(footprints: DataFrame, seams: DataFrame) -> DataFrame:
     """Overlap pixels with the signed side of their seam line (negative: left detector) and their distance to it."""
     line = seams.select("scene_id", "det", F.col("top.r").alias("r0"), F.col("top.c").alias("c0"), F.col("bottom.r").alias("r1"), F.col("bottom.c").alias("c1"))
-    joined = footprints.join(line, ["scene_id", "det"])
+    # A row a seam, written, so that Spark can split a long seam's pixels.
+    joined = footprints.join(checkpointed(line, "seams").hint("merge"), ["scene_id", "det"])
     dr, dc = F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")
     side = (F.col("c") - F.col("c0")) * dr - (F.col("r") - F.col("r0")) * dc
     return joined.select("scene_id", "det", "r", "c", side.alias("side"), F.try_divide(F.abs(side), F.sqrt((dr * dr + dc * dc).cast("double"))).alias("distance"))

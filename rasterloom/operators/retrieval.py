@@ -34,6 +34,15 @@ def pyramid(nx: int, ny: int) -> list[tuple[int, int]]:
     return [(max(nx // 2**k, 1), max(ny // 2**k, 1)) for k in range(levels - 1, -1, -1)]
 
 
+def pyramid_levels(scenes: DataFrame) -> DataFrame:
+    """(scene_id, level, ni, nj): the grid shapes of scenes(scene_id, ni, nj) from coarse (level 0) to their own, as pyramid() gives them."""
+    least = F.greatest(F.least("ni", "nj"), F.lit(1))
+    levels = F.greatest(F.floor(F.log2(least.cast("double")) + 1e-12).cast("int"), F.lit(1))
+    at = scenes.withColumn("levels", levels).select("*", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)).alias("level"))
+    shrunk = lambda n: F.greatest(F.floor(F.col(n) / F.pow(F.lit(2.0), F.col("levels") - 1 - F.col("level"))), F.lit(1)).cast("long").alias(n)
+    return at.select("scene_id", "level", shrunk("ni"), shrunk("nj"))
+
+
 def band_weights(bands: DataFrame) -> DataFrame:
     """(band, bw): weights falling with wavelength, normalised to sum 1. A band dimension."""
     raw = bands.select("band", F.pow(F.col("wavelength_nm") / 1000, F.lit(BAND_SLOPE)).alias("w"))

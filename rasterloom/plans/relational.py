@@ -15,9 +15,12 @@ from rasterloom.operators import pixels as P
 from rasterloom.operators import psf as X
 from rasterloom.operators import regrid as D
 from rasterloom.operators import retrieval as T
+from rasterloom.operators import spectral as Z
 from rasterloom.operators import temporal as S
 from rasterloom.sources import scenes as M
+from rasterloom.storage import reused, shared_dir
 
+from . import step_sql as Q
 from .registry import SIDE, query, table_query
 from .scalar import _FOLD, _TILE, TOA, WIDE, _li_sql, r6, s6
 
@@ -314,29 +317,45 @@ def best_widths(s):
     return K.hot_spot_search(s, ["pixel"], K.hot_spot_grid(s.sparkSession))
 
 
-@query("a13_a15_step_day", "samples")
+_STEP_BANDS = {0: 645.0, 1: 858.0, 2: 469.0, 3: 555.0}
+_STEP_NOISE = tuple(K.BAND_NOISE[k] for k in (1, 4, 0, 6))
+_LOW = " OR ".join(f"(s{k} > s0 AND s{k} > s1)" for k in (2, 3))
+
+
+@query("a13_a15_step_day", "samples", sql=f"""WITH {Q.solved(_KV, "(0), (1), (2), (3)", "band", "CASE WHEN band = 2 THEN 0.6::DOUBLE - refl ELSE refl / (band + 1) END")},
+    {Q.per_day(list(_STEP_BANDS), _STEP_NOISE)}, ranked AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY rmse, dos) AS k FROM per WHERE s0 < 0 AND s1 < 0 AND ({_LOW}))
+    SELECT pixel, dos, {s6('rmse', 'rmse', 5)} FROM ranked WHERE k = 1""")
 def step_day(s):
     """Step-change day of every pixel over the four-band record made of its samples."""
     bands = s.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("band")).withColumn("refl", F.when(F.col("band") == 2, 0.6 - F.col("refl")).otherwise(F.col("refl") / (F.col("band") + 1)))
-    return K.detect_step(K.with_kernels(bands), {0: 645.0, 1: 858.0, 2: 469.0, 3: 555.0})
+    return K.detect_step(K.with_kernels(bands), _STEP_BANDS).select("pixel", "dos", r6(F.col("rmse"), "rmse", 5))
+
+
+_BURN_BANDS = {0: 645.0, 1: 858.5, 2: 469.0, 3: 555.0, 4: 1240.0, 5: 1640.0, 6: 2130.0}
+_BURN_SHAPE = {b: (w - K.BURN_OFFSET) - (w - K.BURN_OFFSET) ** 2 / (2 * (K.BURN_LIMIT - K.BURN_OFFSET)) for b, w in _BURN_BANDS.items()}
+_GREEN = (0.08, 0.45, 0.05, 0.10, 0.42, 0.30, 0.18)
+_BURNT = tuple(0.02 + 0.08 * (v / max(_BURN_SHAPE.values())) for v in _BURN_SHAPE.values())
+_PART = "(CASE WHEN doy > 120 + pixel THEN 0.3::DOUBLE + (pixel % 5) * 0.1::DOUBLE ELSE 0 END)"
+_BURN_RECORD = Q.solved(_KV, ", ".join(f"({b}, {g!r}::DOUBLE, {x!r}::DOUBLE)" for b, g, x in zip(_BURN_BANDS, _GREEN, _BURNT, strict=True)), "band, green, burnt", f"green * (1 - {_PART}) + burnt * {_PART} + (refl - 0.15::DOUBLE) * 0.01::DOUBLE")
 
 
-@query("a14_a15_burn_day", "samples")
+@query("a14_a15_burn_day", "samples", sql=f"""WITH {_BURN_RECORD},
+    {Q.per_day(list(_BURN_BANDS), K.BAND_NOISE)}, {Q.mixture(_BURN_SHAPE)},
+    good AS (SELECT * FROM per JOIN mix USING (pixel, dos) WHERE a0 >= 0 AND a1 >= 0 AND fcc BETWEEN 0 AND 1 AND a0 + a1 <= 1 AND d1 < 0 AND d4 < 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY pixel ORDER BY fcc DESC, dos) AS k FROM good)
+    SELECT pixel, dos, {s6('rmse', 'rmse', 5)}, {s6('fcc', 'fcc', 4)}, {s6('a0', 'a0', 4)}, {s6('a1', 'a1', 4)} FROM ranked WHERE k = 1""")
 def burn_day(s):
     """Day, burnt fraction and burnt spectrum of every pixel.
 
     The record has seven bands: a green spectrum until a day that the pixel's number gives, then a mixture of it with a
     burnt one, with the samples' reflectances as noise.
     """
-    names = {0: 645.0, 1: 858.5, 2: 469.0, 3: 555.0, 4: 1240.0, 5: 1640.0, 6: 2130.0}
-    span = K.BURN_LIMIT - K.BURN_OFFSET
-    shape = {b: (w - K.BURN_OFFSET) - (w - K.BURN_OFFSET) ** 2 / (2 * span) for b, w in names.items()}
-    green = F.element_at(F.array(*map(F.lit, (0.08, 0.45, 0.05, 0.10, 0.42, 0.30, 0.18))), F.col("band") + 1)
-    burnt = F.lit(0.02) + 0.08 * F.element_at(F.array(*[F.lit(v / max(shape.values())) for v in shape.values()]), F.col("band") + 1)
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("band") + 1)
     part = F.when(F.col("doy") > 120 + F.col("pixel"), 0.3 + (F.col("pixel") % 5) * 0.1).otherwise(0.0)
-    bands = s.select("*", F.explode(F.array(*map(F.lit, names))).alias("band"))
-    bands = bands.withColumn("refl", green * (1 - part) + burnt * part + (F.col("refl") - 0.15) * 0.01)
-    return K.detect_step(K.with_kernels(bands), names)
+    bands = s.select("*", F.explode(F.array(*map(F.lit, _BURN_BANDS))).alias("band"))
+    bands = bands.withColumn("refl", of(_GREEN) * (1 - part) + of(_BURNT) * part + (F.col("refl") - 0.15) * 0.01)
+    got = K.detect_step(K.with_kernels(bands), _BURN_BANDS)
+    return got.select("pixel", "dos", r6(F.col("rmse"), "rmse", 5), *[r6(F.col(c), c, 4) for c in ("fcc", "a0", "a1")])
 
 
 @query("a12_median", "angles", sql=f"WITH m AS (SELECT scene_id, quantile_cont(saa, 0.5) AS m FROM fx_angles WHERE saa > 100 AND saa < 300 GROUP BY 1) SELECT scene_id, r, c, {s6('CASE WHEN saa > 100 AND saa < 300 THEN saa ELSE m END', 'saa')} FROM fx_angles LEFT JOIN m USING (scene_id)")
@@ -532,20 +551,79 @@ def _blocks(a, n: int):
     return b.withColumns({**T.model_inputs(b), "ele": F.lit(0.0), "tco3": F.lit(0.3), "aot_prior": F.lit(0.2), "tcwv_prior": F.lit(2.0), "aot_unc": F.lit(0.4), "tcwv_unc": F.lit(1.0)})
 
 
+def _observed(px, bands):
+    """Observations by block, with a surface that reflects a fixed share of what is seen."""
+    at = [F.expr(f"{k} div 5").cast("int").alias(n) for k, n in (("r", "bi"), ("c", "bj"))]
+    return P.calibrated(px, bands).where("dn > 0").select("scene_id", "band", *at, "toa", (0.85 * F.col("toa")).alias("boa"), F.lit(0.05).alias("unc"))
+
+
 @query("r03_r04_retrieval", "px", "bands", "angles")
 def retrieval(px, bands, a):
     """Blocks of every scene retrieved against a constant surface, with posterior uncertainty."""
     names = list(range(1, 8))
     few = bands
     prior = _blocks(a, 8)
-    obs = P.calibrated(px, few).where("dn > 0").select("scene_id", "band", F.expr("r div 5").cast("int").alias("bi"), F.expr("c div 5").cast("int").alias("bj"), "toa", (0.85 * F.col("toa")).alias("boa"), F.lit(0.05).alias("unc"))
+    obs = _observed(px, few)
     models = T.linear_models(names)
     solved = T.retrieve_pyramid(obs, prior, few, models, (8, 8), gamma=2.0)
     info = T.block_information(obs, solved, T.band_weights(few), names, models)
-    joined = solved.join(info, ["scene_id", "bi", "bj"], "left").select("scene_id", "bi", "bj", "info_aot", "info_tcwv", F.col("aot_unc").alias("aot_prior_unc"), F.col("tcwv_unc").alias("tcwv_prior_unc"))
+    joined = solved.join(info.hint("merge"), ["scene_id", "bi", "bj"], "left").select("scene_id", "bi", "bj", "info_aot", "info_tcwv", F.col("aot_unc").alias("aot_prior_unc"), F.col("tcwv_unc").alias("tcwv_prior_unc"))
     return solved.select("scene_id", "bi", "bj", "aot", "tcwv", "converged").join(T.posterior(joined, 2.0).hint("merge"), ["scene_id", "bi", "bj"])
 
 
+_MODEL_BLOCKS = "g AS (SELECT scene_id, r // 5 AS bi, c // 5 AS bj FROM fx_angles GROUP BY 1, 2, 3)"
+
+
+@query("r03_normal_sums", "px", "bands", "angles", sql=f"""WITH {_MODEL_BLOCKS}, {TOA}, w AS (SELECT band, pow(wavelength_nm / 1000::DOUBLE, -1.6) / sum(pow(wavelength_nm / 1000::DOUBLE, -1.6)) OVER () AS bw FROM fx_bands),
+    o AS (SELECT t.scene_id, t.band, r // 5 AS bi, c // 5 AS bj, toa, 0.85::DOUBLE * toa AS boa, 0.25::DOUBLE * bw / (0.05::DOUBLE * 0.05::DOUBLE) AS w FROM fx_toa t JOIN w USING (band) WHERE dn > 0),
+    m AS (SELECT o.*, 1.1 + 0.3::DOUBLE / band * 0.2 + 0.02::DOUBLE * band * 2 AS a, 0.01 + 0.12::DOUBLE / band * 0.2 AS b, 0.05 + 0.1::DOUBLE / band * 0.2 AS k, 0.3::DOUBLE / band AS a0, 0.02::DOUBLE * band AS a1, 0.12::DOUBLE / band AS b0, 0.1::DOUBLE / band AS k0 FROM o JOIN g USING (scene_id, bi, bj)),
+    y AS (SELECT *, a * toa - b AS y, 1 + k * (a * toa - b) AS z FROM m),
+    d AS (SELECT *, y / z - boa AS r, ((a0 * toa - b0) - k0 * y * y) / (z * z) AS d0, (a1 * toa) / (z * z) AS d1 FROM y)
+    SELECT scene_id, bi, bj, {s6('sum(w * d0 * d0)', 'h00', 4)}, {s6('sum(w * d0 * d1)', 'h01', 4)}, {s6('sum(w * d1 * d1)', 'h11', 4)}, {s6('sum(w * d0 * r)', 'g0', 4)}, {s6('sum(w * d1 * r)', 'g1', 4)},
+      {s6('0.5::DOUBLE * sum(w * r * r)', 'cost', 4)}, count(*) AS n FROM d GROUP BY 1, 2, 3""")
+def normal_sums(px, bands, a):
+    """The retrieval's normal sums of every block at its prior."""
+    prior = _blocks(a, 8).withColumns({"aot": F.col("aot_prior"), "tcwv": F.col("tcwv_prior")})
+    got = T.normal_sums(_observed(px, bands), prior, T.band_weights(bands), list(range(1, 8)), T.linear_models(list(range(1, 8))))
+    return got.select("scene_id", "bi", "bj", *[r6(F.col(c), c, 4) for c in ("h00", "h01", "h11", "g0", "g1", "cost")], "n")
+
+
+@query("r04_posterior", "angles", sql=f"""WITH RECURSIVE b AS (SELECT scene_id, r // 2 AS bi, c // 2 AS bj, avg(vza) AS ia, avg(sza) AS it, 0.4::DOUBLE AS ua, CASE WHEN (r // 2 + c // 2) % 3 = 0 THEN 0 ELSE 1 END::DOUBLE AS ut FROM fx_angles GROUP BY 1, 2, 3),
+    k AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY bi, bj) AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM b),
+    a AS (SELECT *, 4::DOUBLE * (3 - (k = 1)::INT - (k = n)::INT) AS links FROM k),
+    d AS (SELECT *, ia + 1 / (ua * ua) + links AS da, it + CASE WHEN ut > 0 THEN 1 / (ut * ut) ELSE 0 END + links AS dt FROM a),
+    up AS (SELECT scene_id, k, da AS a, dt AS t FROM d WHERE k = 1 UNION ALL SELECT d.scene_id, d.k, da - 16 / a, dt - 16 / t FROM up JOIN d ON d.scene_id = up.scene_id AND d.k = up.k + 1),
+    down AS (SELECT scene_id, k, da AS a, dt AS t FROM d WHERE k = n UNION ALL SELECT d.scene_id, d.k, da - 16 / a, dt - 16 / t FROM down JOIN d ON d.scene_id = down.scene_id AND d.k = down.k - 1)
+    SELECT scene_id, bi, bj, {s6('1 / sqrt(up.a + down.a - da)', 'aot_unc')}, {s6('1 / sqrt(up.t + down.t - dt)', 'tcwv_unc')} FROM d JOIN up USING (scene_id, k) JOIN down USING (scene_id, k)""")
+def posterior_chain(a):
+    """Posterior uncertainty along each scene's chain of blocks."""
+    half = [F.expr(f"{k} div 2").cast("int").alias(n) for k, n in (("r", "bi"), ("c", "bj"))]
+    blocks = a.groupBy("scene_id", *half).agg(F.avg("vza").alias("info_aot"), F.avg("sza").alias("info_tcwv"))
+    blocks = blocks.withColumns({"aot_prior_unc": F.lit(0.4), "tcwv_prior_unc": F.when((F.col("bi") + F.col("bj")) % 3 == 0, 0.0).otherwise(1.0)})
+    return T.posterior(blocks, 2.0).select("scene_id", "bi", "bj", r6(F.col("aot_unc"), "aot_unc"), r6(F.col("tcwv_unc"), "tcwv_unc"))
+
+
+@query("r05_pyramid", "px", sql="""WITH s AS (SELECT scene_id, max(dn)::BIGINT % 300 + 1 AS ni, min(dn)::BIGINT % 200 + 1 AS nj FROM fx_px GROUP BY scene_id, band), d AS (SELECT DISTINCT * FROM s),
+    l AS (SELECT *, greatest(len(bin(least(ni, nj))) - 1, 1) AS levels FROM d) SELECT scene_id, level::INT AS level, greatest(ni >> (levels - 1 - level), 1) AS ni, greatest(nj >> (levels - 1 - level), 1) AS nj FROM l, range(l.levels) t(level)""")
+def pyramid(px):
+    """Grid shapes from coarse to fine, for sides that the pixels give."""
+    shapes = px.groupBy("scene_id", "band").agg((F.max("dn").cast("long") % 300 + 1).alias("ni"), (F.min("dn").cast("long") % 200 + 1).alias("nj")).select("scene_id", "ni", "nj").distinct()
+    return T.pyramid_levels(shapes)
+
+
+_BASIS = "CASE WHEN k = 0 THEN sqrt(1 / 40::DOUBLE) ELSE sqrt(2 / 40::DOUBLE) * cos(pi() * (2 * i + 1) * k / 80) END"
+
+
+@query("n07_smooth_grids", "px", sql=f"""WITH {_PLANES}, b AS (SELECT i, k, {_BASIS} AS w FROM range(40) x(i), range(40) y(k)), g AS (SELECT p, r, c FROM (SELECT DISTINCT scene_id AS p FROM pl) s, range(40) a(r), range(40) b(c)),
+    v AS (SELECT g.*, coalesce(dn, 0) / 1000 AS v FROM g LEFT JOIN pl ON pl.scene_id = p AND pl.r = g.r AND pl.c = g.c), f1 AS (SELECT p, r, k AS c, sum(v * w) AS v FROM v JOIN b ON i = c GROUP BY 1, 2, 3), f2 AS (SELECT p, k AS r, c, sum(v * w) AS v FROM f1 JOIN b ON i = r GROUP BY 1, 2, 3),
+    h AS (SELECT p, r, c, v / (1 + 3 * pow(4 - 2 * cos(pi() * r / 40) - 2 * cos(pi() * c / 40), 2)) AS v FROM f2), b1 AS (SELECT p, i AS r, c, sum(v * w) AS v FROM h JOIN b ON k = r GROUP BY 1, 2, 3), b2 AS (SELECT p, r, i AS c, sum(v * w) AS v FROM b1 JOIN b ON k = c GROUP BY 1, 2, 3)
+    SELECT p::INT AS scene_id, r::INT AS r, c::INT AS c, {s6('v', 'dn', 5)} FROM b2""")
+def smooth_planes(px):
+    """Every plane smoothed as a whole by splines of one strength; cells without a pixel are dark."""
+    full = N.dense(_planes(px), SIDE, SIDE, "dn").withColumn("dn", F.coalesce("dn", F.lit(0.0)) / 1000)
+    return Z.smooth_grids(full, "dn", ["scene_id"], 3.0).select("scene_id", "r", "c", r6(F.col("dn"), "dn", 5))
+
+
 @query("p37_cloud_probability", "px", "bands", "qa")
 def cloud_probability(px, bands, qa):
     """Cloud probability of cells twice as wide, by trees fitted to the quality table's own probabilities."""
@@ -626,6 +704,42 @@ def latin_strata(suppliers):
     return design.select(F.posexplode(F.array(*of)).alias("dimension", "stratum"))
 
 
+def _mixed_sql(*parts: str) -> str:
+    out = "1"
+    for p, m in zip(parts, X.MIX, strict=False):
+        out = f"list_reduce([0::HUGEINT, ({out} * {m} + ({p}) % {X.PRIME}) % {X.PRIME}], lambda a, h: (h * h + h + 7) % {X.PRIME})"
+    return out
+
+
+def _design_sql(k: int, low: float, high: float) -> str:
+    """One coordinate of a design over n points of the row's ordinal i."""
+    key = 3 * 1009 + k + 1
+    other = f"((({_mixed_sql('r', str(key))}) % n - x) % n + n) % n"
+    coin = _mixed_sql(f"greatest(x, {other})", "r", str(key))
+    place = f"list_reduce(list_prepend(i::HUGEINT, range(1, {X.SHUFFLES} + 1)::HUGEINT[]), lambda x, r: CASE WHEN ({coin} // 1024) % 2 = 1 THEN {other} ELSE x END)"
+    return s6(f"({place} + ({_mixed_sql('i', str(key), '3')})::DOUBLE / {X.PRIME}) / n * {high - low}::DOUBLE + {low}::DOUBLE", f"x{k}")
+
+
+_BOUNDS = [(0.0, 1.0), (-2.0, 2.0), (5.0, 6.0)]
+
+
+@table_query("n11_design_points", "supplier", sql=f"WITH s AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS i, count(*) OVER () AS n FROM supplier) SELECT s_suppkey, {', '.join(_design_sql(k, *b) for k, b in enumerate(_BOUNDS))} FROM s")
+def design_points(suppliers):
+    """Every supplier's own point of a design over all of them; their keys count from 0 without gaps."""
+    n = suppliers.count()
+    out = X.design(suppliers, "s_suppkey", n, _BOUNDS, 3)
+    return out.select("s_suppkey", *[r6(F.col(f"x{k}"), f"x{k}") for k in range(len(_BOUNDS))])
+
+
+@query("s15_reuse", "px", "bands", sql=f"WITH {TOA} SELECT scene_id, band, r, c, {s6('toa', 'toa')} FROM fx_toa")
+def reused_table(px, bands):
+    """Calibrated pixels, written on the first call and read back on the second one and whenever their inputs are the same."""
+    toa = P.calibrated(px, bands).select("scene_id", "band", "r", "c", r6(F.col("toa"), "toa"))
+    root = f"{shared_dir(px.sparkSession).rstrip('/')}/reuse"
+    reused(toa, root, "toa")
+    return reused(toa, root, "toa")
+
+
 @query("s01_discover_sentinel", "listing", sql="SELECT path FROM fx_listing WHERE regexp_matches(path, '/MTD[^/]*TL[^/]*[.]xml$') OR suffix(path, '/metadata.xml')")
 def discover_sentinel(f):
     return M.sentinel_files(f)

@@ -63,7 +63,7 @@ def sentinel_offsets(rows: DataFrame, metadata: DataFrame, bands: DataFrame) ->
     q = rows.groupBy("path").agg(F.max(F.regexp_extract("line", r"<(?:BOA_|)QUANTIFICATION_VALUE[^>]*>([\d.]+)<", 1).try_cast("double")).alias("q"))
     new = F.coalesce(F.col("baseline") >= OFFSET_BASELINE, F.lit(False))
     wanted = metadata.select("path", "baseline").crossJoin(F.broadcast(bands.select("band")))  # scenes x a band dimension
-    joined = wanted.join(tagged, ["path", "band"], "left").join(q, "path", "left")
+    joined = wanted.join(tagged.hint("merge"), ["path", "band"], "left").join(q.hint("merge"), "path", "left")
     return joined.select("path", "band", F.when(new, F.coalesce("offset", F.lit(0.0))).otherwise(0.0).alias("offset"), F.when(new, F.coalesce("q", F.lit(QUANTIFICATION))).otherwise(QUANTIFICATION).alias("quantification"))
 
 
