@@ -1,6 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests.
 
-A text is the set of its paragraphs: its lines, cut further after some sentences. Each digest is added to
+A text is the set of its paragraphs: its lines, cut further after every sentence. Each digest is added to
 one cell of each of three tables; a cell holds a count and the exclusive-or of its digests and of their
 check hashes. Subtracting the cells of two versions leaves those of the differing paragraphs,
 which peeling recovers: a cell with one digest left gives it away, and taking it out of its
@@ -22,9 +22,8 @@ from .common import let, materialize, partitions, table
 CELLS, GROWTH, LEVELS = 96, 4, 4
 ROUNDS = 24
 HASHES = 3
-#: Lines end paragraphs, and so do sentences whose last letter is one of the first eight (or that end in full-width marks):
-#: a rule on the text alone, so that what two versions share is cut alike in both.
-PARAGRAPH_END = r"\n|(?<=[a-h][.!?;]|[。！？]) "
+#: Lines end paragraphs, and so do sentences; full-width marks need no space after them. A rule on the text alone, so that what two versions share is cut alike in both.
+PARAGRAPH_END = r"\n|(?<=[.!?;]) |(?<=[。！？；])"
 #: Stands for a null doc_id, before all others.
 NO_ID = -(2**63)
 

@@ -34,3 +34,12 @@ def test_texts_of_many_lines_and_repeated_rows(spark):
     assert len(got) == 5 and got[0] == got[1] and all(0 <= r[5] <= 1 and 0 <= r[6] <= 1 for r in got)
     by = {r[0]: r for r in got}
     assert by[3][6] == pytest.approx(19_999 / 20_001) and by[1][5] > 0 and by[None][6] == 0
+
+
+def test_every_sentence_ends_a_paragraph(spark):
+    texts = ["One ends in x. Two ends in z! Three ends in q? Four; five", "第一句话。第二句话！第三句话？完", "Line one\nLine two", "No end"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.n for r in df.select("doc_id", F.size(fingerprint.digests(F.col("text"))).alias("n")).collect()}
+    assert got == {0: 5, 1: 4, 2: 2, 3: 1}
+    near = {r.doc_id: r.near_edited for r in fingerprint.fingerprints(df).collect()}
+    assert near[0] > 0 and near[1] > 0
