@@ -8,7 +8,10 @@ Inside what is kept only menus, headers, footers, sidebars, notices, adverts, fo
 readers' comments go, by element or by an unmistakable name. Names that prove nothing (related, tags,
 legal, widget) halve the points, and their blocks go only where they hold links and no prose.
 
-Null or empty pages give an empty text. Pages of any length and nesting are read whole; repeated rows
+A form goes unless it is the page's wrapper: one that holds an article or most of the page's text stays. Parts that a name calls
+search, menu or the like stay if they hold prose inside an article.
+
+Null or empty pages give an empty text. Pages of any length and nesting are read whole, in time linear in their size; repeated rows
 and ties (of containers with equal scores the first) are handled alike; other columns are not read.
 """
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,27 +63,32 @@ DOUBTFUL_NAME = re.compile(
 PROSE_CHARS = 80
 #: Names of what readers wrote, which may well be marked up as articles.
 READERS = re.compile(r"(?:^|[\s_-])(?:comments?|disqus|respond|replies|reply|discussion)(?:$|[\s_-]|\d)", re.I)
+#: Names of parts that have a function on the page, but may also be what an article's own part is about.
+FUNCTION_NAME = re.compile(r"(?:^|[\s_-])(?:nav|navbar|navigation|menus?|breadcrumbs?|toolbar|topbar|masthead|search|login|signup|overlay|modal)(?:$|[\s_-]|\d)", re.I)
 GOOD_NAME = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
 SCORED = frozenset(("p", "pre", "td", "blockquote", "div", "li", "dd", "section", "article", "main", "h1", "h2", "h3"))
 #: Whole lists and containers of at least three links that are shorter than this on average are menus.
 LISTS = frozenset("ul ol dl div section table".split())
 MENU_CHARS = 30
 _BETWEEN = re.compile(r"[\s|·•»›]+")
-_TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$))", re.S)
+_TAG = re.compile(r"<(?:!--.*?(?:--!?>|$)|!\[CDATA\[.*?(?:\]\]>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|))*)(?:>|$))", re.S)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"[\s\xa0]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "names", "score", "chars", "link_chars", "links", "solid", "longest", "ends", "dropped", "by_name", "doubtful", "is_body")
+    __slots__ = ("tag", "parent", "children", "names", "score", "chars", "link_chars", "links", "solid", "longest", "last", "ends", "dropped", "by_name", "doubtful", "faint", "is_body", "in_article", "cleared")
 
     def __init__(self, tag: str, parent: Node | None, names: str = "", dropped: bool = False):
         self.tag, self.parent, self.names, self.dropped, self.by_name = tag, parent, names, dropped, False
         self.doubtful = bool(names) and DOUBTFUL_NAME.search(names) is not None
+        self.faint = self.doubtful + (parent.faint if parent else 0)  # how many doubtful names it stands under
         self.children: list[Node | str] = []
         self.score, self.chars, self.link_chars, self.links, self.solid, self.longest = 0.0, 0, 0, 0, 0, 0
-        self.ends = False  # its last text closes a sentence
+        self.last, self.ends = -1, False  # the number of its last text, and whether that closes a sentence
         self.is_body = tag in ("html", "body", "")
+        self.in_article = parent is not None and (parent.in_article or parent.tag in ("article", "main"))
+        self.cleared = False
 
 
 def _attributes(raw: str) -> tuple[str, bool]:
@@ -96,17 +105,24 @@ def _attributes(raw: str) -> tuple[str, bool]:
     return " ".join(names), hidden
 
 
-def parse(page: str) -> Node:
-    """A forgiving tree: implied end tags, stray end tags skipped, raw-text elements left unread."""
+def parse(page: str) -> tuple[Node, list[Node]]:
+    """A forgiving tree and its nodes in page order: implied end tags, stray end tags skipped, raw-text elements left unread."""
     root = Node("", None)
-    at, open_ = 0, [root]
+    at, open_, nodes = 0, [root], [root]
+    held: Counter = Counter()  # open elements by tag, so that nothing is looked for that is not there
+
+    def close(k: int) -> None:
+        for x in open_[k:]:
+            held[x.tag] -= 1
+        del open_[k:]
+
     while True:
         m = _TAG.search(page, at)
         text = page[at : m.start()] if m else page[at:]
         if text:
             open_[-1].children.append(text)
         if not m:
-            return root
+            return root, nodes
         at = m.end()
         if m[0].startswith("<![CDATA["):
             open_[-1].children.append(entities.escape(m[0][9:].removesuffix("]]>")))
@@ -115,35 +131,39 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if held[tag] else ():
                 if open_[k].tag == tag:
-                    del open_[k:]
+                    close(k)
                     break
                 if open_[k].tag in FENCE and tag not in BLOCK:
                     break
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and held["p"]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == "p":
-                    del open_[k:]
+                    close(k)
                     break
                 if open_[k].tag in FENCE or open_[k].tag in ("li", "button"):
                     break
-        for k in range(len(open_) - 1, 0, -1) if tag in CLOSES else ():
+        for k in range(len(open_) - 1, 0, -1) if tag in CLOSES and any(held[x] for x in CLOSES[tag]) else ():
             if open_[k].tag in CLOSES[tag]:
-                del open_[k:]
+                close(k)
                 break
             if open_[k].tag in FENCE and open_[k].tag not in ("td", "th"):
                 break
         names, hidden = _attributes(m[3])
         if tag in ("article", "main"):
-            for above in open_:  # a wrapper called, say, with-sidebar is no sidebar
-                above.dropped = above.dropped and not (above.by_name and not READERS.search(above.names))
+            above: Node | None = open_[-1]  # a wrapper called, say, with-sidebar is no sidebar, and a form around an article is a wrapper
+            while above is not None and not above.cleared:
+                above.cleared = True
+                above.dropped = above.dropped and not (above.by_name and not READERS.search(above.names)) and above.tag != "form"
+                above = above.parent
         remark = tag == "article" and bool(names) and bool(READERS.search(names)) and not GOOD_NAME.search(names)
         node = Node(tag, open_[-1], names, tag in DROPPED or hidden or remark)
         if names and not node.dropped and tag not in ("html", "body", "article", "main") and BAD_NAME.search(names):
             node.dropped = node.by_name = True
         open_[-1].children.append(node)
+        nodes.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             if tag == "textarea" or tag == "title":
@@ -151,6 +171,33 @@ def parse(page: str) -> Node:
             at = end.end() if end else len(page)
         elif tag not in VOID and not m[3].endswith("/"):
             open_.append(node)
+            held[tag] += 1
+
+
+def spare(nodes: list[Node]) -> None:
+    """Take back what went too far: forms around most of the page's text, and named parts of an article that hold prose."""
+    at = {id(n): k for k, n in enumerate(nodes)}
+    mass, prose = [0] * len(nodes), [0] * len(nodes)
+    linked = [False] * len(nodes)
+    for k, n in enumerate(nodes):
+        linked[k] = n.tag == "a" or n.parent is not None and linked[at[id(n.parent)]]
+    for k in range(len(nodes) - 1, -1, -1):
+        n = nodes[k]
+        if n.tag in RAW or n.dropped and not n.by_name and n.tag != "form":
+            continue
+        own = sum(len(c.strip()) for c in n.children if isinstance(c, str))
+        mass[k] += own
+        prose[k] = max(prose[k], 0 if linked[k] or n.tag in ("label", "legend", "button", "option") else own)
+        if n.parent is not None:
+            up = at[id(n.parent)]
+            mass[up] += mass[k]
+            # Inline elements lengthen their block's prose; a block has its own.
+            prose[up] = max(prose[up], prose[k]) if n.tag in BLOCK else prose[up] + prose[k]
+    for k, n in enumerate(nodes):
+        if n.dropped and n.tag == "form" and 2 * mass[k] >= mass[0] and prose[k] >= PROSE_CHARS:
+            n.dropped = False
+        elif n.dropped and n.by_name and n.in_article and prose[k] >= PROSE_CHARS and (n.tag == "p" or FUNCTION_NAME.search(n.names) and not READERS.search(n.names)):
+            n.dropped = False
 
 
 def _blocks(node: Node) -> Iterator[tuple[Node, str, int, int]]:
@@ -196,29 +243,36 @@ def _blocks(node: Node) -> Iterator[tuple[Node, str, int, int]]:
 
 def extract(page: str) -> str:
     """The main text: its blocks in page order, joined by one space; empty if there is none."""
-    root = parse(page)
+    root, nodes = parse(page)
+    spare(nodes)
     blocks = list(_blocks(root))
     if not blocks:
         return ""
     touched: dict[int, Node] = {}
-    for owner, text, linked, links in blocks:
+    for number, (owner, text, linked, links) in enumerate(blocks):
         points = 0.0
         if owner.tag in SCORED and len(text) >= 25:
             points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
+        points *= 0.5**owner.faint
         up, depth = owner.parent if owner.tag in ("p", "pre", "td", "blockquote", "li", "dd", "h1", "h2", "h3") and owner.parent else owner, 0
-        base, solid, prose = owner, len(_BETWEEN.sub("", text)), len(text) if 2 * linked < len(text) else 0
-        while base is not None:
-            points *= 0.5 if base.doubtful else 1
-            base.longest, base.ends = max(base.longest, prose), text[-1] in ".!?:;…\"'”’»。！？"
-            base.chars += len(text)
-            base.link_chars += linked
-            base.links += links
-            base.solid += solid
-            base = base.parent
+        owner.longest = max(owner.longest, len(text) if 2 * linked < len(text) else 0)
+        owner.last, owner.ends = number, text[-1] in ".!?:;…\"'”’»。！？"
+        owner.chars += len(text)
+        owner.link_chars += linked
+        owner.links += links
+        owner.solid += len(_BETWEEN.sub("", text))
         while up is not None and depth < 3:
             touched[id(up)] = up
             up.score += points / (1, 2, 4)[depth]
             up, depth = up.parent, depth + 1
+    for n in reversed(nodes):  # sums of a part, from its own parts
+        up = n.parent
+        if up is not None and n.last >= 0:
+            up.chars, up.link_chars, up.links, up.solid = up.chars + n.chars, up.link_chars + n.link_chars, up.links + n.links, up.solid + n.solid
+            up.longest = max(up.longest, n.longest)
+            if n.last > up.last:
+                up.last, up.ends = n.last, n.ends
+
     def final(n: Node) -> float:
         bonus = 25 * (n.tag in ("article", "main")) + 5 * bool(n.names and GOOD_NAME.search(n.names)) - 10 * n.is_body
         return (n.score + bonus * (n.score > 0)) * (1 - n.link_chars / max(n.chars, 1))
