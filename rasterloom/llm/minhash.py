@@ -158,24 +158,24 @@ def star_pairs(buckets: DataFrame, percent: int) -> DataFrame:
 
 
 def residual_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, low binary: the upper halves of the set's hashes, enough to tell most pairs that are no link."""
+    """doc_id, hashes binary: the set's hashes, to compare documents with many others in turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in text_blocks(texts):
-                low = [np.unique((s >> _U(32)).astype(np.uint32)).tobytes() for s in shingle_sets(texts[a:b], width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(low, pa.binary())], names=["doc_id", "low"])
+                sets = [s.tobytes() for s in shingle_sets(texts[a:b], width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(sets, pa.binary())], names=["doc_id", "hashes"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, low binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, hashes binary")
 
 
-def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent: int, block: int = 256) -> DataFrame:
-    """(a, b) of one bucket that lie in different components and look like a link.
+def cross_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """(a, b) of one bucket that lie in different components and are a link by their hashes.
 
     Buckets are cut into blocks of about `block` members; each pair of blocks is one row, compared
-    inside a task, so neither a group nor its pairs ever meet in one place, and only likely links come
-    out. Every band counts, and every pair of fitting sizes is compared on its whole sets.
+    inside a task, so neither a group nor its pairs ever meet in one place. Every pair of fitting sizes is compared on its
+    whole sets, unless its two components were joined in the same row before: so only links that join components come out.
     """
     named = labels.select(F.col("v").alias("doc_id"), "label")
     marked = buckets.join(named.hint("merge"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
@@ -183,8 +183,8 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
     split = materialize(split.select("key", "m"), "split-buckets")
     rest = materialize(marked.join(split.hint("merge"), "key"), "residual")
     blocks = F.ceil(F.col("m") / block).cast("int")
-    rest = rest.join(low.hint("merge"), "doc_id").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
-    grouped = rest.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("doc_id", "n", "label", "low")).alias("x"))
+    rest = rest.join(sets.hint("merge"), "doc_id").withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("doc_id", "key"), F.col("blocks")).cast("int"))
+    grouped = rest.groupBy("key", "blocks", "i").agg(F.collect_list(F.struct("doc_id", "n", "label", "hashes")).alias("x"))
     grouped = materialize(grouped, "residual-blocks")
     many = grouped.where("blocks > 1")
     left = many.select("key", "i", F.col("x").alias("y"), F.explode(F.sequence("i", F.col("blocks") - 1)).alias("j")).where("i < j")
@@ -193,7 +193,7 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
 
     def side(c: pa.Array, k: int):
         x = c[k].values
-        sets = [np.frombuffer(y, np.uint32) for y in x.field("low").to_pylist()]
+        sets = [np.frombuffer(y, np.uint64) for y in x.field("hashes").to_pylist()]
         return x.field("doc_id").to_numpy(), x.field("n").to_numpy(), x.field("label").to_numpy().copy(), sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
                 within = not batch.column(1)[k].is_valid
                 e, m, r, t = (d, n, l, s) if within else side(batch.column(1), k)
                 # Hashes of the other side by number, so that one look-up gives what a set has in common with every one of them.
-                names, theirs = np.unique(np.concatenate([*t, np.zeros(0, np.uint32)]), return_inverse=True)
+                names, theirs = np.unique(np.concatenate([*t, np.zeros(0, np.uint64)]), return_inverse=True)
                 theirs, begin = theirs.astype(np.int32), np.concatenate(([0], np.cumsum([len(y) for y in t])[:-1])).astype(np.int64)
                 mark = np.zeros(len(names), bool)
                 out = []
@@ -218,19 +218,13 @@ def cross_pairs(buckets: DataFrame, labels: DataFrame, low: DataFrame, percent:
                         mark[own] = True
                         common = np.add.reduceat(mark[theirs], begin, dtype=np.int64)[at]
                         mark[own] = False
-                        # Halves of hashes may coincide, which leaves a set a little too small: allow for that.
-                        slack, both_n = 2 + (n[q] * m[at] >> 30), n[q] + m[at]
-                        likely = 100 * (common + slack) >= percent * (both_n - common - slack)
-                        certain = 100 * (common - slack) >= percent * (both_n - common + slack)
-                        for z, sure in zip(at[likely].tolist(), certain[likely].tolist(), strict=True):
+                        for z in at[100 * common >= percent * (n[q] + m[at] - common)].tolist():
                             if l[q] == r[z]:  # joined by a link of this row meanwhile
                                 continue
                             out.append((max(d[q], e[z]), min(d[q], e[z])))
-                            # A link beyond that doubt joins two components: further pairs of them add nothing.
-                            if sure:
-                                old, new = max(l[q], r[z]), min(l[q], r[z])
-                                l[l == old] = new
-                                r[r == old] = new
+                            old, new = max(l[q], r[z]), min(l[q], r[z])
+                            l[l == old] = new
+                            r[r == old] = new
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
     return own.unionByName(both).mapInArrow(run, "a bigint, b bigint").distinct()
@@ -262,6 +256,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+#: Bands that are compared in blocks before the others.
+FIRST_BANDS = 5
 #: Edges that a task joins into stars before the rounds of components.
 EDGES_PER_TASK = 200_000
 
@@ -340,10 +336,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     texts = materialize(texts.groupBy("doc_id").agg(F.max_by("text", F.xxhash64("text")).alias("text")), "proposed")
     first = materialize(confirm(materialize(star_pairs(buckets, percent), "stars"), texts, width, percent), "links")
     labels = components(first)
-    more = materialize(cross_pairs(buckets, labels, residual_sets(texts, width), percent), "crossing")
-    second = materialize(confirm(more, texts, width, percent), "more-links")
-    stars = labels.where("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b"))
-    labels = components(stars.union(second))
+    # The first bands join most of what the stars left apart, so that the others have little to compare.
+    sets = materialize(residual_sets(texts, width), "sets")
+    for some in (F.col("band") < FIRST_BANDS, F.col("band") >= FIRST_BANDS):
+        more = materialize(cross_pairs(buckets.where(some), labels, sets, percent), "crossing")
+        second = materialize(confirm(more, texts, width, percent), "more-links")
+        stars = labels.where("v <> label").select(F.col("v").alias("a"), F.col("label").alias("b"))
+        labels = components(stars.union(second))
     joined = classes.join(labels.select(F.col("v").alias("rep"), "label").hint("merge"), "rep", "left")
     joined = materialize(joined.select("name", F.coalesce("label", "rep").alias("component_id")), "class-labels")
     own = sk.select("doc_id", "n", "name").join(joined.hint("merge"), "name", "left")
