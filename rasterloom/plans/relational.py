@@ -11,6 +11,7 @@ from rasterloom.functions import grid as G
 from rasterloom.operators import emulator as E
 from rasterloom.operators import kernel_fit as K
 from rasterloom.operators import neighborhood as N
+from rasterloom.operators import outline as O
 from rasterloom.operators import pixels as P
 from rasterloom.operators import psf as X
 from rasterloom.operators import regrid as D
@@ -284,6 +285,39 @@ def footprint(px):
     return P.footprint(px)
 
 
+_COVERED = f"{_PLANES}, cells AS (SELECT scene_id, r // 4 AS r, c // 4 AS c FROM pl GROUP BY 1, 2, 3 HAVING count(*) >= 12)"
+_RUNS = ", ".join([
+    "e AS (" + " UNION ALL ".join(f"SELECT scene_id, {h} AS heading, {line} AS line, {at} AS pos FROM cells a WHERE NOT EXISTS (FROM cells b WHERE b.scene_id = a.scene_id AND b.r = a.r + {dr} AND b.c = a.c + {dc})"
+                                  for h, line, at, dr, dc in ((0, "r", "c", -1, 0), (1, "c + 1", "r", 0, 1), (2, "r + 1", "c", 1, 0), (3, "c", "r", 0, -1))) + ")",
+    "isles AS (SELECT *, pos - row_number() OVER (PARTITION BY scene_id, heading, line ORDER BY pos) AS isle FROM e)",
+    "spans AS (SELECT scene_id, heading, line, CASE WHEN heading < 2 THEN min(pos) ELSE max(pos) + 1 END AS f, CASE WHEN heading < 2 THEN max(pos) + 1 ELSE min(pos) END AS t FROM isles GROUP BY scene_id, heading, line, isle)",
+    "runs AS (SELECT scene_id, heading, CASE WHEN heading % 2 = 0 THEN f ELSE line END AS x0, CASE WHEN heading % 2 = 0 THEN line ELSE f END AS y0, CASE WHEN heading % 2 = 0 THEN t ELSE line END AS x1, CASE WHEN heading % 2 = 0 THEN line ELSE t END AS y1 FROM spans)"])
+
+
+def _covered(px):
+    """Squares of 4 x 4 cells of every plane of which at least twelve have a pixel."""
+    at = [F.expr(f"{k} div 4").cast("int").alias(k) for k in ("r", "c")]
+    return _planes(px).groupBy("scene_id", *at).agg(F.count("*").alias("n")).where("n >= 12").drop("n")
+
+
+@query("a09_boundary_runs", "px", sql=f"WITH {_COVERED}, {_RUNS} SELECT scene_id, heading, x0, y0, x1, y1 FROM runs")
+def boundary_runs(px):
+    """Straight runs of the boundary of the well covered part of every plane."""
+    return O.boundary_runs(_covered(px), ["scene_id"])
+
+
+@query("a09_outline", "px", sql=f"""WITH RECURSIVE {_COVERED}, {_RUNS}, named AS (SELECT *, (y0 * 1000 + x0) * 4 + heading AS run FROM runs),
+    links AS (SELECT a.scene_id, a.run, arg_max(b.run, (b.heading = (a.heading + 1) % 4)::INT) AS next FROM named a JOIN named b ON a.scene_id = b.scene_id AND a.x1 = b.x0 AND a.y1 = b.y0 GROUP BY 1, 2),
+    walk AS (SELECT scene_id, run AS head, run AS tail, x0 || ' ' || y0 AS points, (x0 - x1) * y0 AS area, 1 AS n FROM named
+      UNION ALL SELECT w.scene_id, w.head, l.next, w.points || ',' || b.x0 || ' ' || b.y0, w.area + (b.x0 - b.x1) * b.y0, w.n + 1 FROM walk w JOIN links l ON l.scene_id = w.scene_id AND l.run = w.tail JOIN named b ON b.scene_id = w.scene_id AND b.run = l.next WHERE l.next > w.head)
+    SELECT w.scene_id, points, area::BIGINT AS area, area < 0 AS hole, n::BIGINT AS n FROM walk w JOIN links l ON l.scene_id = w.scene_id AND l.run = w.tail AND l.next = w.head""")
+def outlines(px):
+    """Rings of the well covered part of every plane, holes included."""
+    rings = O.outline(_covered(px), ["scene_id"])
+    text = F.array_join(F.transform("points", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ",")
+    return rings.select("scene_id", text.alias("points"), "area", "hole", F.size("points").cast("long").alias("n"))
+
+
 _KV = f"""{_FOLD}, {_li_sql(A.SPARSE_SHAPE, 'a')}, k AS (SELECT *, body / (cos(v) + cos(s)) - pi() / 4 AS kv, o - secants + 0.5 * (1 + cq) / cos(v1) / cos(s1) AS kg FROM lia)"""
 _SOLVE = """m AS (SELECT pixel, count(*)::DOUBLE AS a, sum(kv) AS b, sum(kg) AS c, sum(kv * kv) AS d, sum(kv * kg) AS e, sum(kg * kg) AS f, sum(refl) AS x, sum(refl * kv) AS y, sum(refl * kg) AS z, sum(refl * refl) AS rr FROM k GROUP BY 1),
     t AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM m),
