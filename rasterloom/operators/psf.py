@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rasterloom.operators import neighborhood as N
 from rasterloom.storage import checkpointed
@@ -46,6 +51,81 @@ def window_correlations(points: DataFrame, image: DataFrame, half: int, value: s
     return met.groupBy("scene_id", "xs", "ys").agg(correlation("v", "boa").alias("r"), F.count("*").alias("n"))
 
 
+def window_sums(points: DataFrame, image: DataFrame, half: int, value: str = "dn") -> DataFrame:
+    """(scene_id, xs, ys, n, v, vv, b, bb, vb and their rounding bounds e_*): sums over the points that meet a pixel, for every shift in [-half, half).
+
+    The sums of all shifts of a tile of points are cross-correlations with the image around it, taken by Fourier transforms, so their cost
+    goes by tiles and not by points times shifts. Values are centred on their scene's means first, which no correlation sees.
+    A task holds one tile and its surroundings.
+    """
+    size = 1 << max(math.ceil(math.log2(4 * half)), 5)
+    side = size - 2 * half + 1
+    means = image.groupBy("scene_id").agg(F.avg(value).alias("_mv")).join(points.groupBy("scene_id").agg(F.avg("boa").alias("_mb")).hint("merge"), "scene_id")
+    means = checkpointed(means, "means").hint("merge")  # a row a scene
+    b = F.col("boa") - F.col("_mb")
+    of = points.where("boa is not null").join(means, "scene_id").groupBy("scene_id", "hx", "hy").agg(F.count("*").cast("double").alias("n"), F.sum(b).alias("b"), F.sum(b * b).alias("bb"))
+    of = of.withColumns({"tr": F.floor(F.col("hx") / side), "tc": F.floor(F.col("hy") / side)})
+    near = lambda x: F.explode(F.sequence(F.ceil((F.col(x) - side - half + 2) / side), F.floor((F.col(x) + half) / side)))
+    seen = image.where(F.col(value).isNotNull()).join(means, "scene_id").select(*CELL, (F.col(value) - F.col("_mv")).alias("v"))
+    seen = seen.select("*", near("r").alias("tr")).select("*", near("c").alias("tc"))
+    names = ("v", "vv", "b", "bb", "vb")
+
+    def run(key, left, right):
+        scene, tr, tc = (k.as_py() for k in key)
+        empty = not left.num_rows or not right.num_rows
+        grids = {k: np.zeros((size, size)) for k in ("n", "b", "bb", "i", "v", "vv")}
+        if not empty:
+            at = left.column("hx").to_numpy() - tr * side, left.column("hy").to_numpy() - tc * side
+            for k in ("n", "b", "bb"):
+                grids[k][at] = left.column(k).to_numpy()
+            at, v = (right.column("r").to_numpy() - tr * side + half, right.column("c").to_numpy() - tc * side + half), right.column("v").to_numpy()
+            grids["i"][at], grids["v"][at], grids["vv"][at] = 1.0, v, v * v
+        turned = {k: np.fft.rfft2(g) for k, g in grids.items()}
+        weight = {k: float(np.sqrt((g * g).sum())) for k, g in grids.items()}
+        pairs = {"n": ("n", "i"), "v": ("n", "v"), "vv": ("n", "vv"), "b": ("b", "i"), "bb": ("bb", "i"), "vb": ("b", "v")}
+        sums = {k: np.fft.irfft2(np.conj(turned[x]) * turned[y], s=(size, size))[: 2 * half, : 2 * half] for k, (x, y) in pairs.items()}
+        n = np.rint(sums["n"])
+        xs, ys = np.nonzero(n)
+        out = {"scene_id": pa.array([scene] * len(xs), kind), "xs": (xs - half).astype(np.int32), "ys": (ys - half).astype(np.int32), "n": n[xs, ys].astype(np.int64)}
+        out |= {k: sums[k][xs, ys] for k in names}
+        bound = 8 * np.finfo(float).eps * math.log2(size)
+        return pa.table(out | {f"e_{k}": np.full(len(xs), bound * weight[pairs[k][0]] * weight[pairs[k][1]]) for k in names})
+
+    scene = image.schema["scene_id"].dataType
+    kind = to_arrow_type(scene)
+    columns = ", ".join(f"{e}{k} double" for e in ("", "e_") for k in names)
+    key = ["scene_id", "tr", "tc"]
+    tiles = of.groupBy(*key).cogroup(seen.toDF(*seen.columns).groupBy(*key)).applyInArrow(run, f"scene_id {scene.simpleString()}, xs int, ys int, n bigint, {columns}")
+    return tiles.groupBy("scene_id", "xs", "ys").agg(*[F.sum(c).alias(c) for c in ("n", *names, *[f"e_{k}" for k in names])])
+
+
+def likely_shifts(sums: DataFrame) -> DataFrame:
+    """(scene_id, xs, ys): the shifts of window_sums() that may be the best of their scene, as far as the rounding bounds can tell."""
+    c = F.col
+    by_n = lambda x: x / c("n")
+    vv, bb, vb = c("vv") - by_n(c("v") * c("v")), c("bb") - by_n(c("b") * c("b")), c("vb") - by_n(c("v") * c("b"))
+    e_vv, e_bb = (c(f"e_{k}{k}") + by_n(2 * F.abs(k) * c(f"e_{k}")) + by_n(c(f"e_{k}") * c(f"e_{k}")) for k in ("v", "b"))
+    e_vb = c("e_vb") + by_n(F.abs("v") * c("e_b") + F.abs("b") * c("e_v"))
+    j = sums.where("n > 1").select("scene_id", "xs", "ys", vv.alias("vv"), bb.alias("bb"), vb.alias("vb"), e_vv.alias("e_vv"), e_bb.alias("e_bb"), e_vb.alias("e_vb"))
+    known = (c("vv") > 8 * c("e_vv")) & (c("bb") > 8 * c("e_bb"))
+    scale = F.sqrt(c("vv") * c("bb"))
+    r = c("vb") / scale
+    error = 2 * (c("e_vb") / scale + F.abs(r) * (c("e_vv") / c("vv") + c("e_bb") / c("bb"))) + 2e-9
+    cost = F.when(known, F.abs(1 - r))
+    j = checkpointed(j.select("scene_id", "xs", "ys", cost.alias("cost"), F.when(known, error).alias("error")), "shift-costs")
+    best = checkpointed(j.groupBy("scene_id").agg(F.min(c("cost") + c("error")).alias("limit")), "shift-limits")
+    met = j.join(best.hint("merge"), "scene_id")
+    return met.where("cost is null or limit is null or cost - error <= limit").select("scene_id", "xs", "ys")
+
+
+def _at_shifts(points: DataFrame, image: DataFrame, shifts: DataFrame, value: str) -> DataFrame:
+    """(scene_id, xs, ys, r, n) at some shifts of each scene, joined on the scene, not broadcast."""
+    tried = points.join(checkpointed(shifts, "shifts").hint("merge"), "scene_id")
+    at = tried.select("scene_id", "xs", "ys", "boa", (F.col("hx") + F.col("xs")).alias("r"), (F.col("hy") + F.col("ys")).alias("c"))
+    met = at.join(image.select(*CELL, F.col(value).alias("v")).where("v is not null").hint("merge"), [*CELL])
+    return met.groupBy("scene_id", "xs", "ys").agg(correlation("v", "boa").alias("r"), F.count("*").alias("n"))
+
+
 def best_shift(found: DataFrame, accept: float = 0.6) -> DataFrame:
     """Least |1 - r| (to nine digits), of equals that over most points, then the first in (xs, ys) order; below `accept` the shift is (0, 0). Null correlations do not count."""
     best = found.where("r is not null and not isnan(r)").groupBy("scene_id").agg(
@@ -61,19 +141,16 @@ def grid_shifts(spark: SparkSession, half: int, step: int = 1) -> DataFrame:
 
 
 def search_shift(points: DataFrame, image: DataFrame, half: int = 50, stride: int = 5, exhaustive: bool = True, accept: float = 0.6, value: str = "dn") -> DataFrame:
-    """Best shift of each scene over the whole grid. Without exhaustive: a coarse grid, then every shift within stride of its best,
-    which misses peaks narrower than the stride."""
+    """Best shift of each scene over the whole grid: all shifts by tile-wise Fourier transforms, then those that rounding leaves in question exactly.
+
+    Without exhaustive: a coarse grid, then every shift within stride of its best, which misses peaks narrower than the stride."""
     spark = points.sparkSession
     if exhaustive:
-        return best_shift(window_correlations(points, image, half, value), accept)
+        return best_shift(_at_shifts(points, image, likely_shifts(window_sums(points, image, half, value)), value), accept)
     rough = best_shift(correlations(points, image, grid_shifts(spark, half, stride), value), -2.0)
     near = F.sequence(F.lit(-stride + 1), F.lit(stride - 1))
     fine = rough.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("scene_id", (F.col("xs") + F.col("dx")).alias("xs"), (F.col("ys") + F.col("dy")).alias("ys"))
-    # (2 stride - 1)^2 rows a scene: joined on the scene, not broadcast.
-    tried = points.join(fine.hint("shuffle_hash"), "scene_id")
-    at = tried.select("scene_id", "xs", "ys", "boa", (F.col("hx") + F.col("xs")).alias("r"), (F.col("hy") + F.col("ys")).alias("c"))
-    met = at.join(image.select(*CELL, F.col(value).alias("v")).where("v is not null").hint("shuffle_hash"), [*CELL])
-    return best_shift(met.groupBy("scene_id", "xs", "ys").agg(correlation("v", "boa").alias("r"), F.count("*").alias("n")), accept)
+    return best_shift(_at_shifts(points, image, fine, value), accept)
 
 
 #: A prime below 2^31, multipliers of the rounds' hash, and rounds of the permutation.
