@@ -201,34 +201,65 @@ def latin_hypercube(spark: SparkSession, n: int, bounds: list[tuple[float, float
     return design(spark.range(n).select(F.col("id").alias("i")), "i", n, bounds, seed)
 
 
-def search_width(points: DataFrame, image: DataFrame, starts: int = 50, rounds: int = 3, keep: int = 5, seed: int = 0,
+#: Parameters of a point spread; the last two are whole shifts.
+SPREAD = ("std_row", "std_col", "angle", "xs", "ys")
+SHIFTS = 2
+
+
+def search_width(points: DataFrame, image: DataFrame, starts: int = 50, rounds: int = 6, keep: int = 2, seed: int = 0,
                  bounds=((1.0, 6.0), (1.0, 6.0), (-15.0, 15.0), (-5.0, 5.0), (-5.0, 5.0)), value: str = "dn") -> DataFrame:
     """(scene_id, k, std_row, std_col, angle, xs, ys, cost): candidates of each scene with their cost |1 - r|.
 
-    A Latin hypercube of starts, then rounds of smaller hypercubes around each scene's best. The candidates of a round
-    are one table, a row for each scene and candidate; all of them are tried in one job, grouped by scene and candidate.
+    A Latin hypercube of starts, then Newton steps from each scene's best ones. A round is one table of candidates over all scenes and one
+    job: the costs a radius to either side of a centre along every parameter give slopes and curvatures, and so the point that the
+    next round aims at. A centre moves to the best point tried; one that stays halves its radii. Shifts go by whole steps.
     """
-    spark = points.sparkSession
-    names = ("std_row", "std_col", "angle", "xs", "ys")
+    spark, size = points.sparkSession, len(SPREAD)
+    low, high = (F.array(*[F.lit(float(x[k])) for x in bounds]) for k in (0, 1))
     scenes = points.select("scene_id").distinct()
-    box = F.array(*[F.struct(F.lit(float(lo)).alias("lo"), F.lit(float(hi)).alias("hi")) for lo, hi in bounds])
-    boxes = scenes.withColumns({"box": box, "b": F.lit(0)})
-    found: DataFrame | None = None
-    for step in range(rounds):
-        per = max(starts // (3 if step else 1) // (keep if step else 1), 2)
-        unit = latin_hypercube(spark, per, [(0.0, 1.0)] * len(names), seed + 7 * step)  # a literal design
-        tried = boxes.crossJoin(F.broadcast(checkpointed(unit, "design")))
-        cut = lambda k: F.col("box")[k]["lo"] + F.col(f"x{k}") * (F.col("box")[k]["hi"] - F.col("box")[k]["lo"])
-        tried = tried.select("scene_id", (F.lit(step * 1_000_000) + F.col("b") * 1000 + F.col("i")).alias("k"), *[cut(k).alias(n) for k, n in enumerate(names)])
-        scored = checkpointed(_width_costs(points, image, tried, value), "widths")
-        found = scored if found is None else found.unionByName(scored)
-        if step + 1 < rounds:
-            rank = F.row_number().over(Window.partitionBy("scene_id").orderBy("cost", "k"))  # some hundred candidates a scene
-            best = found.withColumn("b", rank).where(F.col("b") <= keep)
-            shrink = 0.3 ** (step + 1)
-            side = lambda n, lo, hi: F.struct(F.greatest(F.lit(float(lo)), F.col(n) - shrink * (hi - lo)).alias("lo"), F.least(F.lit(float(hi)), F.col(n) + shrink * (hi - lo)).alias("hi"))
-            boxes = best.select("scene_id", F.array(*[side(n, lo, hi) for n, (lo, hi) in zip(names, bounds, strict=True)]).alias("box"), "b")
-    return found
+    unit = latin_hypercube(spark, max(starts, 2), [tuple(map(float, x)) for x in bounds], seed)  # a literal design
+    tried = scenes.crossJoin(F.broadcast(checkpointed(unit, "design"))).select("scene_id", F.col("i").alias("k"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("j"), F.array(*[f"x{k}" for k in range(size)]).alias("x"))
+    found = scored = _scored(points, image, tried, value)
+    rank = F.row_number().over(Window.partitionBy("scene_id").orderBy("cost", "k"))  # some dozen starts a scene
+    radius = F.array(*[F.lit(0.15 * (hi - lo) if k < size - SHIFTS else 1.0) for k, (lo, hi) in enumerate(bounds)])
+    state = scored.withColumn("b", rank.cast("long")).where(F.col("b") <= keep).select("scene_id", "b", "x", "cost", radius.alias("h"), F.lit(None).cast("array<double>").alias("aim"))
+    for step in range(1, rounds + 1):
+        state = checkpointed(state, "width-centres")
+        inside = lambda x: F.transform(x, lambda v, k: F.least(F.greatest(v, F.get(low, k)), F.get(high, k)))
+        sides = [F.struct(F.lit(2 * i + (sign > 0)).alias("j"), inside(_beside(i, sign)).alias("x")) for i in range(size) for sign in (-1, 1)]
+        aimed = F.struct(F.lit(2 * size).alias("j"), inside(F.col("aim")).alias("x"))
+        tried = state.select("scene_id", "b", F.explode(F.array_compact(F.array(*sides, F.when(F.col("aim").isNotNull(), aimed)))).alias("c")).select("scene_id", (F.lit(step * 1_000_000) + F.col("b") * 1000 + F.col("c.j")).alias("k"), "b", "c.j", "c.x")
+        scored = _scored(points, image, tried, value)
+        found = found.unionByName(scored)
+        seen = scored.groupBy("scene_id", "b").agg(F.map_from_entries(F.collect_list(F.struct("j", "cost"))).alias("f"), F.min_by(F.struct("x", "cost"), F.struct("cost", "k")).alias("best"))
+        j = state.join(seen.hint("merge"), ["scene_id", "b"], "left")
+        at = lambda k: F.try_element_at("f", k.cast("int"))
+
+        def newton(v, k):
+            below, above, h = at(2 * k), at(2 * k + 1), F.get("h", k)
+            slope, bend = (above - below) / 2, above + below - 2 * F.col("cost")
+            by = F.when(bend > 0, F.greatest(F.lit(-2.0), F.least(F.lit(2.0), -slope / bend))).otherwise(-F.signum(slope))
+            whole = F.when(F.least(below, above) < F.col("cost"), F.when(below < above, -1.0).otherwise(1.0)).otherwise(0.0)
+            return v + F.coalesce(F.when(k < size - SHIFTS, by).otherwise(whole), F.lit(0.0)) * h
+
+        better = F.coalesce(F.col("best.cost") < F.col("cost"), F.lit(False))
+        smaller = F.transform("h", lambda h, k: F.when(k < size - SHIFTS, h / 2).otherwise(h))
+        state = j.select("scene_id", "b", F.when(better, F.col("best.x")).otherwise(F.col("x")).alias("x"), F.when(better, F.col("best.cost")).otherwise(F.col("cost")).alias("cost"),
+                         F.when(better, F.col("h")).otherwise(smaller).alias("h"), F.transform("x", newton).alias("aim"))
+    return found.select("scene_id", "k", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(SPREAD)], "cost")
+
+
+def _beside(i: int, sign: int) -> Column:
+    """The centre x moved by its radius h along parameter i."""
+    return F.transform("x", lambda v, k: F.when(k == i, v + sign * F.get("h", k)).otherwise(v))
+
+
+def _scored(points: DataFrame, image: DataFrame, tried: DataFrame, value: str) -> DataFrame:
+    """tried(scene_id, k, b, j, x) with cost, written; candidates without one stay away."""
+    tried = checkpointed(tried, "candidates")
+    named = tried.select("scene_id", "k", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(SPREAD)])
+    costs = _width_costs(points, image, named, value).select("scene_id", "k", "cost")
+    return checkpointed(tried.join(costs.hint("merge"), ["scene_id", "k"]), "widths")
 
 
 def _width_costs(points: DataFrame, image: DataFrame, tried: DataFrame, value: str) -> DataFrame:

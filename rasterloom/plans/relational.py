@@ -505,7 +505,7 @@ def shift_search(a, px):
 
 @query("r02_width_search", "angles", "px")
 def width_search(a, px):
-    """Widths, angle and shift of each scene's point spread that agree best, of 50 starts and two rounds around the best five."""
+    """Widths, angle and shift of each scene's point spread that agree best, of 50 starts and Newton steps from the best two."""
     found = X.search_width(_cells(a).select("scene_id", "hx", "hy", "boa"), px.where("band = 4"))
     best = F.min_by(F.struct("std_row", "std_col", "angle", "xs", "ys", "cost"), F.struct("cost", "k"))
     return found.groupBy("scene_id").agg(best.alias("b")).select("scene_id", "b.*")
