@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.storage import checkpointed
+from rasterloom.storage import checkpointed, discard
 
 #: Headings of runs, clockwise.
 EAST, SOUTH, WEST, NORTH = range(4)
@@ -53,16 +53,17 @@ def ring_runs(runs: DataFrame, keys: list[str]) -> DataFrame:
     links = met.groupBy(*keys, "run").agg(F.max_by("next", right).alias("next"))
     # jump is the run 2^k steps on; low the smallest run among as many, and far its distance.
     state = links.select(*keys, "run", F.col("next").alias("jump"), F.col("run").alias("low"), F.lit(0).cast("long").alias("far"))
-    step = 1
+    step, former = 1, []
+    state = checkpointed(state, "ring-links")
     while True:
-        state = checkpointed(state, "ring-links")
         ahead = state.select(*keys, F.col("run").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"), F.col("far").alias("_far"))
         nearer = F.col("_low") < F.col("low")
         both = state.join(ahead.hint("merge"), [*keys, "jump"])
         grown = both.select(*keys, "run", F.col("_jump").alias("jump"), F.when(nearer, F.col("_low")).otherwise(F.col("low")).alias("low"),
                             F.when(nearer, F.col("_far") + step).otherwise(F.col("far")).alias("far"), nearer.alias("_new"))
         grown = checkpointed(grown, "ring-links")
-        state, step = grown.drop("_new"), 2 * step
+        discard(state, *former)
+        state, step, former = grown.drop("_new"), 2 * step, [grown]
         # Windows that lie side by side share their smallest run only when they cover the ring.
         if not grown.where("_new").limit(1).count():
             break

@@ -19,7 +19,7 @@ from rasterloom.functions import radiometry as R
 from rasterloom.functions.grid import block_index
 from rasterloom.operators.emulator import coefficients
 from rasterloom.operators.regrid import spline_regrid
-from rasterloom.storage import checkpointed
+from rasterloom.storage import checkpointed, discard
 
 BLOCK = ("scene_id", "bi", "bj")
 #: Limits of optical thickness and water vapour, weight of the observations, slope of the band weights.
@@ -198,6 +198,7 @@ def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, g
         costs = checkpointed(steps.groupBy("scene_id").agg(F.sum("part").alias("now")), "costs")
         solved = checkpointed(_moved(steps, costs).select(*columns, "_move"), "blocks")
         moves = checkpointed(solved.groupBy("scene_id").agg(F.max("_move").alias("moved")), "moves")
+        discard(steps, costs)
         solved = solved.drop("_move").join(moves.hint("merge"), "scene_id")
         done = solved.where(F.col("moved") < tol)
         finished = done if finished is None else finished.unionByName(done)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.storage import checkpointed
+from rasterloom.storage import checkpointed, discard
 
 #: Lines of a grid that one task transforms together.
 LINES = 16
@@ -106,8 +106,11 @@ def choose_s(spectrum: DataFrame, scenes: DataFrame, keys: list[str], value: str
     """
     low, high = LOG_RANGE
     state = scenes.withColumns({"centre": F.lit((low + high) / 2), "step": F.lit((high - low) / (CANDIDATES - 1))})
+    former: list[DataFrame] = []
     for _ in range(PASSES):
         state = checkpointed(state, "spline-search")
+        discard(*former)
+        former = [state]
         scored = _scores(spectrum.join(state.drop("n_seen").hint("merge"), keys), keys, value)
         rest = 1 - F.col("trace") / (F.col("n_r") * F.col("n_c"))
         score = F.when(rest > 0, F.col("rss") / F.col("n_seen") / (rest * rest)).otherwise(F.lit(float("inf")))
@@ -141,7 +144,8 @@ def smooth_grids(df: DataFrame, value: str, keys: list[str], s: float | None = N
         fit = transform(damped, keys, "z", True).withColumnRenamed("z", "fit")
         moved = cells.join(fit.hint("merge"), [*keys, "r", "c"]).join(scenes.select(*keys, relax.alias("_w")).hint("merge"), keys)
         moved = moved.select(*keys, "r", "c", "y", F.col("last").alias("before"), (F.col("_w") * F.col("fit") + (1 - F.col("_w")) * F.col("last")).alias("last"))
-        cells = checkpointed(moved, "grid-cells")
+        former, cells = cells, checkpointed(moved, "grid-cells")
+        discard(spectrum, *([former] if it == 0 else []))
         change = cells.groupBy(*keys).agg(F.sum(F.pow(F.col("last") - F.col("before"), 2)).alias("d"), F.sum(F.pow("last", 2)).alias("n"), F.count_if(F.col("y").isNull()).alias("open"))
         change = checkpointed(change.select(*keys, ((F.col("open") == 0) | (F.sqrt("d") < tol * F.sqrt("n"))).alias("still")), "grid-change")
         cells = cells.join(change.hint("merge"), keys)

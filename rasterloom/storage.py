@@ -25,12 +25,24 @@ def shared_dir(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame, name: str) -> DataFrame:
     """Write df below spark.checkpoint.dir and read it back.
 
-    This cuts lineage, so that rounds of an iteration do not pile up in one plan, and survives lost executors.
+    This cuts lineage, so that rounds of an iteration do not pile up in one plan, and survives lost executors. What nothing
+    reads any more goes by discard(); the rest goes with the folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that checkpointed() gave, once all that was made from them is written."""
+    for t in tables:
+        path = getattr(t, "written_at", None)
+        if path:
+            where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def fingerprint(df: DataFrame, version: str = "") -> str:

@@ -31,3 +31,13 @@ def test_a_partial_table_is_not_seen(spark, tmp_path):
     place = tmp_path / "kept" / "t" / fingerprint(df)
     os.makedirs(tmp_path / "kept" / "t" / ".draft-lost")  # what a writer left that died
     assert reused(df, str(tmp_path / "kept"), "t").count() == 5 and (place / "_SUCCESS").exists()
+
+
+def test_discarded_tables_are_gone(spark):
+    from rasterloom.storage import checkpointed, discard
+
+    kept = checkpointed(spark.range(3), "kept")
+    old = checkpointed(kept, "old")
+    assert os.path.isdir(old.written_at.removeprefix("file:"))
+    discard(old, spark.range(1))
+    assert not os.path.exists(old.written_at.removeprefix("file:")) and kept.count() == 3
