@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators.trees import Trees, sigmoid, tree_scores
 from rasterloom.storage import checkpointed
 
 MAX_MODEL_ROWS = 100_000
@@ -96,8 +97,12 @@ def spectral_map(boa: DataFrame, maps: DataFrame) -> DataFrame:
     return boa.join(F.broadcast(maps), "band").withColumn("boa", F.col("slope") * F.col("boa") + F.col("off")).drop("slope", "off")
 
 
-def tree_predict(df: DataFrame, inputs: list[str], model, output: str) -> DataFrame:
-    """A fitted pyspark.ml model (trees supplied by the user) over assembled inputs; probability of class 1 if it has one."""
+def tree_predict(df: DataFrame, inputs: list[str], model, output: str, probability: bool = False) -> DataFrame:
+    """A model supplied by the user over some columns: trees kept as a table (their score, or with probability its logistic
+    function), or a fitted pyspark.ml model (probability of class 1 if it has one)."""
+    if isinstance(model, Trees):
+        scored = tree_scores(df, inputs, model, output)
+        return scored.withColumn(output, sigmoid(F.col(output))) if probability else scored
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
@@ -112,7 +117,7 @@ def cloud_probability(toa: DataFrame, roles: list[str], model, ratio: int, least
     coarse = toa.groupBy("scene_id", "role", F.expr(f"r div {ratio}").alias("r"), F.expr(f"c div {ratio}").alias("c")).agg(F.avg("toa").alias("toa"))
     wide = coarse.groupBy("scene_id", "r", "c").agg(*[F.max(F.when(F.col("role") == k, F.col("toa"))).alias(k) for k in roles])
     ok = F.forall(F.array(*roles), lambda x: F.coalesce(x >= least, F.lit(False)))
-    scored = tree_predict(wide.fillna(0.0, roles).withColumn("_ok", ok), roles, model, "cloud_prob")
+    scored = tree_predict(wide.fillna(0.0, roles).withColumn("_ok", ok), roles, model, "cloud_prob", True)
     return scored.select("scene_id", "r", "c", F.when(F.col("_ok"), F.col("cloud_prob")).alias("cloud_prob"))
 
 
@@ -124,8 +129,8 @@ def first_guess_tcwv(df: DataFrame, inputs: list[str], layers, low: float = 0.0,
     return replace_by_median(guess, ["scene_id"], "tcwv", (F.col("tcwv") > low) & (F.col("tcwv") < high))
 
 
-def first_guess_aot(df: DataFrame, inputs: list[str], model, rows: int, cols: int) -> DataFrame:
-    """exp(-prediction) of a tree regression, trimmed to the scene's 5-95 percentiles, filled from the nearest and smoothed."""
+def first_guess_aot(df: DataFrame, inputs: list[str], model, rows: int, cols: int, s: float | None = None) -> DataFrame:
+    """exp(-prediction) of a tree regression, trimmed to the scene's 5-95 percentiles, filled from the nearest and smoothed (strength s, or chosen)"""
     from rasterloom.operators.neighborhood import dense, nearest_fill
     from rasterloom.operators.pixels import percentiles
     from rasterloom.operators.spectral import smooth_grids
@@ -134,4 +139,4 @@ def first_guess_aot(df: DataFrame, inputs: list[str], model, rows: int, cols: in
     guess = checkpointed(guess, "guess")
     limits = checkpointed(percentiles(guess, ["scene_id"], "aot", (0.05, 0.95)), "limits")
     kept = guess.join(limits.hint("merge"), "scene_id").withColumn("aot", F.when(F.col("aot").between(F.col("p05"), F.col("p95")), F.col("aot")))
-    return smooth_grids(nearest_fill(dense(kept, rows, cols, "aot"), "aot"), "aot", ["scene_id"])
+    return smooth_grids(nearest_fill(dense(kept, rows, cols, "aot"), "aot"), "aot", ["scene_id"], s)

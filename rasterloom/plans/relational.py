@@ -18,6 +18,7 @@ from rasterloom.operators import regrid as D
 from rasterloom.operators import retrieval as T
 from rasterloom.operators import spectral as Z
 from rasterloom.operators import temporal as S
+from rasterloom.operators.trees import Trees
 from rasterloom.sources import scenes as M
 from rasterloom.storage import reused, shared_dir
 
@@ -691,6 +692,55 @@ def first_guess_aot(a):
     return E.first_guess_aot(rows.drop("label"), ["sza", "vza"], model, SIDE, SIDE)
 
 
+def _tree_rows(n: int, trees: int, cut) -> list[tuple]:
+    """Trees of seven inner nodes in heap order over n inputs; cut(k) is the threshold of the k-th inner node."""
+    out = []
+    for t in range(trees):
+        out += [(t, i, (t + i) % n, cut(3 * t + i), 2 * i + 1, 2 * i + 2, None) for i in range(7)]
+        out += [(t, i, None, None, None, None, ((5 * t + 3 * i) % 11 - 5) / 10) for i in range(7, 15)]
+    return out
+
+
+def _tree_sql(rows: list[tuple], names: list[str]) -> str:
+    """The sum of the trees' values as nested cases."""
+    at = {(r[0], r[1]): r for r in rows}
+
+    def node(t: int, i: int) -> str:
+        _, _, f, cut, low, high, value = at[t, i]
+        return f"{value}::DOUBLE" if f is None else f"CASE WHEN {names[f]} <= {cut}::DOUBLE THEN {node(t, low)} ELSE {node(t, high)} END"
+
+    return " + ".join(node(t, 0) for t in sorted({r[0] for r in rows}))
+
+
+_CLOUD_TREES = _tree_rows(len(P.ROLES), 5, lambda k: (1 + k % 7) / 10)
+
+
+@query("p37_tree_probability", "px", "bands", sql=f"""WITH {TOA}, h AS (SELECT scene_id, role, r // 2 AS r, c // 2 AS c, avg(toa) AS toa FROM fx_toa GROUP BY 1, 2, 3, 4),
+    w AS (SELECT scene_id, r, c, {', '.join(f"max(toa) FILTER (role = '{k}') AS {k}" for k in P.ROLES)} FROM h GROUP BY 1, 2, 3)
+    SELECT scene_id, r, c, {s6(f"CASE WHEN {_VALID} THEN 1 / (1 + exp(-({_tree_sql(_CLOUD_TREES, list(P.ROLES))}))) END", 'cloud_prob')} FROM w""")
+def tree_probability(px, bands):
+    """Cloud probability of cells twice as wide by trees that come as a table."""
+    out = E.cloud_probability(P.calibrated(px, bands), list(P.ROLES), Trees(_CLOUD_TREES), 2)
+    return out.select("scene_id", *[F.col(k).cast("int").alias(k) for k in ("r", "c")], r6(F.col("cloud_prob"), "cloud_prob"))
+
+
+_AOT_TREES = _tree_rows(2, 4, lambda k: float(2 + (5 * k) % 60))
+
+
+@query("p39_tree_aot", "angles", sql=f"""WITH g AS (SELECT scene_id, r, c, exp(-({_tree_sql(_AOT_TREES, ['sza', 'vza'])})) AS g FROM fx_angles), q AS (SELECT scene_id, quantile_cont(g, 0.05) AS lo, quantile_cont(g, 0.95) AS hi FROM g GROUP BY 1),
+    p AS (SELECT scene_id, r, c, g AS dn FROM g JOIN q USING (scene_id) WHERE g BETWEEN lo AND hi), cell AS (SELECT s.scene_id, r::INT AS r, c::INT AS c FROM q s, range(40) a(r), range(40) b(c)),
+    own AS (SELECT cell.*, p.dn FROM cell LEFT JOIN p USING (scene_id, r, c)),
+    far AS (SELECT o.scene_id, o.r, o.c, arg_min(p.dn, ((p.r - o.r) * (p.r - o.r) + (p.c - o.c) * (p.c - o.c)) * 10000 + p.r * 100 + p.c) AS dn FROM own o JOIN p ON p.scene_id = o.scene_id WHERE o.dn IS NULL GROUP BY 1, 2, 3),
+    v AS (SELECT own.scene_id AS p, own.r, own.c, coalesce(own.dn, far.dn) AS v FROM own LEFT JOIN far USING (scene_id, r, c)), b AS (SELECT i, k, {_BASIS} AS w FROM range(40) x(i), range(40) y(k)),
+    f1 AS (SELECT p, r, k AS c, sum(v * w) AS v FROM v JOIN b ON i = c GROUP BY 1, 2, 3), f2 AS (SELECT p, k AS r, c, sum(v * w) AS v FROM f1 JOIN b ON i = r GROUP BY 1, 2, 3),
+    h AS (SELECT p, r, c, v / (1 + 0.5::DOUBLE * pow(4 - 2 * cos(pi() * r / 40) - 2 * cos(pi() * c / 40), 2)) AS v FROM f2), b1 AS (SELECT p, i AS r, c, sum(v * w) AS v FROM h JOIN b ON k = r GROUP BY 1, 2, 3), b2 AS (SELECT p, r, i AS c, sum(v * w) AS v FROM b1 JOIN b ON k = c GROUP BY 1, 2, 3)
+    SELECT p AS scene_id, r::INT AS r, c::INT AS c, {s6('v', 'aot', 5)} FROM b2""")
+def tree_aot(a):
+    """First guess of the optical thickness by trees that come as a table: trimmed, filled and smoothed with one strength."""
+    out = E.first_guess_aot(a.select("scene_id", "r", "c", "sza", "vza"), ["sza", "vza"], Trees(_AOT_TREES), SIDE, SIDE, 0.5)
+    return out.select("scene_id", "r", "c", r6(F.col("aot"), "aot", 5))
+
+
 @query("r06_correction", "px", "bands", "angles", sql=f"""WITH g AS (SELECT DISTINCT scene_id, r // 8 AS bi, c // 8 AS bj FROM fx_angles), {TOA}, p AS (SELECT t.*, (1.1 + 0.3::DOUBLE / band * 0.2 + 0.02::DOUBLE * band * 2) AS a, (0.01 + 0.12::DOUBLE / band * 0.2) AS b, (0.05 + 0.1::DOUBLE / band * 0.2) AS k FROM fx_toa t JOIN g ON g.scene_id = t.scene_id AND g.bi = t.r // 8 AND g.bj = t.c // 8)
     SELECT scene_id, band, r, c, {s6('CASE WHEN dn > 0 THEN (a * toa - b) / (1 + k * (a * toa - b)) END', 'boa')} FROM p""")
 def correction(px, bands, a):
