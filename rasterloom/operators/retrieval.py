@@ -133,22 +133,41 @@ def _tile_step(pdf: pd.DataFrame, tile: int, reach: int, gamma: float) -> pd.Dat
 
     def apply(d: np.ndarray) -> np.ndarray:
         out = np.stack([h00 * d[0] + h01 * d[1], h01 * d[0] + h11 * d[1]]) + pull * d
-        return (out + gamma**2 * np.stack([_laplacian(v, edges) for v in d])) * free
+        return out + gamma**2 * np.stack([_laplacian(v, edges) for v in d])
 
+    def solved(d: np.ndarray, loose: np.ndarray) -> np.ndarray:
+        """d with its loose values at the minimum of the quadratic model, the others as they are."""
+        d = d.copy()
+        r = -(g + apply(d)) * loose
+        z = r / m
+        p, rz = z.copy(), float((r * z).sum())
+        for _ in range(400):
+            if rz < 1e-16:
+                break
+            q = apply(p) * loose
+            alpha = rz / max(float((p * q).sum()), 1e-300)
+            d += alpha * p
+            r -= alpha * q
+            z = r / m
+            fresh = float((r * z).sum())
+            p, rz = z + fresh / rz * p, fresh
+        return d
+
+    # The step is the model's minimum within BOUNDS: what would leave them is held at its bound while the rest is solved again, and let go
+    # where the model pulls it back inside. Cutting a free step short at the bounds instead may raise the cost.
     m = np.stack([h00, h11]) + pull + 8 * gamma**2 + 1e-12
-    d, r = np.zeros_like(g), -g * free
-    z = r / m
-    p, rz = z.copy(), float((r * z).sum())
-    for _ in range(400):
-        if rz < 1e-16:
+    low, high = (np.array([b[k] for b in BOUNDS])[:, None, None] - x for k in (0, 1))
+    free = np.broadcast_to(free, x.shape)
+    loose, d = free.copy(), np.zeros_like(g)
+    for _ in range(20):
+        d = solved(d, loose)
+        under, over = loose & (d < low), loose & (d > high)
+        d = np.where(under, low, np.where(over, high, d))
+        pull_back = g + apply(d)
+        back = free & ~loose & (((d <= low) & (pull_back < -1e-9)) | ((d >= high) & (pull_back > 1e-9)))
+        if not (under | over | back).any():
             break
-        q = apply(p)
-        alpha = rz / max(float((p * q).sum()), 1e-300)
-        d += alpha * p
-        r -= alpha * q
-        z = r / m
-        fresh = float((r * z).sum())
-        p, rz = z + fresh / rz * p, fresh
+        loose = (loose & ~under & ~over) | back
     return pdf.assign(d_aot=d[0][at], d_tcwv=d[1][at], part=part[at])[own]
 
 
@@ -157,7 +176,8 @@ def _moved(steps: DataFrame, costs: DataFrame) -> DataFrame:
     j = steps.join(costs.hint("merge"), "scene_id")
     rose = F.col("now") > F.col("last_cost") * (1 + 1e-9)
     out = j.withColumns({f"_{k}": F.greatest(F.lit(low), F.least(F.lit(high), F.col(k) + F.when(rose, -0.5 * F.col(f"step_{k}")).otherwise(F.col(f"d_{k}")))) for k, (low, high) in zip(("aot", "tcwv"), BOUNDS, strict=True)})
-    out = out.withColumn("_move", F.greatest(*[F.abs(F.col(f"_{k}") - F.col(k)) for k in ("aot", "tcwv")]))
+    # A step taken back is no sign of having arrived.
+    out = out.withColumn("_move", F.when(rose, F.lit(1.0)).otherwise(F.greatest(*[F.abs(F.col(f"_{k}") - F.col(k)) for k in ("aot", "tcwv")])))
     out = out.withColumns({f"step_{k}": F.when(rose, 0.5 * F.col(f"step_{k}")).otherwise(F.col(f"_{k}") - F.col(k)) for k in ("aot", "tcwv")})
     return out.withColumns({"aot": F.col("_aot"), "tcwv": F.col("_tcwv"), "last_cost": F.when(rose, F.col("last_cost")).otherwise(F.col("now"))})
 

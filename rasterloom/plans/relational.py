@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -592,13 +593,20 @@ def _observed(px, bands):
     return P.calibrated(px, bands).where("dn > 0").select("scene_id", "band", *at, "toa", (0.85 * F.col("toa")).alias("boa"), F.lit(0.05).alias("unc"))
 
 
+def _planted(px, bands, unc: float):
+    """Observations of the surface that an atmosphere makes of them which changes from block to block."""
+    band, aot, tcwv = F.col("band"), 0.3 + 0.02 * F.col("bi"), 2.5 + 0.1 * F.col("bj")
+    y, k = (1.1 + 0.3 / band * aot + 0.02 * band * tcwv) * F.col("toa") - (0.01 + 0.12 / band * aot), 0.05 + 0.1 / band * aot
+    return _observed(px, bands).withColumns({"boa": y / (1 + k * y), "unc": F.lit(unc)})
+
+
 @query("r03_r04_retrieval", "px", "bands", "angles")
 def retrieval(px, bands, a):
-    """Blocks of every scene retrieved against a constant surface, with posterior uncertainty."""
+    """Blocks of every scene retrieved through the pyramid of grids, with posterior uncertainty."""
     names = list(range(1, 8))
     few = bands
     prior = _blocks(a, 8)
-    obs = _observed(px, few)
+    obs = _planted(px, few, 0.05)
     models = T.linear_models(names)
     solved = T.retrieve_pyramid(obs, prior, few, models, (8, 8), gamma=2.0)
     info = T.block_information(obs, solved, T.band_weights(few), names, models)
@@ -623,6 +631,42 @@ def normal_sums(px, bands, a):
     return got.select("scene_id", "bi", "bj", *[r6(F.col(c), c, 4) for c in ("h00", "h01", "h11", "g0", "g1", "cost")], "n")
 
 
+def _uncoupled_sql(rounds: int) -> str:
+    """Gauss-Newton rounds of every block by itself, from the prior (0.2, 2)."""
+    ctes = ["s0 AS (SELECT scene_id, bi, bj, 0.2::DOUBLE AS aot, 2::DOUBLE AS tcwv FROM g)"]
+    for k in range(rounds):
+        ctes.append(f"""q{k} AS (SELECT o.*, aot, tcwv, (1.1 + 0.3::DOUBLE / band * aot + 0.02::DOUBLE * band * tcwv) * toa - (0.01 + 0.12::DOUBLE / band * aot) AS y, 0.05 + 0.1::DOUBLE / band * aot AS k FROM o JOIN s{k} USING (scene_id, bi, bj)),
+    d{k} AS (SELECT *, y / (1 + k * y) - boa AS r, (0.3::DOUBLE / band * toa - 0.12::DOUBLE / band - 0.1::DOUBLE / band * y * y) / ((1 + k * y) * (1 + k * y)) AS d0, 0.02::DOUBLE * band * toa / ((1 + k * y) * (1 + k * y)) AS d1 FROM q{k}),
+    m{k} AS (SELECT scene_id, bi, bj, sum(w * d0 * d0) + 6.25 AS a, sum(w * d0 * d1) AS b, sum(w * d1 * d1) + 1 AS c, sum(w * d0 * r) + 6.25 * (any_value(aot) - 0.2) AS g0, sum(w * d1 * r) + any_value(tcwv) - 2 AS g1 FROM d{k} GROUP BY 1, 2, 3 HAVING count(*) > 1),
+    z{k} AS (SELECT scene_id, bi, bj, aot, tcwv, a, b, c, g0, g1, 0.001 - aot AS l0, 2.5 - aot AS h0, -tcwv AS l1, 7 - tcwv AS h1, -(c * g0 - b * g1) / (a * c - b * b) AS u0, -(a * g1 - b * g0) / (a * c - b * b) AS u1 FROM s{k} LEFT JOIN m{k} USING (scene_id, bi, bj)),
+    y{k} AS (SELECT *, [{{'p': u0, 'q': u1, 'ok': u0 BETWEEN l0 AND h0 AND u1 BETWEEN l1 AND h1}}, {", ".join([f"{{'p': {e}, 'q': greatest(l1, least(h1, -(g1 + b * {e}) / c)), 'ok': true}}" for e in ("l0", "h0")] + [f"{{'p': greatest(l0, least(h0, -(g0 + b * {e}) / a)), 'q': {e}, 'ok': true}}" for e in ("l1", "h1")])}] AS t FROM z{k}),
+    x{k} AS (SELECT *, list_filter(t, lambda v: v.ok AND v.p * g0 + v.q * g1 + (a * v.p * v.p + 2 * b * v.p * v.q + c * v.q * v.q) / 2 = list_min([w.p * g0 + w.q * g1 + (a * w.p * w.p + 2 * b * w.p * w.q + c * w.q * w.q) / 2 for w in t if w.ok]))[1] AS v FROM y{k}),
+    s{k + 1} AS (SELECT scene_id, bi, bj, CASE WHEN a IS NULL THEN aot ELSE aot + v.p END AS aot, CASE WHEN a IS NULL THEN tcwv ELSE tcwv + v.q END AS tcwv FROM x{k})""")
+    return ", ".join(ctes)
+
+
+@query("r03_uncoupled", "px", "bands", "angles", sql=f"""WITH {_MODEL_BLOCKS}, {TOA}, w AS (SELECT band, pow(wavelength_nm / 1000::DOUBLE, -1.6) / sum(pow(wavelength_nm / 1000::DOUBLE, -1.6)) OVER () AS bw FROM fx_bands),
+    f AS (SELECT t.scene_id, t.band, r // 5 AS bi, c // 5 AS bj, toa, 0.3::DOUBLE + 0.02::DOUBLE * (r // 5) AS pa, 2.5::DOUBLE + 0.1::DOUBLE * (c // 5) AS pt, 0.25::DOUBLE * bw / (0.01::DOUBLE * 0.01::DOUBLE) AS w FROM fx_toa t JOIN w USING (band) WHERE dn > 0),
+    n AS (SELECT *, (1.1 + 0.3::DOUBLE / band * pa + 0.02::DOUBLE * band * pt) * toa - (0.01 + 0.12::DOUBLE / band * pa) AS y0, 0.05 + 0.1::DOUBLE / band * pa AS k0 FROM f),
+    o AS (SELECT scene_id, band, bi, bj, toa, y0 / (1 + k0 * y0) AS boa, w FROM n), {_uncoupled_sql(12)}
+    SELECT scene_id, bi, bj, {s6('aot', 'aot', 4)}, {s6('tcwv', 'tcwv', 4)}, true AS converged FROM s12""")
+def uncoupled(px, bands, a):
+    """Retrieval without smoothness, where every block is a system of its own, of an atmosphere that changes from block to block."""
+    names = list(range(1, 8))
+    obs = _planted(px, bands, 0.01)
+    got = T.retrieve(obs, _blocks(a, 8), bands, T.linear_models(names), 0.0, tol=1e-7)
+    return got.select("scene_id", "bi", "bj", r6(F.col("aot"), "aot", 4), r6(F.col("tcwv"), "tcwv", 4), "converged")
+
+
+@query("s12_reflectance_sink", "px", "bands", sql=f"WITH {TOA} SELECT scene_id, band, r, c, CASE WHEN toa * 10000 > 0 THEN floor(toa * 10000 + 0.5) ELSE -9999 END::SMALLINT AS boa FROM fx_toa")
+def reflectance_sink(px, bands):
+    """Reflectance as it is read back after it was written, partitioned by scene and band."""
+    spark = px.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/boa-{uuid.uuid4().hex}"
+    P.write_reflectance(P.calibrated(px, bands).select("scene_id", "band", "r", "c", F.col("toa").alias("boa")), path)
+    return spark.read.parquet(path).select("scene_id", "band", "r", "c", "boa")
+
+
 @query("r04_posterior", "angles", sql=f"""WITH RECURSIVE b AS (SELECT scene_id, r // 2 AS bi, c // 2 AS bj, avg(vza) AS ia, avg(sza) AS it, 0.4::DOUBLE AS ua, CASE WHEN (r // 2 + c // 2) % 3 = 0 THEN 0 ELSE 1 END::DOUBLE AS ut FROM fx_angles GROUP BY 1, 2, 3),
     k AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY bi, bj) AS k, count(*) OVER (PARTITION BY scene_id) AS n FROM b),
     a AS (SELECT *, 4::DOUBLE * (3 - (k = 1)::INT - (k = n)::INT) AS links FROM k),
