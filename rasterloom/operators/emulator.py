@@ -113,8 +113,11 @@ def tree_predict(df: DataFrame, inputs: list[str], model, output: str, probabili
 
 
 def cloud_probability(toa: DataFrame, roles: list[str], model, ratio: int, least: float = 1e-4) -> DataFrame:
-    """Mean of the bands on cells `ratio` times larger, then the model; null where a band is invalid."""
-    coarse = toa.groupBy("scene_id", "role", F.expr(f"r div {ratio}").alias("r"), F.expr(f"c div {ratio}").alias("c")).agg(F.avg("toa").alias("toa"))
+    """Mean of the bands on cells `ratio` times larger, then the model; null where a band is invalid.
+
+    Means are taken to nine digits, so that the order of a sum decides no tree's threshold.
+    """
+    coarse = toa.groupBy("scene_id", "role", F.expr(f"r div {ratio}").alias("r"), F.expr(f"c div {ratio}").alias("c")).agg(F.round(F.avg("toa"), 9).alias("toa"))
     wide = coarse.groupBy("scene_id", "r", "c").agg(*[F.max(F.when(F.col("role") == k, F.col("toa"))).alias(k) for k in roles])
     ok = F.forall(F.array(*roles), lambda x: F.coalesce(x >= least, F.lit(False)))
     scored = tree_predict(wide.fillna(0.0, roles).withColumn("_ok", ok), roles, model, "cloud_prob", True)

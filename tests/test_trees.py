@@ -29,3 +29,14 @@ def test_many_trees_by_hand():
         return at[t, i][6]
 
     np.testing.assert_allclose(Y.Trees(rows).score(x), [sum(walk(v, t) for t in range(20)) for v in x])
+
+
+def test_order_of_a_mean_decides_no_threshold(spark):
+    from rasterloom.operators import emulator as E
+
+    # 0.1 + 0.2 + 0.3 over 3 is above 0.2 in this order, and not in the reverse one.
+    model = Y.Trees([(0, 0, 0, 0.2, 1, 2, None), (0, 1, None, None, None, None, -1.0), (0, 2, None, None, None, None, 1.0)])
+    for values in ((0.1, 0.2, 0.3), (0.3, 0.2, 0.1)):
+        toa = spark.createDataFrame([(1, "red", k // 2, k % 2, v) for k, v in enumerate(values)], "scene_id int, role string, r int, c int, toa double").coalesce(1)
+        got = E.cloud_probability(toa, ["red"], model, 2).collect()
+        assert [round(r.cloud_prob, 6) for r in got] == [0.268941]
