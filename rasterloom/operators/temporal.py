@@ -136,57 +136,79 @@ def cosine_basis(n: int) -> np.ndarray:
     return m
 
 
-def spline_smooth(y: np.ndarray, w: np.ndarray, s: float | None = None, robust: str | None = "bisquare", rounds: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Penalised least squares in the cosine domain for a vector or a grid: (smoothed, weights, s).
+def _middle(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Median of each row's known values; 0 for rows without one."""
+    n = known.sum(1)
+    x = np.sort(np.where(known, x, np.inf), 1)
+    low, high = (np.take_along_axis(x, np.maximum(k, 0)[:, None], 1)[:, 0] for k in ((n - 1) // 2, np.minimum(n // 2, x.shape[1] - 1)))
+    return np.where(n > 0, (low + high) / 2, 0.0)
+
+
+def spline_smooth_many(y: np.ndarray, w: np.ndarray, s: float | None = None, robust: str | None = "bisquare", rounds: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Penalised least squares in the cosine domain for vectors or grids of one shape, the first axis counts them: (smoothed, weights, s).
 
-    Second differences are penalised on each axis. s None is chosen by generalised cross-validation. robust is
-    bisquare, cauchy, talworth or None. Non-finite values get weight 0.
+    Second differences are penalised on each axis. s None is chosen for each by generalised cross-validation. robust is
+    bisquare, cauchy, talworth or None. Non-finite values get weight 0. All go through a round together; one that stands still leaves the rounds.
     """
-    y = np.atleast_1d(np.asarray(y, float))
+    y = np.asarray(y, float)
+    axes, wide = tuple(range(1, y.ndim)), (slice(None), *[None] * (y.ndim - 1))
     finite = np.isfinite(y)
-    w = np.where(finite, w, 0.0) / max(float(np.max(np.where(finite, w, 0.0))), 1e-300)
-    y0 = np.where(finite, y, 0.0)
-    bases = [cosine_basis(n) for n in y.shape]
+    w = np.where(finite, w, 0.0)
+    w = w / np.maximum(w.max(axes), 1e-300)[wide]
+    y0, seen = np.where(finite, y, 0.0), np.maximum(finite.sum(axes), 1)
+    bases = [cosine_basis(n) for n in y.shape[1:]]
+    flat = lambda a: a.reshape(len(a), -1)
 
     def turn(a: np.ndarray, back: bool = False) -> np.ndarray:
-        for axis, m in enumerate(bases):
-            a = np.moveaxis(np.tensordot(m.T if back else m, np.moveaxis(a, axis, 0), 1), 0, axis)
+        for axis, m in enumerate(bases, 1):
+            a = np.moveaxis(np.moveaxis(a, axis, -1) @ (m if back else m.T), -1, axis)
         return a
 
-    roughness = sum(np.reshape(2 - 2 * np.cos(np.pi * np.arange(n) / n), [-1 if a == k else 1 for a in range(y.ndim)]) for k, n in enumerate(y.shape)) ** 2
-    order = int(np.sum(np.array(y.shape) > 1))
-    n_seen = max(int(finite.sum()), 1)
-    total, z = w, np.where(finite, y0, y0[finite].mean() if finite.any() else 0.0)
-    own = s
+    shape = y.shape[1:]
+    roughness = sum(np.reshape(2 - 2 * np.cos(np.pi * np.arange(n) / n), [-1 if a == k else 1 for a in range(len(shape))]) for k, n in enumerate(shape)) ** 2
+    order = int(np.sum(np.array(shape) > 1))
+
+    def chosen(spectrum: np.ndarray, of: np.ndarray) -> np.ndarray:
+        total_of, y_of, known, n = total[of], y0[of], finite[of], seen[of]
+
+        def score(log_s: np.ndarray) -> np.ndarray:
+            g = 1 / (1 + (10.0**log_s)[wide] * roughness)
+            rss = np.where(known, total_of * (y_of - turn(g * spectrum, True)) ** 2, 0.0).sum(axes)
+            kept = g.mean(axes)
+            return np.where(kept < 1, rss / n / np.maximum(1 - kept, 1e-300) ** 2, np.inf)
+
+        grid = np.linspace(-6, 8, 29)
+        best = grid[np.argmin([score(np.full(len(of), v)) for v in grid], 0)]
+        a, b = best - 0.5, best + 0.5
+        for _ in range(25):
+            c, d = b - 0.618 * (b - a), a + 0.618 * (b - a)
+            lower = score(c) < score(d)
+            a, b = np.where(lower, a, c), np.where(lower, d, b)
+        return 10.0 ** ((a + b) / 2)
+
+    total, z = w, np.where(finite, y0, (y0.sum(axes) / seen)[wide])
+    own = np.full(len(y), np.nan if s is None else s)
     for _ in range(3 if robust else 1):
-        relax = 1.75 if (total < 1).any() else 1.0
+        relax = np.where((total < 1).any(axes), 1.75, 1.0)
+        live = np.arange(len(y))
         for it in range(rounds):
-            spectrum = turn(total * (y0 - z) + z)
+            before = z[live]
+            spectrum = turn(total[live] * (y0[live] - before) + before)
             if s is None and (it & (it - 1)) == 0:
-                def score(log_s: float) -> float:
-                    g = 1 / (1 + 10.0**log_s * roughness)
-                    fit = turn(g * spectrum, True)
-                    rss = float((total * (y0 - fit) ** 2)[finite].sum())
-                    return rss / n_seen / (1 - g.mean()) ** 2 if g.mean() < 1 else np.inf
-
-                grid = np.linspace(-6, 8, 29)
-                best = grid[int(np.argmin([score(v) for v in grid]))]
-                a, b = best - 0.5, best + 0.5
-                for _ in range(25):
-                    c, d = b - 0.618 * (b - a), a + 0.618 * (b - a)
-                    a, b = (a, d) if score(c) < score(d) else (c, b)
-                own = 10.0 ** ((a + b) / 2)
-            fresh = relax * turn(spectrum / (1 + own * roughness), True) + (1 - relax) * z
-            change = np.linalg.norm(fresh - z) / max(np.linalg.norm(fresh), 1e-300)
-            z = fresh
-            if change < tol:
+                own[live] = chosen(spectrum, live)
+            r = relax[live][wide]
+            fresh = r * turn(spectrum / (1 + own[live][wide] * roughness), True) + (1 - r) * before
+            change = np.linalg.norm(flat(fresh - before), axis=1) / np.maximum(np.linalg.norm(flat(fresh), axis=1), 1e-300)
+            z[live] = fresh
+            live = live[~(change < tol)]
+            if not len(live):
                 break
         if robust:
             t = np.sqrt(1 + 16 * own)
             h = (np.sqrt(1 + t) / np.sqrt(2) / t) ** order
-            r = np.abs(y0 - z)
-            mad = max(float(np.median(np.abs((y0 - z)[finite] - np.median((y0 - z)[finite])))) if finite.any() else 0.0, 1e-12)
-            u = r / (1.4826 * mad) / np.sqrt(1 - h)
+            gap, known = flat(y0 - z), flat(finite)
+            mad = np.maximum(_middle(np.abs(gap - _middle(gap, known)[:, None]), known), 1e-12)
+            u = np.abs(y0 - z) / (1.4826 * mad * np.sqrt(1 - h))[wide]
             if robust == "cauchy":
                 rw = 1 / (1 + (u / 2.385) ** 2)
             elif robust == "talworth":
@@ -194,20 +216,38 @@ def spline_smooth(y: np.ndarray, w: np.ndarray, s: float | None = None, robust:
             else:
                 rw = np.where(u / 4.685 < 1, (1 - (u / 4.685) ** 2) ** 2, 0.0)
             total = w * rw
-    return z, total, float(own)
+    return z, total, own
+
+
+def spline_smooth(y: np.ndarray, w: np.ndarray, s: float | None = None, robust: str | None = "bisquare", rounds: int = 100, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """spline_smooth_many() for a single vector or grid."""
+    y = np.atleast_1d(np.asarray(y, float))
+    z, total, own = spline_smooth_many(y[None], np.broadcast_to(w, y.shape)[None], s, robust, rounds, tol)
+    return z[0], total[0], float(own[0])
+
+
+#: Series that go through the rounds together.
+TOGETHER = 1024
 
 
 def smooth_splines(df: DataFrame, value: str, weight: str, s: float | None = None, robust: str | None = "bisquare") -> DataFrame:
-    """Series arrays smoothed by spline_smooth: <value>, <value>_w and the s used."""
+    """Series arrays smoothed many at a time: <value>, <value>_w and the s used; null and empty arrays stay so."""
     rest = [c for c in df.columns if c not in (value, weight)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            y, w = b.column(b.schema.get_field_index(value)).to_pylist(), b.column(b.schema.get_field_index(weight)).to_pylist()
-            got = [spline_smooth(np.array(p, float), np.array(q, float), s, robust) for p, q in zip(y, w, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*[b.column(b.schema.get_field_index(c)) for c in rest], *[pa.array([g[k].tolist() for g in got], pa.list_(pa.float64())) for k in (0, 1)], pa.array([g[2] for g in got], pa.float64())],
-                names=[*rest, value, value + "_w", "s"])
+            y, w = (b.column(b.schema.get_field_index(c)) for c in (value, weight))
+            n = y.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            at = np.concatenate([[0], np.cumsum(n)])
+            flat = [x.flatten().to_numpy(zero_copy_only=False).astype(float) for x in (y, w)]
+            smoothed, weights, used = np.empty(at[-1]), np.empty(at[-1]), np.empty(len(n))
+            for size in np.unique(n[n > 0]):
+                rows = np.flatnonzero(n == size)
+                for of in np.array_split(rows, -(-len(rows) // TOGETHER)):
+                    cells = at[of][:, None] + np.arange(size)
+                    smoothed[cells], weights[cells], used[of] = spline_smooth_many(flat[0][cells], flat[1][cells], s, robust)
+            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x), mask=y.is_null()) for x in (smoothed, weights)]
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in rest], *lists, pa.array(used, mask=n == 0)], names=[*rest, value, value + "_w", "s"])
 
     kinds = [f"{c} {df.schema[c].dataType.simpleString()}" for c in rest]
     return df.select(*rest, value, weight).mapInArrow(run, ", ".join([*kinds, f"{value} array<double>", f"{value}_w array<double>", "s double"]))

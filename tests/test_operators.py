@@ -324,3 +324,22 @@ def test_reflectance_sink_round_trip(spark, tmp_path):
     P.write_reflectance(boa, str(tmp_path / "boa"))
     got = {(r.scene_id, r.band, r.r, r.c): r.boa for r in spark.read.parquet(str(tmp_path / "boa")).collect()}
     assert got == {(1, 2, 0, 0): 1234, (1, 2, 0, 1): -9999, (2, 3, 1, 1): -9999}
+
+
+def test_many_splines_together(spark):
+    import time
+
+    g = np.random.default_rng(4)
+    y, w = g.integers(0, 500, (2000, 33)).astype(float), (g.random((2000, 33)) < 0.7).astype(float)
+    began = time.time()
+    together = S.spline_smooth_many(y, w)
+    assert time.time() - began < 30  # one by one these take minutes
+    for k in (0, 999, 1999):
+        alone = S.spline_smooth(y[k], w[k])
+        np.testing.assert_allclose(together[0][k], alone[0], atol=0.05)
+        np.testing.assert_allclose(together[1][k], alone[1], atol=1e-3)
+    rows = [(0, y[0].tolist(), w[0].tolist()), (1, None, None), (2, y[1, :20].tolist(), w[1, :20].tolist()), (3, [], []), (4, [1.0, None, 3.0], [1.0, 1.0, 1.0])]
+    got = {r.k: r for r in S.smooth_splines(spark.createDataFrame(rows, "k int, v array<double>, w array<double>"), "v", "w").collect()}
+    assert got[1].v is None and got[1].s is None and got[3].v == [] and got[4].v_w[1] == 0
+    for k, n in ((0, 33), (2, 20)):
+        np.testing.assert_allclose(got[k].v, S.spline_smooth(y[k // 2, :n], w[k // 2, :n])[0], atol=0.05)
