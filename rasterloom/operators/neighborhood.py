@@ -8,9 +8,11 @@ offsets and join on the shifted key; no plan compares pixels with pixels.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,24 +129,62 @@ def psf_average(points: DataFrame, image: DataFrame, weights: list[tuple[int, in
     return met.groupBy("scene_id", F.col("_r").alias("r"), F.col("_c").alias("c")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias(value))
 
 
+def by_lines(grid: DataFrame, keys: list[str], along: str, across: str, value: str, turn: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """grid(keys, r, c, value) with every line turned as a whole: turn(places, values) gets lines of one length, by ascending place, and gives their new values.
+
+    A line is one row for Spark, and a task turns the lines of an Arrow batch together, so the work goes by cells and not by groups. Null is NaN on
+    the way in and out.
+    """
+    lines = grid.select(*keys, across, F.struct(F.col(along).alias("at"), F.col(value).cast("double").alias("x")).alias("_cell"))
+    lines = lines.groupBy(*keys, across).agg(F.collect_list("_cell").alias("_line"))
+    names = [*keys, across, along, value]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            line = b.column(b.schema.get_field_index("_line"))
+            n = line.value_lengths().to_numpy(zero_copy_only=False)
+            of, at = np.repeat(np.arange(len(n)), n), np.concatenate([[0], np.cumsum(n)])
+            place, x = (v.to_numpy(zero_copy_only=False) for v in line.flatten().flatten())
+            order = np.lexsort((place, of))
+            place, x = place[order], x[order]
+            out = np.empty(len(x))
+            for size in np.unique(n):
+                cells = at[:-1][n == size][:, None] + np.arange(size)
+                out[cells] = turn(place[cells], x[cells])
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)).take(pa.array(of)) for k in names[:-2]], pa.array(place), pa.array(out, from_pandas=True)], names=names)
+
+    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in names[:-1])
+    return lines.mapInArrow(run, f"{kinds}, {value} double").select(*keys, "r", "c", value)
+
+
 def smooth(image: DataFrame, std_row: float, std_col: float, rows: int, cols: int, value: str = "dn", reach: float = 4.0) -> DataFrame:
     """Separable Gaussian of a dense image with mirrored edges; a std below 1 leaves that axis alone.
 
-    Each pass explodes the truncated kernel of one axis, mirrors the target at the edges and sums by key.
+    Each pass sums the truncated kernel of one axis along the lines of a grid. Nulls are left out of the sums.
     """
     def axis(df: DataFrame, name: str, size: int, std: float) -> DataFrame:
         if std < 1:
             return df
         n = math.ceil(reach * std)
-        w = [math.exp(-0.5 * (k / std) ** 2) for k in range(-n, n + 1)]
-        kernel = F.array(*[F.struct(F.lit(k).alias("d"), F.lit(x / sum(w)).alias("w")) for k, x in zip(range(-n, n + 1), w, strict=True)])
-        # The value at source s counts for target t with t + d mirrored onto s: scatter to all t within reach.
-        moved = F.pmod(F.col(name) + F.col("k.d"), F.lit(2 * size))
-        taps = df.select(*CELL, value).withColumn("k", F.explode(kernel))
-        other = [x for x in CELL if x != name]
-        taps = taps.select(*other, F.col(name).alias("t"), F.when(moved >= size, 2 * size - 1 - moved).otherwise(moved).cast("int").alias(name), F.col("k.w").alias("w"))
-        met = taps.join(df.select(*CELL, value).hint("shuffle_hash"), [*CELL])
-        return met.groupBy(*other, F.col("t").alias(name)).agg(F.sum(F.col(value) * F.col("w")).alias(value)).select(*CELL, value)
+        w = np.exp(-0.5 * (np.arange(-n, n + 1) / std) ** 2)
+        w /= w.sum()
+
+        def mirrored(k: np.ndarray) -> np.ndarray:
+            k = k % (2 * size)
+            return np.where(k >= size, 2 * size - 1 - k, k)
+
+        def turn(place: np.ndarray, x: np.ndarray) -> np.ndarray:
+            full, near = np.full((len(x), size), np.nan), mirrored(np.arange(-n, size + n))
+            row, col = np.nonzero((place >= 0) & (place < size))
+            full[row, place[row, col]] = x[row, col]
+            known, full = ~np.isnan(full)[:, near], np.nan_to_num(full)[:, near]
+            out, hit = np.zeros((len(x), size)), np.zeros((len(x), size), bool)
+            for k, v in enumerate(w):
+                out += v * full[:, k:k + size]
+                hit |= known[:, k:k + size]
+            return np.take_along_axis(np.where(hit, out, np.nan), mirrored(place), 1)
+
+        return by_lines(df, ["scene_id"], name, "c" if name == "r" else "r", value, turn)
 
     return axis(axis(image.select(*CELL, value), "r", rows, std_row), "c", cols, std_col)
 
