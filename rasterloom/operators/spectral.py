@@ -1,7 +1,7 @@
 """Penalised spline smoothing of whole grids in the cosine domain, by row and column passes.
 
-A cosine transform of a grid is one of its rows followed by one of its columns. Each pass deals a few lines of a
-scene to a task, so no task holds a scene; what is chosen or judged for a scene as a whole (the
+A cosine transform of a grid is one of its rows followed by one of its columns. Each pass deals lines of
+scenes to a task, so no task holds a scene; what is chosen or judged for a scene as a whole (the
 smoothing parameter, the change of a round, the scale of residuals) comes from sums over its cells.
 """
 
@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.operators.neighborhood import by_lines
 from rasterloom.storage import checkpointed, discard
 
-#: Lines of a grid that one task transforms together.
-LINES = 16
 #: log10 of the smoothing parameter: the range that is searched, candidates of a pass, passes.
 LOG_RANGE, CANDIDATES, PASSES = (-6.0, 8.0), 29, 6
 
@@ -50,20 +49,8 @@ def idct(x: np.ndarray) -> np.ndarray:
 
 def transform(grid: DataFrame, keys: list[str], value: str, inverse: bool = False) -> DataFrame:
     """The two-dimensional cosine transform of each dense grid(keys, r, c, value), or back."""
-    columns = [*keys, "r", "c", value]
-    kinds = ", ".join(f"{k} {grid.schema[k].dataType.simpleString()}" for k in columns[:-1]) + f", {value} double"
-
-    def lines(along: str, across: str):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values([across, along])
-            x = pdf[value].to_numpy(float).reshape(pdf[across].nunique(), -1)
-            return pdf.assign(**{value: (idct(x) if inverse else dct(x)).ravel()})[columns]
-
-        return run
-
     for along, across in (("c", "r"), ("r", "c")):
-        dealt = grid.select(*columns).groupBy(*keys, F.floor(F.col(across) / LINES).alias("_lines"))
-        grid = dealt.applyInPandas(lines(along, across), kinds)
+        grid = by_lines(grid, keys, along, across, value, lambda _, x: idct(x) if inverse else dct(x))
     return grid
 
 

@@ -41,3 +41,9 @@ def test_nulls_are_filled(spark):
     want, _, _ = S.spline_smooth(held[0], np.ones_like(held[0]), 0.5, None, tol=1e-9, rounds=2000)
     np.testing.assert_allclose([got[0, i, j] for i, j in np.ndindex(want.shape)], want.ravel(), atol=2e-2)
     assert got[9, 0, 0] is None and len(got) == 74
+
+
+def test_passes_deal_lines_not_groups(spark):
+    _, df = grids(spark, [(5, 4)])
+    plan = X.transform(df, ["scene_id"], "v")._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("MapInArrow") >= 2
