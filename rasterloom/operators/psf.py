@@ -219,7 +219,8 @@ def search_width(points: DataFrame, image: DataFrame, starts: int = 50, rounds:
     scenes = points.select("scene_id").distinct()
     unit = latin_hypercube(spark, max(starts, 2), [tuple(map(float, x)) for x in bounds], seed)  # a literal design
     tried = scenes.crossJoin(F.broadcast(checkpointed(unit, "design"))).select("scene_id", F.col("i").alias("k"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("j"), F.array(*[f"x{k}" for k in range(size)]).alias("x"))
-    found = scored = _scored(points, image, tried, value)
+    tiles = _width_tiles(points, image, bounds, value)
+    found = scored = _scored(tiles, tried)
     rank = F.row_number().over(Window.partitionBy("scene_id").orderBy("cost", "k"))  # some dozen starts a scene
     radius = F.array(*[F.lit(0.15 * (hi - lo) if k < size - SHIFTS else 1.0) for k, (lo, hi) in enumerate(bounds)])
     state = scored.withColumn("b", rank.cast("long")).where(F.col("b") <= keep).select("scene_id", "b", "x", "cost", radius.alias("h"), F.lit(None).cast("array<double>").alias("aim"))
@@ -229,7 +230,7 @@ def search_width(points: DataFrame, image: DataFrame, starts: int = 50, rounds:
         sides = [F.struct(F.lit(2 * i + (sign > 0)).alias("j"), inside(_beside(i, sign)).alias("x")) for i in range(size) for sign in (-1, 1)]
         aimed = F.struct(F.lit(2 * size).alias("j"), inside(F.col("aim")).alias("x"))
         tried = state.select("scene_id", "b", F.explode(F.array_compact(F.array(*sides, F.when(F.col("aim").isNotNull(), aimed)))).alias("c")).select("scene_id", (F.lit(step * 1_000_000) + F.col("b") * 1000 + F.col("c.j")).alias("k"), "b", "c.j", "c.x")
-        scored = _scored(points, image, tried, value)
+        scored = _scored(tiles, tried)
         found = found.unionByName(scored)
         seen = scored.groupBy("scene_id", "b").agg(F.map_from_entries(F.collect_list(F.struct("j", "cost"))).alias("f"), F.min_by(F.struct("x", "cost"), F.struct("cost", "k")).alias("best"))
         j = state.join(seen.hint("merge"), ["scene_id", "b"], "left")
@@ -254,24 +255,92 @@ def _beside(i: int, sign: int) -> Column:
     return F.transform("x", lambda v, k: F.when(k == i, v + sign * F.get("h", k)).otherwise(v))
 
 
-def _scored(points: DataFrame, image: DataFrame, tried: DataFrame, value: str) -> DataFrame:
+def _scored(tiles: DataFrame, tried: DataFrame) -> DataFrame:
     """tried(scene_id, k, b, j, x) with cost, written; candidates without one stay away."""
     tried = checkpointed(tried, "candidates")
-    named = tried.select("scene_id", "k", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(SPREAD)])
-    costs = _width_costs(points, image, named, value).select("scene_id", "k", "cost")
+    costs = _width_costs(tiles, tried.select("scene_id", "k", *[F.get("x", F.lit(i)).alias(n) for i, n in enumerate(SPREAD)]))
     return checkpointed(tried.join(costs.hint("merge"), ["scene_id", "k"]), "widths")
 
 
-def _width_costs(points: DataFrame, image: DataFrame, tried: DataFrame, value: str) -> DataFrame:
-    """tried with cost: each point's weighted average under each candidate's kernel, correlated per scene and candidate."""
-    kernels = tried.select("scene_id", "k", F.explode(N.gaussian_column(F.col("std_row"), F.col("std_col"), F.col("angle"))).alias("w"),
-                           F.round("xs").cast("int").alias("dx"), F.round("ys").cast("int").alias("dy"))
-    taps = points.select("scene_id", "hx", "hy", "boa").join(kernels.hint("merge"), "scene_id")
-    taps = taps.select("scene_id", "k", "hx", "hy", "boa", (F.col("hx") + F.col("dx") + F.col("w.dr")).alias("r"), (F.col("hy") + F.col("dy") + F.col("w.dc")).alias("c"), F.col("w.w").alias("w"))
-    met = taps.join(image.select(*CELL, F.col(value).alias("v")).where("v is not null").hint("merge"), [*CELL])
-    seen = met.groupBy("scene_id", "k", "hx", "hy").agg(F.first("boa").alias("boa"), (F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
-    cost = seen.groupBy("scene_id", "k").agg(F.abs(1 - correlation("v", "boa")).alias("cost")).where("cost is not null and not isnan(cost)")
-    return tried.join(cost.hint("merge"), ["scene_id", "k"])
+#: Cells on a side of a tile of points.
+WIDTH_TILE = 64
+
+
+def _width_tiles(points: DataFrame, image: DataFrame, bounds, value: str) -> DataFrame:
+    """(scene_id, tr, tc, mv, mb, points, pixels): a row a tile, with its points and the image as far around them as any candidate within bounds reaches."""
+    side = WIDTH_TILE
+    first = [math.floor(low) for low, _ in bounds[-SHIFTS:]]
+    last = [math.ceil(high) + 2 * math.ceil(1.96 * std) - 1 for (_, high), (_, std) in zip(bounds[-SHIFTS:], bounds, strict=False)]
+    tile = lambda x: F.floor(F.col(x) / side).cast("int")
+    near = lambda x, k: F.explode(F.sequence(F.ceil((F.col(x) - last[k] - side + 1) / side).cast("int"), F.floor((F.col(x) - first[k]) / side).cast("int")))
+    once = points.groupBy("scene_id", "hx", "hy").agg(F.first("boa").cast("double").alias("boa"))
+    at = once.groupBy("scene_id", tile("hx").alias("tr"), tile("hy").alias("tc")).agg(F.collect_list(F.struct("hx", "hy", "boa")).alias("points"), F.sum("boa").alias("sb"), F.count("boa").alias("nb"))
+    seen = image.select(*CELL, F.col(value).cast("double").alias("v")).where("v is not null")
+    around = seen.select("*", near("r", 0).alias("tr")).select("*", near("c", 1).alias("tc"))
+    around = around.groupBy("scene_id", "tr", "tc").agg(F.collect_list(F.struct("r", "c", "v")).alias("pixels"))
+    at = checkpointed(at.join(around.hint("merge"), ["scene_id", "tr", "tc"]), "width-tiles")
+    # What correlations are centred on; they do not see it.
+    means = seen.groupBy("scene_id").agg(F.avg("v").alias("mv")).join(at.groupBy("scene_id").agg(F.try_divide(F.sum("sb"), F.sum("nb")).alias("mb")).hint("merge"), "scene_id")
+    return checkpointed(at.drop("sb", "nb").join(checkpointed(means, "means").hint("merge"), "scene_id"), "width-tiles")
+
+
+def _kernel(std_row: float, std_col: float, angle: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dr, dc, w) as gaussian_column() gives them."""
+    h, w = (2 * math.ceil(1.96 * x) for x in (std_row, std_col))
+    i, j = (x.ravel() for x in np.mgrid[:h, :w])
+    y, x, t = i - h / 2 + 0.5, j - w / 2 + 0.5, math.radians(angle)
+    u, v = x * math.cos(t) - y * math.sin(t), x * math.sin(t) + y * math.cos(t)
+    return i, j, np.exp(-0.5 * (u / std_col * u / std_col + v / std_row * v / std_row))
+
+
+def _width_costs(tiles: DataFrame, tried: DataFrame) -> DataFrame:
+    """(scene_id, k, cost): each point's weighted average under each candidate's kernel, correlated per scene and candidate.
+
+    A task averages under all candidates of a scene tile by tile and gives one row of sums for each; neither points nor taps travel.
+    """
+    asked = tried.select("scene_id", F.struct("k", "std_row", "std_col", "angle", F.round("xs").cast("int").alias("dx"), F.round("ys").cast("int").alias("dy")).alias("_c"))
+    asked = asked.groupBy("scene_id").agg(F.collect_list("_c").alias("candidates"))
+    names = ("v", "b", "vv", "bb", "vb")
+
+    def run(batches):
+        for batch in batches:
+            out, of = [], []
+            column = lambda n: batch.column(batch.schema.get_field_index(n))
+            for row in range(batch.num_rows):
+                hx, hy, boa = (x.to_numpy(zero_copy_only=False) for x in column("points")[row].values.flatten())
+                r, c, v = (x.to_numpy(zero_copy_only=False) for x in column("pixels")[row].values.flatten())
+                mv, mb = column("mv")[row].as_py(), column("mb")[row].as_py()
+                known = ~np.isnan(boa)
+                if mb is None or not known.any():
+                    continue
+                hx, hy, b = hx[known], hy[known], boa[known] - mb
+                r0, c0 = min(r.min(), hx.min()), min(c.min(), hy.min())
+                shape = (max(r.max(), hx.max()) - r0 + 1, max(c.max(), hy.max()) - c0 + 1)
+                value, seen = np.zeros(shape), np.zeros(shape)
+                np.add.at(value, (r - r0, c - c0), v - mv)
+                np.add.at(seen, (r - r0, c - c0), 1.0)
+                for q in column("candidates")[row].as_py():
+                    dr, dc, w = _kernel(q["std_row"], q["std_col"], q["angle"])
+                    at = hx[:, None] - r0 + q["dx"] + dr, hy[:, None] - c0 + q["dy"] + dc
+                    inside = (at[0] >= 0) & (at[0] < shape[0]) & (at[1] >= 0) & (at[1] < shape[1])
+                    at = np.where(inside, at[0], 0), np.where(inside, at[1], 0)
+                    weight = seen[at] * inside * w
+                    total = weight.sum(1)
+                    met = total > 0
+                    x, z = (value[at] * inside * w).sum(1)[met] / total[met], b[met]
+                    if len(x):
+                        of.append(row)
+                        out.append((q["k"], len(x), x.sum(), z.sum(), (x * x).sum(), (z * z).sum(), (x * z).sum()))
+            columns = list(zip(*out, strict=True)) or [[]] * (2 + len(names))
+            yield pa.RecordBatch.from_arrays([column("scene_id").take(pa.array(of, pa.int32())), *[pa.array(x, pa.int64()) for x in columns[:2]], *[pa.array(x, pa.float64()) for x in columns[2:]]], names=["scene_id", "k", "n", *names])
+
+    met = tiles.join(asked.hint("merge"), "scene_id").mapInArrow(run, f"scene_id {tiles.schema['scene_id'].dataType.simpleString()}, k bigint, n bigint, {', '.join(f'{n} double' for n in names)}")
+    sums = met.groupBy("scene_id", "k").agg(*[F.sum(n).alias(n) for n in ("n", *names)])
+    spread = lambda x: F.col(x + x) - F.col(x) * F.col(x) / F.col("n")
+    # A spread that is rounding alone stands for a constant, which has no correlation.
+    varies = (spread("v") > 1e-12 * F.col("vv")) & (spread("b") > 1e-12 * F.col("bb"))
+    r = (F.col("vb") - F.col("v") * F.col("b") / F.col("n")) / F.sqrt(spread("v") * spread("b"))
+    return sums.where(varies).select("scene_id", "k", F.abs(1 - r).alias("cost")).where("not isnan(cost)")
 
 
 def pearson_cost(a: str | Column, b: str | Column) -> Column:

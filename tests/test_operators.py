@@ -362,3 +362,29 @@ def test_smoothing_sends_each_cell_once_a_pass(spark):
 
     want = np.apply_along_axis(one, 1, np.apply_along_axis(one, 0, a))
     np.testing.assert_allclose(back(out, "dn", a.shape), want, atol=1e-12)
+
+
+def test_width_costs_send_no_taps_and_meet_across_tiles(spark, monkeypatch):
+    g = np.random.default_rng(12)
+    img = image(spark, g.normal(size=(30, 30)))
+    at = [(int(i), int(j)) for i, j in g.integers(0, 30, (40, 2))]
+    points = spark.createDataFrame([(1, i, j, float(g.normal())) for i, j in dict.fromkeys(at)], "scene_id int, hx int, hy int, boa double")
+    tried = spark.createDataFrame([(1, k, 1.0 + k / 4, 2.0, 10.0 * k, 2.0 - k, k - 1.0) for k in range(4)], "scene_id int, k long, std_row double, std_col double, angle double, xs double, ys double")
+    bounds = ((1.0, 2.0), (1.0, 2.0), (0.0, 30.0), (-1.0, 2.0), (-1.0, 2.0))
+    held = {(r.r, r.c): r.dn for r in img.collect()}
+    want = {}
+    for q in tried.collect():
+        pairs = []
+        for p in points.collect():
+            taps = [(w, held[t]) for i, j, w in N.gaussian(q.std_row, q.std_col, q.angle) if (t := (p.hx + int(q.xs) + i, p.hy + int(q.ys) + j)) in held]
+            if taps:
+                pairs.append((sum(w * v for w, v in taps) / sum(w for w, _ in taps), p.boa))
+        want[q.k] = abs(1 - np.corrcoef(*zip(*pairs, strict=True))[0, 1])
+    for side in (64, 7):
+        monkeypatch.setattr(X, "WIDTH_TILE", side)
+        costs = X._width_costs(X._width_tiles(points, img, bounds, "dn"), tried)
+        assert "Generate" not in costs._jdf.queryExecution().executedPlan().toString()
+        got = {r.k: r.cost for r in costs.collect()}
+        assert got.keys() == want.keys()
+        for k, v in want.items():
+            assert got[k] == pytest.approx(v, abs=1e-9)
