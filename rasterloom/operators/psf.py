@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -159,41 +160,49 @@ MIX = (1_103_515_245, 69_069, 40_692)
 SHUFFLES = 40
 
 
-def _mixed(*parts: Column) -> Column:
+def _mixed(*parts: np.ndarray | int) -> np.ndarray:
     """A whole number below PRIME from whole numbers: sums of products modulo the prime, squared in between."""
-    out = F.lit(1).cast("long")
+    out = np.int64(1)
     for p, m in zip(parts, MIX, strict=False):
-        out = (out * F.lit(m) + p % PRIME) % PRIME
-        out = (out * out + out + F.lit(7)) % PRIME
+        out = (out * m + np.fmod(p, PRIME)) % PRIME
+        out = (out * out + out + 7) % PRIME
     return out
 
 
-def permuted(i: Column, n: int, key: int) -> Column:
+def places(i: np.ndarray, n: int, key: int) -> np.ndarray:
     """The place of i in a keyed permutation of 0 .. n - 1, from i alone: each round swaps i with its mirror image around a pivot, or not.
 
     Both partners of a swap see the same coin, so every round is a bijection, and no row needs to know another.
     """
-    size = F.lit(n).cast("long")
+    x = np.asarray(i, np.int64)
+    for r in range(1, SHUFFLES + 1):
+        other = (_mixed(r, key) % n - x) % n
+        x = np.where(_mixed(np.maximum(x, other), r, key) // 1024 % 2 == 1, other, x)
+    return x
 
-    def shuffle(x: Column, r: Column) -> Column:
-        other = F.pmod(_mixed(r, F.lit(key).cast("long")) % size - x, size)
-        coin = F.floor(_mixed(F.greatest(x, other), r, F.lit(key).cast("long")) / 1024) % 2
-        return F.when(coin == 1, other).otherwise(x)
 
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.lit(SHUFFLES).cast("long")), i.cast("long"), shuffle)
+def permuted(i: Column, n: int, key: int) -> Column:
+    """places() of a column."""
+    return F.pandas_udf(lambda x: pd.Series(places(x.to_numpy(), n, key)), "long")(i.cast("long"))
 
 
 def design(df: DataFrame, i: str, n: int, bounds: list[tuple[float, float]], seed: int = 0) -> DataFrame:
     """df with x0, x1, ...: the point that each row's ordinal i (0 .. n - 1) has in a Latin hypercube of n points.
 
-    Every stratum of every dimension is hit once. Nothing is sorted or exchanged.
+    Every stratum of every dimension is hit once. Nothing is sorted; the rounds run over Arrow batches.
     """
-    out = {}
-    for k, (low, high) in enumerate(bounds):
-        key = seed * 1009 + k + 1
-        inside = _mixed(F.col(i).cast("long"), F.lit(key).cast("long"), F.lit(3).cast("long")).cast("double") / PRIME
-        out[f"x{k}"] = (permuted(F.col(i), n, key) + inside) / n * (high - low) + low
-    return df.withColumns(out)
+    def run(batches):
+        for b in batches:
+            ordinal, columns = b.column(b.schema.get_field_index(i)), []
+            at, unknown = ordinal.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), ordinal.is_null().to_numpy(zero_copy_only=False)
+            for k, (low, high) in enumerate(bounds):
+                key = seed * 1009 + k + 1
+                inside = _mixed(at, key, 3).astype(float) / PRIME
+                columns.append(pa.array((places(at, n, key) + inside) / n * (high - low) + low, mask=unknown))
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names=[*b.schema.names, *[f"x{k}" for k in range(len(bounds))]])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + [f"x{k} double" for k in range(len(bounds))]
+    return df.mapInArrow(run, ", ".join(kinds))
 
 
 def latin_hypercube(spark: SparkSession, n: int, bounds: list[tuple[float, float]], seed: int = 0) -> DataFrame:

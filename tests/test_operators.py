@@ -388,3 +388,11 @@ def test_width_costs_send_no_taps_and_meet_across_tiles(spark, monkeypatch):
         assert got.keys() == want.keys()
         for k, v in want.items():
             assert got[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_designs_run_over_batches(spark):
+    df = spark.createDataFrame([(k,) for k in range(50)] + [(None,)], "i long")
+    out = X.design(df, "i", 50, [(0.0, 50.0)], 1)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: r.x0 for r in out.collect()}
+    assert got.pop(None) is None and sorted(int(v) for v in got.values()) == list(range(50))
