@@ -1,7 +1,7 @@
 """Atmospheric retrieval per block over many scenes, posterior uncertainty, and surface correction.
 
-Each round of the retrieval is one job over the observations of all running scenes: models at block level, a join to the
-observations, and 2 x 2 normal sums per block. The coupled system of a scene is cut into tiles of blocks: a task solves
+The observations are written once, split by block and band; each round of the retrieval reads them where they lie: models at
+block level go to them, and come back as 2 x 2 normal sums per block. The coupled system of a scene is cut into tiles of blocks: a task solves
 one tile with the blocks around it, which overlap with its neighbours' and carry a change from tile to tile over the rounds; the
 costs that steer a scene are sums over its tiles. So no task holds a scene. Rounds are written out, not kept as lineage.
 """
@@ -9,6 +9,7 @@ costs that steer a scene are sums over its tiles. So no task holds a scene. Roun
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from rasterloom.functions import radiometry as R
 from rasterloom.functions.grid import block_index
 from rasterloom.operators.emulator import coefficients
 from rasterloom.operators.regrid import spline_regrid
-from rasterloom.storage import checkpointed, discard
+from rasterloom.storage import bucketed, checkpointed, discard
 
 BLOCK = ("scene_id", "bi", "bj")
 #: Limits of optical thickness and water vapour, weight of the observations, slope of the band weights.
@@ -55,7 +56,7 @@ def normal_sums(obs: DataFrame, blocks: DataFrame, weights: DataFrame, bands: li
     blocks carries the models' inputs; they run once a block and band, not once an observation.
     """
     k = coefficients(blocks, bands, models).select(*BLOCK, "band", *[f"{c}{s}" for c in "abc" for s in ("", "_0", "_1")])
-    j = obs.join(k.hint("merge"), [*BLOCK, "band"]).join(F.broadcast(weights), "band")
+    j = obs.join(k.hint("shuffle_hash"), [*BLOCK, "band"]).join(F.broadcast(weights), "band")
     t, a, b, c = (F.col(x) for x in ("toa", "a", "b", "c"))
     r = R.surface_reflectance(t, a, b, c) - F.col("boa")
     d0, d1 = (R.surface_gradient(t, a, b, c, F.col(f"a_{i}"), F.col(f"b_{i}"), F.col(f"c_{i}")) for i in (0, 1))
@@ -78,12 +79,12 @@ def tiled(blocks: DataFrame, tile: int, reach: int) -> DataFrame:
 
 
 def _edges(present: np.ndarray) -> list[tuple[np.ndarray, tuple, tuple]]:
-    """For rows and columns: which neighbours both exist, and the slices of the first and the second of them."""
+    """For rows and columns of grids (tile, r, c): which neighbours both exist, and the slices of the first and the second of them."""
     out = []
-    for axis in (0, 1):
+    for axis in (-2, -1):
         lead, lag = [slice(None)] * 2, [slice(None)] * 2
         lead[axis], lag[axis] = slice(None, -1), slice(1, None)
-        lead, lag = tuple(lead), tuple(lag)
+        lead, lag = (..., *lead), (..., *lag)
         out.append((present[lead] & present[lag], lead, lag))
     return out
 
@@ -98,27 +99,71 @@ def _laplacian(v: np.ndarray, edges: list) -> np.ndarray:
     return out
 
 
-def _tile_step(pdf: pd.DataFrame, tile: int, reach: int, gamma: float) -> pd.DataFrame:
-    """A tile's blocks with their Gauss-Newton step (d_aot, d_tcwv) and, in part, the share of each in the scene's cost.
+class _Model:
+    """Quadratic models g d + d H d / 2 of tiles (2, tile, r, c), where H is a 2 x 2 matrix a block, the prior's pull and the smoothness."""
+
+    def __init__(self, g: np.ndarray, h00: np.ndarray, h01: np.ndarray, h11: np.ndarray, pull: np.ndarray, here: np.ndarray, gamma: float):
+        self.parts, self.gamma = (g, h00, h01, h11, pull, here), gamma
+        self.g, self.edges = g, _edges(here)
+        self.h = np.stack([h00, h11]) + pull
+        self.cross = h01
+        self.m = self.h + 8 * gamma**2 + 1e-12
+
+    def take(self, k: np.ndarray) -> _Model:
+        """The models of some tiles."""
+        return _Model(*[v[..., k, :, :] for v in self.parts], self.gamma)
 
-    The step solves the tile and the blocks within reach of it together by preconditioned conjugate gradients; blocks
+    def apply(self, d: np.ndarray) -> np.ndarray:
+        return self.h * d + self.cross * d[::-1] + self.gamma**2 * _laplacian(d, self.edges)
+
+    def solved(self, d: np.ndarray, loose: np.ndarray) -> np.ndarray:
+        """d with its loose values at the minimum of the model, the others as they are. A tile that has arrived leaves the iteration."""
+        model, d, at = self, d.copy(), np.arange(d.shape[1])
+        dot = lambda u, v: (u * v).sum((0, 2, 3))
+        x, r = d, -(self.g + self.apply(d)) * loose
+        z = r / self.m
+        p, rz = z.copy(), dot(r, z)
+        for _ in range(400):
+            on = rz >= 1e-16
+            if not on.all():
+                d[:, at] = x
+                k = np.flatnonzero(on)
+                if not len(k):
+                    return d
+                model, at, rz = model.take(k), at[k], rz[k]
+                x, r, z, p, loose = (v[:, k] for v in (x, r, z, p, loose))
+            q = model.apply(p) * loose
+            alpha = (rz / np.maximum(dot(p, q), 1e-300))[:, None, None]
+            x = x + alpha * p
+            r = r - alpha * q
+            z = r / model.m
+            fresh = dot(r, z)
+            p, rz = z + (fresh / rz)[:, None, None] * p, fresh
+        d[:, at] = x
+        return d
+
+
+def _tile_steps(pdf: pd.DataFrame, tile: int, reach: int, gamma: float) -> pd.DataFrame:
+    """The blocks of some tiles with their Gauss-Newton step (d_aot, d_tcwv) and, in part, the share of each in the scene's cost.
+
+    The step solves a tile and the blocks within reach of it together by preconditioned conjugate gradients; blocks
     farther off keep still. Their values count in the gradient, so the fixed point of the rounds is the scene's own minimum.
+    Tiles go through the iterations side by side, each with its own steps and end; cells that a grid lacks are not there for it.
     """
-    ti, tj = int(pdf["ti"].iloc[0]), int(pdf["tj"].iloc[0])
-    bi, bj = pdf["bi"].to_numpy(), pdf["bj"].to_numpy()
+    ti, tj, bi, bj = (pdf[k].to_numpy() for k in ("ti", "tj", "bi", "bj"))
+    t = pdf.groupby(["scene_id", "ti", "tj"], sort=False, dropna=False).ngroup().to_numpy()
     own = (bi // tile == ti) & (bj // tile == tj)
-    if not own.any():
-        return pdf.iloc[:0].assign(d_aot=0.0, d_tcwv=0.0, part=0.0)
-    r0, c0 = bi.min(), bj.min()
-    at, shape = (bi - r0, bj - c0), (bi.max() - r0 + 1, bj.max() - c0 + 1)
+    row, col = bi - (ti * tile - reach - 1), bj - (tj * tile - reach - 1)
+    row, col = (v - pd.Series(v).groupby(t).transform("min").to_numpy() for v in (row, col))
+    at, shape = (t, row, col), (t.max() + 1, row.max() + 1, col.max() + 1)
 
     def grid(name: str, fill: float = 0.0) -> np.ndarray:
         g = np.full(shape, fill)
         g[at] = pdf[name].fillna(fill)
         return g
 
-    here, core, free = (np.zeros(shape, bool) for _ in range(3))
-    here[at], core[at] = True, own
+    here, free = (np.zeros(shape, bool) for _ in range(2))
+    here[at] = True
     free[at] = (bi >= ti * tile - reach) & (bi < (ti + 1) * tile + reach) & (bj >= tj * tile - reach) & (bj < (tj + 1) * tile + reach)
     edges = _edges(here)
     seen = grid("n") > 1
@@ -126,49 +171,67 @@ def _tile_step(pdf: pd.DataFrame, tile: int, reach: int, gamma: float) -> pd.Dat
     prior = np.stack([grid("aot_prior", 0.1), grid("tcwv_prior", 1.0)])
     pull = np.stack([seen / grid(u, 1.0) ** 2 for u in ("aot_unc", "tcwv_unc")])
     h00, h01, h11 = (grid(n) * seen for n in ("h00", "h01", "h11"))
-    g = np.stack([grid("g0") * seen, grid("g1") * seen]) + pull * (x - prior) + gamma**2 * np.stack([_laplacian(v, edges) for v in x])
+    g = np.stack([grid("g0") * seen, grid("g1") * seen]) + pull * (x - prior) + gamma**2 * _laplacian(x, edges)
     part = grid("cost") * seen + 0.5 * (pull * (x - prior) ** 2).sum(0)
     for both, lead, lag in edges:  # an edge counts where it begins
-        part[lead] += 0.5 * gamma**2 * np.where(both, ((x[:, *lag] - x[:, *lead]) ** 2).sum(0), 0.0)
-
-    def apply(d: np.ndarray) -> np.ndarray:
-        out = np.stack([h00 * d[0] + h01 * d[1], h01 * d[0] + h11 * d[1]]) + pull * d
-        return out + gamma**2 * np.stack([_laplacian(v, edges) for v in d])
-
-    def solved(d: np.ndarray, loose: np.ndarray) -> np.ndarray:
-        """d with its loose values at the minimum of the quadratic model, the others as they are."""
-        d = d.copy()
-        r = -(g + apply(d)) * loose
-        z = r / m
-        p, rz = z.copy(), float((r * z).sum())
-        for _ in range(400):
-            if rz < 1e-16:
-                break
-            q = apply(p) * loose
-            alpha = rz / max(float((p * q).sum()), 1e-300)
-            d += alpha * p
-            r -= alpha * q
-            z = r / m
-            fresh = float((r * z).sum())
-            p, rz = z + fresh / rz * p, fresh
-        return d
+        part[lead] += 0.5 * gamma**2 * np.where(both, ((x[lag] - x[lead]) ** 2).sum(0), 0.0)
 
     # The step is the model's minimum within BOUNDS: what would leave them is held at its bound while the rest is solved again, and let go
     # where the model pulls it back inside. Cutting a free step short at the bounds instead may raise the cost.
-    m = np.stack([h00, h11]) + pull + 8 * gamma**2 + 1e-12
-    low, high = (np.array([b[k] for b in BOUNDS])[:, None, None] - x for k in (0, 1))
-    free = np.broadcast_to(free, x.shape)
+    low, high = (np.array([b[k] for b in BOUNDS])[:, None, None, None] - x for k in (0, 1))
+    step, k = np.zeros_like(g), np.arange(shape[0])
+    model, free = _Model(g, h00, h01, h11, pull, here, gamma), np.broadcast_to(free, x.shape)
     loose, d = free.copy(), np.zeros_like(g)
     for _ in range(20):
-        d = solved(d, loose)
+        d = model.solved(d, loose)
         under, over = loose & (d < low), loose & (d > high)
         d = np.where(under, low, np.where(over, high, d))
-        pull_back = g + apply(d)
+        pull_back = model.g + model.apply(d)
         back = free & ~loose & (((d <= low) & (pull_back < -1e-9)) | ((d >= high) & (pull_back > 1e-9)))
-        if not (under | over | back).any():
+        step[:, k] = d
+        more = np.flatnonzero((under | over | back).any((0, 2, 3)))
+        if not len(more):
             break
         loose = (loose & ~under & ~over) | back
-    return pdf.assign(d_aot=d[0][at], d_tcwv=d[1][at], part=part[at])[own]
+        model, k = model.take(more), k[more]
+        d, loose, free, low, high = (v[:, more] for v in (d, loose, free, low, high))
+    return pdf.assign(d_aot=step[0][at], d_tcwv=step[1][at], part=part[at])[own]
+
+
+#: Cells of grids that go through the iterations side by side; a tile's own grid may be larger.
+SIDE_BY_SIDE = 16_384
+
+
+def _batches_of_tiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole tiles of batches that are sorted by tile: some of about one size at a time, at most SIDE_BY_SIDE cells of the largest of them."""
+    keys, rest = ["scene_id", "ti", "tj"], None
+
+    def groups(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        by = pdf.groupby(keys, sort=False, dropna=False)
+        t = by.ngroup().to_numpy()
+        ends = by.agg(a=("bi", "min"), b=("bi", "max"), c=("bj", "min"), d=("bj", "max")).to_numpy()
+        high, wide = ends[:, 1] - ends[:, 0] + 1, ends[:, 3] - ends[:, 2] + 1
+        group, n, h, w = np.zeros(len(ends), int), 0, 0, 0
+        now = 0
+        for k in np.lexsort((wide, high)):
+            h, w, n = max(h, high[k]), max(w, wide[k]), n + 1
+            if n > 1 and n * h * w > SIDE_BY_SIDE:
+                now, h, w, n = now + 1, high[k], wide[k], 1
+            group[k] = now
+        for k in range(now + 1):
+            yield pdf[group[t] == k]
+
+    for pdf in batches:
+        if not len(pdf):
+            continue
+        rest = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+        last = rest[keys].iloc[-1]  # its tile may go on in the next batch
+        going = ((rest[keys] == last) | (rest[keys].isna() & last.isna())).all(axis=1).to_numpy()
+        if not going.all():
+            yield from groups(rest[~going])
+            rest = rest[going]
+    if rest is not None:
+        yield from groups(rest)
 
 
 def _moved(steps: DataFrame, costs: DataFrame) -> DataFrame:
@@ -204,15 +267,17 @@ def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, g
     if start is not None:
         guess = start.select(*BLOCK, F.col("aot").alias("_aot"), F.col("tcwv").alias("_tcwv"))
         first = first.join(guess.hint("merge"), [*BLOCK], "left").withColumns({"aot": F.coalesce("_aot", "aot"), "tcwv": F.coalesce("_tcwv", "tcwv")}).drop("_aot", "_tcwv")
-    state = first.withColumns({"step_aot": zero, "step_tcwv": zero, "last_cost": F.lit(float("inf"))})
+    state = checkpointed(first.withColumns({"step_aot": zero, "step_tcwv": zero, "last_cost": F.lit(float("inf"))}), "start")
     columns, finished = state.columns, None
+    tasks = int(prior.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes here are much work
+    held = bucketed(obs.select(*BLOCK, "band", "toa", "boa", "unc"), [*BLOCK, "band"], "observations")
     for _ in range(rounds):
-        running = state.select("scene_id").distinct()
-        sums = normal_sums(obs.join(running.hint("merge"), "scene_id", "left_semi"), state, weights, names, models)
+        sums = normal_sums(held, state, weights, names, models)
         joined = tiled(state.join(sums.hint("merge"), [*BLOCK], "left"), tile, halo + 1)
         kinds = ", ".join(f"{c} {state.schema[c].dataType.simpleString()}" for c in columns)
         keep = [*columns, "d_aot", "d_tcwv", "part"]
-        steps = joined.groupBy("scene_id", "ti", "tj").applyInPandas(lambda pdf: _tile_step(pdf, tile, halo, gamma)[keep], f"{kinds}, d_aot double, d_tcwv double, part double")
+        sorted_tiles = joined.repartition(tasks, "scene_id", "ti", "tj").sortWithinPartitions("scene_id", "ti", "tj")
+        steps = sorted_tiles.mapInPandas(lambda batches: (_tile_steps(pdf, tile, halo, gamma)[keep] for pdf in _batches_of_tiles(batches)), f"{kinds}, d_aot double, d_tcwv double, part double")
         steps = checkpointed(steps, "steps")
         # One row a scene, written: Spark can then split a large scene's side of the joins.
         costs = checkpointed(steps.groupBy("scene_id").agg(F.sum("part").alias("now")), "costs")
@@ -226,6 +291,7 @@ def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, g
         if not moves.where(F.col("moved") >= tol).limit(1).count():
             break
         state = rest.select(*columns)
+    discard(held)
     return finished.unionByName(rest).select(*prior.columns, "aot", "tcwv", "moved", (F.col("moved") < tol).alias("converged"))
 
 

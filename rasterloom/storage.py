@@ -36,9 +36,25 @@ def checkpointed(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like checkpointed(), split by the hash of keys: a join on just these keys then sends only its other side.
+
+    For a table that every round of a loop joins. There are as many buckets as shuffle partitions, one file each.
+    """
+    spark = df.sparkSession
+    n, run = int(spark.conf.get("spark.sql.shuffle.partitions")), uuid.uuid4().hex
+    path, table = f"{shared_dir(spark).rstrip('/')}/{name}-{run}", f"{name}_{run}".replace("-", "_")
+    df.repartition(n, *keys).write.format("parquet").bucketBy(n, *keys).option("path", path).saveAsTable(table)
+    out = spark.table(table)
+    out.written_at, out.named = path, table
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that checkpointed() gave, once all that was made from them is written."""
+    """Remove tables that checkpointed() or bucketed() gave, once all that was made from them is written."""
     for t in tables:
+        if getattr(t, "named", None):
+            t.sparkSession.sql(f"DROP TABLE IF EXISTS {t.named}")
         path = getattr(t, "written_at", None)
         if path:
             where = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
