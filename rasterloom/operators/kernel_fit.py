@@ -60,13 +60,15 @@ def hot_spot_grid(spark: SparkSession, n: int = 1000, high_deg: float = 10.0) ->
 def hot_spot_search(samples: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
     """Best width of each key over a literal grid, by rmse of the kernel fit; the first of equals.
 
-    Widths meet samples inside Arrow batches, which give one row of sums for each key and width: what is
-    shuffled grows with the keys of a batch, not with its samples.
+    Samples of one key and geometry are summed first: the widths see them once. Widths meet geometries, in the order of their keys, inside
+    Arrow batches, which give one row of sums for each key and width: what is shuffled then grows with the keys of a batch, not with its rows.
     """
     widths = np.sort(np.array([r["xi"] for r in grid.select("xi").collect()], float))  # the literal grid
+    refl, angles = F.coalesce(F.col("refl").cast("double"), F.lit(float("nan"))), ("vza", "sza", "raa")
+    once = samples.groupBy(*keys, *angles).agg(F.count("*").cast("double").alias("_n"), F.sum(refl).alias("_r"), F.sum(refl * refl).alias("_rr"))
     geometry = A.fold(F.radians("vza"), F.radians("sza"), F.radians("raa"))
     geo = A.kernel_pair(F.col("vza"), F.col("sza"), F.col("raa"), None, 0.0, A.li_sparse)[1]
-    rows = samples.select(*keys, "refl", A.ross(*geometry).alias("_b"), A.phase_angle(*geometry).alias("_x"), geo.alias("_g"))
+    rows = once.select(*keys, "_n", "_r", "_rr", A.ross(*geometry).alias("_b"), A.phase_angle(*geometry).alias("_x"), geo.alias("_g")).sortWithinPartitions(*keys)
     fixed, tried = ("n", "g", "gg", "r", "rg", "rr"), ("v", "vv", "vg", "rv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,14 +79,15 @@ def hot_spot_search(samples: DataFrame, keys: list[str], grid: DataFrame) -> Dat
             group = own.to_pandas().groupby(keys, sort=False, dropna=False).ngroup().to_numpy()
             order = np.argsort(group, kind="stable")
             head = np.flatnonzero(np.diff(group[order], prepend=-1))
-            refl, b, x, g = (batch.column(c).to_numpy(zero_copy_only=False)[order].astype(float) for c in ("refl", "_b", "_x", "_g"))
+            n, r, rr, b, x, g = (batch.column(c).to_numpy(zero_copy_only=False)[order].astype(float) for c in ("_n", "_r", "_rr", "_b", "_x", "_g"))
             total = lambda v: np.add.reduceat(v, head, axis=0)
-            sums = {"n": total(np.ones(len(b))), "g": total(g), "gg": total(g * g), "r": total(refl), "rg": total(refl * g), "rr": total(refl * refl)}
+            sums = {"n": total(n), "g": total(n * g), "gg": total(n * g * g), "r": total(r), "rg": total(r * g), "rr": total(rr)}
             for k in range(0, len(widths), 100):
                 w = widths[k : k + 100]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     v = np.where(w > 0, b[:, None] * (1 + 1 / (1 + x[:, None] / w)) - math.pi / 2, b[:, None] - math.pi / 4)
-                parts = {"v": total(v), "vv": total(v * v), "vg": total(v * g[:, None]), "rv": total(v * refl[:, None])}
+                nv = v * n[:, None]
+                parts = {"v": total(nv), "vv": total(nv * v), "vg": total(nv * g[:, None]), "rv": total(v * r[:, None])}
                 m = len(head)
                 names = own.take(pa.array(np.tile(order[head], len(w))))
                 yield pa.RecordBatch.from_arrays(
