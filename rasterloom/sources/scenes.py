@@ -89,19 +89,19 @@ def landsat_time(rows: DataFrame, key: str = "scene_id") -> DataFrame:
 
 
 _GRID = "struct<VALUES:array<string>>"
-_ANGLES = f"struct<Zenith:struct<Values_List:{_GRID}>,Azimuth:struct<Values_List:{_GRID}>>"
-_TILE = (
-    f"struct<Tile_Angles:struct<Sun_Angles_Grid:{_ANGLES},"
-    f"Viewing_Incidence_Angles_Grids:array<struct<_bandId:int,_detectorId:int,Zenith:struct<Values_List:{_GRID}>,Azimuth:struct<Values_List:{_GRID}>>>>>"
-)
+_ANGLES = f"Zenith:struct<Values_List:{_GRID}>,Azimuth:struct<Values_List:{_GRID}>"
+_SUN = f"struct<Tile_Angles:struct<Sun_Angles_Grid:struct<{_ANGLES}>>>"
+_VIEW = f"struct<Tile_Angles:struct<Viewing_Incidence_Angles_Grids:array<struct<_bandId:int,_detectorId:int,{_ANGLES}>>>>"
 
 
-def _cells(values: Column, name: str, df: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, r, c, name) of an array of blank-separated rows; NaN becomes null."""
-    rows = df.select(*keys, F.posexplode(values).alias("r", "_line"))
-    cells = rows.select(*keys, "r", F.posexplode(F.split(F.trim("_line"), r"\s+")).alias("c", "_v"))
-    v = F.col("_v").try_cast("double")
-    return cells.select(*keys, "r", "c", F.when(~F.isnan(v), v).alias(name))
+def _cells(grids: Column, names: tuple[str, str], df: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, r, c, names) of a zenith and an azimuth grid of blank-separated rows; NaN becomes null. Cells that only one of them has are left out."""
+    both = F.arrays_zip(grids["Zenith"]["Values_List"]["VALUES"].alias("z"), grids["Azimuth"]["Values_List"]["VALUES"].alias("a"))
+    rows = df.select(*keys, F.posexplode(both).alias("r", "_l"))
+    words = F.arrays_zip(*[F.split(F.trim(F.col(f"_l.{k}")), r"\s+").alias(k) for k in "za"])
+    cells = rows.select(*keys, "r", F.posexplode(words).alias("c", "_v")).where("_v.z is not null and _v.a is not null")
+    v = [F.col(f"_v.{k}").try_cast("double") for k in "za"]
+    return cells.select(*keys, "r", "c", *[F.when(~F.isnan(x), x).alias(n) for x, n in zip(v, names, strict=True)])
 
 
 def angle_grids(spark: SparkSession, folder: str, glob: str = "*.xml") -> tuple[DataFrame, DataFrame]:
@@ -113,16 +113,11 @@ def angle_grids(spark: SparkSession, folder: str, glob: str = "*.xml") -> tuple[
 def angle_cells(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same of documents(path, value)."""
     inner = F.regexp_extract("value", r"(?s)(<Tile_Angles>.*</Tile_Angles>)", 1)
-    doc = documents.select("path", F.from_xml(F.concat(F.lit("<t>"), inner, F.lit("</t>")), _TILE).alias("x"))
-    sun, view = F.col("x.Tile_Angles.Sun_Angles_Grid"), F.col("x.Tile_Angles.Viewing_Incidence_Angles_Grids")
-    z = _cells(sun["Zenith"]["Values_List"]["VALUES"], "sza", doc, ["path"])
-    a = _cells(sun["Azimuth"]["Values_List"]["VALUES"], "saa", doc, ["path"])
-    suns = z.join(a.hint("merge"), ["path", "r", "c"]).withColumn("saa", F.when(F.col("saa") > 180, F.col("saa") - 360).otherwise(F.col("saa")))
-    each = doc.select("path", F.explode(view).alias("v")).select("path", F.col("v._bandId").alias("band"), F.col("v._detectorId").alias("det"), "v")
-    keys = ["path", "band", "det"]
-    vz = _cells(F.col("v.Zenith.Values_List.VALUES"), "vza", each, keys)
-    va = _cells(F.col("v.Azimuth.Values_List.VALUES"), "vaa", each, keys)
-    return suns, vz.join(va.hint("merge"), [*keys, "r", "c"])
+    doc = lambda kind: documents.select("path", F.from_xml(F.concat(F.lit("<t>"), inner, F.lit("</t>")), kind).alias("x"))
+    suns = _cells(F.col("x.Tile_Angles.Sun_Angles_Grid"), ("sza", "saa"), doc(_SUN), ["path"])
+    suns = suns.withColumn("saa", F.when(F.col("saa") > 180, F.col("saa") - 360).otherwise(F.col("saa")))
+    each = doc(_VIEW).select("path", F.explode("x.Tile_Angles.Viewing_Incidence_Angles_Grids").alias("v")).select("path", F.col("v._bandId").alias("band"), F.col("v._detectorId").alias("det"), "v")
+    return suns, _cells(F.col("v"), ("vza", "vaa"), each, ["path", "band", "det"])
 
 
 def mean_angles(sun: DataFrame, view: DataFrame) -> DataFrame:

@@ -90,3 +90,16 @@ def test_sample_files(spark, tmp_path):
     one = M.read_five_band(spark, str(tmp_path / "b.txt"), 1).where("band = 4").first()
     two = M.read_five_band(spark, str(tmp_path / "b.txt"), 2).where("band = 0").first()
     assert (one.vza, one.sza, one.raa, one.refl) == (12.0, 35.0, 77.0, 0.5) and (two.vza, two.sza, two.raa, two.refl) == (35.0, 12.0, 77.0, 0.1)
+
+
+def test_zenith_and_azimuth_come_from_one_pass(spark):
+    grid = lambda z, a: f"<Zenith><Values_List>{z}</Values_List></Zenith><Azimuth><Values_List>{a}</Values_List></Azimuth>"
+    z, a = "<VALUES>1 NaN 3</VALUES><VALUES>4 5</VALUES>", "<VALUES>10 200</VALUES>"
+    text = f"<n><Tile_Angles><Sun_Angles_Grid>{grid(z, a)}</Sun_Angles_Grid>" + "".join(
+        f'<Viewing_Incidence_Angles_Grids bandId="{b}" detectorId="3">{grid(a, z)}</Viewing_Incidence_Angles_Grids>' for b in (1, 2)) + "</Tile_Angles></n>"
+    sun, view = M.angle_cells(spark.createDataFrame([("x", text)], "path string, value string"))
+    assert sorted(map(tuple, sun.collect())) == [("x", 0, 0, 1.0, 10.0), ("x", 0, 1, None, -160.0)]  # cells of both grids
+    assert sorted(map(tuple, view.collect()), key=repr) == [("x", b, 3, 0, c, *v) for b in (1, 2) for c, v in enumerate([(10.0, 1.0), (200.0, None)])]
+    for df in (sun, view):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "Exchange" not in plan
