@@ -151,9 +151,15 @@ def atmospheric_prior(obs: DataFrame, forecast: DataFrame, scale: float = 1.0, o
 
 
 def day_window(obs: DataFrame, series: DataFrame, half: int = 16) -> DataFrame:
-    """Series rows of the days around each observation: an equi-join on the exploded day."""
-    days = obs.select("*", F.explode(G.window_days(F.col("obs_time").cast("date"), half)).alias("day"))
-    return days.join(series.hint("merge"), "day")
+    """Series rows of the days around each observation.
+
+    Each observed date meets the series once, on its exploded days; observations then meet what their date has found, so that none of
+    them is repeated for a day.
+    """
+    dated = obs.withColumn("_date", F.col("obs_time").cast("date"))
+    days = dated.select("_date").distinct().select("_date", F.explode(G.window_days(F.col("_date"), half)).alias("day"))
+    near = days.join(series.hint("merge"), "day")
+    return dated.join(near.hint("merge"), "_date").select("day", *obs.columns, *[c for c in series.columns if c != "day"])
 
 
 def coverage(tiles: DataFrame, days: DataFrame, granules: DataFrame) -> DataFrame:
