@@ -156,11 +156,13 @@ def read_five_band(spark: SparkSession, path: str, layout: int = 1) -> DataFrame
 
 def five_band(rows: DataFrame, layout: int = 1) -> DataFrame:
     """The same of rows(path, line_no, line)."""
-    rows = rows.select("path", "line_no", F.split(F.trim("line"), r"\s+").alias("w")).where((F.size("w") >= 11) & ~F.get("w", F.lit(0)).startswith("#"))
+    # A generator hands on the words of a line: filters stay above it, so that a line is made and split once, not again in every condition.
+    rows = rows.select("path", "line_no", F.explode(F.array(F.split(F.trim("line"), r"\s+"))).alias("w")).where((F.size("w") >= 11) & ~F.get("w", F.lit(0)).startswith("#"))
     at = lambda k: F.get("w", F.lit(k)).try_cast("double")
     vza, sza, raa = (at(4), at(2), at(5)) if layout == 1 else (at(2), at(4), at(5) - at(3))
-    wide = rows.select("path", "line_no", vza.alias("vza"), sza.alias("sza"), raa.alias("raa"), F.array(*[at(6 + k) for k in range(5)]).alias("x"))
-    return wide.select("path", "line_no", "vza", "sza", "raa", F.posexplode("x").alias("band", "refl"))
+    wide = rows.select("path", "line_no", vza.alias("vza"), sza.alias("sza"), raa.alias("raa"), F.slice("w", 7, 5).alias("x"))
+    return wide.select("path", "line_no", "vza", "sza", "raa", F.posexplode("x").alias("band", "x")).select(
+        "path", "line_no", "vza", "sza", "raa", "band", F.col("x").try_cast("double").alias("refl"))
 
 
 def one_scene_list(tiles: DataFrame, other: DataFrame) -> DataFrame:
