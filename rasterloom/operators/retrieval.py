@@ -4,6 +4,9 @@ The observations are written once, split by block and band; each round of the re
 block level go to them, and come back as 2 x 2 normal sums per block. The coupled system of a scene is cut into tiles of blocks: a task solves
 one tile with the blocks around it, which overlap with its neighbours' and carry a change from tile to tile over the rounds; the
 costs that steer a scene are sums over its tiles. So no task holds a scene. Rounds are written out, not kept as lineage.
+
+Without smoothness no block knows of another: blocks then go through all their rounds inside a task, many side by side, over observations
+that are sent once. Only blocks with more observations than a task should hold take the rounds above.
 """
 
 from __future__ import annotations
@@ -13,12 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterloom.functions import radiometry as R
 from rasterloom.functions.grid import block_index
-from rasterloom.operators.emulator import coefficients
+from rasterloom.operators.emulator import INPUTS, coefficients, forward
 from rasterloom.operators.regrid import spline_regrid
 from rasterloom.storage import bucketed, checkpointed, discard
 
@@ -245,6 +250,190 @@ def _moved(steps: DataFrame, costs: DataFrame) -> DataFrame:
     return out.withColumns({"aot": F.col("_aot"), "tcwv": F.col("_tcwv"), "last_cost": F.when(rose, F.col("last_cost")).otherwise(F.col("now"))})
 
 
+#: Rows of blocks without smoothness that go through the rounds side by side, and the most observations that one of these blocks may have.
+AT_ONCE, ALONE = 65_536, 100_000
+
+
+def _starts(rows: pa.Table, *names: str) -> np.ndarray:
+    """Where runs of rows begin that are equal in the named columns; a null equals nothing."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in names:
+        v = rows.column(k).combine_chunks()
+        new[1:] |= pc.fill_null(pc.not_equal(v[1:], v[:-1]), True).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _whole_blocks(batches: Iterator[pa.RecordBatch], least: int, most: int) -> Iterator[pa.Table]:
+    """Whole runs of one key of batches that are sorted by it, some `least` rows at a time. Of a run with more than `most`
+    observations some are left out, but more than `most` remain, and its blocks' own rows."""
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n < least:
+            continue
+        rows = pa.Table.from_batches(held)
+        last = int(_starts(rows, "key")[-1])  # this run may go on in the next batch
+        if last:
+            yield rows.slice(0, last)
+        rest = rows.slice(last)
+        if len(rest) > least:
+            own = pc.is_valid(rest.column("own"))
+            rest = pa.concat_tables([rest.filter(own), rest.filter(pc.invert(own)).slice(0, most + 1)])
+        held, n = rest.to_batches(), len(rest)
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def _bounded_steps(g: np.ndarray, h00: np.ndarray, h01: np.ndarray, h11: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Minima d (2, block) of g d + d H d / 2 between low and high: the free one, else the best on the four sides."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        det = h00 * h11 - h01 * h01
+        free = np.stack([h01 * g[1] - h11 * g[0], h01 * g[0] - h00 * g[1]]) / det
+        flat = ~(det > 1e-14 * h00 * h11)  # one direction at most is known: the shortest of the steps that are as good
+        free = np.where(flat, np.where(h00 + h11 > 0, -g / (h00 + h11), 0.0), free)
+        sides = []
+        for k, own, other in ((0, h00, h11), (1, h11, h00)):
+            for at in (low[k], high[k]):
+                across = -(g[1 - k] + h01 * at) / other
+                across = np.clip(np.where(other > 0, across, 0.0), low[1 - k], high[1 - k])
+                sides.append(np.stack([at, across] if k == 0 else [across, at]))
+    sides = np.stack(sides)
+    p, q = sides[:, 0], sides[:, 1]
+    best = np.argmin(p * g[0] + q * g[1] + (h00 * p * p + 2 * h01 * p * q + h11 * q * q) / 2, axis=0)
+    inside = ((free >= low) & (free <= high)).all(0)
+    return np.where(inside, free, sides[best, :, np.arange(len(best))].T)
+
+
+#: What a block itself brings to its rounds.
+OWN = (*INPUTS, "aot_prior", "tcwv_prior", "aot_unc", "tcwv_unc")
+
+
+def _rounds_of_blocks(own: np.ndarray, n: np.ndarray, block: np.ndarray, seen: dict[str, np.ndarray], names: list[int], models: dict, rounds: int, tol: float) -> tuple[np.ndarray, np.ndarray]:
+    """(aot, tcwv) of the blocks of own after the rounds, and how far the last round moved each.
+
+    own has a row of OWN for each, n its number of observations. seen holds these: band, toa, boa, weight w, and w_r, the weight of the residual;
+    block is the place of their block.
+    Every block has its own steps and leaves the rounds when its step falls below tol.
+    """
+    names = sorted(names)
+    # Runs of one block and band, which share the models' coefficients.
+    run = block * len(names) + np.searchsorted(names, seen["band"])
+    order = np.argsort(run, kind="stable")
+    toa, boa, w, w_r = (seen[k][order] for k in ("toa", "boa", "w", "w_r"))
+    run, size = np.unique(run, return_counts=True)
+    block, band = np.divmod(run, len(names))
+
+    inputs, x = own[:, : len(INPUTS)], own[:, 3:5].T.copy()
+    prior, unc = (np.where(np.isnan(v), fill, v).T for v, fill in ((own[:, 7:9], (0.1, 1.0)), (own[:, 9:], 1.0)))
+    pull = (n > 1) / unc**2
+    low, high = (np.array([b[k] for b in BOUNDS])[:, None] for k in (0, 1))
+    step, last, moved = np.zeros_like(x), np.full(x.shape[1], np.inf), np.full(x.shape[1], np.nan)
+    live, on = np.arange(x.shape[1]), np.isfinite(x).all(0)
+    for _ in range(rounds):
+        if not on.all():  # the others leave
+            kept = on[block]
+            toa, boa, w, w_r = (v[np.repeat(kept, size)] for v in (toa, boa, w, w_r))
+            block, band, size, live = (np.cumsum(on) - 1)[block[kept]], band[kept], size[kept], live[on]
+        if not len(live):
+            break
+        now, off, p, many = x[:, live], x[:, live] - prior[:, live], pull[:, live], n[live] > 1
+        at = inputs[live]
+        at[:, 3:5] = now.T
+        terms = np.empty((9, len(names), len(live)))
+        for j, coef in enumerate("abc"):
+            for i, name in enumerate(names):
+                y, slopes = forward(at, models[name, coef], True)
+                terms[3 * j, i], terms[3 * j + 1, i], terms[3 * j + 2, i] = y[:, 0], slopes[:, 3], slopes[:, 4]
+        a, a0, a1, b, b0, b1, c, c0, c1 = np.repeat(terms[:, band, block], size, axis=1)
+        y = a * toa - b
+        z = 1 + c * y
+        r = y / z - boa
+        z *= z
+        y *= y
+        d0, d1 = (a0 * toa - b0 - y * c0) / z, (a1 * toa - b1 - y * c1) / z
+        w0, w1, wr = w * d0, w * d1, w_r * r
+        parts = np.stack([w0 * d0, w0 * d1, w1 * d1, wr * d0, wr * d1, wr * r])
+        parts = np.add.reduceat(parts, np.cumsum(size) - size, axis=1) if len(size) else np.zeros((6, 0))
+        sums = np.stack([np.bincount(block, v, len(live)) for v in parts])
+        h00, h01, h11, g0, g1, cost = np.where(np.isnan(sums), 0.0, sums) * many
+        cost = 0.5 * cost + 0.5 * (p * off * off).sum(0)
+        free = _bounded_steps(np.stack([g0, g1]) + p * off, h00 + p[0], h01, h11 + p[1], low - now, high - now)
+        # Where the block's cost rose, half of the last step is taken back, which is no sign of having arrived.
+        rose = cost > last[live] * (1 + 1e-9)
+        new = np.clip(now + np.where(rose, -0.5 * step[:, live], free), low, high)
+        moved[live] = np.where(rose, 1.0, np.abs(new - now).max(0))
+        step[:, live] = np.where(rose, 0.5 * step[:, live], new - now)
+        last[live] = np.where(rose, last[live], cost)
+        x[:, live] = new
+        on = ~(moved[live] < tol)
+    return x, moved
+
+
+def _solved_blocks(rows: pa.Table, names: list[int], models: dict, rounds: int, tol: float, alone: int) -> pa.Table:
+    """The blocks of rows after their rounds: BLOCK, aot, tcwv, moved, and large where a block was left as it is for its size.
+
+    Rows are a block's own (own, the values of OWN) and its observations' (band, toa, boa, w), in runs of one key, a hash of the block. Nulls count as in
+    Spark's sums: the row counts in n.
+    """
+    at, runs = _starts(rows, "key", *BLOCK), _starts(rows, "key")
+    if len(at) > len(runs):  # blocks that share a key
+        rows = rows.take(pc.sort_indices(rows, [(k, "ascending") for k in ("key", *BLOCK)]))
+        at = _starts(rows, "key", *BLOCK)
+    block = np.repeat(np.arange(len(at)), np.diff(at, append=len(rows)))
+    mine = pc.is_valid(rows.column("own")).to_numpy()
+    first = np.full(len(at), -1)
+    first[block[mine][::-1]] = np.flatnonzero(mine)[::-1]
+    n = np.bincount(block[~mine], minlength=len(at))
+    here = first >= 0
+    large = np.repeat(np.add.reduceat(n, np.searchsorted(at, runs)), np.diff(np.searchsorted(at, runs), append=len(at))) > alone
+    place = np.cumsum(here) - 1
+    kept = ~mine & (here & ~large)[block]
+    seen, valid = {"band": rows.column("band").to_numpy()[kept].astype(int)}, {}
+    for k in ("toa", "boa", "w"):
+        valid[k] = pc.is_valid(rows.column(k)).to_numpy()[kept]
+        seen[k] = np.where(valid[k], rows.column(k).to_numpy()[kept], 0.0)
+    seen["w"] = np.where(valid["toa"], seen["w"], 0.0)
+    seen["w_r"] = np.where(valid["boa"], seen["w"], 0.0)
+    first = pa.array(first[here])
+    own = rows.column("own").take(first).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(OWN))
+    x, moved = _rounds_of_blocks(own, n[here], place[block[kept]], seen, names, models, rounds, tol)
+    out = rows.select([*BLOCK]).take(first)
+    for k, v in (("aot", x[0]), ("tcwv", x[1]), ("moved", moved), ("large", large[here])):
+        out = out.append_column(k, pa.array(v))
+    return out
+
+
+def _retrieve_alone(obs: DataFrame, first: DataFrame, bands: DataFrame, names: list[int], models: dict, rounds: int, tol: float, at_once: int = AT_ONCE, alone: int = ALONE) -> DataFrame:
+    """retrieve() without smoothness: first (the prior with aot and tcwv) after the rounds of every block by itself.
+
+    Observations are sent once, to where their block's own row goes. A task takes whole blocks, at_once rows of them side by side; blocks with
+    more than alone observations go through the rounds of coupled ones, over sums. Rows are sorted by a hash of the block, one
+    number, which Spark sorts without comparing rows; blocks of one hash are told apart in the task.
+    """
+    weight = OBS_WEIGHT * F.col("bw") / (F.col("unc") * F.col("unc"))
+    first = checkpointed(first, "start")
+    seen = obs.dropna(subset=[*BLOCK]).join(F.broadcast(band_weights(bands)), "band").select(*BLOCK, "band", *[x.cast("double").alias(k) for k, x in (("toa", F.col("toa")), ("boa", F.col("boa")), ("w", weight))])
+    blocks = first.select(*BLOCK, F.array(*[F.col(k).cast("double") for k in OWN]).alias("own"))
+    tasks = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes here are much work
+    rows = seen.unionByName(blocks, allowMissingColumns=True).withColumn("key", F.xxhash64(*BLOCK)).repartition(tasks, "key").sortWithinPartitions("key")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole_blocks(batches, at_once, alone):
+            yield from _solved_blocks(t, names, models, rounds, tol, alone).to_batches()
+
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in BLOCK)
+    solved = checkpointed(rows.mapInArrow(run, f"{kinds}, aot double, tcwv double, moved double, large boolean"), "blocks")
+    large = solved.where("large").select(*BLOCK)
+    if large.limit(1).count():
+        summed = _retrieve_coupled(*[t.join(large.hint("merge"), [*BLOCK], "left_semi") for t in (obs, first)], bands, names, models, 0.0, rounds, tol, TILE, HALO)
+        solved = solved.where("NOT large").drop("large").unionByName(summed.select(*BLOCK, "aot", "tcwv", "moved"))
+    moves = checkpointed(solved.groupBy("scene_id").agg(F.max("moved").alias("moved")), "moves")
+    found = solved.select(*BLOCK, F.col("aot").alias("_aot"), F.col("tcwv").alias("_tcwv"))
+    out = first.join(found.hint("merge"), [*BLOCK], "left").withColumns({k: F.coalesce(f"_{k}", k) for k in ("aot", "tcwv")})  # a block with a null in its key keeps its own
+    return out.join(moves.hint("merge"), "scene_id").select(*first.columns, "moved", (F.col("moved") < tol).alias("converged"))
+
+
 #: Fixed value: the largest number of rounds of a level of the pyramid up to the seventh level, and above.
 ROUNDS = (60, 20)
 
@@ -259,17 +448,24 @@ def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, g
     prior(block, cos_sza, cos_vza, cos_raa, ele, tco3, aot_prior, tcwv_prior, aot_unc, tcwv_unc). The prior acts on
     blocks with more than one observation; others follow their neighbours, which are the blocks that exist. start(block, aot, tcwv) is the
     first guess, else the prior is. Tiles of tile x tile blocks are solved with the halo blocks around them.
+    Where gamma is 0 there are no tiles: every block has its own rounds, and a scene has arrived when all of its blocks have.
     """
     names = [r["band"] for r in bands.select("band").collect()]  # a band dimension
-    weights = band_weights(bands)
-    zero = F.lit(0.0)
     first = prior.withColumns({"aot": F.col("aot_prior"), "tcwv": F.col("tcwv_prior")})
     if start is not None:
         guess = start.select(*BLOCK, F.col("aot").alias("_aot"), F.col("tcwv").alias("_tcwv"))
         first = first.join(guess.hint("merge"), [*BLOCK], "left").withColumns({"aot": F.coalesce("_aot", "aot"), "tcwv": F.coalesce("_tcwv", "tcwv")}).drop("_aot", "_tcwv")
+    if gamma == 0:
+        return _retrieve_alone(obs, first, bands, names, models, rounds, tol)
+    return _retrieve_coupled(obs, first, bands, names, models, gamma, rounds, tol, tile, halo)
+
+
+def _retrieve_coupled(obs: DataFrame, first: DataFrame, bands: DataFrame, names: list[int], models: dict, gamma: float, rounds: int, tol: float, tile: int, halo: int) -> DataFrame:
+    """The rounds of retrieve() from first, the prior with aot and tcwv."""
+    weights, zero = band_weights(bands), F.lit(0.0)
     state = checkpointed(first.withColumns({"step_aot": zero, "step_tcwv": zero, "last_cost": F.lit(float("inf"))}), "start")
     columns, finished = state.columns, None
-    tasks = int(prior.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes here are much work
+    tasks = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, as few bytes here are much work
     held = bucketed(obs.select(*BLOCK, "band", "toa", "boa", "unc"), [*BLOCK, "band"], "observations")
     for _ in range(rounds):
         sums = normal_sums(held, state, weights, names, models)
@@ -292,7 +488,7 @@ def retrieve(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, g
             break
         state = rest.select(*columns)
     discard(held)
-    return finished.unionByName(rest).select(*prior.columns, "aot", "tcwv", "moved", (F.col("moved") < tol).alias("converged"))
+    return finished.unionByName(rest).select(*first.columns, "moved", (F.col("moved") < tol).alias("converged"))
 
 
 def retrieve_pyramid(obs: DataFrame, prior: DataFrame, bands: DataFrame, models: dict, shape: tuple[int, int], gamma: float = 10.0, tol: float = 1e-4) -> DataFrame:
